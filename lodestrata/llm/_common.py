@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def slices(batch: pa.RecordBatch, column: int, step: int = STEP_BYTES):
     if not batch.num_rows:
         return
     col = batch.column(column)
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
     part = np.cumsum(size) // step
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
@@ -80,7 +81,7 @@ def slices(batch: pa.RecordBatch, column: int, step: int = STEP_BYTES):
 def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null is empty."""
     if col.null_count:
-        col = pa.compute.fill_null(col, "")
+        col = pc.fill_null(col, "")
     wide = pa.types.is_large_string(col.type)
     _, off, data = col.buffers()
     offsets = np.frombuffer(off, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)

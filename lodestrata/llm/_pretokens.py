@@ -27,8 +27,11 @@ def classes() -> np.ndarray:
     return out
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Ascending byte positions at which pieces start, and the end of data."""
+def cuts(data: np.ndarray, offsets: np.ndarray, runs: list | None = None) -> np.ndarray:
+    """Ascending byte positions at which pieces start, and the end of data.
+
+    runs: gets the byte positions of each run of two or more white-space characters before other text, first and end.
+    """
     if not len(data):
         return np.zeros(1, np.int64)
     lead = np.flatnonzero((data & 0xC0) != 0x80)
@@ -50,6 +53,10 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     start[1:n] |= kind[1:] != kind[:-1]
     # a run of white space before other text: its last character stands alone, and a space joins what follows
     e = np.flatnonzero(start[1:n] & (kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & ~first[1:n]) + 1
+    if runs is not None and len(e):
+        began = np.flatnonzero(start)
+        s = began[np.searchsorted(began, e) - 1]
+        runs += zip(lead[s[e - s > 1]].tolist(), lead[e[e - s > 1]].tolist())
     start[e - 1] = True
     start[e[head[e - 1] == 0x20]] = False
     # contractions
@@ -66,8 +73,8 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.append(lead[np.flatnonzero(start[:n])], len(data))
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[int]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, runs: list | None = None) -> tuple[list[bytes], list[int]]:
     """All pieces of all texts in order, and for each text the index of its first piece (one more at the end)."""
-    at = cuts(data, offsets)
+    at = cuts(data, offsets, runs)
     raw, ends = data.tobytes(), at.tolist()
     return [raw[a:b] for a, b in zip(ends, ends[1:])], np.searchsorted(at, offsets).tolist()

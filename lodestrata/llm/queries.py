@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .bpe_codec import op8_bpe_codec
+from .token_counts import op2_token_counts
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
     "op8_bpe_codec": op8_bpe_codec,
 }
 
