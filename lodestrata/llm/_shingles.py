@@ -22,16 +22,18 @@ _MULT = _rng.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint6
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _DELIM = np.zeros(256, bool)
 _DELIM[[0x20, *range(0x09, 0x0E)]] = True
-_powers = np.ones(1, np.uint64)
+_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_powers = {}
 
 
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        p = np.full(max(n, 1 << 16), _P, np.uint64)
-        p[0] = 1
-        _powers = np.cumprod(p, dtype=np.uint64)
-    return _powers
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    """base to the powers from 0 on, at least n of them, modulo 2^64."""
+    got = _powers.get(base)
+    if got is None or len(got) < n:
+        got = np.full(max(n, 1 << 16), base, np.uint64)
+        got[0] = 1
+        got = _powers[base] = np.cumprod(got, dtype=np.uint64)
+    return got
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,10 +62,25 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[-1] = False
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & (~after | first[1:]))
-    p = _power(n)
+    p = _power(_P, n)
     total = np.cumsum(_BYTE[data] * p[:n], dtype=np.uint64)
     low = total[start] - _BYTE[data[start]] * p[start]
-    return mix((total[end] - low) * p[n - 1 - start]), np.searchsorted(start, offsets)
+    return mix((total[end] - low) * _power(_P_INVERSE, n)[start]), np.searchsorted(start, offsets)
+
+
+def windows(words: np.ndarray, at: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The hash of `width` words from each word on; near the end of a text it reaches into the next and does not count."""
+    n = max(0, len(words) - width + 1)
+    rolled = words[:n] * _MULT[0]
+    for k in range(1, width):
+        rolled = rolled + words[k : n + k] * _MULT[k]
+    return mix(rolled)
+
+
+def short_hash(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The one shingle of a text of fewer words than `width`."""
+    n = len(words)
+    return mix((words * _MULT[width : width + n]).sum(keepdims=True, dtype=np.uint64) + _MULT[2 * width + n : 2 * width + n + 1])
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -71,13 +88,8 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
 
     A text of fewer words has its whole sequence as one shingle; a null, empty or blank text has none.
     """
-    data, offsets = string_buffer(texts)
-    words, at = word_hashes(data, offsets)
-    if len(words) >= width:
-        rolled = words[: len(words) - width + 1] * _MULT[0]
-        for k in range(1, width):
-            rolled = rolled + words[k : len(words) - width + 1 + k] * _MULT[k]
-        rolled = mix(rolled)
+    words, at = word_hashes(*string_buffer(texts))
+    rolled = windows(words, at, width)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= width:
             s = np.sort(rolled[a : b - width + 1])
@@ -86,7 +98,7 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             yield s[keep]
         elif b > a:
-            yield mix(np.atleast_1d((words[a:b] * _MULT[width : width + b - a]).sum(dtype=np.uint64) + _MULT[2 * width + b - a]))
+            yield short_hash(words[a:b], width)
         else:
             yield words[:0]
 

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from . import decontaminate, license_scan, url_filter
 from .bpe_codec import op8_bpe_codec
 from .token_counts import op2_token_counts
+from .token_store import op7_token_store
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op4_url_filter": url_filter.op4_url_filter,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_token_store": op7_token_store,
     "op8_bpe_codec": op8_bpe_codec,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 #: DuckDB SQL where SQL can express the query; the others have brute-force tests in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": url_filter.SQL,
+    "op6_decontaminate": decontaminate.SQL,
+    "op10_license_scan": license_scan.SQL,
+}
