@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, url_filter
+from . import decontaminate, license_scan, ngram_join, url_filter
 from .bpe_codec import op8_bpe_codec
 from .token_counts import op2_token_counts
 from .token_store import op7_token_store
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_url_filter": url_filter.op4_url_filter,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_token_store": op7_token_store,
@@ -18,6 +19,7 @@ QUERIES = {
 
 #: DuckDB SQL where SQL can express the query; the others have brute-force tests in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_join": ngram_join.sql(),
     "op4_url_filter": url_filter.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op10_license_scan": license_scan.SQL,
