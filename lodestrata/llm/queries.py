@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, ngram_join, url_filter
+from . import decontaminate, embedding_dedup, license_scan, ngram_join, url_filter
 from .bpe_codec import op8_bpe_codec
 from .token_counts import op2_token_counts
 from .token_store import op7_token_store
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_token_store": op7_token_store,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 
@@ -22,5 +23,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_ngram_join": ngram_join.sql(),
     "op4_url_filter": url_filter.SQL,
     "op6_decontaminate": decontaminate.SQL,
+    "op9_embedding_dedup": embedding_dedup.SQL,
     "op10_license_scan": license_scan.SQL,
 }
