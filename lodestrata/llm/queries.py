@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, license_scan, ngram_join, url_filter
+from . import decontaminate, embedding_dedup, license_scan, ngram_join, toxicity, url_filter
 from .bpe_codec import op8_bpe_codec
 from .token_counts import op2_token_counts
 from .token_store import op7_token_store
@@ -11,6 +11,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_token_store": op7_token_store,
     "op8_bpe_codec": op8_bpe_codec,
