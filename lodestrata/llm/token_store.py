@@ -46,9 +46,9 @@ class WaveletMatrix:
         n, zeros, planes, ones = len(ids), [], [], []
         a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for shift in range(bits - 1, -1, -1):
-            bit = (a >> shift) & 1 == 1
-            low = a[~bit]
-            a = np.concatenate([low, a[bit]])
+            bit = (a & a.dtype.type(1 << shift)).astype(bool)
+            low = np.compress(~bit, a)
+            a = np.concatenate([low, np.compress(bit, a)])
             packed = np.packbits(bit, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
             zeros.append(len(low))
@@ -130,8 +130,8 @@ class WaveletMatrix:
         for level, p in enumerate(range(len(self.planes) - 1, -1, -1)):
             bit = np.unpackbits(self.planes[p], count=self.n, bitorder="little").astype(bool)
             z, up = int(self.zeros[p]), np.empty(self.n, kind)
-            up[~bit] = out[:z]
-            up[bit] = out[z:] | kind(1 << level)
+            np.place(up, ~bit, out[:z])
+            np.place(up, bit, out[z:] | kind(1 << level))
             out = up
         return out
 
@@ -209,10 +209,12 @@ class Encoder:
         found, at = _pretokens.pieces(data, offsets)
         if len(self.pieces) > MAX_PIECES:
             self.pieces.clear()
-        new = list({p for p in found if p not in self.pieces})
-        if new:
+        last = np.array([end], self.kind).tobytes()
+        ids = list(map(self.pieces.get, found))
+        if None in ids:
+            new = list({p for p, x in zip(found, ids) if x is None})
             self.pieces.update(zip(new, self.library_ids([p.decode() for p in new])))
-        ids, last = list(map(self.pieces.__getitem__, found)), np.array([end], self.kind).tobytes()
+            ids = [self.pieces[p] if x is None else x for p, x in zip(found, ids)]
         out = [b"".join([*ids[a:b], last]) for a, b in zip(at, at[1:])]
         if SPECIAL in (raw := data.tobytes()):
             for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
