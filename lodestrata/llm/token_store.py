@@ -130,8 +130,8 @@ class WaveletMatrix:
         for level, p in enumerate(range(len(self.planes) - 1, -1, -1)):
             bit = np.unpackbits(self.planes[p], count=self.n, bitorder="little").astype(bool)
             z, up = int(self.zeros[p]), np.empty(self.n, kind)
-            np.place(up, ~bit, out[:z])
-            np.place(up, bit, out[z:] | kind(1 << level))
+            up[np.flatnonzero(~bit)] = out[:z]
+            up[np.flatnonzero(bit)] = out[z:] | kind(1 << level)
             out = up
         return out
 
