@@ -1,13 +1,51 @@
-"""The corpus pipeline (part of subpackage llm)."""
+"""The corpus pipeline (part of subpackage llm): from raw documents to token ids.
+
+Stages, each applied to all that the one before kept: toxic documents go; of each group of near copies one document stays;
+documents that hold a benchmark item go; the rest is encoded to token ids and decoded back. Between stages the documents
+are written as Parquet in the shared folder and read again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestrata.llm import bpe_codec, decontaminate, ngram_join, toxicity
+from lodestrata.llm._common import table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose score stays under the cut, learned from the labels of these documents that are not held out."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents joined by links of shingle Jaccard 0.75 or more, the one with the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold less than 0.75 of the shingles of every benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token_ids and the text decoded from them."""
+    return bpe_codec.encoded(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("bpe_codec", encode),
+]
+
+#: A learned score and an encoder are not SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

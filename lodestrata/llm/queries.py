@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, license_scan, ngram_join, toxicity, url_filter
+from . import decontaminate, embedding_dedup, html_text, license_scan, ngram_join, toxicity, url_filter
 from .bpe_codec import op8_bpe_codec
 from .token_counts import op2_token_counts
 from .token_store import op7_token_store
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_token_counts": op2_token_counts,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_url_filter": url_filter.op4_url_filter,
