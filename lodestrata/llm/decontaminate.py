@@ -127,22 +127,25 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = THRESHOLD_PERCENT
     return spark.createDataFrame([], _SCHEMA) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """The rows of docs, all columns, that hold no test item; rules as for `find`."""
-    from pyspark.sql.functions import arrow_udf
+def _holds(items: Items):
+    """A column function: whether a text holds any of the items."""
 
-    for items in item_blocks(benchmark, percent):
+    @F.arrow_udf("boolean")
+    def holds(column: pa.Array) -> pa.Array:
+        hit, base = np.zeros(len(column), bool), 0
+        for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0):
+            for row, _, _ in items.search(part.column(0)):
+                hit[base + row] = True
+            base += part.num_rows
+        return pa.array(hit)
+
+    return holds
 
-        @arrow_udf("boolean")
-        def holds(column: pa.Array, items=items) -> pa.Array:
-            hit, base = np.zeros(len(column), bool), 0
-            for part in slices(pa.RecordBatch.from_arrays([column], names=["t"]), 0):
-                for row, _, _ in items.search(part.column(0)):
-                    hit[base + row] = True
-                base += part.num_rows
-            return pa.array(hit)
 
-        docs = docs.where(~holds(F.col("text").cast("string")))
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """The rows of docs, all columns, that hold no test item; rules as for `find`."""
+    for items in item_blocks(benchmark, percent):
+        docs = docs.where(~_holds(items)(F.col("text").cast("string")))
     return docs
 
 

@@ -269,11 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Decoder, Scorer]:
 
 def scores(docs: DataFrame, decoder: Decoder, scorer: Scorer):
     """A column function from text to its score."""
-    from pyspark.sql.functions import arrow_udf
-
     shared = docs.sparkSession.sparkContext.broadcast((decoder, scorer))
 
-    @arrow_udf("double")
+    @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         d, s = shared.value
         out = []
