@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _pretokens
+from ._bpe import byte_letters
 from ._common import scratch_path, slices, string_buffer, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -196,13 +198,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        letters = {b: c for c, b in byte_letters().items()}
+        self.letters = [letters[b] for b in range(256)]
         self.pieces: dict[bytes, bytes] = {}
         self.bits = (self.library.get_vocab_size() - 1).bit_length()
-        self.kind = "<u2" if self.bits <= 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.bits <= 16 else ("<u4", "I")
 
     def library_ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def piece_ids(self, piece: bytes) -> bytes:
+        """The ids of one piece by the library's model, which reads bytes as letters."""
+        return array(self.code, [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.letters))]).tobytes()
+
     def many(self, column: pa.Array, end: int) -> list[bytes]:
         """Each text's ids and the end id."""
         data, offsets = string_buffer(column)
@@ -212,8 +221,8 @@ class Encoder:
         last = np.array([end], self.kind).tobytes()
         ids = list(map(self.pieces.get, found))
         if None in ids:
-            new = list({p for p, x in zip(found, ids) if x is None})
-            self.pieces.update(zip(new, self.library_ids([p.decode() for p in new])))
+            new = {p for p, x in zip(found, ids) if x is None}
+            self.pieces.update(zip(new, map(self.piece_ids, new)))
             ids = [self.pieces[p] if x is None else x for p, x in zip(found, ids)]
         out = [b"".join([*ids[a:b], last]) for a, b in zip(at, at[1:])]
         if SPECIAL in (raw := data.tobytes()):
