@@ -1,6 +1,8 @@
-"""The registered queries and the SQL that each must agree with."""
+"""All registered queries and the SQL that each must agree with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import build, measure, split_text
+
+QUERIES: dict = {**build.QUERIES, **measure.QUERIES, **split_text.QUERIES}
+SQL: dict[str, str] = {**build.SQL, **measure.SQL, **split_text.SQL}
