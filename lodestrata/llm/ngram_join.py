@@ -8,7 +8,8 @@
 4. Each block first proposes only its smallest node against the others, so a block of m near copies costs m pairs, not m*m.
    Pairs pass the bound of their points, then the exact sets decide. Links give first components.
 5. Blocks that still hold several components build an R-tree over their points and join it with itself: boxes whose bound is
-   too low are cut off, as are boxes within one component. What remains is verified on the exact sets, and joined on.
+   too low are cut off, as are boxes within one component. What remains passes the bound of finer points (about four
+   shingles a group, so it stays sharp for long texts), is verified on the exact sets, and joined on.
 
 Very frequent shingles are known from counts over all documents; their blocks are salted, and large blocks of step 5 are cut
 into chunks that meet pairwise in tasks of their own. Nothing is capped or sampled.
@@ -56,10 +57,22 @@ def node_of(hashes: np.ndarray, seed: int) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def point(hashes: np.ndarray) -> bytes:
+def point(hashes: np.ndarray, groups: int) -> bytes:
     """Group counts as 16-bit integers; if one is too large, all are set to the largest, so that the bound stays a bound."""
-    c = np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    return (c if c.max() <= 65535 else np.full(GROUPS, 65535)).astype("<u2").tobytes()
+    c = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return (c if c.max() <= 65535 else np.full(groups, 65535)).astype("<u2").tobytes()
+
+
+def fine_groups(n: int) -> int:
+    """Groups for the fine point of a set of n: about four shingles a group, a power of two, so that points of different sizes fold."""
+    return max(GROUPS, 1 << max(0, (n // 4 - 1)).bit_length())
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """The sum of coordinate minima, after folding the finer point to the groups of the other."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    x, y = x.astype(np.int64), y.astype(np.int64).reshape(-1, len(x)).sum(0)
+    return int(np.minimum(x, y).sum())
 
 
 def as_pair(docs: DataFrame) -> DataFrame:
@@ -67,10 +80,10 @@ def as_pair(docs: DataFrame) -> DataFrame:
 
 
 def profiles(docs: DataFrame, seed: int) -> DataFrame:
-    """A row for each document (doc_id, n, node, check, point), and rows (key, times) of shingles met often in one task."""
-    schema = "doc_id long, n long, node long, check long, point binary, key long, times long"
+    """A row for each document (doc_id, n, node, check, coarse and fine point), and rows (key, times) of shingles met often in one task."""
+    schema = "doc_id long, n long, node long, check long, point binary, fine binary, key long, times long"
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches):
         held, size = [], 0
@@ -80,14 +93,15 @@ def profiles(docs: DataFrame, seed: int) -> DataFrame:
             often = times >= LOCAL_MIN
             n = int(often.sum())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in types[:5]] + [pa.array(keys[often].view(np.int64)), pa.array(times[often])], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in types[:6]] + [pa.array(keys[often].view(np.int64)), pa.array(times[often])], names=names)
 
         for batch in batches:
             for part, sets in sets_of(batch):
                 nodes = [node_of(s, seed) if len(s) else (None, None) for s in sets]
                 m = len(sets)
                 cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in nodes], pa.int64()), pa.array([b for _, b in nodes], pa.int64())]
-                cols += [pa.array([point(s) if len(s) else None for s in sets], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
+                cols += [pa.array([point(s, GROUPS) if len(s) else None for s in sets], pa.binary()), pa.array([point(s, fine_groups(len(s))) if len(s) else None for s in sets], pa.binary())]
+                cols += [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 held += sets
                 size += sum(map(len, sets))
@@ -111,7 +125,7 @@ def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, seed: int) -> DataFrame:
-    """key, salt, node, n: the rare-first prefix of each document's shingles. Blocks of frequent shingles are salted."""
+    """key, salt, node, n: the rare-first prefix of each document's shingles. Large blocks of frequent shingles have salts from 1 on."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -133,7 +147,7 @@ def prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percen
                         where = at[hot]
                         where = where[np.lexsort((keys[where], times[where]))][: p - len(rare)]
                         own = np.concatenate([rare, keys[where]])
-                        salt = np.concatenate([np.zeros(len(rare), np.int64), int(mix(np.array([node]).view(np.uint64))[0] >> np.uint64(40)) % salts[where]])
+                        salt = np.concatenate([np.zeros(len(rare), np.int64), np.where(salts[where] > 1, 1 + int(mix(np.array([node]).view(np.uint64))[0] >> np.uint64(40)) % salts[where], 0)])
                     all_keys.append(own)
                     all_salts.append(salt)
                     nodes.append(node)
@@ -199,16 +213,16 @@ def blocks(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, a long, b long, n int")
 
 
-def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose points allow enough overlap."""
+def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose fine points allow enough overlap."""
 
     def run(batches):
         for batch in batches:
             size = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
-            low = [int(np.minimum(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")).sum(dtype=np.int64)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            low = [overlap_bound(np.frombuffer(x.as_buffer(), "<u2"), np.frombuffer(y.as_buffer(), "<u2")) for x, y in zip(batch.column(4), batch.column(5))]
             yield batch.select([0, 1]).filter(pa.array(np.array(low, np.int64) >= least_overlap(size, percent)))
 
-    side = lambda s: points.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("point").alias(f"p_{s}"))
+    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"p_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long")
 
 
@@ -326,7 +340,7 @@ def link(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     while True:
         both = written(profiles(docs, seed), "profiles")
         rows = both.where("n is not null").drop("key", "times")
-        groups = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("check").alias("low"), F.max("check").alias("high"))
+        groups = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("fine").alias("fine"), F.min("check").alias("low"), F.max("check").alias("high"))
         nodes = written(groups, "nodes")
         if nodes.where("low <> high").isEmpty():
             break
@@ -337,7 +351,7 @@ def link(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     frequent = frequent_shingles(both.where("key is not null").select("key", "times"))
     blocked = written(blocks(prefix_rows(docs, frequent, percent, seed), percent), "blocks")
     first = blocked.where("key is null").select("a", "b").distinct()
-    links = written(verified(written(bounded(first, points, percent), "pairs"), docs, named, percent, seed), "links")
+    links = written(verified(written(bounded(first, nodes, percent), "pairs"), docs, named, percent, seed), "links")
     found = components(links)
     members = blocked.where("key is not null").select("key", F.col("a").alias("node"), "n").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
     members = written(members, "members")
@@ -345,7 +359,7 @@ def link(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     open_keys = written(open_keys, "open")
     more = written(tree_pairs(members.join(open_keys, "key"), points, percent).distinct(), "tree")
     more = more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(more, "more")
+    more = written(bounded(more, nodes, percent), "more")
     if not more.isEmpty():
         links = links.unionAll(verified(more, docs, named, percent, seed))
         found = components(written(links, "links"))
