@@ -73,7 +73,7 @@ class Vocabulary:
         key = a << 32 | b
         got = self._pairs.get(key)
         if got is None:
-            if len(self._pairs) > 1_000_000:
+            if len(self._pairs) > 400_000:
                 self._pairs.clear()
             left, right = self.spines(a)[1], self.spines(b)[0]
             i = j = 0
