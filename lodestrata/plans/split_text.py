@@ -10,6 +10,7 @@ from ..functions import udfs as U
 from ..operators import digests as D
 from ..operators import metrics as M
 from ..operators import splits as S
+from ..sources.shared import shared_folder
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -218,8 +219,7 @@ def stream_file_dedup(spark, d):
 
     from ..streaming import streams
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestrata-streams"
-    where = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     own = streams.file_stream(spark, f"{d}/events.parquet")
     once = streams.first_seen(own.withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], "ts", "1 hour")
     streams.drain(once, f"{where}/out", f"{where}/state")
