@@ -32,6 +32,8 @@ BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Words of a class, id or role that mark a part as no article.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: First words of marks that tell a state, as in `has-sidebar`, and not what a part is.
+STATES = {"has", "is", "no", "not", "with", "without"}
 #: Elements that an opening element of another block closes.
 CLOSES = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
@@ -109,8 +111,11 @@ class Lines(HTMLParser):
     @staticmethod
     def marked(attrs) -> bool:
         for name, value in attrs:
-            if name in ("class", "id", "role") and value and not MARKS.isdisjoint(_WORDS.findall(value.lower())):
-                return True
+            if name in ("class", "id", "role") and value:
+                for mark in value.lower().split():
+                    words = _WORDS.findall(mark)
+                    if words and words[0] not in STATES and not MARKS.isdisjoint(words):
+                        return True
         return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
 
 
