@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -50,7 +51,13 @@ class Lines(HTMLParser):
         self.text: list[str] = []
         self.links = 0
         self.open: list[tuple[str, bool]] = []  # name, whether it begins a part that is dropped
-        self.dropped = self.articles = self.anchors = 0
+        self.blocks: list[str] = []
+        self.named: Counter[str] = Counter()
+        self.dropped = 0
+
+    @property
+    def articles(self) -> int:
+        return self.named["article"] + self.named["main"]
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
@@ -60,8 +67,8 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
-            while self.open and tag in CLOSES.get(self.block(), ()):
-                self.close(self.block())
+            while self.blocks and tag in CLOSES.get(self.blocks[-1], ()):
+                self.close(self.blocks[-1])
             self.end_line()
         elif tag == "br":
             self.text.append(" ")
@@ -72,8 +79,9 @@ class Lines(HTMLParser):
         self.dropped += drop
         if drop and self.dropped == 1:
             self.lines.append(("", 0, False))
-        self.articles += tag in ("article", "main")
-        self.anchors += tag == "a"
+        self.named[tag] += 1
+        if tag in BLOCK:
+            self.blocks.append(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -83,26 +91,23 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.end_line()
-        if any(t == tag for t, _ in self.open):
+        if self.named[tag]:
             self.close(tag)
 
     def handle_data(self, data):
         if not self.dropped:
             self.text.append(data)
-            if self.anchors:
+            if self.named["a"]:
                 self.links += len(data.strip())
 
-    def block(self) -> str:
-        """The innermost open block."""
-        return next((t for t, _ in reversed(self.open) if t in BLOCK), "")
-
     def close(self, tag: str) -> None:
         """Close the innermost open element of this name and, unless they are blocks around it, those within."""
         while self.open:
             t, drop = self.open.pop()
             self.dropped -= drop
-            self.articles -= t in ("article", "main")
-            self.anchors -= t == "a"
+            self.named[t] -= 1
+            if t in BLOCK:
+                self.blocks.pop()
             if drop:
                 self.lines.append(("", 0, False))
             if t == tag:
