@@ -18,6 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import bpe_codec, decontaminate, embedding_dedup, html_text, license_scan, ngram_join, queries, token_counts, token_store, toxicity, url_filter
+from lodestrata.llm import _components
 from lodestrata.llm._components import components
 from lodestrata.llm._shingles import shingle_sets
 
@@ -208,7 +209,9 @@ def test_tree_finds_all_pairs_the_bound_allows():
     assert got == want
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("local", [1 << 20, 9])
+def test_components_of_chains_and_stars(spark, monkeypatch, local):
+    monkeypatch.setattr(_components, "LOCAL_EDGES", local)
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(500, 500)]
     rng.shuffle(edges)
