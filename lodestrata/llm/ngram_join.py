@@ -29,7 +29,7 @@ from ._components import components
 from ._shingles import mix, sets_of
 
 THRESHOLD_PERCENT = 75
-GROUPS = 128
+GROUPS = 512
 #: Shingles counted together in a task; those met fewer than LOCAL_MIN times there do not count as frequent.
 COUNT_WINDOW = 1 << 22
 LOCAL_MIN = 3
@@ -58,9 +58,13 @@ def node_of(hashes: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def point(hashes: np.ndarray, groups: int) -> bytes:
-    """Group counts as 16-bit integers; if one is too large, all are set to the largest, so that the bound stays a bound."""
+    """Group counts in the narrowest integers that hold them all (1, 2 or 4 bytes: the length tells which)."""
     c = np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return (c if c.max() <= 65535 else np.full(groups, 65535)).astype("<u2").tobytes()
+    return c.astype("u1" if c.max() < 1 << 8 else "<u2" if c.max() < 1 << 16 else "<u4").tobytes()
+
+
+def counts_of(raw, groups: int) -> np.ndarray:
+    return np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[len(raw) // groups])
 
 
 def fine_groups(n: int) -> int:
@@ -219,7 +223,8 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             size = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
-            low = [overlap_bound(np.frombuffer(x.as_buffer(), "<u2"), np.frombuffer(y.as_buffer(), "<u2")) for x, y in zip(batch.column(4), batch.column(5))]
+            sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            low = [overlap_bound(counts_of(x, fine_groups(n)), counts_of(y, fine_groups(m))) for n, m, x, y in sizes]
             yield batch.select([0, 1]).filter(pa.array(np.array(low, np.int64) >= least_overlap(size, percent)))
 
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"p_{s}"))
@@ -306,7 +311,7 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
         ranked = np.unique(group, return_inverse=True)[1]
         if len(node) < 2 or not ranked.any():
             return
-        points_ = np.frombuffer(b"".join(t.column("point").to_pylist()), "<u2").reshape(-1, GROUPS)
+        points_ = np.stack([counts_of(x, GROUPS) for x in t.column("point").to_pylist()])
         x, y = RTree(points_, n.astype(np.int64), ranked).pairs(percent)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
 

@@ -201,7 +201,7 @@ def test_ngram_join_ids_and_rows_twice(spark):
 def test_tree_finds_all_pairs_the_bound_allows():
     rng = np.random.default_rng(1)
     base = rng.poisson(2, (6, ngram_join.GROUPS))
-    points = np.concatenate([np.maximum(0, b + rng.integers(-1, 2, (30, ngram_join.GROUPS)) * (rng.random((30, ngram_join.GROUPS)) < 0.1)) for b in base]).astype("<u2")
+    points = np.concatenate([np.maximum(0, b + rng.integers(-1, 2, (30, ngram_join.GROUPS)) * (rng.random((30, ngram_join.GROUPS)) < 0.1)) for b in base]).astype("u1")
     sizes, groups = points.sum(1).astype(np.int64), rng.integers(0, 9, len(points))
     x, y = ngram_join.RTree(points, sizes, groups).pairs(75)
     got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())}
