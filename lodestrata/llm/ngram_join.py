@@ -39,6 +39,8 @@ FREQUENT_MAX = 1 << 17
 SALT_ROWS = 4096
 CHUNK_ROWS = 2048
 LEAF = 32
+#: Partner ids of one node that are held before they are merged.
+MERGE_IDS = 1 << 20
 #: Nodes whose sets are fetched by a broadcast of ids (16 bytes each); more are fetched by a shuffled join.
 BROADCAST_NODES = 1 << 20
 
@@ -298,7 +300,7 @@ class RTree:
 
 
 def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components within each block. members: key, node, group, m (rows of the block)."""
+    """Distinct candidate pairs (a, b), a < b, of different components within the blocks. members: key, node, group, m (rows of the block)."""
     chunks = F.ceil(F.col("m") / CHUNK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     other = F.explode(F.when(chunks <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1)))
@@ -313,7 +315,14 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
             return
         points_ = np.stack([counts_of(x, GROUPS) for x in t.column("point").to_pylist()])
         x, y = RTree(points_, n.astype(np.int64), ranked).pairs(percent)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
+        if not len(x):
+            return
+        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)).astype(np.int32)), pa.array(b))
+        yield pa.RecordBatch.from_arrays([pa.array(a[first]), lists], names=["a", "partners"])
 
     def run(batches):
         held, last = [], None
@@ -330,7 +339,28 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
         if held:
             yield from joined(held)
 
-    return rows.select("key", "i", "j", "node", "group", "n", "point").mapInArrow(run, "a long, b long")
+    def merged(batches):
+        """The partners of each node, which many blocks may have proposed, once each."""
+        last, held = None, []
+
+        def pairs():
+            b = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), last)), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            for a, partners in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if a != last:
+                    if held:
+                        yield pairs()
+                    last, held = a, []
+                held.append(partners.values.to_numpy())
+                if sum(map(len, held)) > MERGE_IDS:
+                    held = [np.unique(np.concatenate(held))]
+        if held:
+            yield pairs()
+
+    found = rows.select("key", "i", "j", "node", "group", "n", "point").mapInArrow(run, "a long, partners array<long>")
+    return found.repartition("a").sortWithinPartitions("a").mapInArrow(merged, "a long, b long")
 
 
 def link(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -362,7 +392,7 @@ def link(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     members = written(members, "members")
     open_keys = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", "m")
     open_keys = written(open_keys, "open")
-    more = written(tree_pairs(members.join(open_keys, "key"), points, percent).distinct(), "tree")
+    more = written(tree_pairs(members.join(open_keys, "key"), points, percent), "tree")
     more = more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = written(bounded(more, nodes, percent), "more")
     if not more.isEmpty():
