@@ -25,8 +25,11 @@ def encode_or_reason(df: DataFrame, text: str, encode: Callable[[Column], Column
     return own.where(reason.isNull()), own.withColumn("reason", reason).where("reason is not null").drop("tokens")
 
 
-def first_seen(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """Each key once; keys are forgotten when the watermark has passed them, so state stays bounded."""
+def first_seen(stream: DataFrame, keys: list[str], time: str | None = None, delay: str | None = None) -> DataFrame:
+    """Each key once. With a time and a delay, keys are forgotten when the watermark has passed them, so state stays bounded,
+    but rows later than that are lost; without, whatever the order of the rows, all keys are kept in the state."""
+    if time is None:
+        return stream.dropDuplicates(keys)
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 

@@ -219,3 +219,24 @@ def test_stream_goes_on_where_it_was(spark, tmp_path):
     counts = streams.windowed_counts(streams.file_stream(spark, src), "ts", "k", "id", "1 minute", "2 minutes")
     streams.drain(counts, str(tmp_path / "w"), str(tmp_path / "ws"))
     assert spark.read.parquet(str(tmp_path / "w")).count() >= 1
+
+
+def test_stream_dedup_of_many_files_out_of_time_order(spark, small, tmp_path):
+    """50 part files, the latest events in the oldest files: several micro-batches, with copies days apart."""
+    import os
+
+    import pandas as pd
+
+    from lodestrata.plans import catalogue
+
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    events = pd.read_parquet(f"{small}/events.parquet").sort_values("ts", ascending=False)
+    events["ts"] = events.ts.astype("datetime64[us]")
+    size = -(-len(events) // 50)
+    for i in range(50):
+        part = pd.concat([events[i * size : (i + 1) * size], events[:3]])
+        part.to_parquet(folder / f"part-{i:02}.parquet", index=False)
+        os.utime(folder / f"part-{i:02}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    got = {r.event_type: r.n for r in catalogue.QUERIES["stream_file_dedup"](spark, str(tmp_path)).collect()}
+    assert got == events.groupby("event_type").event_id.nunique().to_dict()
