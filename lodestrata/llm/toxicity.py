@@ -35,19 +35,21 @@ CHANNEL = {"look-alike": -1.0, "single": -0.4, "double": -1.1}
 #: Letters that each look-alike may stand for.
 LOOK_ALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "*": "aeiou"}
 
+_ENDS = "".join(LOOK_ALIKE)
 _SIGNS = "".join(re.escape(c) for c in LOOK_ALIKE)
-_SPANS = re.compile(
-    rf"(?<![^\W_])[^\W\d_](?:[ ._\-*][^\W\d_]|[ ._\-][{_SIGNS}]){{3,}}(?![^\W_])"  # letters set apart
-    rf"|[^\s]*[^\W\d_][{_SIGNS}]+[^\W\d_][^\s]*|(?<!\S)[{_SIGNS}]+[^\W\d_][^\s]*"  # look-alikes among letters
-    r"|[^\W_]*([^\W\d_])\1\1[^\W_]*"  # a letter three times
-)
+_UNIT = rf"(?:[^\W\d_]|[{_SIGNS}])"
+_APART = re.compile(rf"(?<![^\W_]){_UNIT}(?:[ ._\-*][^\W\d_]|[ ._\-][{_SIGNS}]){{3,}}(?![^\W_])")  # letters or look-alikes set apart
+_PIECE = re.compile(rf"(?:[^\W_]|[{_SIGNS}])+")
+#: A look-alike beside a letter, or a letter twice.
+_ODD = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1")
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = 28
 
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_SIGN = np.zeros(256, bool)
-_SIGN[[*map(ord, "013456789@$!|+*"), 0xE2]] = True
+#: By the first byte of a code point: what may be one of the letters set apart (all beyond ASCII may), and what may part them.
+_MAYBE = np.zeros(256, bool)
+_MAYBE[[*range(65, 91), *range(97, 123), *range(128, 256), *(ord(c) for c in LOOK_ALIKE if ord(c) < 128)]] = True
+_GAP = np.zeros(256, bool)
+_GAP[[*map(ord, " ._-*")]] = True
 _CODE = np.zeros(256, np.int32)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
@@ -88,6 +90,7 @@ class Decoder:
         back = (c.sum(0) + 0.5) / (c.sum((0, 1))[None, :] * 0 + c.sum((0, 2))[:, None] + 0.5 * _SYMBOLS)
         self.log = np.log((c + 2.0 * back[None]) / (c.sum(2, keepdims=True) + 2.0)).tolist()
         self.known: dict[str, str] = {}
+        self.seen: dict[str, tuple[str, ...]] = {}
 
     def lattice(self, span: str) -> list[list[tuple[str, float]]]:
         """The choices for each place: letters and the channel's log probability."""
@@ -129,31 +132,48 @@ class Decoder:
             self.known[span] = got
         return got
 
+    def forms(self, token: str) -> tuple[str, ...]:
+        """What a token (lower case, no white space) may say: its parts with look-alikes or repeated letters decoded, each
+        also without the signs at its ends, which may be punctuation."""
+        got = self.seen.get(token)
+        if got is None:
+            parts = set()
+            for m in _PIECE.finditer(token):
+                if _ODD.search(m[0]):
+                    heads = {m[0], m[0].lstrip("!|+*"), m[0].lstrip(_ENDS)}
+                    parts |= {x for h in heads for x in (h, h.rstrip("!|+*"), h.rstrip(_ENDS)) if _ODD.search(x)}
+            got = tuple({self.decode(x) for x in parts} - parts)
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            self.seen[token] = got
+        return got
+
+    def apart(self, span: str) -> set[str]:
+        """What letters set apart may say; up to two at each end may be words of their own ("a", "I") or numbers."""
+        n = (len(span) + 1) // 2
+        parts = {span[2 * i : 2 * (n - j) - 1] for i in range(3) for j in range(3) if n - i - j >= 4 or not i + j}
+        return {self.decode(x) for x in parts if any(c.isalpha() for c in x)}
+
     def restored_many(self, column: pa.Array) -> list[str]:
         """Each text in lower case, and after it the decoded forms of its disguised spans."""
         data, offsets = string_buffer(column)
-        n, odd = len(data), np.zeros(len(column), bool)
-        if n > 2:
-            letter, sign = _LETTER[data], _SIGN[data]
-            mark = np.zeros(n, bool)
-            mark[1:-1] = sign[1:-1] & (letter[:-2] | sign[:-2]) & (letter[2:] | sign[2:])
-            mark[:-1] |= sign[:-1] & letter[1:]
-            fold = np.where((data >= 65) & (data <= 90), data + 32, data)
-            mark[2:] |= letter[2:] & (data[2:] < 128) & (fold[2:] == fold[1:-1]) & (fold[2:] == fold[:-2])
-            if n > 8:
-                alone = letter.copy()
-                alone[1:] &= ~letter[:-1]
-                alone[:-1] &= ~letter[1:]
-                mark[:-6] |= alone[:-6] & alone[2:-4] & alone[4:-2]
-            odd[np.searchsorted(offsets, np.flatnonzero(mark), "right") - 1] = True
+        first = (data & 0xC0) != 0x80
+        points, spaced = data[first], np.zeros(len(column), bool)
+        if len(points) > 6:
+            unit, gap = _MAYBE[points], _GAP[points]
+            pair = unit[:-1] & gap[1:]
+            at = np.flatnonzero(pair[:-5] & pair[2:-3] & pair[4:-1] & unit[6:])
+            spaced[np.searchsorted(offsets, np.flatnonzero(first)[at], "right") - 1] = True
         out = []
-        for text, check in zip(column.to_pylist(), odd.tolist()):
+        for text, check in zip(column.to_pylist(), spaced.tolist()):
             text = (text or "").lower()
+            got: set[str] = set()
+            for token in set(text.split()):
+                got.update(self.forms(token))
             if check:
-                spans = {m[0] for m in _SPANS.finditer(text)}
-                if spans:
-                    text = "\n".join([text, *sorted(self.decode(s) for s in spans)])
-            out.append(text)
+                for span in {m[0] for m in _APART.finditer(text)}:
+                    got |= self.apart(span)
+            out.append("\n".join([text, *sorted(got)]) if got else text)
         return out
 
 

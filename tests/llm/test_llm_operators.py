@@ -248,6 +248,22 @@ def test_decoder_restores_disguised_words():
     assert got[4:] == ["plain words", "", ""]
 
 
+def test_decoder_restores_mixed_and_bordering_disguises():
+    """Spaced look-alikes, look-alikes at word ends, doubled letters, and spaced words beside one-letter words."""
+    text = ("you idiot and stupid clown are worthless pathetic moron " * 50).encode()
+    c = toxicity._CODE[np.frombuffer(text, np.uint8)]
+    d = toxicity.Decoder(np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3))
+    cases = [
+        ("m 0 r 0 n", "moron"), ("i d 1 o t", "idiot"), ("$ t u p 1 d", "stupid"), ("worthle$$", "worthless"), ("idio7", "idiot"), ('"idio7!"', "idiot"),
+        ("stuupid", "stupid"), ("you are a s t u p i d man", "stupid"), ("c l o w n i say", "clown"), ("ä m 0 r 0 n", "moron"),
+    ]
+    got = d.restored_many(pa.array([None, *(x for x, _ in cases)]))[1:]
+    for (x, word), line in zip(cases, got):
+        assert re.search(rf"(?<![^\W\d_]){word}(?![^\W\d_])", line.split("\n", 1)[-1]), (x, line)
+    alone = [d.restored_many(pa.array([x]))[0] for x, _ in cases]
+    assert alone == got
+
+
 def test_toxicity_held_out_and_odd_rows(spark):
     rng = random.Random(2)
     words = [f"wort{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
