@@ -1,6 +1,6 @@
 """License scans by canonical digest: whole texts, normalised and hashed, hash-joined to the digests of known licences.
 
-The canonical form drops copyright lines, lower-cases A-Z, makes every run of punctuation and white space one space, and
+The canonical form drops lines that are copyright statements, lower-cases A-Z, makes every run of punctuation and white space one space, and
 writes equivalent spellings one way. DataFrame functions only: nothing here runs Python on the executors.
 """
 
@@ -13,15 +13,23 @@ from ._common import table
 from .license_texts import KNOWN, SPELLINGS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that starts, after marks such as * or #, with a copyright word or sign, or that says all rights reserved.
+#: A line that starts, after marks such as * or #, with a copyright word or sign, or that says all rights reserved. The SQL
+#: drops them all.
 _COPYRIGHT = r"(?m)^[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(?:copyright|copr\.|c\)|©|all rights reserved)[^\n]*$"
+#: Of these the copyright statements: the word is followed by more on its line, and not by a word of a licence's own sentences
+#: (where a text is wrapped, a line may start with "copyright notice" or "copyright holders"), unless a year or sign comes too.
+_STATEMENT = _COPYRIGHT.replace(
+    "copyright|",
+    r"copyrights?(?![a-z])(?:(?=[^\n]*(?:(?<!\d)(?:19|20)\d\d(?!\d)|©|\(c\)))|(?![^\S\n]*(?:\n|\z))"
+    r"(?![^\S\n]*(?:notices?|holders?|owners?|laws?|interests?|statements?|licen[cs]es?|infringements?|protections?|acts?|treaty|treaties|rights?|claims?|works?|and|or|in|is|are|to|of|as|for|that|which)(?![a-z])))|",
+)
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©‐-―‘-”]+"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form; null is the empty text."""
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    out = F.when(F.contains(out, F.lit("cop")) | F.contains(out, F.lit("c)")) | F.contains(out, F.lit("©")) | F.contains(out, F.lit("all rights")), F.regexp_replace(out, _COPYRIGHT, "")).otherwise(out)
+    out = F.when(F.contains(out, F.lit("cop")) | F.contains(out, F.lit("c)")) | F.contains(out, F.lit("©")) | F.contains(out, F.lit("all rights")), F.regexp_replace(out, _STATEMENT, "")).otherwise(out)
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, _GAP, " ")), F.lit(" "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(f" {a}"), F.lit(f" {b}"))

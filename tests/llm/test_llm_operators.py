@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -437,6 +438,19 @@ def test_licences_in_other_spelling(spark):
     assert got == {0: "MIT", 1: "MIT", 2: None, 3: None, 4: None, 5: None, 6: None, 7: "MIT"}
 
 
+def test_licences_wrapped_at_any_width(spark):
+    """A line of a licence may start with copyright notice or holders; only copyright statements are no part of it."""
+    heads = ["", "Copyright (c) 2020 Someone\n", "copyright notice: 2020 Someone\r\n", " * Copyright Someone\n * All rights reserved.\n", "Copyright 2021, the authors\n"]
+    texts, want = [], []
+    for k, (name, text) in enumerate(license_scan.KNOWN):
+        for width in range(20, 101):
+            wrapped = "\n\n".join(textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in text.split("\n\n"))
+            texts.append(heads[(k + width) % len(heads)] + wrapped)
+            want.append(name)
+    got = {r.doc_id: r.license for r in license_scan.scan(docs_frame(spark, texts), license_scan.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # pipeline
 
 
