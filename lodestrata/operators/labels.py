@@ -57,9 +57,9 @@ def label_profile(df: DataFrame, group: str, label: str, total: Column) -> DataF
     )
 
 
-def label_matrix(df: DataFrame, row: str, column: str, label: str, columns: Sequence[str]) -> DataFrame:
+def label_matrix(df: DataFrame, row: str | Sequence[str], column: str, label: str, columns: Sequence[str]) -> DataFrame:
     """The wide form for a short list of columns: a label each, null where none is known. Rows must be free of contradictions."""
-    return df.groupBy(row).pivot(column, list(columns)).agg(F.max(label))
+    return df.groupBy(*([row] if isinstance(row, str) else row)).pivot(column, list(columns)).agg(F.max(label))
 
 
 def with_reason(df: DataFrame, reasons: Sequence[tuple[str, Column]], name: str = "reason") -> DataFrame:

@@ -64,6 +64,13 @@ def label_matrix_wide(spark, d):
     return L.label_matrix(own, "user_id", "event_type", "label", ["click", "error", "purchase"])
 
 
+@query("label_matrix_by_day", f"""WITH {_CTE} SELECT user_id, CAST(day AS VARCHAR) AS day, {", ".join(f"max(label) FILTER (event_type = '{t}') AS {t}" for t in ("click", "error", "purchase"))} FROM c GROUP BY 1, 2""")
+def label_matrix_by_day(spark, d):
+    """The matrix over all days: a row for each user and day."""
+    own = L.without_contradictions(measurements(spark, d), KEYS)
+    return L.label_matrix(own, ["user_id", "day"], "event_type", "label", ["click", "error", "purchase"]).withColumn("day", F.col("day").cast("string"))
+
+
 def _texts(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("part_id"), F.col("text").alias("part"))
 

@@ -240,3 +240,12 @@ def test_stream_dedup_of_many_files_out_of_time_order(spark, small, tmp_path):
         os.utime(folder / f"part-{i:02}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
     got = {r.event_type: r.n for r in catalogue.QUERIES["stream_file_dedup"](spark, str(tmp_path)).collect()}
     assert got == events.groupby("event_type").event_id.nunique().to_dict()
+
+
+def test_label_matrix_holds_every_day(spark, small):
+    from lodestrata.plans import build, catalogue
+
+    want = L.without_contradictions(build.measurements(spark, small), build.KEYS).where("event_type in ('click', 'error', 'purchase')")
+    got = catalogue.QUERIES["label_matrix_by_day"](spark, small)
+    n = got.selectExpr("count(click) + count(error) + count(purchase) as n", "count(distinct day) as days").first()
+    assert n.n == want.count() and n.days == 30
