@@ -5,14 +5,19 @@
    bounds their overlap from above.
 3. Nodes that can link share a shingle among the first quarter of each one's shingles, in any one order of all shingles
    (rare ones first here). Nodes with a shingle there form a block; blocks lose no pair.
-4. Each block first proposes only its smallest node against the others, so a block of m near copies costs m pairs, not m*m.
-   Pairs pass the bound of their points, then the exact sets decide. Links give first components.
+4. Each block first proposes only its smallest node against the others, so a block of m near copies proposes m pairs, not
+   m*m. Of its proposals each node tries the one it shares most blocks with; the links found give first components. Then
+   each two components that proposals still join try their best pairs, first one, then ever more, until none is open.
 5. Blocks that still hold several components build an R-tree over their points and join it with itself: boxes whose bound is
-   too low are cut off, as are boxes within one component. What remains passes the bound of finer points (about four
-   shingles a group, so it stays sharp for long texts), is verified on the exact sets, and joined on.
+   too low are cut off, as are boxes within one component. Blocks of the same nodes do so once. What remains is tried as
+   in step 4.
+
+A pair that is tried passes the bound of finer points (about four shingles a group, so it stays sharp for long texts), then
+the exact sets of 64-bit hashes decide. Two different shingles of a pair of n each have one hash with odds of n * n / 2^64
+(2 in 10^11 for texts of 20,000 words), and the pair must lie within one shingle of the threshold for it to matter.
 
 Very frequent shingles are known from counts over all documents; their blocks are salted, and large blocks of step 5 are cut
-into chunks that meet pairwise in tasks of their own. Nothing is capped or sampled.
+into chunks that meet pairwise in tasks of their own. Nodes with very many pairs are salted too. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
@@ -21,17 +26,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import table, written
+from ._common import lean, table, written
 from ._components import components
 from ._shingles import mix, sets_of
 
 THRESHOLD_PERCENT = 75
 GROUPS = 512
 #: Shingles counted together in a task; those met fewer than LOCAL_MIN times there do not count as frequent.
-COUNT_WINDOW = 1 << 22
+COUNT_WINDOW = 1 << 21
 LOCAL_MIN = 3
 FREQUENT_MIN = 24
 #: At most so many frequent shingles are sent to the executors (16 bytes each); the bar rises until they fit.
@@ -39,10 +44,16 @@ FREQUENT_MAX = 1 << 17
 SALT_ROWS = 4096
 CHUNK_ROWS = 2048
 LEAF = 32
+#: Box pairs of the tree that are opened at once.
+OPEN_PAIRS = 256
+#: Pairs of a node beyond which its row is sent once for every so many of them.
+PAIRS_A_SALT = 64
+#: Pairs that two components try in the first round; each round after tries so many times more.
+MORE_PAIRS = 16
 #: Partner ids of one node that are held before they are merged.
 MERGE_IDS = 1 << 20
 #: Nodes whose sets are fetched by a broadcast of ids (16 bytes each); more are fetched by a shuffled join.
-BROADCAST_NODES = 1 << 20
+BROADCAST_NODES = 1 << 18
 
 
 def least_overlap(total: np.ndarray, percent: int) -> np.ndarray:
@@ -85,11 +96,21 @@ def as_pair(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and two hashes that name the text among rows of one id."""
+    return as_pair(docs).select("doc_id", "text", *text_keys(F.col("text")))
+
+
+def text_keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
 def profiles(docs: DataFrame, seed: int) -> DataFrame:
-    """A row for each document (doc_id, n, node, check, coarse and fine point), and rows (key, times) of shingles met often in one task."""
-    schema = "doc_id long, n long, node long, check long, point binary, fine binary, key long, times long"
+    """A row for each document (doc_id, text hashes, n, node, check, coarse and fine point), and rows (key, times) of shingles
+    met often in one task."""
+    schema = "doc_id long, k1 long, k2 long, n long, node long, check long, point binary, fine binary, key long, times long"
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    types = [pa.binary() if x.endswith("binary") else pa.int64() for x in schema.split(", ")]
 
     def run(batches):
         held, size = [], 0
@@ -99,13 +120,13 @@ def profiles(docs: DataFrame, seed: int) -> DataFrame:
             often = times >= LOCAL_MIN
             n = int(often.sum())
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in types[:6]] + [pa.array(keys[often].view(np.int64)), pa.array(times[often])], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in types[:8]] + [pa.array(keys[often].view(np.int64)), pa.array(times[often])], names=names)
 
         for batch in batches:
             for part, sets in sets_of(batch):
                 nodes = [node_of(s, seed) if len(s) else (None, None) for s in sets]
                 m = len(sets)
-                cols = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in nodes], pa.int64()), pa.array([b for _, b in nodes], pa.int64())]
+                cols = [part.column(0), part.column(2), part.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in nodes], pa.int64()), pa.array([b for _, b in nodes], pa.int64())]
                 cols += [pa.array([point(s, GROUPS) if len(s) else None for s in sets], pa.binary()), pa.array([point(s, fine_groups(len(s))) if len(s) else None for s in sets], pa.binary())]
                 cols += [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -116,7 +137,7 @@ def profiles(docs: DataFrame, seed: int) -> DataFrame:
                     size = 0
         yield counted()
 
-    return as_pair(docs).mapInArrow(run, schema)
+    return keyed(docs).mapInArrow(lean(run), schema)
 
 
 def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +184,7 @@ def prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percen
                     cols = [np.concatenate(all_keys).view(np.int64), np.concatenate(all_salts).astype(np.int32), np.repeat(np.array(nodes), lengths), np.repeat(np.array(sizes, np.int32), lengths)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "salt", "node", "n"])
 
-    return as_pair(docs).mapInArrow(run, "key long, salt int, node long, n int")
+    return as_pair(docs).mapInArrow(lean(run), "key long, salt int, node long, n int")
 
 
 def blocks(rows: DataFrame, percent: int) -> DataFrame:
@@ -216,7 +237,19 @@ def blocks(rows: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["key", "a", "b", "n"])
 
     dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
-    return dealt.mapInArrow(run, "key long, a long, b long, n int")
+    return dealt.mapInArrow(lean(run), "key long, a long, b long, n int")
+
+
+def with_side(pairs: DataFrame, side: str, values: DataFrame, how: str = "inner") -> DataFrame:
+    """pairs, joined with the values (node and other columns, to which the side's name is added) of their column `side`.
+
+    A node in very many pairs is met by salted copies of its row, one for every PAIRS_A_SALT pairs, so no task gets them all.
+    """
+    named = values.select(*[F.col(c).alias(side if c == "node" else f"{c}_{side}") for c in values.columns])
+    salts = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_A_SALT).cast("int").alias("salts"))
+    copies = salts.join(named, side, how).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    dealt = pairs.join(salts.where("salts > 1"), side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), "salts"), F.lit(0)).cast("int")).drop("salts")
+    return dealt.join(copies.drop("salts"), [side, "salt"]).drop("salt")
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -229,8 +262,9 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             low = [overlap_bound(counts_of(x, fine_groups(n)), counts_of(y, fine_groups(m))) for n, m, x, y in sizes]
             yield batch.select([0, 1]).filter(pa.array(np.array(low, np.int64) >= least_overlap(size, percent)))
 
-    side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("fine").alias(f"p_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a long, b long")
+    values = nodes.select("node", "n", "fine")
+    both = with_side(with_side(pairs.select("a", "b"), "b", values), "a", values)
+    return both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, seed: int) -> DataFrame:
@@ -245,7 +279,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
                 keep = [(k, s) for k, s, w in zip(range(len(found)), found, part.column(2).to_pylist()) if len(s) and node_of(s, seed)[0] == w]
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(2)[k].as_py() for k, _ in keep], pa.int64()), pa.array([s.tobytes() for _, s in keep], pa.binary())], names=["node", "hashes"])
 
-    held = as_pair(docs).join(F.broadcast(wanted) if small else wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
+    held = as_pair(docs).join(F.broadcast(wanted) if small else wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(lean(sets), "node long, hashes binary").dropDuplicates(["node"])
+    held = written(held, "sets")
 
     def run(batches):
         for batch in batches:
@@ -255,8 +290,38 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
                 keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= least_overlap(len(x) + len(y), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda s: held.select(F.col("node").alias(s), F.col("hashes").alias(f"h_{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "h_a", "h_b").mapInArrow(run, "a long, b long")
+    both = with_side(with_side(pairs, "b", held), "a", held)
+    return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(lean(run), "a long, b long")
+
+
+def joined_up(pairs: DataFrame, links: DataFrame | None, found: DataFrame | None, check) -> tuple[DataFrame, DataFrame]:
+    """All links and the components (node, component) after trying the pairs (a, b, shared) that may join components.
+
+    A pair within one component is never tried, for it could join nothing. check: pairs to those that link.
+    """
+    most = 1
+    if links is None:  # each node's likeliest partner
+        best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "best")
+        links = written(check(best), "links")
+        found = components(links)
+        pairs = pairs.join(best, ["a", "b"], "left_anti")
+    while True:
+        named = with_side(with_side(pairs, "b", found, "left"), "a", found, "left")
+        x, y = F.coalesce("component_a", "a"), F.coalesce("component_b", "b")
+        open_ = written(named.where(x != y).select("a", "b", "shared", F.least(x, y).alias("x"), F.greatest(x, y).alias("y")), "open")
+        if open_.isEmpty():
+            return links, found
+        # tasks cut the pairs of two components to those to try before the shuffle; the others wait for their round
+        place = F.row_number().over(Window.partitionBy("x", "y").orderBy(F.desc("shared"), "a", "b"))
+        tried = written(open_.withColumn("place", place).where(F.col("place") <= most).select("a", "b"), "tried")
+        new = written(check(tried), "links")
+        rest = written(open_.select("a", "b", "shared").join(tried, ["a", "b"], "left_anti"), "rest")
+        if not new.isEmpty():
+            links = links.unionAll(new)
+            found = components(links)
+        if rest.isEmpty():
+            return links, found
+        pairs, most = rest, most * MORE_PAIRS
 
 
 class RTree:
@@ -275,28 +340,39 @@ class RTree:
             cut = np.arange(0, len(top), LEAF)
             self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.minimum.reduceat(g_low, cut), np.maximum.reduceat(g_high, cut)))
 
+    def passing(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of boxes (or points, on level 0) that may hold a link between different groups."""
+        top, low, high, g_low, g_high = self.levels[level]
+        ok = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a]) & ~((g_low[a] == g_high[a]) & (g_low[b] == g_high[b]) & (g_low[a] == g_low[b]))
+        if not level:
+            ok &= a != b
+        a, b = a[ok], b[ok]
+        keep = np.zeros(len(a), bool)
+        for s in range(0, len(a), 1 << 12):
+            x, y = a[s : s + (1 << 12)], b[s : s + (1 << 12)]
+            keep[s : s + (1 << 12)] = np.minimum(top[x], top[y]).sum(1, dtype=np.int64) >= least_overlap(low[x] + low[y], percent)
+        return a[keep], b[keep]
+
     def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs of points that the bound lets through, of different groups."""
-        a = b = np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            top, low, high, g_low, g_high = self.levels[level]
-            if level < len(self.levels) - 1:  # the children of each pair of boxes
-                k = np.arange(LEAF)
-                c = (a[:, None] * LEAF + k)[:, :, None] + np.zeros(LEAF, np.int64)
-                d = (b[:, None] * LEAF + k)[:, None, :] + np.zeros((LEAF, 1), np.int64)
-                a, b = c.ravel(), d.ravel()
-                ok = (a < len(top)) & (b < len(top)) & (a <= b)
-                a, b = a[ok], b[ok]
-            ok = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a]) & ~((g_low[a] == g_high[a]) & (g_low[b] == g_high[b]) & (g_low[a] == g_low[b]))
+        """Index pairs of points that the bound lets through, of different groups. Box pairs are opened depth first, a
+        bounded number at a time."""
+        root = len(self.levels) - 1
+        found, todo = [np.zeros((2, 0), np.int64)], [(root, *self.passing(root, np.zeros(1, np.int64), np.zeros(1, np.int64), percent))]
+        k = np.arange(LEAF)
+        while todo:
+            level, a, b = todo.pop()
             if not level:
-                ok &= a != b
-            a, b = a[ok], b[ok]
-            keep = np.zeros(len(a), bool)
-            for s in range(0, len(a), 1 << 14):
-                x, y = a[s : s + (1 << 14)], b[s : s + (1 << 14)]
-                keep[s : s + (1 << 14)] = np.minimum(top[x], top[y]).sum(1, dtype=np.int64) >= least_overlap(low[x] + low[y], percent)
-            a, b = a[keep], b[keep]
-        return self.order[a], self.order[b]
+                found.append(np.stack([self.order[a], self.order[b]]))
+                continue
+            if len(a) > OPEN_PAIRS:
+                todo.append((level, a[OPEN_PAIRS:], b[OPEN_PAIRS:]))
+            c = ((a[:OPEN_PAIRS, None] * LEAF + k)[:, :, None] + np.zeros(LEAF, np.int64)).ravel()
+            d = ((b[:OPEN_PAIRS, None] * LEAF + k)[:, None, :] + np.zeros((LEAF, 1), np.int64)).ravel()
+            below = len(self.levels[level - 1][0])
+            ok = (c < below) & (d < below) & (c <= d)
+            todo.append((level - 1, *self.passing(level - 1, c[ok], d[ok], percent)))
+        a, b = np.concatenate(found, 1)
+        return a, b
 
 
 def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -359,18 +435,12 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
         if held:
             yield pairs()
 
-    found = rows.select("key", "i", "j", "node", "group", "n", "point").mapInArrow(run, "a long, partners array<long>")
-    return found.repartition("a").sortWithinPartitions("a").mapInArrow(merged, "a long, b long")
+    found = rows.select("key", "i", "j", "node", "group", "n", "point").mapInArrow(lean(run), "a long, partners array<long>")
+    return found.repartition("a").sortWithinPartitions("a").mapInArrow(lean(merged), "a long, b long")
 
 
-def link(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document row.
-
-    component_id is the smallest doc_id that links reach, the row's own included. A text of fewer than five words is one
-    shingle. Null, empty and blank texts have no shingles and link with nothing. Rows of one id are judged each by its own
-    text. A row without id takes the component of its text, which is null if no row with an id is in it. Other columns are
-    not read, and an empty table gives an empty table.
-    """
+def linked_rows(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, k1, k2 (hashes of the text), n and component of every row; the component is a node's name, null without words."""
     seed = 0
     while True:
         both = written(profiles(docs, seed), "profiles")
@@ -385,41 +455,62 @@ def link(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     named = nodes.where("doc_id is not null").select("node", "doc_id")
     frequent = frequent_shingles(both.where("key is not null").select("key", "times"))
     blocked = written(blocks(prefix_rows(docs, frequent, percent, seed), percent), "blocks")
-    first = blocked.where("key is null").select("a", "b").distinct()
-    links = written(verified(written(bounded(first, nodes, percent), "pairs"), docs, named, percent, seed), "links")
-    found = components(links)
-    members = blocked.where("key is not null").select("key", F.col("a").alias("node"), "n").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        near = written(bounded(pairs, nodes, percent), "pairs")
+        return near if near.isEmpty() else verified(near, docs, named, percent, seed)
+
+    first = written(blocked.where("key is null").groupBy("a", "b").agg(F.count("*").alias("shared")), "proposed")
+    links, found = joined_up(first, None, None, check)
+    members = blocked.where("key is not null").select("key", F.col("a").alias("node")).join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
     members = written(members, "members")
-    open_keys = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", "m")
-    open_keys = written(open_keys, "open")
-    more = written(tree_pairs(members.join(open_keys, "key"), points, percent), "tree")
-    more = more.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = written(bounded(more, nodes, percent), "more")
-    if not more.isEmpty():
-        links = links.unionAll(verified(more, docs, named, percent, seed))
-        found = components(written(links, "links"))
-    joined = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = joined.join(smallest, "component").select("node", "component_id")
-    result = rows.select("doc_id", "n", "node").join(named, "node", "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # blocks of the same nodes (by their number and 128 bits of hash sums) need one search
+    kinds = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("s2"))
+    open_keys = written(kinds.where("low <> high").groupBy("m", "s1", "s2").agg(F.min("key").alias("key")).select("key", "m"), "open")
+    more = tree_pairs(members.join(open_keys, "key"), points, percent).join(first.select("a", "b"), ["a", "b"], "left_anti")
+    _, found = joined_up(written(more.withColumn("shared", F.lit(0)), "tree"), links, found, check)
+    return rows.select("doc_id", "k1", "k2", "n", "node").join(found, "node", "left").select("doc_id", "k1", "k2", "n", F.coalesce("component", "node").alias("component"))
+
+
+def link(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document row.
+
+    component_id is the smallest doc_id that links reach, the row's own included. A text of fewer than five words is one
+    shingle. Null, empty and blank texts have no shingles and link with nothing. Rows of one id are judged each by its own
+    text. A row without id takes the component of its text, which is null if no row with an id is in it. Other columns are
+    not read, and an empty table gives an empty table.
+    """
+    rows = written(linked_rows(docs, percent), "linked")
+    smallest = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    result = rows.join(smallest, "component", "left")
+    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """The rows of docs, all columns, with one row of each component: the first of those that carry its smallest id.
+    """The rows of docs, all columns, with one row of each component: the one of the smallest doc_id.
 
-    Rows without words and rows whose component has no id are no one's copies and stay.
+    Rows are judged by id and text, so rows of one id with texts of different components each stay. Rows of the same id in one
+    component are ordered by a hash of their text, rows without id come after all others, and of equal rows one stays. Rows
+    without words are no one's copies and all stay. Other columns, whatever their names, are carried along.
     """
-    ids = link(docs, percent)
-    lost = ids.where("n_shingles > 0 and doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = written(again, "again")
-    if again.isEmpty():
-        return kept
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    twice = kept.join(again, "doc_id", "left_semi").withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(twice.select(*docs.columns))
+    rows = written(linked_rows(docs, percent), "linked").where("component is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2")
+    best = rows.groupBy("component").agg(F.min(order).alias("best"))
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
+    judged = rows.join(best, "component").groupBy("doc_id", "k1", "k2").agg(F.bool_or(same).alias("stays"), F.count("*").alias("rows"))
+    judged = written(judged.where("not stays or rows > 1"), "judged")
+    small = judged.count() <= BROADCAST_NODES
+    names = [f"__own{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    id_, text = (F.col(names[[c.lower() for c in docs.columns].index(c)]) for c in ("doc_id", "text"))
+    own = own.withColumn("__id", id_.cast("long")).withColumns(dict(zip(("__k1", "__k2"), text_keys(text.cast("string")))))
+    on = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))
+    marked = own.join(F.broadcast(judged) if small else judged, on, "left").where("stays is null or stays")
+    again = marked.where("rows > 1")
+    if not judged.where("stays").isEmpty():  # equal rows: one of each stays
+        place = F.row_number().over(Window.partitionBy("__id", "__k1", "__k2").orderBy("__k1"))
+        marked = marked.where("rows is null or rows = 1").unionByName(again.withColumn("__place", place).where("__place = 1").drop("__place"))
+    return marked.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

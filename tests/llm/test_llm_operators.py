@@ -196,7 +196,27 @@ def test_ngram_join_ids_and_rows_twice(spark):
     assert got == sorted([(None, 3), (5, 3), (5, 3), (3, 3), (9, 9), (None, None), (9, 9)], key=repr)
     kept = ngram_join.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted([r.doc_id for r in kept.collect()], key=repr) == sorted([None, 3, 9, None], key=repr)
+    assert sorted([r.doc_id for r in kept.collect()], key=repr) == sorted([3, 9, None], key=repr)
+
+
+def test_keep_one_decides_by_text_and_not_by_id(spark, monkeypatch):
+    a, b = "a b c d e f g h", "other words are in this text"
+    cases = [
+        ([(1, a), (5, a), (5, b)], [(1, a), (5, b)]),
+        ([(7, a), (7, b)], [(7, a), (7, b)]),
+        ([(7, a), (None, a), (None, b), (None, b), (7, None), (7, " ")], [(7, a), (None, b), (7, None), (7, " ")]),
+        ([(2, a), (2, a + " i"), (2, a.upper())], None),
+    ]
+    for most in (1 << 18, -1):
+        monkeypatch.setattr(ngram_join, "BROADCAST_NODES", most)
+        for rows, want in cases:
+            df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, k1 string, stays int, component int")
+            got = ngram_join.keep_one(df)
+            assert got.columns == df.columns
+            got = [(r.doc_id, r.text) for r in got.collect()]
+            assert sorted(got, key=repr) == sorted(want, key=repr) if want else len(got) == 1 and got[0] in rows
+    empty = spark.createDataFrame([], "doc_id long, text string, k1 string")
+    assert ngram_join.keep_one(empty).collect() == []
 
 
 def test_tree_finds_all_pairs_the_bound_allows():
