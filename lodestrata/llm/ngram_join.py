@@ -5,12 +5,12 @@
    bounds their overlap from above.
 3. Nodes that can link share a shingle among the first quarter of each one's shingles, in any one order of all shingles
    (rare ones first here). Nodes with a shingle there form a block; blocks lose no pair.
-4. Each block first proposes only its smallest node against the others, so a block of m near copies proposes m pairs, not
-   m*m. Of its proposals each node tries the one it shares most blocks with; the links found give first components. Then
-   each two components that proposals still join try their best pairs, first one, then ever more, until none is open.
-5. Blocks that still hold several components build an R-tree over their points and join it with itself: boxes whose bound is
-   too low are cut off, as are boxes within one component. Blocks of the same nodes do so once. What remains is tried as
-   in step 4.
+4. Blocks of the same nodes count as one. Each node first tries one partner, the smallest node of a block, of these the one
+   it meets in most blocks; so a block of m near copies costs m pairs, not m*m. The links found give first components.
+5. Every block that still holds several components builds an R-tree over its points and joins it with itself: boxes whose
+   bound is too low are cut off, as are boxes within one component. Of the pairs found, each two components of a block try
+   the one of the highest bound; then the trees are joined again, and those still apart try ever more pairs, until no
+   tree has one that was not tried.
 
 A pair that is tried passes the bound of finer points (about four shingles a group, so it stays sharp for long texts), then
 the exact sets of 64-bit hashes decide. Two different shingles of a pair of n each have one hash with odds of n * n / 2^64
@@ -48,7 +48,7 @@ LEAF = 32
 OPEN_PAIRS = 256
 #: Pairs of a node beyond which its row is sent once for every so many of them.
 PAIRS_A_SALT = 64
-#: Pairs that two components try in the first round; each round after tries so many times more.
+#: Two components of a block try one pair at first; each round after tries so many times more.
 MORE_PAIRS = 16
 #: Partner ids of one node that are held before they are merged.
 MERGE_IDS = 1 << 20
@@ -152,7 +152,7 @@ def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, seed: int) -> DataFrame:
-    """key, salt, node, n: the rare-first prefix of each document's shingles. Large blocks of frequent shingles have salts from 1 on."""
+    """key, salt, node: the rare-first prefix of each document's shingles. Large blocks of frequent shingles have salts from 1 on."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -160,7 +160,7 @@ def prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percen
         salts = -(-times // SALT_ROWS)
         for batch in batches:
             for _, sets in sets_of(batch):
-                all_keys, all_salts, nodes, sizes, lengths = [], [], [], [], []
+                all_keys, all_salts, nodes, lengths = [], [], [], []
                 for s in sets:
                     if not len(s):
                         continue
@@ -178,66 +178,38 @@ def prefix_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percen
                     all_keys.append(own)
                     all_salts.append(salt)
                     nodes.append(node)
-                    sizes.append(len(s))
                     lengths.append(p)
                 if nodes:
-                    cols = [np.concatenate(all_keys).view(np.int64), np.concatenate(all_salts).astype(np.int32), np.repeat(np.array(nodes), lengths), np.repeat(np.array(sizes, np.int32), lengths)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "salt", "node", "n"])
+                    cols = [np.concatenate(all_keys).view(np.int64), np.concatenate(all_salts).astype(np.int32), np.repeat(np.array(nodes), lengths)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["key", "salt", "node"])
 
-    return as_pair(docs).mapInArrow(lean(run), "key long, salt int, node long, n int")
+    return as_pair(docs).mapInArrow(lean(run), "key long, salt int, node long")
 
 
-def blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """From the prefix rows: pairs (a, b) of a block's smallest node and another of fitting size, and for blocks of three or
-    more, or salted ones, rows (key, node, n). Which kind a row is shows in whether its key is null."""
+def blocks(rows: DataFrame) -> DataFrame:
+    """key, node of the prefix rows, once each, without those of nodes that are alone in their block."""
 
     def run(batches):
-        last = None  # (key, salt, first node, its n, second node or None, its n)
+        last = None  # key, salt and node of the last row; whether it is already out
         for batch in batches:
-            key, salt, node, n = (np.asarray(batch.column(i)) for i in range(4))
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])
-            if last is not None and len(key):
-                new[0] = not (key[0] == last[0] and salt[0] == last[1] and node[0] == last[6])
-            key, salt, node, n = key[new], salt[new], node[new], n[new]  # one row for a node, however many copies it has
+            key, salt, node = (np.asarray(batch.column(i)) for i in range(3))
+            if last is not None:
+                key, salt, node = np.append(last[0], key), np.append(last[1], salt), np.append(last[2], node)
             if not len(key):
                 continue
-            start = np.ones(len(key), bool)
-            start[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
-            seen = 0  # rows of this block in earlier batches
-            if last is not None and key[0] == last[0] and salt[0] == last[1]:
-                start[0], seen = False, last[7]
-            begins = np.flatnonzero(start)
-            run_of = np.cumsum(start) - 1  # -1: goes on from the batch before
-            first_node, first_n = np.append(node[begins], 0)[run_of], np.append(n[begins], 0)[run_of]
-            place = np.arange(len(key)) - np.append(begins, 0)[run_of]
-            if seen:
-                head = run_of < 0
-                first_node[head], first_n[head], place[head] = last[2], last[3], np.arange(head.sum()) + seen
-            length = place + 1
-            ends = np.flatnonzero(np.append(start[1:], True))
-            total = length[ends][np.searchsorted(ends, np.arange(len(key)))]
-            small, big = np.minimum(n, first_n), np.maximum(n, first_n)
-            pair = (place > 0) & (100 * small.astype(np.int64) >= percent * big.astype(np.int64))
-            member = (total > 2) | (salt > 0)
-            late = []
-            if seen and seen < 3 and total[0] > 2 and not last[8]:  # the first rows of the block were held back
-                late = [(last[0], last[2], last[3])] + ([(last[0], last[4], last[5])] if seen == 2 else [])
-            k = len(late)
-            cols = [
-                pa.array([*[x[0] for x in late], *key[member].tolist(), *[None] * int(pair.sum())], pa.int64()),
-                pa.array([*[x[1] for x in late], *node[member].tolist(), *first_node[pair].tolist()], pa.int64()),
-                pa.array([*[None] * (k + int(member.sum())), *node[pair].tolist()], pa.int64()),
-                pa.array([*[x[2] for x in late], *n[member].tolist(), *n[pair].tolist()], pa.int32()),
-            ]
-            i = len(key) - 1
-            second = i - place[i] + 1
-            keep2 = (node[second], n[second]) if 0 <= second < len(key) and place[i] > 0 else (last[4], last[5]) if last is not None and seen >= 2 and run_of[i] < 0 else (None, None)
-            last = (key[i], salt[i], first_node[i], first_n[i], *keep2, node[i], int(length[i]), bool(member[i]))
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "a", "b", "n"])
+            fresh = np.ones(len(key), bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])
+            key, salt, node = key[fresh], salt[fresh], node[fresh]  # one row for a node, however many copies it has
+            same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
+            member = np.append(same, False) | np.append(False, same) | (salt > 0)
+            out = member.copy()
+            if last is not None and last[3]:
+                out[0] = False
+            last = (key[-1], salt[-1], node[-1], bool(member[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out])], names=["key", "node"])
 
     dealt = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node")
-    return dealt.mapInArrow(lean(run), "key long, a long, b long, n int")
+    return dealt.mapInArrow(lean(run), "key long, node long")
 
 
 def with_side(pairs: DataFrame, side: str, values: DataFrame, how: str = "inner") -> DataFrame:
@@ -294,36 +266,6 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
     return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(lean(run), "a long, b long")
 
 
-def joined_up(pairs: DataFrame, links: DataFrame | None, found: DataFrame | None, check) -> tuple[DataFrame, DataFrame]:
-    """All links and the components (node, component) after trying the pairs (a, b, shared) that may join components.
-
-    A pair within one component is never tried, for it could join nothing. check: pairs to those that link.
-    """
-    most = 1
-    if links is None:  # each node's likeliest partner
-        best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"), "best")
-        links = written(check(best), "links")
-        found = components(links)
-        pairs = pairs.join(best, ["a", "b"], "left_anti")
-    while True:
-        named = with_side(with_side(pairs, "b", found, "left"), "a", found, "left")
-        x, y = F.coalesce("component_a", "a"), F.coalesce("component_b", "b")
-        open_ = written(named.where(x != y).select("a", "b", "shared", F.least(x, y).alias("x"), F.greatest(x, y).alias("y")), "open")
-        if open_.isEmpty():
-            return links, found
-        # tasks cut the pairs of two components to those to try before the shuffle; the others wait for their round
-        place = F.row_number().over(Window.partitionBy("x", "y").orderBy(F.desc("shared"), "a", "b"))
-        tried = written(open_.withColumn("place", place).where(F.col("place") <= most).select("a", "b"), "tried")
-        new = written(check(tried), "links")
-        rest = written(open_.select("a", "b", "shared").join(tried, ["a", "b"], "left_anti"), "rest")
-        if not new.isEmpty():
-            links = links.unionAll(new)
-            found = components(links)
-        if rest.isEmpty():
-            return links, found
-        pairs, most = rest, most * MORE_PAIRS
-
-
 class RTree:
     """Points packed bottom-up, by size and then by coordinates, into boxes of LEAF; a box keeps the maxima of its points."""
 
@@ -340,43 +282,54 @@ class RTree:
             cut = np.arange(0, len(top), LEAF)
             self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.minimum.reduceat(g_low, cut), np.maximum.reduceat(g_high, cut)))
 
-    def passing(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of boxes (or points, on level 0) that may hold a link between different groups."""
+    def passing(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of boxes (or points, on level 0) that may hold a link between different groups, and their bounds."""
         top, low, high, g_low, g_high = self.levels[level]
         ok = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a]) & ~((g_low[a] == g_high[a]) & (g_low[b] == g_high[b]) & (g_low[a] == g_low[b]))
         if not level:
             ok &= a != b
         a, b = a[ok], b[ok]
-        keep = np.zeros(len(a), bool)
+        bound = np.zeros(len(a), np.int64)
         for s in range(0, len(a), 1 << 12):
-            x, y = a[s : s + (1 << 12)], b[s : s + (1 << 12)]
-            keep[s : s + (1 << 12)] = np.minimum(top[x], top[y]).sum(1, dtype=np.int64) >= least_overlap(low[x] + low[y], percent)
-        return a[keep], b[keep]
+            bound[s : s + (1 << 12)] = np.minimum(top[a[s : s + (1 << 12)]], top[b[s : s + (1 << 12)]]).sum(1, dtype=np.int64)
+        keep = bound >= least_overlap(low[a] + low[b], percent)
+        return a[keep], b[keep], bound[keep]
 
-    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Index pairs of points that the bound lets through, of different groups. Box pairs are opened depth first, a
-        bounded number at a time."""
+    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index pairs of points of different groups that the bound lets through, and the bound over both sizes. Box pairs are
+        opened depth first, a bounded number at a time."""
         root = len(self.levels) - 1
-        found, todo = [np.zeros((2, 0), np.int64)], [(root, *self.passing(root, np.zeros(1, np.int64), np.zeros(1, np.int64), percent))]
+        found, todo = [(np.zeros(0, np.int64),) * 3], [(root, *self.passing(root, np.zeros(1, np.int64), np.zeros(1, np.int64), percent))]
         k = np.arange(LEAF)
         while todo:
-            level, a, b = todo.pop()
+            level, a, b, bound = todo.pop()
             if not level:
-                found.append(np.stack([self.order[a], self.order[b]]))
+                found.append((a, b, bound))
                 continue
             if len(a) > OPEN_PAIRS:
-                todo.append((level, a[OPEN_PAIRS:], b[OPEN_PAIRS:]))
+                todo.append((level, a[OPEN_PAIRS:], b[OPEN_PAIRS:], bound[OPEN_PAIRS:]))
             c = ((a[:OPEN_PAIRS, None] * LEAF + k)[:, :, None] + np.zeros(LEAF, np.int64)).ravel()
             d = ((b[:OPEN_PAIRS, None] * LEAF + k)[:, None, :] + np.zeros((LEAF, 1), np.int64)).ravel()
             below = len(self.levels[level - 1][0])
             ok = (c < below) & (d < below) & (c <= d)
             todo.append((level - 1, *self.passing(level - 1, c[ok], d[ok], percent)))
-        a, b = np.concatenate(found, 1)
-        return a, b
+        a, b, bound = (np.concatenate(x) for x in zip(*found))
+        sizes = self.levels[0][1]
+        return self.order[a], self.order[b], bound / (sizes[a] + sizes[b])
+
+
+def first_of_each(score: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """The places of the `most` highest scores of each (x, y)."""
+    order = np.lexsort((-score, y, x))
+    new = np.ones(len(order), bool)
+    new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+    begin = np.flatnonzero(new)
+    return order[np.arange(len(order)) - begin[np.cumsum(new) - 1] < most]
 
 
-def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of different components within the blocks. members: key, node, group, m (rows of the block)."""
+def tree_pairs(members: DataFrame, points: DataFrame, percent: int, most: int) -> DataFrame:
+    """Distinct candidate pairs (a, b), a < b, within the blocks: of each two components the `most` pairs of highest bound; in
+    cut, whether there are more. members: key, node, group, m (rows of the block)."""
     chunks = F.ceil(F.col("m") / CHUNK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     other = F.explode(F.when(chunks <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1)))
@@ -390,15 +343,17 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
         if len(node) < 2 or not ranked.any():
             return
         points_ = np.stack([counts_of(x, GROUPS) for x in t.column("point").to_pylist()])
-        x, y = RTree(points_, n.astype(np.int64), ranked).pairs(percent)
+        x, y, score = RTree(points_, n.astype(np.int64), ranked).pairs(percent)
         if not len(x):
             return
+        best = first_of_each(score, np.minimum(ranked[x], ranked[y]), np.maximum(ranked[x], ranked[y]), most)
+        cut, x, y = len(best) < len(x), x[best], y[best]
         a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
         order = np.argsort(a, kind="stable")
         a, b = a[order], b[order]
         first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)).astype(np.int32)), pa.array(b))
-        yield pa.RecordBatch.from_arrays([pa.array(a[first]), lists], names=["a", "partners"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[first]), lists, pa.array([cut] * len(first))], names=["a", "partners", "cut"])
 
     def run(batches):
         held, last = [], None
@@ -417,30 +372,31 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int) -> DataFrame
 
     def merged(batches):
         """The partners of each node, which many blocks may have proposed, once each."""
-        last, held = None, []
+        last, held, cut = None, [], False
 
         def pairs():
             b = np.unique(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), last)), pa.array(b)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), last)), pa.array(b), pa.array([cut] * len(b))], names=["a", "b", "cut"])
 
         for batch in batches:
-            for a, partners in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for a, partners, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 if a != last:
                     if held:
                         yield pairs()
-                    last, held = a, []
+                    last, held, cut = a, [], False
                 held.append(partners.values.to_numpy())
+                cut = cut or more
                 if sum(map(len, held)) > MERGE_IDS:
                     held = [np.unique(np.concatenate(held))]
         if held:
             yield pairs()
 
-    found = rows.select("key", "i", "j", "node", "group", "n", "point").mapInArrow(lean(run), "a long, partners array<long>")
-    return found.repartition("a").sortWithinPartitions("a").mapInArrow(lean(merged), "a long, b long")
+    found = rows.select("key", "i", "j", "node", "group", "n", "point").mapInArrow(lean(run), "a long, partners array<long>, cut boolean")
+    return found.repartition("a").sortWithinPartitions("a").mapInArrow(lean(merged), "a long, b long, cut boolean")
 
 
-def linked_rows(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, k1, k2 (hashes of the text), n and component of every row; the component is a node's name, null without words."""
+def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, k1, k2 (hashes of the text), n and node (null without words) of every row; and node and component."""
     seed = 0
     while True:
         both = written(profiles(docs, seed), "profiles")
@@ -451,25 +407,35 @@ def linked_rows(docs: DataFrame, percent: int) -> DataFrame:
             break
         seed += 1  # two sets had the same 64-bit name: name all anew
     nodes = nodes.drop("low", "high")
-    points = nodes.select("node", "n", "point")
     named = nodes.where("doc_id is not null").select("node", "doc_id")
     frequent = frequent_shingles(both.where("key is not null").select("key", "times"))
-    blocked = written(blocks(prefix_rows(docs, frequent, percent, seed), percent), "blocks")
+    blocked = written(blocks(prefix_rows(docs, frequent, percent, seed)), "blocks")
+    # blocks of the same nodes (by their number and two sums of hashes) need one search
+    kinds = blocked.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("s2"))
+    kinds = written(kinds.where("m > 1").groupBy("m", "first", "s1", "s2").agg(F.min("key").alias("key"), F.count("*").alias("blocks")).select("key", "m", "first", "blocks"), "kinds")
+    members = written(blocked.join(kinds, "key"), "members")
 
     def check(pairs: DataFrame) -> DataFrame:
         near = written(bounded(pairs, nodes, percent), "pairs")
         return near if near.isEmpty() else verified(near, docs, named, percent, seed)
 
-    first = written(blocked.where("key is null").groupBy("a", "b").agg(F.count("*").alias("shared")), "proposed")
-    links, found = joined_up(first, None, None, check)
-    members = blocked.where("key is not null").select("key", F.col("a").alias("node")).join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
-    members = written(members, "members")
-    # blocks of the same nodes (by their number and 128 bits of hash sums) need one search
-    kinds = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("s2"))
-    open_keys = written(kinds.where("low <> high").groupBy("m", "s1", "s2").agg(F.min("key").alias("key")).select("key", "m"), "open")
-    more = tree_pairs(members.join(open_keys, "key"), points, percent).join(first.select("a", "b"), ["a", "b"], "left_anti")
-    _, found = joined_up(written(more.withColumn("shared", F.lit(0)), "tree"), links, found, check)
-    return rows.select("doc_id", "k1", "k2", "n", "node").join(found, "node", "left").select("doc_id", "k1", "k2", "n", F.coalesce("component", "node").alias("component"))
+    partners = members.where("node <> first").groupBy("node", "first").agg(F.sum("blocks").alias("blocks"))
+    tried = partners.groupBy(F.col("node").alias("b")).agg(F.max_by("first", F.struct("blocks", -F.col("first"))).alias("a"))
+    tried = written(tried.select("a", "b"), "tried")
+    links = written(check(tried), "links")
+    found = components(links)
+    points, most, cut = nodes.select("node", "n", "point"), 1, True
+    while cut:
+        grouped = written(members.join(found, "node", "left").select("key", "m", "node", F.coalesce("component", "node").alias("group")), "grouped")
+        open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
+        more = written(tree_pairs(grouped.join(open_keys, "key"), points, percent, most), "tree")
+        untried = written(more.select("a", "b").join(tried, ["a", "b"], "left_anti"), "tried")
+        new = written(check(untried), "links")
+        if not new.isEmpty():
+            links = links.unionAll(new)
+            found = components(links)
+        tried, cut, most = tried.unionAll(untried), not more.where("cut").isEmpty(), most * MORE_PAIRS
+    return rows.select("doc_id", "k1", "k2", "n", "node"), written(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "named")
 
 
 def link(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -480,10 +446,12 @@ def link(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     text. A row without id takes the component of its text, which is null if no row with an id is in it. Other columns are
     not read, and an empty table gives an empty table.
     """
-    rows = written(linked_rows(docs, percent), "linked")
-    smallest = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    result = rows.join(smallest, "component", "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows, named = linked_rows(docs, percent)
+    ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(named, "node")
+    smallest = written(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
+    named = written(named.join(smallest, "component").select("node", "component_id"), "named")
+    result = rows.join(named, "node", "left")  # plain sides, so that the rows of a node with very many copies may be split
+    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -493,11 +461,13 @@ def keep_one(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     component are ordered by a hash of their text, rows without id come after all others, and of equal rows one stays. Rows
     without words are no one's copies and all stay. Other columns, whatever their names, are carried along.
     """
-    rows = written(linked_rows(docs, percent), "linked").where("component is not null")
+    rows, named = linked_rows(docs, percent)
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2")
-    best = rows.groupBy("component").agg(F.min(order).alias("best"))
+    first = rows.where("node is not null").groupBy("node").agg(F.min(order).alias("first")).join(named, "node")
+    best = written(first.groupBy("component").agg(F.min("first").alias("best")), "best")
+    best = written(named.join(best, "component").select("node", "best"), "named")
     same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
-    judged = rows.join(best, "component").groupBy("doc_id", "k1", "k2").agg(F.bool_or(same).alias("stays"), F.count("*").alias("rows"))
+    judged = rows.join(best, "node").groupBy("doc_id", "k1", "k2").agg(F.bool_or(same).alias("stays"), F.count("*").alias("rows"))
     judged = written(judged.where("not stays or rows > 1"), "judged")
     small = judged.count() <= BROADCAST_NODES
     names = [f"__own{i}" for i in range(len(docs.columns))]
@@ -506,10 +476,10 @@ def keep_one(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     own = own.withColumn("__id", id_.cast("long")).withColumns(dict(zip(("__k1", "__k2"), text_keys(text.cast("string")))))
     on = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))
     marked = own.join(F.broadcast(judged) if small else judged, on, "left").where("stays is null or stays")
-    again = marked.where("rows > 1")
     if not judged.where("stays").isEmpty():  # equal rows: one of each stays
         place = F.row_number().over(Window.partitionBy("__id", "__k1", "__k2").orderBy("__k1"))
-        marked = marked.where("rows is null or rows = 1").unionByName(again.withColumn("__place", place).where("__place = 1").drop("__place"))
+        again = marked.where("rows > 1").withColumn("__place", place).where("__place = 1").drop("__place")
+        marked = marked.where("rows is null or rows = 1").unionByName(again)
     return marked.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 

@@ -224,7 +224,8 @@ def test_tree_finds_all_pairs_the_bound_allows():
     base = rng.poisson(2, (6, ngram_join.GROUPS))
     points = np.concatenate([np.maximum(0, b + rng.integers(-1, 2, (30, ngram_join.GROUPS)) * (rng.random((30, ngram_join.GROUPS)) < 0.1)) for b in base]).astype("u1")
     sizes, groups = points.sum(1).astype(np.int64), rng.integers(0, 9, len(points))
-    x, y = ngram_join.RTree(points, sizes, groups).pairs(75)
+    x, y, score = ngram_join.RTree(points, sizes, groups).pairs(75)
+    assert np.allclose(score, np.minimum(points[x], points[y]).sum(1) / (sizes[x] + sizes[y]))
     got = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())}
     want = {(a, b) for b in range(len(points)) for a in range(b) if groups[a] != groups[b] and 100 * min(sizes[a], sizes[b]) >= 75 * max(sizes[a], sizes[b]) and np.minimum(points[a], points[b]).sum() >= -(-75 * (sizes[a] + sizes[b]) // 175)}
     assert got == want
