@@ -88,6 +88,26 @@ def lean(run):
     return wrapped
 
 
+class Remembered(dict):
+    """A cache bounded by bytes: it starts anew when full, and what would take an eighth of it is not kept."""
+
+    #: Bytes that an entry takes besides its content.
+    ENTRY = 180
+
+    def __init__(self, most: int):
+        self.most, self.held = most, 0
+
+    def keep(self, key, value, size: int):
+        size += self.ENTRY
+        if 8 * size <= self.most:
+            if self.held + size > self.most:
+                self.clear()
+                self.held = 0
+            self[key] = value
+            self.held += size
+        return value
+
+
 def slices(batch: pa.RecordBatch, column: int, step: int = STEP_BYTES):
     """Cut a batch at about `step` bytes of a string column; yields record batches with at least one row."""
     if not batch.num_rows:

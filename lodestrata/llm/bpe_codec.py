@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 
 from . import _pretokens
 from ._bpe import Vocabulary, vocabulary
-from ._common import slices, string_buffer, table
+from ._common import Remembered, lean, slices, string_buffer, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 MAX_STATES = 400_000
-MAX_PIECES = 600_000
+#: Bytes of encoded pieces that a worker remembers.
+MAX_BYTES = 128 << 20
 #: Bytes of text taken at once.
 STEP = 1 << 20
 
@@ -107,10 +108,15 @@ class Transducer:
         if len(self.steps) > self.max_states:
             self.clear()
         s, out, steps = 0, [], self.steps
-        for c in piece:
-            s, emitted = steps[s].get(c) or self.step(s, c)
-            if emitted:
-                out.append(emitted)
+        for a in range(0, len(piece), 4096):
+            if len(steps) > self.max_states:  # within a very long piece: only the state it is in goes on
+                now = self.open[s]
+                self.clear()
+                s, steps = self.state(*now), self.steps
+            for c in piece[a : a + 4096]:
+                s, emitted = steps[s].get(c) or self.step(s, c)
+                if emitted:
+                    out.append(emitted)
         if (rest := self.rest[s]) is None:
             _, text, tokens, starts, _ = self.open[s]
             back, k = [], len(text)
@@ -122,17 +128,16 @@ class Transducer:
         return b"".join(out)
 
 
-class Pieces(dict):
-    """Encoded pieces met so far; a bounded cache, so it is emptied when full."""
+class Pieces(Remembered):
+    """Encoded pieces met so far."""
 
-    def __init__(self, transducer: Transducer, size: int = MAX_PIECES):
-        self.transducer, self.size = transducer, size
+    def __init__(self, transducer: Transducer, most: int = MAX_BYTES):
+        super().__init__(most)
+        self.transducer = transducer
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= self.size:
-            self.clear()
-        got = self[piece] = self.transducer.encode(piece)
-        return got
+        got = self.transducer.encode(piece)
+        return self.keep(piece, got, len(piece) + len(got))
 
 
 class Utf8Stream:
@@ -173,10 +178,10 @@ class Utf8Stream:
 class Codec:
     """Text to token ids and back, by one vocabulary of ranks; special tokens are ordinary text."""
 
-    def __init__(self, path: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES):
+    def __init__(self, path: str, max_states: int = MAX_STATES, max_bytes: int = MAX_BYTES):
         self.vocab = vocabulary(path)
         self.transducer = Transducer(self.vocab, max_states)
-        self.pieces = Pieces(self.transducer, max_pieces)
+        self.pieces = Pieces(self.transducer, max_bytes)
 
     def encode_many(self, column: pa.Array) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -213,14 +218,14 @@ class Codec:
 
 
 @lru_cache(2)
-def codec(path: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> Codec:
-    return Codec(path, max_states, max_pieces)
+def codec(path: str, max_states: int = MAX_STATES, max_bytes: int = MAX_BYTES) -> Codec:
+    return Codec(path, max_states, max_bytes)
 
 
-def encoded(docs: DataFrame, path: str | None = None, max_states: int = 150_000, max_pieces: int = 250_000) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, max_states: int = 150_000, max_bytes: int = 48 << 20) -> DataFrame:
     """doc_id, token_ids (array<int>), text (decoded back) of every document.
 
-    max_states and max_pieces bound what a worker remembers, and so its memory (about 0.4 GB here); they change no result.
+    max_states (of bounded size) and max_bytes bound what a worker remembers, and so its memory; they change no result.
 
     Null and empty texts have no tokens. Rows are independent: repeated rows and ids give repeated rows, a null id stays
     null, and other columns are not read. An empty table gives an empty table.
@@ -228,7 +233,7 @@ def encoded(docs: DataFrame, path: str | None = None, max_states: int = 150_000,
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches):
-        c = codec(path, max_states, max_pieces)
+        c = codec(path, max_states, max_bytes)
         for batch in batches:
             for part in slices(batch, 1, STEP):
                 ids = list(c.encode_many(part.column(1)))
@@ -237,7 +242,7 @@ def encoded(docs: DataFrame, path: str | None = None, max_states: int = 150_000,
                 texts = pa.array([b.decode() for b in c.decoded_many(ids)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), tokens, texts], names=["doc_id", "token_ids", "text"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, token_ids array<int>, text string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id long, token_ids array<int>, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -257,7 +262,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe_codec(spark, sf_dir: str) -> DataFrame:

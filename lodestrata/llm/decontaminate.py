@@ -10,12 +10,14 @@ of bounded size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, string_buffer, table, written
+from ._common import lean, release, slices, string_buffer, table, written
 from ._shingles import WIDTH, shingle_sets, short_hash, windows, word_hashes
 
 THRESHOLD_PERCENT = 75
@@ -88,7 +90,7 @@ def item_sets(benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=["item_id", "n", "hashes"])
 
     own = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text")
-    return own.mapInArrow(run, "item_id long, n long, hashes binary").where("n > 0")
+    return own.mapInArrow(lean(run), "item_id long, n long, hashes binary").where("n > 0")
 
 
 def item_blocks(benchmark: DataFrame, percent: int):
@@ -122,7 +124,7 @@ def find(docs: DataFrame, benchmark: DataFrame, percent: int = THRESHOLD_PERCENT
                     cols = [pa.array([ids[r] for r, _, _ in found], pa.int64()), pa.array([items.ids[k] for _, k, _ in found], pa.int64()), pa.array(sizes, pa.int64()), pa.array([n for _, _, n in found], pa.int64()), pa.array([n / m for (_, _, n), m in zip(found, sizes)], pa.float64())]
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
 
-        hits = own.mapInArrow(run, _SCHEMA)
+        hits = own.mapInArrow(lean(run), _SCHEMA)
         out = hits if out is None else out.unionAll(hits)
     return spark.createDataFrame([], _SCHEMA) if out is None else out
 
@@ -131,13 +133,15 @@ def _holds(items: Items):
     """A column function: whether a text holds any of the items."""
 
     @F.arrow_udf("boolean")
-    def holds(column: pa.Array) -> pa.Array:
-        hit, base = np.zeros(len(column), bool), 0
-        for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0):
-            for row, _, _ in items.search(part.column(0)):
-                hit[base + row] = True
-            base += part.num_rows
-        return pa.array(hit)
+    def holds(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            hit, base = np.zeros(len(column), bool), 0
+            for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0):
+                for row, _, _ in items.search(part.column(0)):
+                    hit[base + row] = True
+                base += part.num_rows
+            yield pa.array(hit)
+        release()
 
     return holds
 

@@ -18,20 +18,22 @@ from pyspark.sql import functions as F
 
 from . import _pretokens
 from ._bpe import Vocabulary, vocabulary
-from ._common import slices, string_buffer, table
+from ._common import Remembered, lean, slices, string_buffer, table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
-MAX_PIECES = 600_000
+#: Bytes of piece tables that a worker remembers.
+MAX_BYTES = 128 << 20
 #: The one string that the tokenizer file marks as a token of its own.
 SPECIAL = b"<|endoftext|>"
 
 
-class PieceTables(dict):
+class PieceTables(Remembered):
     """For a piece, by how much the count changes with each code point, as 16-bit integers. A bounded cache."""
 
-    def __init__(self, vocab: Vocabulary, size: int = MAX_PIECES):
-        self.vocab, self.size = vocab, size
+    def __init__(self, vocab: Vocabulary, most: int = MAX_BYTES):
+        super().__init__(most)
+        self.vocab = vocab
 
     def prefix_counts(self, piece: bytes) -> list[int]:
         """The count at each byte prefix, the empty one first."""
@@ -47,14 +49,12 @@ class PieceTables(dict):
         return count
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= self.size:
-            self.clear()
         count = self.prefix_counts(piece)
         if piece in (b"'re", b"'ve", b"'ll"):  # its first two characters are two pieces
             count[2] = 2
         ends = [i for i in range(1, len(piece) + 1) if i == len(piece) or piece[i] & 0xC0 != 0x80]
-        got = self[piece] = np.diff([count[i] for i in [0, *ends]]).astype("<i2").tobytes()
-        return got
+        got = np.diff([count[i] for i in [0, *ends]]).astype("<i2").tobytes()
+        return self.keep(piece, got, len(piece) + len(got))
 
     def total(self, piece: bytes) -> int:
         return int(np.frombuffer(self[piece], "<i2").sum(dtype=np.int64))
@@ -126,7 +126,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*counts, np.zeros(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), arrays], names=["doc_id", "prefix_tokens"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, prefix_tokens array<int>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id long, prefix_tokens array<int>")
 
 
 def tokens_of_prefix(prefix_tokens: Column, n_chars: Column | int) -> Column:
@@ -159,7 +159,7 @@ def totals(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> Data
                 cols = [part.column(0), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit), pa.array(fit, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "chars_in_limit"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chars_in_limit long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chars_in_limit long")
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:

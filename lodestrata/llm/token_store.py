@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import _pretokens
 from ._bpe import byte_letters
-from ._common import scratch_path, slices, string_buffer, table, written
+from ._common import Remembered, lean, scratch_path, slices, string_buffer, table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -33,7 +33,8 @@ MAGIC = b"LWMX0001"
 BLOCK = 512
 #: A shard is closed at this many tokens; a longer document makes a longer shard.
 SHARD_TOKENS = 1 << 21
-MAX_PIECES = 700_000
+#: Bytes of encoded pieces that a worker remembers.
+MAX_BYTES = 160 << 20
 SPECIAL = b"<|endoftext|>"
 
 
@@ -201,7 +202,7 @@ class Encoder:
         self.model = self.library.model
         letters = {b: c for c, b in byte_letters().items()}
         self.letters = [letters[b] for b in range(256)]
-        self.pieces: dict[bytes, bytes] = {}
+        self.pieces = Remembered(MAX_BYTES)
         self.bits = (self.library.get_vocab_size() - 1).bit_length()
         self.kind, self.code = ("<u2", "H") if self.bits <= 16 else ("<u4", "I")
 
@@ -216,14 +217,12 @@ class Encoder:
         """Each text's ids and the end id."""
         data, offsets = string_buffer(column)
         found, at = _pretokens.pieces(data, offsets)
-        if len(self.pieces) > MAX_PIECES:
-            self.pieces.clear()
         last = np.array([end], self.kind).tobytes()
         ids = list(map(self.pieces.get, found))
         if None in ids:
             new = {p for p, x in zip(found, ids) if x is None}
-            self.pieces.update(zip(new, map(self.piece_ids, new)))
-            ids = [self.pieces[p] if x is None else x for p, x in zip(found, ids)]
+            got = {p: self.pieces.keep(p, x, len(p) + len(x)) for p, x in zip(new, map(self.piece_ids, new))}
+            ids = [got[p] if x is None else x for p, x in zip(found, ids)]
         out = [b"".join([*ids[a:b], last]) for a, b in zip(at, at[1:])]
         if SPECIAL in (raw := data.tobytes()):
             for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
@@ -277,7 +276,7 @@ def write_shards(docs: DataFrame, where: str, path: str | None = None, end: int
     own = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     order = (F.col("doc_id"), F.xxhash64("text"))
     dealt = own.repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(dealt.mapInArrow(run, "partition long, shard long, file string, n_docs long, n_tokens long"), "manifest")
+    return written(dealt.mapInArrow(lean(run), "partition long, shard long, file string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_shards(spark, where: str, manifest: DataFrame) -> DataFrame:
@@ -296,7 +295,7 @@ def read_shards(spark, where: str, manifest: DataFrame) -> DataFrame:
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lwm").load(where).select("content")
-    rows = files.mapInArrow(run, "doc_id long, partition long, start long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(lean(run), "doc_id long, partition long, start long, n_tokens long, ids_crc32 long")
     # one row a partition of the write, so the running sum in one task stays small
     sums = manifest.groupBy("partition").agg(F.sum("n_tokens").alias("own"))
     base = sums.select("partition", (F.sum("own").over(Window.orderBy("partition")) - F.col("own")).alias("base"))

@@ -14,21 +14,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, string_buffer, table, written
+from ._common import Remembered, lean, release, slices, string_buffer, table, written
 
 #: At most about so many labelled rows are used for training, taken by hash (documented bound).
 MAX_TRAIN = 20_000
 CUT = 0.3
 MIN_TOXIC = 3
 TURNS = 3
-#: Features seen in toxic rows that are counted in the others; the bar on their support rises until they fit.
-MAX_CANDIDATES = 200_000
+#: Bytes of decoded spans, and of tokens and their forms, that a worker remembers.
+MAX_BYTES = 32 << 20
 PREFIXES = range(4, 9)
 CHANNEL = {"look-alike": -1.0, "single": -0.4, "double": -1.1}
 
@@ -77,7 +78,7 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(_SYMBOLS**3, np.int64)  # at most 28^3 rows
     for r in rows:
         out[r.gram] = r.n
@@ -89,8 +90,7 @@ class Decoder:
         c = counts.reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS).astype(float)
         back = (c.sum(0) + 0.5) / (c.sum((0, 1))[None, :] * 0 + c.sum((0, 2))[:, None] + 0.5 * _SYMBOLS)
         self.log = np.log((c + 2.0 * back[None]) / (c.sum(2, keepdims=True) + 2.0)).tolist()
-        self.known: dict[str, str] = {}
-        self.seen: dict[str, tuple[str, ...]] = {}
+        self.known, self.seen = Remembered(MAX_BYTES), Remembered(MAX_BYTES)
 
     def lattice(self, span: str) -> list[list[tuple[str, float]]]:
         """The choices for each place: letters and the channel's log probability."""
@@ -127,9 +127,7 @@ class Decoder:
                             after[x, y] = (s, text + letters)
                 best = after
             got = max(best.values())[1]
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[span] = got
+            self.known.keep(span, got, len(span) + len(got))
         return got
 
     def forms(self, token: str) -> tuple[str, ...]:
@@ -143,9 +141,7 @@ class Decoder:
                     heads = {m[0], m[0].lstrip("!|+*"), m[0].lstrip(_ENDS)}
                     parts |= {x for h in heads for x in (h, h.rstrip("!|+*"), h.rstrip(_ENDS)) if _ODD.search(x)}
             got = tuple({self.decode(x) for x in parts} - parts)
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[token] = got
+            self.seen.keep(token, got, len(token) + sum(map(len, got)))
         return got
 
     def apart(self, span: str) -> set[str]:
@@ -193,12 +189,10 @@ def related(a: str, b: str) -> bool:
     return a.startswith(b) or b.startswith(a)
 
 
-def surely(hits: int, total: int, z: float = 1.64) -> float:
-    """Lower end of the Wilson interval of a rate."""
-    if not total:
-        return 0.0
+def surely(hits, total, z: float = 1.64, root=math.sqrt):
+    """Lower end of the Wilson interval of a rate of some rows; numbers, or columns with their square root."""
     p = hits / total
-    return (p + z * z / (2 * total) - z * math.sqrt(p * (1 - p) / total + z * z / (4 * total * total))) / (1 + z * z / total)
+    return (p + z * z / (2 * total) - z * root(p * (1 - p) / total + z * z / (4 * total * total))) / (1 + z * z / total)
 
 
 class Scorer:
@@ -244,30 +238,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Decoder, Scorer]:
                     f = sorted(features(text))
                     yield pa.RecordBatch.from_arrays([pa.array([row] * len(f), pa.int64()), pa.array(f, pa.string())], names=["row", "feature"])
 
-    met = written(rows.where("toxic = 1").select("text", "row").mapInArrow(of_toxic, "row long, feature string"), "features")
-    support = written(met.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_TOXIC), "support")
-    bar = MIN_TOXIC
-    while support.where(F.col("n") >= bar).count() > MAX_CANDIDATES:
-        bar *= 2
-    hits = {r.feature: r.n for r in support.where(F.col("n") >= bar).toLocalIterator()}
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(hits))
+    met = written(rows.where("toxic = 1").select("text", "row").mapInArrow(lean(of_toxic), "row long, feature string"), "features")
+    support = met.groupBy("feature").agg(F.count("*").alias("hits")).where(F.col("hits") >= MIN_TOXIC)
 
     def of_clean(batches):
-        total, own = Counter(), wanted.value
         for batch in batches:
             for part in slices(batch, 0):
+                total = Counter()
                 for text in decoder.restored_many(part.column(0)):
-                    total.update(features(text) & own)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["feature", "n"])
-
-    false = defaultdict(int)
-    for r in rows.where("toxic = 0").select("text").mapInArrow(of_clean, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).toLocalIterator():
-        false[r.feature] = r.n
-    good = {f for f, n in hits.items() if surely(n, n + false[f]) >= 0.5}
-    # greedy cover of the toxic rows; the incidence is bounded by the training rows
+                    total.update(features(text))
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["feature", "n"])
+
+    met_too = rows.where("toxic = 0").select("text").mapInArrow(lean(of_clean), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    both = support.join(met_too, "feature", "left").select("feature", "hits", F.coalesce("n", F.lit(0)).alias("false"))
+    good = written(both.where(surely(F.col("hits"), F.col("hits") + F.col("false"), root=F.sqrt) >= 0.5), "good")
+    hits, false = {}, {}
+    for r in good.toLocalIterator():
+        hits[r.feature], false[r.feature] = r.hits, r.false
+    # greedy cover of the toxic rows; all of it is bounded by the training rows
     holders = defaultdict(set)
-    names = docs.sparkSession.createDataFrame([(f,) for f in sorted(good)], "feature string")
-    for r in met.join(names, "feature").toLocalIterator():
+    for r in met.join(good.select("feature"), "feature").toLocalIterator():
         holders[r.feature].add(r.row)
     weights: dict[str, float] = {}
     sure = {f: surely(hits[f], hits[f] + false[f], 2.6) for f in holders}
@@ -292,12 +282,14 @@ def scores(docs: DataFrame, decoder: Decoder, scorer: Scorer):
     shared = docs.sparkSession.sparkContext.broadcast((decoder, scorer))
 
     @F.arrow_udf("double")
-    def score(column: pa.Array) -> pa.Array:
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         d, s = shared.value
-        out = []
-        for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0):
-            out += [s.score(x) for x in d.restored_many(part.column(0))]
-        return pa.array(out, pa.float64())
+        for column in columns:
+            out = []
+            for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0):
+                out += [s.score(x) for x in d.restored_many(part.column(0))]
+            yield pa.array(out, pa.float64())
+        release()
 
     return score
 
