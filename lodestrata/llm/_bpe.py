@@ -6,6 +6,8 @@ import base64
 import json
 from functools import lru_cache
 
+from ._common import worker_table
+
 
 @lru_cache(1)
 def byte_letters() -> dict[str, int]:
@@ -96,6 +98,6 @@ class Vocabulary:
         return got
 
 
-@lru_cache(4)
+@worker_table
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary.load(path)

@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,10 +77,26 @@ def release() -> None:
         pass
 
 
-def lean(run):
-    """run, a function over batches, that leaves no spare memory behind in its worker."""
+_tables: dict = {}
+
+
+def worker_table(make):
+    """make, whose last two results a worker keeps for its next tasks, until tasks of another kind begin there."""
+    _tables[make.__name__] = lru_cache(2)(make)
+    return _tables[make.__name__]
+
+
+def drop_tables(but: str = "") -> None:
+    for name, f in _tables.items():
+        if name != but:
+            f.cache_clear()
+
+
+def lean(run, table: str = ""):
+    """run, a function over batches, that leaves no spare memory behind in its worker. table: the worker table that it uses."""
 
     def wrapped(batches):
+        drop_tables(table)
         try:
             yield from run(batches)
         finally:

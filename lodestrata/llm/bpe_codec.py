@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from . import _pretokens
 from ._bpe import Vocabulary, vocabulary
-from ._common import Remembered, lean, slices, string_buffer, table
+from ._common import Remembered, lean, slices, string_buffer, table, worker_table
 
 RANKS = "byte_bpe_50k.tiktoken"
 MAX_STATES = 400_000
@@ -217,12 +216,12 @@ class Codec:
             yield "".join(out).encode()
 
 
-@lru_cache(2)
+@worker_table
 def codec(path: str, max_states: int = MAX_STATES, max_bytes: int = MAX_BYTES) -> Codec:
     return Codec(path, max_states, max_bytes)
 
 
-def encoded(docs: DataFrame, path: str | None = None, max_states: int = 150_000, max_bytes: int = 48 << 20) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, max_states: int = 100_000, max_bytes: int = 48 << 20) -> DataFrame:
     """doc_id, token_ids (array<int>), text (decoded back) of every document.
 
     max_states (of bounded size) and max_bytes bound what a worker remembers, and so its memory; they change no result.
@@ -242,7 +241,7 @@ def encoded(docs: DataFrame, path: str | None = None, max_states: int = 150_000,
                 texts = pa.array([b.decode() for b in c.decoded_many(ids)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), tokens, texts], names=["doc_id", "token_ids", "text"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id long, token_ids array<int>, text string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run, "codec"), "doc_id long, token_ids array<int>, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -262,7 +261,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run, "codec"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe_codec(spark, sf_dir: str) -> DataFrame:

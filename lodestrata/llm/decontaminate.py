@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lean, release, slices, string_buffer, table, written
+from ._common import drop_tables, lean, release, slices, string_buffer, table, written
 from ._shingles import WIDTH, shingle_sets, short_hash, windows, word_hashes
 
 THRESHOLD_PERCENT = 75
@@ -134,6 +134,7 @@ def _holds(items: Items):
 
     @F.arrow_udf("boolean")
     def holds(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_tables()
         for column in columns:
             hit, base = np.zeros(len(column), bool), 0
             for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0):

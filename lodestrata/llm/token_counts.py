@@ -8,8 +8,6 @@ then look-ups. The table of a text is the running sum of the tables of its piece
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -18,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import _pretokens
 from ._bpe import Vocabulary, vocabulary
-from ._common import Remembered, lean, slices, string_buffer, table
+from ._common import Remembered, lean, slices, string_buffer, table, worker_table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -104,7 +102,7 @@ class Counter:
         return out
 
 
-@lru_cache(2)
+@worker_table
 def counter(path: str) -> Counter:
     return Counter(path)
 
@@ -126,7 +124,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
                 arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*counts, np.zeros(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([part.column(0), arrays], names=["doc_id", "prefix_tokens"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id long, prefix_tokens array<int>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run, "counter"), "doc_id long, prefix_tokens array<int>")
 
 
 def tokens_of_prefix(prefix_tokens: Column, n_chars: Column | int) -> Column:
@@ -159,7 +157,7 @@ def totals(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> Data
                 cols = [part.column(0), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit), pa.array(fit, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "chars_in_limit"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chars_in_limit long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run, "counter"), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chars_in_limit long")
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:

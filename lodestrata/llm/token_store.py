@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import _pretokens
 from ._bpe import byte_letters
-from ._common import Remembered, lean, scratch_path, slices, string_buffer, table, written
+from ._common import Remembered, lean, scratch_path, slices, string_buffer, table, worker_table, written
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -231,7 +230,7 @@ class Encoder:
         return out
 
 
-@lru_cache(2)
+@worker_table
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
@@ -276,7 +275,7 @@ def write_shards(docs: DataFrame, where: str, path: str | None = None, end: int
     own = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     order = (F.col("doc_id"), F.xxhash64("text"))
     dealt = own.repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(dealt.mapInArrow(lean(run), "partition long, shard long, file string, n_docs long, n_tokens long"), "manifest")
+    return written(dealt.mapInArrow(lean(run, "encoder"), "partition long, shard long, file string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_shards(spark, where: str, manifest: DataFrame) -> DataFrame:

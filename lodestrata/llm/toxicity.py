@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Remembered, lean, release, slices, string_buffer, table, written
+from ._common import Remembered, drop_tables, lean, release, slices, string_buffer, table, written
 
 #: At most about so many labelled rows are used for training, taken by hash (documented bound).
 MAX_TRAIN = 20_000
@@ -283,6 +283,7 @@ def scores(docs: DataFrame, decoder: Decoder, scorer: Scorer):
 
     @F.arrow_udf("double")
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        drop_tables()
         d, s = shared.value
         for column in columns:
             out = []
