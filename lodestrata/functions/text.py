@@ -131,8 +131,10 @@ def truncate_pair(a: Column, b: Column, limit: int) -> Column:
     """Both arrays cut from their ends, the longer one first, until they have `limit` together."""
     n, m = F.size(a), F.size(b)
     over = F.greatest(n + m - limit, F.lit(0))
-    from_a = F.least(over, F.greatest(F.lit(0), F.least(over, n - m) + F.ceil((over - F.least(over, F.abs(n - m))) / F.lit(2.0)).cast("int") * (n >= m).cast("int") + F.floor((over - F.least(over, F.abs(n - m))) / F.lit(2.0)).cast("int") * (n < m).cast("int")))
-    return F.struct(F.slice(a, 1, n - from_a).alias("a"), F.slice(b, 1, m - (over - from_a)).alias("b"))
+    first = F.least(over, F.abs(n - m))  # until both are equally long, only the longer one gives
+    most, least = first + F.ceil((over - first) / F.lit(2.0)).cast("int"), F.floor((over - first) / F.lit(2.0)).cast("int")
+    from_a, from_b = F.when(n >= m, most).otherwise(least), F.when(n >= m, least).otherwise(most)
+    return F.struct(F.slice(a, F.lit(1), F.greatest(n - from_a, F.lit(0))).alias("a"), F.slice(b, F.lit(1), F.greatest(m - from_b, F.lit(0))).alias("b"))
 
 
 def log_bucket(relative: Column, buckets: int, farthest: int) -> Column:
@@ -159,11 +161,18 @@ def mean_vector(df: DataFrame, groups: list[str], vector: str, mask: Column | No
 
 
 def learning_rate(step: Column, warmup: int, total: int, kind: str, base: float = 1.0) -> Column:
-    """Warm-up, then constant, linear or cosine decay."""
+    """Warm-up, then constant, linear or cosine decay, or (cyclic) four cosine waves down a falling line."""
     import math
 
     up = F.least(F.lit(1.0), (step + 1) / F.lit(float(max(1, warmup))))
     done = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (step - warmup) / F.lit(float(max(1, total - warmup)))))
+    if kind == "cyclic":
+        waves, length = 4, max(1, (total - warmup) // 4)
+        at = step - warmup
+        k = F.floor(at / F.lit(length))
+        wave = F.when(F.pmod(k, F.lit(2)) == 0, 1.0).otherwise(-1.0) * F.cos(F.lit(math.pi) * at / F.lit(float(length)))
+        down = F.greatest(F.lit(0.0), 1 - k / F.lit(float(waves)) + (wave - 1) / F.lit(2.0 * waves))
+        return F.lit(base) * F.when(step < warmup, step / F.lit(float(max(1, warmup)))).otherwise(down)
     decay = {"constant": F.lit(1.0), "linear": 1 - done, "cosine": 0.5 * (1 + F.cos(F.lit(math.pi) * done))}[kind]
     return F.lit(base) * F.when(step < warmup, up).otherwise(decay)
 

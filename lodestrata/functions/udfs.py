@@ -77,6 +77,29 @@ def hashed_ngrams(texts: list[str], size: int = 64, n: int = 3) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
 
 
+@register("length")
+def lengths(texts: list[str]) -> np.ndarray:
+    """A stand-in model: the number of code points over 1000."""
+    return np.array([len(t) / 1000 for t in texts], float)
+
+
+@register("lengths-2")
+def length_pair(texts: list[str]) -> np.ndarray:
+    """A stand-in encoder: code points and UTF-8 bytes."""
+    return np.array([[len(t), len(t.encode())] for t in texts], np.float32).reshape(-1, 2)
+
+
+def scorer(path: str, binary: bool):
+    """string -> double by the kind of model file: `.model` names a registered scorer; other kinds need a loader of their own,
+    registered under their suffix."""
+    name, _, suffix = path.rpartition("/")[2].rpartition(".")
+    if suffix == "model":
+        return predictor(lambda: REGISTRY[name], binary)
+    if f".{suffix}" in REGISTRY:
+        return predictor(lambda: REGISTRY[f".{suffix}"](path), binary)
+    raise ValueError(f"no scorer for .{suffix} files")
+
+
 def ngram_encoder():
     return encoder(lambda: hashed_ngrams)
 

@@ -100,13 +100,14 @@ def bootstrap_mean(units: DataFrame, value: str, replicates: int, seed: int) ->
     return units.agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean")).crossJoin(q).select("n", "mean", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
 
 
-def bootstrap_spearman(units: DataFrame, a: str, b: str, replicates: int, seed: int) -> DataFrame:
-    """Percentile interval of Spearman's rho, ranked anew in every replicate."""
+def bootstrap_spearman(units: DataFrame, a: str, b: str, replicates: int, seed: int, least_finite: float = 0.999) -> DataFrame:
+    """Percentile interval of Spearman's rho, ranked anew in every replicate; fails if too few have a finite one."""
     drawn = resampled(units, replicates, seed)
     ranks = drawn.select("replicate", average_rank(["replicate"], F.col(a)).alias("ra"), average_rank(["replicate"], F.col(b)).alias("rb"))
     rho = ranks.groupBy("replicate").agg(F.corr("ra", "rb").alias("rho")).where("rho is not null")
     q = rho.agg(F.count("*").alias("n_finite"), F.percentile("rho", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return q.select("n_finite", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+    enough = F.assert_true(F.col("n_finite") >= least_finite * replicates, F.lit("too few replicates have a correlation"))
+    return q.where(enough.isNull()).select("n_finite", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
 
 
 def sign_flip_p(units: DataFrame, value: str, replicates: int, seed: int) -> DataFrame:
@@ -116,3 +117,36 @@ def sign_flip_p(units: DataFrame, value: str, replicates: int, seed: int) -> Dat
     means = units.crossJoin(flips).groupBy("replicate").agg(F.abs(F.avg(sign * F.col(value))).alias("m"))
     seen = units.agg(F.abs(F.avg(value)).alias("seen"))
     return means.crossJoin(F.broadcast(seen)).agg(F.round((F.count_if(F.col("m") >= F.col("seen") - 1e-9) + 1) / (F.count("*") + 1), DIGITS).alias("p"))
+
+
+def permutation_spearman(units: DataFrame, a: str, b: str, replicates: int, seed: int, slack: float = 1e-15) -> DataFrame:
+    """rho, and the permutation p of |rho|: (1 + permutations at least as extreme) / (1 + permutations); units: i from 0, a, b.
+
+    Ranks do not change under a permutation, so they are made once. A replicate deals the ranks of b anew by a seeded order;
+    replicates are groups of their own, as large as the units.
+    """
+    ranks = units.select("i", average_rank([], F.col(a)).alias("ra"), average_rank([], F.col(b)).alias("rb"))
+    seen = ranks.agg(F.corr("ra", "rb").alias("rho"))
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("i").cast("string")))
+    slots = units.sparkSession.range(replicates).select(F.col("id").alias("replicate")).join(ranks, how="cross")
+    dealt = slots.select("replicate", "rb", (F.row_number().over(Window.partitionBy("replicate").orderBy(order, "i")) - 1).cast("long").alias("i"))
+    rho = dealt.join(ranks.select("i", "ra"), "i").groupBy("replicate").agg(F.abs(F.corr("ra", "rb")).alias("r"))
+    counts = rho.crossJoin(F.broadcast(seen)).agg(F.max("rho").alias("rho"), F.count_if(F.col("r") >= F.abs("rho") - slack).alias("extreme"), F.count("*").alias("n"))
+    return counts.select(F.round("rho", 6).alias("rho"), F.col("n").alias("n_permutations"), F.round((F.col("extreme") + 1) / (F.col("n") + 1), DIGITS).alias("p"))
+
+
+def endpoint_record(units: DataFrame, value: str, replicates: int, seed: int) -> DataFrame:
+    """One row: n, mean, median, bootstrap interval of the mean, counts of signs and their exact p; units: i from 0, value."""
+    v = F.col(value)
+    signs = units.agg(F.round(F.percentile(v, F.lit(0.5)), 6).alias("median"), F.count_if(v > 0).alias("n_pos"), F.count_if(v < 0).alias("n_neg"))
+    signs = signs.withColumn("p", F.round(sign_p(F.col("n_pos"), F.col("n_pos") + F.col("n_neg")), DIGITS))
+    return bootstrap_mean(units, value, replicates, seed).crossJoin(signs)
+
+
+def paired_bundle(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Three paired methods: Friedman's test over all, and for each contrast the exact signed-rank test with Holm's adjustment."""
+    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
+    long = df.dropna(subset=list(columns)).select(F.explode(F.array(*[F.struct(F.lit(f"{x}-{y}").alias("contrast"), F.round(F.col(x) - F.col(y), 9).alias("diff")) for x, y in pairs])).alias("c")).select("c.*")
+    tests = holm(wilcoxon(long, ["contrast"], "diff"), "p", tie="contrast")
+    whole = friedman3(df, columns).select(F.col("statistic").alias("friedman"), F.col("p").alias("friedman_p"))
+    return tests.crossJoin(F.broadcast(whole))

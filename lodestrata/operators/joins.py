@@ -153,3 +153,24 @@ def threshold_flags(similarity: Column, cuts: Sequence[float], slack: float = 1e
 def lookup(df: DataFrame, key: str, table: DataFrame, value: str, default) -> DataFrame:
     """df with a column of a dictionary (key, value), the default where the key is unknown."""
     return df.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def mismatch_rates(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """One row: the pairs found, and for each field and for any of them the share of pairs that differ (null equals null)."""
+    pairs = field_mismatches(left, right, key, fields).where(~F.array_contains("mismatches", "missing"))
+    share = lambda c: F.round(F.avg(c.cast("int")), 9)
+    return pairs.agg(F.count("*").alias("n_pairs"), *[share(F.array_contains("mismatches", f)).alias(f"rate_{f}") for f in fields], share(F.size("mismatches") > 0).alias("rate_any"))
+
+
+def brute_force_agreement(queries: DataFrame, corpus: DataFrame, nearest: DataFrame, slack: float = 1e-6) -> DataFrame:
+    """query_id, best (the largest cosine by meeting every corpus row) and whether `nearest` has it within the slack.
+
+    queries: a stated few (32, say), so they are copied to all tasks; each task keeps its best before the shuffle.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    norm = lambda df, i: df.select(i, F.col("vector").cast("array<double>").alias("v")).withColumn("v", F.transform("v", lambda x: x / F.greatest(F.sqrt(dot(F.col("v"), F.col("v"))), F.lit(1e-300))))
+    q = norm(queries, "query_id").withColumnRenamed("v", "q")
+    met = norm(corpus, "corpus_id").crossJoin(F.broadcast(q)).where("query_id <> corpus_id")
+    best = met.groupBy("query_id").agg(F.max(dot(F.col("q"), F.col("v"))).alias("best"))
+    both = best.join(nearest.select("query_id", "similarity"), "query_id", "left")
+    return both.select("query_id", F.round("best", 6).alias("best"), F.coalesce(F.abs(F.col("best") - F.col("similarity")) <= slack, F.lit(False)).alias("agrees"))

@@ -132,3 +132,34 @@ def token_f1(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     n = F.size(a) + F.size(b)
     f1 = F.when(n == 0, 1.0).otherwise(2.0 * counts(F.col(a)) / n)
     return pairs.select(key, f1.alias("f1"), (F.col(a) == F.col(b)).cast("int").alias("em")).groupBy(key).agg(_r(F.max("f1"), "f1"), F.max("em").alias("exact"))
+
+
+def macro_f1(df: DataFrame, groups: Sequence[str], label: str, predicted: Column) -> DataFrame:
+    """The mean F1 of both classes and their number of rows; a class that is neither present nor predicted has an F1 of 0."""
+    y, p = F.col(label) == 1, predicted
+    rows = df.where(F.col(label).isNotNull()).groupBy(*groups).agg(F.count("*").alias("n"), F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"))
+    f1 = lambda hit: F.coalesce(F.try_divide(2 * hit, 2 * hit + F.col("fp") + F.col("fn")), F.lit(0.0))
+    return rows.select(*groups, "n", _r((f1(F.col("tp")) + f1(F.col("tn"))) / 2, "macro_f1"))
+
+
+def choice_accuracy(df: DataFrame, group: str, option: str, score: str, right: Column) -> DataFrame:
+    """Groups of options: the share of groups whose option of the highest score (the lowest option on a tie) is right."""
+    best = df.groupBy(group).agg(F.max_by(right.cast("int"), F.struct(F.col(score), -F.col(option))).alias("hit"))
+    return best.agg(F.count("*").alias("n_groups"), _r(F.avg("hit"), "accuracy"))
+
+
+def constant_prediction(df: DataFrame, value: str, train: Column, name: str = "predicted") -> DataFrame:
+    """The median of the training rows as the prediction of every row; the one fitted row is copied to all."""
+    fit = df.agg(F.percentile(F.when(train, F.col(value)), F.lit(0.5)).alias(name))
+    return df.crossJoin(F.broadcast(fit))
+
+
+def pair_accuracy(df: DataFrame, groups: Sequence[str], label: str, score: str, band: float = 1e-5) -> DataFrame:
+    """Of all pairs of a positive and a negative of a group: how many there are, and the share won by the positive; scores
+    within the band share the point. Pairs are counted by ranges of scores and never made."""
+    one = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).withColumn("__neg", (F.col(label) == 0).cast("int"))
+    upto_ = lambda end: F.coalesce(F.expr(f"sum(__neg) over (partition by {', '.join(groups)} order by cast({score} as double) range between unbounded preceding and {end})"), F.lit(0))
+    below, upto = upto_(f"{band * (1 + 1e-9)!r}D preceding"), upto_(f"{band!r}D following")
+    rows = one.withColumn("__won", below + (upto - below) / 2)
+    sums = rows.groupBy(*groups).agg(F.count_if(F.col(label) == 1).alias("p"), F.sum("__neg").alias("q"), F.sum(F.when(F.col(label) == 1, F.col("__won"))).alias("w"))
+    return sums.select(*groups, (F.col("p") * F.col("q")).alias("n_pairs"), _r(F.try_divide(F.col("w"), F.col("p") * F.col("q")), "pair_accuracy"))

@@ -92,3 +92,16 @@ def reusable(saved: DataFrame, wanted: DataFrame, key: str, fields: Sequence[str
 
     diff = field_mismatches(wanted, saved, key, fields)
     return wanted.select(key).join(diff, key).join(saved.select(key, F.lit(True).alias("__s")), key, "left").select(key, F.when(F.col("__s").isNull(), "new").when(F.size("mismatches") == 0, "reuse").otherwise("stale").alias("state"))
+
+
+def wrapped(df: DataFrame, position: str, total: int, length: int) -> DataFrame:
+    """An epoch of `length` draws over `total` rows (position from 0): draw k is row k modulo total."""
+    draws = df.sparkSession.range(length).select(F.col("id").alias("draw"), F.pmod("id", F.lit(total)).alias(position))
+    return draws.join(df, position)
+
+
+def wrap_padded(df: DataFrame, position: str, total: int, parts: int) -> DataFrame:
+    """part and place of every row (position from 0), dealt in turn; the first row is repeated until all parts are equal."""
+    size = -(-total // parts) * parts
+    slots = df.sparkSession.range(size).select(F.col("id").alias("slot"), F.when(F.col("id") < total, F.col("id")).otherwise(F.lit(0)).alias(position))
+    return slots.join(df, position).withColumn("part", F.pmod("slot", F.lit(parts))).withColumn("place", F.floor(F.col("slot") / parts)).drop("slot")

@@ -58,9 +58,13 @@ def contradiction_free_pairs(spark, d):
     return L.without_contradictions(measurements(spark, d), KEYS).withColumn("day", F.col("day").cast("string"))
 
 
-@query("label_matrix_wide", f"""WITH {_CTE} SELECT user_id, {", ".join(f"max(label) FILTER (event_type = '{t}') AS {t}" for t in ("click", "error", "purchase"))} FROM (SELECT user_id, event_type, label FROM c WHERE day = DATE '2024-01-05') GROUP BY 1""")
+_WIDE = ", ".join(f"max(label) FILTER (event_type = '{t}') AS {t}" for t in ("click", "error", "purchase"))
+
+
+@query("label_matrix_wide", f"""WITH {_CTE}, w AS (SELECT user_id, event_type, min(label) AS label FROM m WHERE label IS NOT NULL GROUP BY ALL HAVING min(label) = max(label)) SELECT user_id, {_WIDE} FROM w GROUP BY 1""")
 def label_matrix_wide(spark, d):
-    own = L.without_contradictions(measurements(spark, d), KEYS).where("day = date'2024-01-05'")
+    """A row for each user: the labels that agree over all days."""
+    own = L.without_contradictions(measurements(spark, d), ["user_id", "event_type"])
     return L.label_matrix(own, "user_id", "event_type", "label", ["click", "error", "purchase"])
 
 
@@ -190,13 +194,13 @@ def dedup_keep_first(spark, d):
     return first.select("x.*")
 
 
-@query("first_seen_union", "WITH u AS (SELECT lower(substr(text, 1, 4)) AS head, 0 AS s, doc_id AS i FROM documents UNION ALL SELECT lower(substr(text, 1, 4)), 1, conv_id * 1000 + turn FROM conversations) SELECT head, s AS source_rank, i AS position FROM u QUALIFY row_number() OVER (PARTITION BY head ORDER BY s, i) = 1")
+@query("first_seen_union", f"WITH u AS (SELECT md5({_CANON}) AS k, 0 AS s, doc_id AS i FROM documents UNION ALL SELECT md5({_CANON}), 1, conv_id * 1000 + turn FROM conversations) SELECT k, s AS source_rank, i AS position FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY s, i) = 1")
 def first_seen_union(spark, d):
-    head = F.lower(F.substring("text", 1, 4)).alias("head")
-    a = table(spark, d, "documents").select(head, F.lit(0).alias("s"), F.col("doc_id").alias("i"))
-    b = table(spark, d, "conversations").select(head, F.lit(1).alias("s"), (F.col("conv_id") * 1000 + F.col("turn")).alias("i"))
-    return a.unionByName(b).groupBy("head").agg(F.min(F.struct("s", "i")).alias("m")).select("head", F.col("m.s").alias("source_rank"), F.col("m.i").alias("position"))
-
+    """Each whole text once over both tables, in the order of the tables and of their rows."""
+    k = F.md5(X.canonical_text(F.col("text"))).alias("k")
+    a = table(spark, d, "documents").select(k, F.lit(0).alias("s"), F.col("doc_id").alias("i"))
+    b = table(spark, d, "conversations").select(k, F.lit(1).alias("s"), (F.col("conv_id") * 1000 + F.col("turn")).alias("i"))
+    return a.unionByName(b).groupBy("k").agg(F.min(F.struct("s", "i")).alias("m")).select("k", F.col("m.s").alias("source_rank"), F.col("m.i").alias("position"))
 
 
 @query("set_compare_by_group", """WITH a AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts < TIMESTAMP '2024-01-08'), b AS (SELECT DISTINCT event_type, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-25'),

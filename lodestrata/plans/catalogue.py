@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import build, measure, split_text
+from . import build, measure, split_text, surfaces
 
-QUERIES: dict = {**build.QUERIES, **measure.QUERIES, **split_text.QUERIES}
-SQL: dict[str, str] = {**build.SQL, **measure.SQL, **split_text.SQL}
+QUERIES: dict = {**build.QUERIES, **measure.QUERIES, **split_text.QUERIES, **surfaces.QUERIES}
+SQL: dict[str, str] = {**build.SQL, **measure.SQL, **split_text.SQL, **surfaces.SQL}

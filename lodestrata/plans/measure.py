@@ -10,6 +10,7 @@ from ..operators import inference as I
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import profile as P
+from ..sources.sinks import with_position
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -323,7 +324,7 @@ _DRAW = "CAST(('0x' || substr(md5('{seed}|' || {r} || '|' || {i}), 1, 7)) AS BIG
 
 def units(spark, d):
     own = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("v"), F.count("*").cast("double").alias("c"))
-    return own.select("user_id", "v", "c", (F.row_number().over(Window.orderBy("user_id")) - 1).cast("long").alias("i"))  # a row for each unit
+    return with_position(own, "user_id", name="i")
 
 
 _SAMPLE = f"{_UNITS}, s AS (SELECT r, u.v, u.c FROM range(200) t(r), u x, u WHERE u.i = {_DRAW.format(seed=11, r='r', i='x.i')} % x.n)"

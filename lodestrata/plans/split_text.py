@@ -10,7 +10,7 @@ from ..functions import udfs as U
 from ..operators import digests as D
 from ..operators import metrics as M
 from ..operators import splits as S
-from ..sources.shared import shared_folder
+from ..sources.shared import scratch_path
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -215,11 +215,9 @@ def span_mask(spark, d):
 @query("stream_file_dedup", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def stream_file_dedup(spark, d):
     """The events as a file stream, each event once whatever the order of the files, drained into a table."""
-    import uuid
-
     from ..streaming import streams
 
-    where = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    where = scratch_path(spark, "stream")
     own = streams.file_stream(spark, f"{d}/events.parquet")
     once = streams.first_seen(own.select("event_type", "event_id"), ["event_type", "event_id"])
     streams.drain(once, f"{where}/out", f"{where}/state")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -16,3 +18,26 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table of this run; it is deleted when the process ends."""
+    path = f"{shared_folder(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+def drop_scratch() -> None:
+    while _scratch:
+        spark, path = _scratch.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may be gone
+            return
+
+
+atexit.register(drop_scratch)

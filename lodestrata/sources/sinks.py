@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import scratch_path
+
 
 def with_position(df: DataFrame, *order: Column | str, name: str = "row_index") -> DataFrame:
     """A dense 0-based row id in the given order, without putting all rows in one task.
 
-    Rows are range-partitioned and sorted; a row's id is its place in its partition plus the rows of all before.
+    Rows are range-partitioned, sorted and written once to the shared folder, so that sizes and rows come from the same
+    partitions. A row's id is its place in its partition plus the rows of all before; a partition without a size fails.
     """
+    spark = df.sparkSession
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     dealt = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__id", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("__part", F.shiftright("__id", 33)).withColumn("__in", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    path = scratch_path(spark, "positions")
+    dealt.write.parquet(path)
+    fixed = spark.read.schema(dealt.schema).parquet(path)
+    fixed = fixed.withColumn("__part", F.shiftright("__id", 33)).withColumn("__in", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = fixed.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")  # a row for each partition
-    return dealt.join(sizes.select("__part", before.alias("__before")), "__part").withColumn(name, F.col("__before") + F.col("__in")).drop("__id", "__part", "__in", "__before")
+    joined = fixed.join(sizes.select("__part", before.alias("__before")), "__part", "left")
+    found = F.assert_true(F.col("__before").isNotNull(), F.lit("a partition has no size"))
+    return joined.withColumn(name, F.when(found.isNull(), F.col("__before") + F.col("__in"))).drop("__id", "__part", "__in", "__before")
 
 
 def assign_shards(df: DataFrame, *order, val_size: int, shard_size: int, limit: int | None = None) -> DataFrame:

@@ -55,3 +55,24 @@ def upsert_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFram
 def dealt(df: DataFrame, shards: int, *keys: str) -> DataFrame:
     """Rows dealt over shards by key; the engine's tasks replace worker and rank numbers."""
     return df.repartition(shards, *keys)
+
+
+def sniffed(columns: list[str], has: str, without: str) -> str:
+    """The first column whose name holds `has` but not `without`, in any case."""
+    for c in columns:
+        if has.lower() in c.lower() and without.lower() not in c.lower():
+            return c
+    raise ValueError(f"no column holds {has!r} without {without!r}: {columns}")
+
+
+def own_shard(df: DataFrame, number: Column, workers: int, world: int, rank: int, worker: int) -> DataFrame:
+    """The rows of one worker of one rank when rows are dealt by number; for tests, since Spark deals its own tasks."""
+    return df.where(F.pmod(number, F.lit(workers * world)) == rank * workers + worker)
+
+
+def merged(parts: list[DataFrame], position: str, most: int) -> DataFrame:
+    """Partial results of all ranks in order of position, cut to `most` rows."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy(position).limit(most)

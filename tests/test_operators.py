@@ -249,3 +249,53 @@ def test_label_matrix_holds_every_day(spark, small):
     got = catalogue.QUERIES["label_matrix_by_day"](spark, small)
     n = got.selectExpr("count(click) + count(error) + count(purchase) as n", "count(distinct day) as days").first()
     assert n.n == want.count() and n.days == 30
+
+
+def test_positions_lose_no_row_however_wide(spark):
+    from lodestrata.sources import sinks
+
+    own = spark.range(200_000).select((F.col("id") * 7919 % 200_003).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 8).alias("payload"))
+    got = sinks.with_position(own, "k")
+    one = got.agg(F.count("*"), F.min("row_index"), F.max("row_index"), F.count_distinct("row_index"), F.sum(F.length("payload"))).first()
+    assert tuple(one) == (200_000, 0, 199_999, 200_000, 200_000 * 256)
+    dealt = sinks.assign_shards(own, "k", val_size=500, shard_size=1000)
+    assert dealt.where("length(payload) > 0").count() == 200_000
+
+
+def test_stream_of_many_files_out_of_order_keeps_all(spark, small, tmp_path):
+    import os
+
+    from lodestrata.plans.split_text import stream_file_dedup
+
+    events = spark.read.parquet(f"{small}/events.parquet")
+    where = tmp_path / "events.parquet"
+    events.repartitionByRange(40, F.desc("ts")).write.option("maxRecordsPerFile", 25).parquet(str(where))
+    for k, f in enumerate(sorted(where.glob("*.parquet"))):  # the latest events in the oldest files
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    got = {r.event_type: r.n for r in stream_file_dedup(spark, str(tmp_path)).collect()}
+    assert got == {r.event_type: r.n for r in events.groupBy("event_type").agg(F.count_distinct("event_id").alias("n")).collect()}
+
+
+def test_paired_bundle_is_its_parts(spark, small):
+    from lodestrata.operators import inference as I
+    from lodestrata.plans import measure, surfaces
+
+    got = {r.contrast: r for r in surfaces.paired_bundle(spark, small).collect()}
+    own = measure.differences(spark, small).groupBy("k", "s").pivot("g", ["A", "N", "R"]).agg(F.max("diff"))
+    for pair, row in got.items():
+        x, y = pair.split("-")
+        one = own.dropna().select(F.lit("c").alias("c"), F.round(F.col(x) - F.col(y), 9).alias("d"))
+        assert I.wilcoxon(one, ["c"], "d").first().p == row.p and row.p <= row.p_holm <= 1
+    assert {r.friedman_p for r in got.values()} == {I.friedman3(own, ["A", "N", "R"]).first().p}
+
+
+def test_pinned_files_and_single_files_refuse(spark, tmp_path):
+    from lodestrata.sources import exports
+
+    exports.single_file(spark.createDataFrame([("a",)], "value string"), str(tmp_path / "x" / "a.txt"), "text")
+    with pytest.raises(Exception):
+        exports.single_file(spark.createDataFrame([("b",)], "value string"), str(tmp_path / "x" / "a.txt"), "text")
+    good = "87428fc522803d31065e7bce3cf03fe475096631e5e07bbd7a0fde60c4cf25c7"  # sha256 of "a" and a line end
+    assert exports.pinned(spark, str(tmp_path / "x"), {"a.txt": good}, "*.txt").count() == 1
+    with pytest.raises(Exception):
+        exports.pinned(spark, str(tmp_path / "x"), {"a.txt": "0" * 64}, "*.txt").collect()
