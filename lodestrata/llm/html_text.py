@@ -5,8 +5,9 @@
    leave empty lines; every other block leaves one line of text.
 2. Text lengths are summed over a sliding window of WINDOW lines. Where the sum surges over the page's threshold a block of
    text begins; where the window is empty again it dives and the block ends. Text between is kept.
-3. If the page marks its article or main part, only lines inside count, so even a very short article surges. Else lines that
-   are mostly links count as empty, and the threshold is SURGE characters, or the densest window if none has as many.
+3. Lines that are mostly links count as empty, and the threshold is SURGE characters, or the densest window if none has as
+   many. Where a marked article or main part holds at least half of the text that is left, only lines inside count, and any
+   text there surges, so even a very short article is whole; a short teaser that is marked so does not hide the rest.
 """
 
 from __future__ import annotations
@@ -30,15 +31,20 @@ LINK_SHARE = 0.6
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "math", "canvas", "audio", "video"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "dialog", "menu", "button", "select", "head"}
 BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"} | BOILERPLATE
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}  # their ids name a place to go to
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Words of a class, id or role that mark a part as no article.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+#: Words that may stand beside these in a class or id; any other word makes it another thing (`related-work`).
+LAYOUT = {"area", "article", "bar", "block", "body", "bottom", "box", "button", "buttons", "center", "column", "container", "content", "first", "form", "global", "group", "head", "header", "holder", "icon", "icons", "inner", "item", "items", "last", "left", "link", "links", "list", "main", "message", "module", "outer", "page", "panel", "post", "posts", "primary", "right", "secondary", "section", "site", "slot", "thread", "top", "unit", "user", "wrap", "wrapper"}
 #: First words of marks that tell a state, as in `has-sidebar`, and not what a part is.
 STATES = {"has", "is", "no", "not", "with", "without"}
+_PARTS = MARKS | LAYOUT
 #: Elements that an opening element of another block closes.
 CLOSES = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
 _SPACE = re.compile(r"\s+")
+_DECLARATION = re.compile(r"<!\[(?!CDATA\[)[^>]*>?")
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -74,7 +80,7 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        drop = tag in RAW or tag in BOILERPLATE or tag == "header" and not self.articles or tag not in ("article", "main", "body", "html") and self.marked(attrs)
+        drop = tag in RAW or tag in BOILERPLATE or tag == "header" and not self.articles or not self.whole(tag) and self.marked(tag, attrs)
         self.open.append((tag, drop))
         self.dropped += drop
         if drop and self.dropped == 1:
@@ -113,19 +119,25 @@ class Lines(HTMLParser):
             if t == tag:
                 return
 
+    def whole(self, tag: str) -> bool:
+        """Whether this is the page or its outermost article, which no mark drops; an article within may be a comment."""
+        return tag in ("body", "html") or tag in ("article", "main") and not self.articles
+
     @staticmethod
-    def marked(attrs) -> bool:
+    def marked(tag: str, attrs) -> bool:
         for name, value in attrs:
-            if name in ("class", "id", "role") and value:
+            if name in ("class", "id", "role") and value and not (name == "id" and tag in HEADINGS):
                 for mark in value.lower().split():
                     words = _WORDS.findall(mark)
-                    if words and words[0] not in STATES and not MARKS.isdisjoint(words):
+                    if words and words[0] not in STATES and not MARKS.isdisjoint(words) and _PARTS.issuperset(words):
                         return True
         return any(name == "hidden" or name == "aria-hidden" and value == "true" for name, value in attrs)
 
 
 def page_lines(html: str) -> list[tuple[str, int, bool]]:
     p = Lines()
+    if "<![" in html:  # browsers skip such declarations up to the next >
+        html = _DECLARATION.sub(" ", html)
     try:
         p.feed(html)
         p.close_all()
@@ -163,11 +175,12 @@ def main_text(html: str | None) -> str:
     lines = page_lines(html or "")
     if not lines:
         return ""
-    if any(article and text for text, _, article in lines):
+    lengths = np.array([0 if links > LINK_SHARE * len(text) else len(text) for text, links, _ in lines])
+    inside = np.array([article for _, _, article in lines])
+    if inside.any() and 2 * lengths[inside].sum() >= lengths.sum() and any(text for text, _, article in lines if article):
         lengths = np.array([len(text) if article else 0 for text, _, article in lines])
         threshold = 1
     else:
-        lengths = np.array([0 if links > LINK_SHARE * len(text) else len(text) for text, links, _ in lines])
         sums = np.convolve(lengths, np.ones(WINDOW, np.int64))
         threshold = max(1, min(SURGE, int(sums.max(initial=0))))
     return "\n\n".join(lines[i][0] for i in np.flatnonzero(kept_lines(lengths, threshold)))

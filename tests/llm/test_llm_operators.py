@@ -107,6 +107,18 @@ def test_html_without_article_uses_density():
     assert text.startswith("Some words") and text.count("\n\n") == 1 and "item" not in text
 
 
+def test_html_marks_and_teasers():
+    text = html_text.main_text
+    long = "This sentence is long enough to count as running text of the page itself, and more follows in it."
+    assert text("<article><p>Body.</p><article class='comment'><p>Reader says.</p></article></article>") == "Body."
+    kept = "<section id='related-work'><h2 id='search'>Search</h2><h2 id='menu'>Menu</h2><p class='notice-period'>One month.</p><p class='lead search-engine'>Lead.</p></section>"
+    assert text(f"<main><h1>T</h1>{kept}</main>") == "T\n\nSearch\n\nMenu\n\nOne month.\n\nLead."
+    assert text("<main><p>a</p><div class='ad-slot'>Buy</div><div class='comments-area'>x</div><p>b</p></main>") == "a\n\nb"
+    assert text("<p>" + long + "</p><![x y]><p>" + long + "</p>") == long + "\n\n" + long
+    # a short teaser marked as an article: the windows over the whole page decide
+    assert text(f"<article><p>Teaser.</p></article><div><a href='/'>one two three four five six seven</a></div><div><a href='/'>eight</a></div><div><a>nine</a></div><div>{long}</div><div>{long}</div>").endswith(long + "\n\n" + long)
+
+
 def test_html_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<p>a"), (4, "u", "<article>x"), (4, "u", "<article>x"), (5, "u", "<"), (6, "u", "<!DOCTYPE <![ <p>b")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(9))).collect()
