@@ -21,8 +21,8 @@ from ._common import table, written
 from ._components import components
 
 THRESHOLD = 0.93
-#: Distinct vectors of a group for each pivot, and the most pivots of a group; beyond, cells are cut into chunks.
-CELL_ROWS = 8192
+#: A group of m distinct vectors has sqrt(m) / PIVOT_ROOT pivots, at most MAX_PIVOTS; beyond, cells are cut into chunks.
+PIVOT_ROOT = 4.0
 MAX_PIVOTS = 64
 CHUNK_ROWS = 4096
 BLOCK_ROWS = 1024
@@ -47,9 +47,9 @@ def valid_rows(vectors: DataFrame) -> DataFrame:
 def pivots(nodes: DataFrame) -> DataFrame:
     """label, dim, pivots (array of (number, vector)): at most MAX_PIVOTS a group, those of the smallest hashes."""
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("m"))
-    want = sizes.select("label", "dim", F.least(F.lit(MAX_PIVOTS), F.ceil(F.col("m") / CELL_ROWS)).alias("k"), (F.col("m") / CELL_ROWS).alias("r"))
+    want = sizes.select("label", "dim", F.least(F.lit(MAX_PIVOTS), F.ceil(F.sqrt("m") / PIVOT_ROOT)).alias("k"), F.col("m").alias("r"))
     # four times the wanted number is expected to pass the hash bar; the first by hash are taken, so the array stays short
-    bar = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < (F.lit(1 << 30) * F.least(F.lit(1.0), 4 * (F.col("k") + 4) / (F.col("r") * CELL_ROWS)))
+    bar = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < (F.lit(1 << 30) * F.least(F.lit(1.0), 4 * (F.col("k") + 4) / F.col("r")))
     some = nodes.join(want, ["label", "dim"]).where(bar)
     return some.groupBy("label", "dim", "k").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("node").alias("h"), "embedding"))).alias("all")).select("label", "dim", F.slice("all", 1, F.greatest(F.col("k"), F.lit(1)).cast("int")).getField("embedding").alias("pivots"))
 
@@ -88,7 +88,7 @@ class Chunk:
     """The home vectors of one chunk of a cell, met by all vectors of the cell block by block."""
 
     def __init__(self, threshold: float):
-        self.bar = threshold - 1e-15
+        self.bar = threshold
         self.ids, self.units = [], []
         self.a, self.b = [], []
 

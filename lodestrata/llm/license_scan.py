@@ -1,6 +1,6 @@
 """License scans by canonical digest: whole texts, normalised and hashed, hash-joined to the digests of known licences.
 
-The canonical form drops lines that are copyright statements, lower-cases A-Z, makes every run of punctuation and white space one space, and
+The canonical form drops lines that are copyright statements and nothing more, lower-cases A-Z, makes every run of punctuation and white space one space, and
 writes equivalent spellings one way. DataFrame functions only: nothing here runs Python on the executors.
 """
 
@@ -13,23 +13,29 @@ from ._common import table
 from .license_texts import KNOWN, SPELLINGS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that starts, after marks such as * or #, with a copyright word or sign, or that says all rights reserved. The SQL
-#: drops them all.
-_COPYRIGHT = r"(?m)^[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(?:copyright|copr\.|c\)|©|all rights reserved)[^\n]*$"
-#: Of these the copyright statements: the word is followed by more on its line, and not by a word of a licence's own sentences
-#: (where a text is wrapped, a line may start with "copyright notice" or "copyright holders"), unless a year or sign comes too.
-_STATEMENT = _COPYRIGHT.replace(
-    "copyright|",
-    r"copyrights?(?![a-z])(?:(?=[^\n]*(?:(?<!\d)(?:19|20)\d\d(?!\d)|©|\(c\)))|(?![^\S\n]*(?:\n|\z))"
-    r"(?![^\S\n]*(?:notices?|holders?|owners?|laws?|interests?|statements?|licen[cs]es?|infringements?|protections?|acts?|treaty|treaties|rights?|claims?|works?|and|or|in|is|are|to|of|as|for|that|which)(?![a-z])))|",
-)
+_MARKS = r"^[\x00-\x27\x29-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+#: Patterns of one line, in lower case. A copyright statement starts, after marks such as * or #, with the word or the sign; it
+#: has a year or sign, or the word is followed by a name and not by a word of a licence's own sentences (where a text is
+#: wrapped, a line may start with "copyright notice" or "copyright holders"). A line that says what one may do is no statement.
+_WORD = _MARKS + r"(?:copyrights?(?:[^a-z]|$)|copr\.|©)"
+_LETTER = _MARKS + r"\(c\)[^\n]*(?:19|20)[0-9][0-9]"
+_DATED = r"(?:^|[^0-9])(?:19|20)[0-9][0-9](?:[^0-9]|$)|©|\(c\)"
+_SENTENCE = _MARKS + r"copyrights?(?:[^a-z0-9]*$|[^a-z0-9]+(?:notices?|holders?|owners?|laws?|interests?|statements?|licen[cs]es?|infringements?|protections?|acts?|treaty|treaties|rights?|claims?|works?|and|or|in|is|are|to|of|as|for|that|which)(?:[^a-z]|$))"
+_CLAUSE = r"(?:^|[^a-z])(?:may|must|shall|not|permission|permitted|forbidden|prohibited|requires?|required|use|uses|using|subject|without|provided)(?:[^a-z]|$)"
+_RIGHTS = _MARKS + r"all rights reserved[^a-z0-9]*$"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©‐-―‘-”]+"
 
 
+def _is_statement(line: Column) -> Column:
+    named = line.rlike(_WORD) & (line.rlike(_DATED) | ~line.rlike(_SENTENCE)) | line.rlike(_LETTER)
+    return named & ~line.rlike(_CLAUSE) | line.rlike(_RIGHTS)
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; null is the empty text."""
     out = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    out = F.when(F.contains(out, F.lit("cop")) | F.contains(out, F.lit("c)")) | F.contains(out, F.lit("©")) | F.contains(out, F.lit("all rights")), F.regexp_replace(out, _STATEMENT, "")).otherwise(out)
+    marked = F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("copr.")) | F.contains(out, F.lit("(c)")) | F.contains(out, F.lit("©")) | F.contains(out, F.lit("all rights"))
+    out = F.when(marked, F.array_join(F.filter(F.split(out, "\n"), lambda line: ~_is_statement(line)), "\n")).otherwise(out)
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, _GAP, " ")), F.lit(" "))
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(f" {a}"), F.lit(f" {b}"))
@@ -58,7 +64,9 @@ def op10_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _sql_canonical(text: str) -> str:
     out = f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
-    out = f"regexp_replace({out}, '{_COPYRIGHT}', '', 'g')"
+    has = lambda p: f"regexp_matches(l, '{p}')"
+    statement = f"(({has(_WORD)} AND ({has(_DATED)} OR NOT {has(_SENTENCE)}) OR {has(_LETTER)}) AND NOT {has(_CLAUSE)} OR {has(_RIGHTS)})"
+    out = f"array_to_string(list_filter(string_split({out}, chr(10)), lambda l: NOT {statement}), chr(10))"
     gap = _GAP.replace("\\u00A9", "©").replace("\\u2010-\\u2015", "‐-―").replace("\\u2018-\\u201D", "‘-”")
     out = f"' ' || trim(regexp_replace({out}, '{gap}', ' ', 'g')) || ' '"
     for a, b in SPELLINGS:

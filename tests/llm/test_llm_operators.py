@@ -431,9 +431,9 @@ def test_utf8_stream_in_any_cut():
 # 9
 
 
-@pytest.mark.parametrize("cell,chunk", [(8192, 4096), (20, 7)])
+@pytest.mark.parametrize("cell,chunk", [(100.0, 4096), (4.0, 4096), (1.0, 7)])
 def test_embedding_links_against_all_pairs(spark, monkeypatch, cell, chunk):
-    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", cell)
+    monkeypatch.setattr(embedding_dedup, "PIVOT_ROOT", cell)
     monkeypatch.setattr(embedding_dedup, "CHUNK_ROWS", chunk)
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 5)
     rng = np.random.default_rng(7)
@@ -461,9 +461,26 @@ def test_embedding_links_against_all_pairs(spark, monkeypatch, cell, chunk):
     assert all(r.kept == (k == r.component_id) for k, r in got.items())
 
 
+def test_embeddings_have_several_pivots(spark, small):
+    good = embedding_dedup.valid_rows(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"))
+    nodes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("m")).select("label", F.size("embedding").alias("dim"), "node", "m", "embedding")
+    assert embedding_dedup.pivots(nodes).where("size(pivots) > 1").count() > 0
+    placed = embedding_dedup.placed(nodes, 0.93)
+    assert placed.where("home").count() == nodes.count() < placed.count()
+
+
 # 10
 
 
+def test_licences_with_more_clauses_are_others(spark):
+    """What is no copyright statement stays in the text, so the licence is not a known one."""
+    mit = dict(license_scan.KNOWN)["MIT"]
+    more = ["c) You may not use this software commercially.", "(c) The licensee pays a fee.", "All rights reserved; commercial use is forbidden.", "Copyright 2020 Someone. You may not sell it.", "© You must not copy."]
+    texts = [mit + "\n" + m for m in more] + [m + "\n" + mit for m in more] + [f"(c) 2020 Someone\n© 2021\nAll Rights Reserved.\n{mit}"]
+    got = {r.doc_id: r.license for r in license_scan.scan(docs_frame(spark, texts), license_scan.known_digests(spark)).collect()}
+    assert got == {i: None for i in range(2 * len(more))} | {2 * len(more): "MIT"}
+
+
 def test_licences_in_other_spelling(spark):
     mit = dict(license_scan.KNOWN)["MIT"]
     texts = [mit, "MIT Licence\n\nCopyright (c) 2020 Someone\n(c) 2021 Else\n\n" + mit.upper().replace("\n\n", "\n * "), mit + " more", None, "", "Copyright 2020 only", "x" * 100_000, mit.replace("sublicense", "sub-license")]
