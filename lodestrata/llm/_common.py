@@ -124,6 +124,19 @@ class Remembered(dict):
             self.held += size
         return value
 
+    def keep_all(self, new: dict[bytes, bytes]) -> None:
+        """keep for many at once."""
+        size = sum(map(len, new)) + sum(map(len, new.values())) + self.ENTRY * len(new)
+        if 8 * size > self.most:
+            for key, value in new.items():
+                self.keep(key, value, len(key) + len(value))
+            return
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        self.update(new)
+        self.held += size
+
 
 def slices(batch: pa.RecordBatch, column: int, step: int = STEP_BYTES):
     """Cut a batch at about `step` bytes of a string column; yields record batches with at least one row."""

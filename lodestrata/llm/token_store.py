@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from codecs import charmap_decode
 
 import numpy as np
 import public_tokenizers
@@ -200,7 +201,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         letters = {b: c for c, b in byte_letters().items()}
-        self.letters = [letters[b] for b in range(256)]
+        self.letters = "".join(letters[b] for b in range(256))
         self.pieces = Remembered(MAX_BYTES)
         self.bits = (self.library.get_vocab_size() - 1).bit_length()
         self.kind, self.code = ("<u2", "H") if self.bits <= 16 else ("<u4", "I")
@@ -210,7 +211,7 @@ class Encoder:
 
     def piece_ids(self, piece: bytes) -> bytes:
         """The ids of one piece by the library's model, which reads bytes as letters."""
-        return array(self.code, [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.letters))]).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(charmap_decode(piece, "strict", self.letters)[0])]).tobytes()
 
     def many(self, column: pa.Array, end: int) -> list[bytes]:
         """Each text's ids and the end id."""
@@ -219,9 +220,12 @@ class Encoder:
         last = np.array([end], self.kind).tobytes()
         ids = list(map(self.pieces.get, found))
         if None in ids:
-            new = {p for p, x in zip(found, ids) if x is None}
-            got = {p: self.pieces.keep(p, x, len(p) + len(x)) for p, x in zip(new, map(self.piece_ids, new))}
-            ids = [got[p] if x is None else x for p, x in zip(found, ids)]
+            missing = [i for i, x in enumerate(ids) if x is None]
+            new = {found[i] for i in missing}
+            got = dict(zip(new, map(self.piece_ids, new)))
+            self.pieces.keep_all(got)
+            for i in missing:
+                ids[i] = got[found[i]]
         out = [b"".join([*ids[a:b], last]) for a, b in zip(at, at[1:])]
         if SPECIAL in (raw := data.tobytes()):
             for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
