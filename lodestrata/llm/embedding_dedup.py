@@ -21,8 +21,9 @@ from ._common import table, written
 from ._components import components
 
 THRESHOLD = 0.93
-#: A group of m distinct vectors has sqrt(m) / PIVOT_ROOT pivots, at most MAX_PIVOTS; beyond, cells are cut into chunks.
-PIVOT_ROOT = 4.0
+#: A group of m distinct vectors has 1 + log2(m) / PIVOT_STEP pivots, at most MAX_PIVOTS. Far-off vectors of many dimensions
+#: border most cells, so each pivot more may cost a copy of each vector; large cells are cut into chunks.
+PIVOT_STEP = 4.0
 MAX_PIVOTS = 64
 CHUNK_ROWS = 4096
 BLOCK_ROWS = 1024
@@ -47,7 +48,7 @@ def valid_rows(vectors: DataFrame) -> DataFrame:
 def pivots(nodes: DataFrame) -> DataFrame:
     """label, dim, pivots (array of (number, vector)): at most MAX_PIVOTS a group, those of the smallest hashes."""
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("m"))
-    want = sizes.select("label", "dim", F.least(F.lit(MAX_PIVOTS), F.ceil(F.sqrt("m") / PIVOT_ROOT)).alias("k"), F.col("m").alias("r"))
+    want = sizes.select("label", "dim", F.least(F.lit(MAX_PIVOTS), 1 + F.floor(F.log2("m") / PIVOT_STEP)).alias("k"), F.col("m").alias("r"))
     # four times the wanted number is expected to pass the hash bar; the first by hash are taken, so the array stays short
     bar = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < (F.lit(1 << 30) * F.least(F.lit(1.0), 4 * (F.col("k") + 4) / F.col("r")))
     some = nodes.join(want, ["label", "dim"]).where(bar)

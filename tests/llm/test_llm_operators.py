@@ -431,9 +431,9 @@ def test_utf8_stream_in_any_cut():
 # 9
 
 
-@pytest.mark.parametrize("cell,chunk", [(100.0, 4096), (4.0, 4096), (1.0, 7)])
+@pytest.mark.parametrize("cell,chunk", [(100.0, 4096), (4.0, 4096), (0.5, 7)])
 def test_embedding_links_against_all_pairs(spark, monkeypatch, cell, chunk):
-    monkeypatch.setattr(embedding_dedup, "PIVOT_ROOT", cell)
+    monkeypatch.setattr(embedding_dedup, "PIVOT_STEP", cell)
     monkeypatch.setattr(embedding_dedup, "CHUNK_ROWS", chunk)
     monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", 5)
     rng = np.random.default_rng(7)
