@@ -3,6 +3,11 @@
 Stages, each applied to all that the one before kept: toxic documents go; of each group of near copies one document stays;
 documents that hold a benchmark item go; the rest is encoded to token ids and decoded back. Between stages the documents
 are written as Parquet in the shared folder and read again.
+
+Null, empty and blank texts are no one's copies, hold no item and no toxic word, and go through to the end as no tokens. Rows
+are judged by id and text: rows of one id with different texts each stay, of equal rows and of near copies one stays, whatever
+their ids; a row without id goes where a copy with one stays. An empty table gives an empty table. All but the last stage carry
+every column of documents along, whatever its name.
 """
 
 from __future__ import annotations
