@@ -530,6 +530,28 @@ def test_pipeline_stages(spark, small):
     assert {k: r.text for k, r in whole.items()} == {r.doc_id: r.text for r in seen.collect()}
 
 
+def test_pipeline_on_odd_rows(spark, small, tmp_path):
+    import corpus_pipeline as p
+
+    a, b = "one two three four five six seven eight", "some other words stand in this text here"
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    rows = [(1, a), (1, a), (5, a), (5, b), (None, a), (None, "a text of its own without any id"), (8, None), (9, ""), (10, " \n"), (None, None), (11, "so " + item + " and on")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_shingles int, score double, stays string"
+    docs = spark.createDataFrame([(*r, "en", "s", 1, 2, 0.5, "x") for r in rows], schema)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r.doc_id, r.text) for r in p.run(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(1, a), (5, b), (None, rows[5][1]), (8, ""), (9, ""), (10, " \n"), (None, "")], key=repr)
+    seen = docs
+    for _, stage in p.STAGES[:-1]:
+        seen = stage(spark, seen, str(tmp_path))
+        assert seen.columns == docs.columns
+    empty = docs.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == []
+
+
 def test_shingles_do_not_depend_on_the_batch():
     texts = ["a b c d e f", "x", None, "A b c d e f g"]
     one = [s.tolist() for s in shingle_sets(pa.array(texts))]
