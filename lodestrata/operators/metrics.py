@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import prefix_sums, value_ranks
+
 DIGITS = 6
 
 
@@ -28,16 +30,15 @@ def _by_score(df: DataFrame, groups: Sequence[str], label: str, score: str) -> D
 
 def auroc(df: DataFrame, groups: Sequence[str], label: str, score: str) -> DataFrame:
     """Rank statistic with ties counted half; null if a class is empty."""
-    below = Window.partitionBy(*groups).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    rows = _by_score(df, groups, label, score).withColumn("under", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    rows = prefix_sums(_by_score(df, groups, label, score), groups, ["s"], {"under": "q"})
     sums = rows.groupBy(*groups).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("under") + F.col("q") / F.lit(2.0))).alias("u"))
     return sums.select(*groups, "n_pos", "n_neg", _r(F.try_divide(F.col("u"), F.col("n_pos").cast("double") * F.col("n_neg")), "auroc"))
 
 
 def average_precision(df: DataFrame, groups: Sequence[str], label: str, score: str) -> DataFrame:
     """Sum over distinct thresholds of the recall gained times the precision there; null without positives."""
-    down = Window.partitionBy(*groups).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = _by_score(df, groups, label, score).withColumn("tp", F.sum("p").over(down)).withColumn("all", F.sum(F.col("p") + F.col("q")).over(down))
+    rows = prefix_sums(_by_score(df, groups, label, score), groups, [F.desc("s")], {"tp": "p", "fp": "q"})
+    rows = rows.withColumn("tp", F.col("tp") + F.col("p")).withColumn("all", F.col("tp") + F.col("fp") + F.col("q"))
     sums = rows.groupBy(*groups).agg(F.sum("p").alias("n_pos"), F.sum(F.col("p") * F.col("tp") / F.col("all")).alias("a"))
     return sums.select(*groups, "n_pos", _r(F.try_divide(F.col("a"), F.col("n_pos")), "auprc"))
 
@@ -48,9 +49,28 @@ def average_rank(partition: Sequence[str], value: Column) -> Column:
 
 
 def spearman(df: DataFrame, groups: Sequence[str], a: str, b: str) -> DataFrame:
-    own = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = own.select(*groups, average_rank(groups, F.col(a)).alias("ra"), average_rank(groups, F.col(b)).alias("rb"))
-    return ranked.groupBy(*groups).agg(F.count("*").alias("n"), _r(F.corr("ra", "rb"), "rho"))
+    """Correlation of average ranks, null if one side is constant. Rows are counted by (a, b) before the shuffle, and ranks are
+    found over distinct values, by parts of a group."""
+    own = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*groups, F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count("*").alias("__n"))
+    sizes = own.groupBy(*groups).agg(F.sum("__n").alias("__size"))
+    own = _with_group(own, sizes, groups, [])
+    for side in ("__a", "__b"):
+        ranks = value_ranks(own, groups, side, "__n").withColumnRenamed("rank", f"{side}_rank")
+        own = _with_group(own, ranks, groups, [side])
+    # the mean of a group's ranks is (size + 1) / 2
+    n, da, db = F.col("__n"), *(F.col(f"{side}_rank") - (F.col("__size") + 1) / F.lit(2.0) for side in ("__a", "__b"))
+    sums = own.groupBy(*groups).agg(F.sum(n).alias("n"), F.sum(n * da * db).alias("ab"), F.sum(n * da * da).alias("aa"), F.sum(n * db * db).alias("bb"))
+    return sums.select(*groups, "n", _r(F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")), "rho"))
+
+
+def _with_group(df: DataFrame, values: DataFrame, groups: Sequence[str], also: Sequence[str]) -> DataFrame:
+    """df with the other columns of `values`, which has a row for each group (null is a group) and the columns `also`."""
+    keys = [*groups, *also]
+    named = values.select(*[F.col(k).alias(f"__of_{k}") for k in keys], *[c for c in values.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    return df.join(named, same).drop(*[f"__of_{k}" for k in keys])
 
 
 def _rates(groups: Sequence[str]) -> list[Column]:

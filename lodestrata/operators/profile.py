@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import prefix_sums
+
 DIGITS = 6
 
 
@@ -91,8 +93,10 @@ def dispersion(df: DataFrame, keys: Sequence[str], value: str, digits: int = DIG
 
 def smallest_quarter(df: DataFrame, group: str, *order: str) -> DataFrame:
     """Rows with `subset`: `small` for the first floor(n/4) of the group in order, else `rest`."""
-    w = Window.partitionBy(group)
-    return df.withColumn("__r", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count("*").over(w)).withColumn("subset", F.when(F.col("__r") <= F.floor(F.col("__n") / 4), "small").otherwise("rest")).drop("__r", "__n")
+    rows = prefix_sums(df.withColumn("__one", F.lit(1)), [group], order, {"__r": "__one"})
+    sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    both = rows.join(sizes, F.col(group).eqNullSafe(F.col("__g")))
+    return both.withColumn("subset", F.when(F.col("__r") < F.floor(F.col("__n") / 4), "small").otherwise("rest")).drop("__r", "__n", "__g", "__one")
 
 
 def best_by(df: DataFrame, keys: Sequence[str], metric: str, name: str, largest: bool = False) -> DataFrame:

@@ -1,5 +1,7 @@
 """Small frames with known answers."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from lodestrata.operators import labels as L
 from lodestrata.operators import metrics as M
 from lodestrata.operators import profile as P
 from lodestrata.operators import splits as S
+from lodestrata.operators.ordered import prefix_sums
 from lodestrata.sources import sinks
 from lodestrata.sources import tables as T
 
@@ -116,6 +119,30 @@ def test_nearest_by_cosine_ties_to_the_lowest_id(spark):
     assert (r.corpus_id, r.similarity) == (4, 1.0)
 
 
+def test_prefix_sums_over_many_partitions(spark):
+    rows = [("big" if i % 3 else None, i % 50, i) for i in range(3000)] + [("one", 1, 5)]
+    df = spark.createDataFrame(rows, "g string, k int, w int").repartition(7)
+    own = df.groupBy("g", "k").agg(F.sum("w").alias("w"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.g, r.k): r.u for r in prefix_sums(own, ["g"], [F.desc("k")], {"u": "w"}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(g, k): sum(w for h, j, w in rows if h == g and j > k) for g, k, _ in rows}
+    assert prefix_sums(own.limit(0), ["g"], ["k"], {"u": "w"}).count() == 0
+
+
+def test_spearman_by_counts(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(a), float(a + b)) for g in ("x", None) for a, b in rng.integers(0, 9, (400, 2)).tolist()]
+    df = spark.createDataFrame(rows + [("flat", 1.0, float(i)) for i in range(5)] + [("x", None, 1.0)], "g string, a double, b double")
+    want = {}
+    for g in ("x", None):
+        a, b = (pd.Series([r[i] for r in rows if r[0] == g]).rank() for i in (1, 2))
+        want[g] = (400, round(float(np.corrcoef(a, b)[0, 1]), 6))
+    assert {r.g: (r.n, r.rho) for r in M.spearman(df, ["g"], "a", "b").collect()} == want | {"flat": (5, None)}
+
+
 def test_one_class_group_has_no_auroc(spark):
     df = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.1), ("b", 0, 0.1)], "g string, y int, p double")
     assert {r.g: r.auroc for r in M.auroc(df, ["g"], "y", "p").collect()} == {"a": None, "b": 0.5}
