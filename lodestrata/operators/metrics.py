@@ -52,11 +52,10 @@ def spearman(df: DataFrame, groups: Sequence[str], a: str, b: str) -> DataFrame:
     """Correlation of average ranks, null if one side is constant. Rows are counted by (a, b) before the shuffle, and ranks are
     found over distinct values, by parts of a group."""
     own = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*groups, F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count("*").alias("__n"))
-    sizes = own.groupBy(*groups).agg(F.sum("__n").alias("__size"))
-    own = _with_group(own, sizes, groups, [])
-    for side in ("__a", "__b"):
-        ranks = value_ranks(own, groups, side, "__n").withColumnRenamed("rank", f"{side}_rank")
-        own = _with_group(own, ranks, groups, [side])
+    ranks = {side: value_ranks(own, groups, side, "__n").withColumnRenamed("rank", f"{side}_rank") for side in ("__a", "__b")}
+    own = _with_group(own, own.groupBy(*groups).agg(F.sum("__n").alias("__size")), groups, [])
+    for side in ranks:
+        own = _with_group(own, ranks[side], groups, [side])
     # the mean of a group's ranks is (size + 1) / 2
     n, da, db = F.col("__n"), *(F.col(f"{side}_rank") - (F.col("__size") + 1) / F.lit(2.0) for side in ("__a", "__b"))
     sums = own.groupBy(*groups).agg(F.sum(n).alias("n"), F.sum(n * da * db).alias("ab"), F.sum(n * da * da).alias("aa"), F.sum(n * db * db).alias("bb"))
