@@ -12,6 +12,7 @@ each document in tokens (uint64); zeros of each plane (uint64); for each plane i
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
 from array import array
 from codecs import charmap_decode
@@ -174,6 +175,12 @@ class Shard:
         return cls([None if x else int(d) for d, x in zip(ids, null)], ends.astype(np.int64), WaveletMatrix(n, zeros, planes, ones), partition, number, before)
 
 
+def full_path(spark, path: str) -> str:
+    """The path with its scheme, as Spark reads it: tasks must not take one without a scheme for a folder of their own disk."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def put(path: str, content: bytes) -> None:
     """Write a file whole: under another name first, so a lost or repeated task leaves no half file."""
     from pyarrow import fs
@@ -184,7 +191,7 @@ def put(path: str, content: bytes) -> None:
         store = fs.LocalFileSystem()
     else:
         store, path = fs.FileSystem.from_uri(path)
-    own = f"{path}.{os.getpid()}.tmp"
+    own = f"{path}.{uuid.uuid4().hex}.tmp"
     store.create_dir(os.path.dirname(path), recursive=True)
     with store.open_output_stream(own) as f:
         f.write(content)
@@ -246,6 +253,7 @@ def write_shards(docs: DataFrame, where: str, path: str | None = None, end: int
     of their text, and null ids come first. Null and empty texts have the end id only. An empty table writes no file.
     """
     path = path or public_tokenizers.path(TOKENIZER)
+    where = full_path(docs.sparkSession, where)
 
     def run(batches):
         e, partition = encoder(path), TaskContext.get().partitionId()
@@ -292,17 +300,18 @@ def read_shards(spark, where: str, manifest: DataFrame) -> DataFrame:
                 values = s.matrix.values().astype("<u4")
                 starts = np.concatenate([[0], s.ends[:-1]]).astype(np.int64)
                 sums = [zlib.crc32(values[a:b]) for a, b in zip(starts.tolist(), s.ends.tolist())]
-                cols = [pa.array(s.doc_ids, pa.int64()), pa.array(np.full(len(sums), s.partition, np.int64)), pa.array(starts + s.before), pa.array(s.ends - starts), pa.array(sums, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "partition", "start", "n_tokens", "ids_crc32"])
+                cols = [pa.array(s.doc_ids, pa.int64()), pa.array(np.full(len(sums), s.partition, np.int64)), pa.array(np.full(len(sums), s.number, np.int64)), pa.array(starts + s.before), pa.array(s.ends - starts), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "partition", "shard", "start", "n_tokens", "ids_crc32"])
 
     if manifest.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lwm").load(where).select("content")
-    rows = files.mapInArrow(lean(run), "doc_id long, partition long, start long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(lean(run), "doc_id long, partition long, shard long, start long, n_tokens long, ids_crc32 long")
     # one row a partition of the write, so the running sum in one task stays small
     sums = manifest.groupBy("partition").agg(F.sum("n_tokens").alias("own"))
     base = sums.select("partition", (F.sum("own").over(Window.orderBy("partition")) - F.col("own")).alias("base"))
-    return rows.join(base, "partition").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    # by shard, so a file that only a failed attempt has written is left out
+    return rows.join(manifest.join(base, "partition").select("partition", "shard", "base"), ["partition", "shard"]).select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op7_token_store(spark, sf_dir: str) -> DataFrame:
