@@ -1,11 +1,11 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 A test item is short and a document long, so their Jaccard similarity is tiny and containment of the item is what counts.
-Items are partitioned by the size of their shingle set into classes [2^(c-1), 2^c). An item's signature is its smallest
-hashes under one random order, as many as any item of its class may miss at the threshold, plus one: an item that is
-contained keeps at least one of them in the document. Documents probe the signatures of all classes; pairs that share a
-minimum are verified on the whole sets. So the search loses nothing, documents are not shuffled, and items come in blocks
-of bounded size.
+Items are partitioned by the size of their shingle set into classes [2^(c-1), 2^c), each with an index of its own. An item's
+signature is its smallest hashes under one random order, as many as any item of its class may miss at the threshold, plus
+one: an item that is contained keeps at least one of them in the document. A document's signature for a class is all its
+hashes up to the largest minimum of the class. Signatures that share a minimum make a pair, which is verified on the whole
+sets. So the search loses nothing, documents are not shuffled, and items come in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -37,39 +37,56 @@ def signature_length(size: int, percent: int) -> int:
     return min(size, top - needed(top, percent) + 1)
 
 
-class Items:
-    """A block of test items: their sets, and an index from minima to items."""
+class SizeClass:
+    """The items of one size class: an index from their minima to them, and the bar under which documents keep hashes."""
 
-    def __init__(self, ids: list[int | None], sets: list[np.ndarray], percent: int):
-        self.ids, self.sets, self.percent = ids, sets, percent
-        minima = [s[: signature_length(len(s), percent)] for s in sets]
-        keys = np.concatenate([*minima, np.zeros(0, np.uint64)])
+    def __init__(self, items: list[int], minima: list[np.ndarray]):
+        keys = np.concatenate(minima)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        self.of = np.repeat(np.arange(len(sets)), [len(m) for m in minima])[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self.keys >> np.uint64(44)] = True
+        self.of = np.repeat(items, [len(m) for m in minima])[order]
+        self.bar = self.keys[-1]
+        bits = max(10, (4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[self.keys >> self.shift] = True
 
     def candidates(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in hashes, item) wherever a hash is a minimum of an item."""
-        at = np.flatnonzero(self.seen[hashes >> np.uint64(44)])
+        """(position in hashes, item) wherever a hash of the signature is a minimum of an item."""
+        signature = np.flatnonzero(hashes <= self.bar)
+        at = signature[self.seen[hashes[signature] >> self.shift]]
         low, high = np.searchsorted(self.keys, hashes[at], "left"), np.searchsorted(self.keys, hashes[at], "right")
         n = high - low
         first = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else low
         return np.repeat(at, n), self.of[first + np.arange(n.sum())]
 
+
+class Items:
+    """A block of test items: their sets, and an index for each size class."""
+
+    def __init__(self, ids: list[int | None], sets: list[np.ndarray], percent: int):
+        self.ids, self.sets, self.percent = ids, sets, percent
+        members: dict[int, list[int]] = {}
+        for k, s in enumerate(sets):
+            members.setdefault(len(s).bit_length(), []).append(k)
+        self.classes = {c: SizeClass(ks, [sets[k][: signature_length(len(sets[k]), percent)] for k in ks]) for c, ks in sorted(members.items())}
+
     def search(self, column: pa.Array):
         """(row, item, shared shingles) of each text and each item that it contains."""
         data, offsets = string_buffer(column)
         words, at = word_hashes(data, offsets)
-        hashes, owner = windows(words, at), None
-        pos, item = self.candidates(hashes)
-        owner = np.searchsorted(at, pos, "right") - 1
-        whole = pos + WIDTH <= at[owner + 1]
-        pairs = set(zip(owner[whole].tolist(), item[whole].tolist()))
+        hashes = windows(words, at)
+        pairs: set[tuple[int, int]] = set()
+        for size_class in self.classes.values():
+            pos, item = size_class.candidates(hashes)
+            owner = np.searchsorted(at, pos, "right") - 1
+            whole = pos + WIDTH <= at[owner + 1]
+            pairs.update(zip(owner[whole].tolist(), item[whole].tolist()))
         count = np.diff(at)
-        for row in np.flatnonzero((count > 0) & (count < WIDTH)).tolist():
-            pairs.update((row, k) for k in self.candidates(short_hash(words[at[row] : at[row + 1]]))[1].tolist())
+        short = np.flatnonzero((count > 0) & (count < WIDTH))
+        if len(short) and 1 in self.classes:  # one shingle, which only items of one shingle can share
+            pos, item = self.classes[1].candidates(np.concatenate([short_hash(words[at[row] : at[row + 1]]) for row in short.tolist()]))
+            pairs.update(zip(short[pos].tolist(), item.tolist()))
         got, row_set = None, None
         for row, k in sorted(pairs):
             if row != got:
