@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import prefix_sums, value_ranks
+from .ordered import percentiles, prefix_sums, value_ranks
 
 DIGITS = 6
 
@@ -139,7 +139,7 @@ def standardised(df: DataFrame, value: str, train: Column, name: str = "z") -> D
 
 def imputed(df: DataFrame, value: str, train: Column) -> DataFrame:
     """Nulls become the exact median of the training rows."""
-    fit = df.agg(F.percentile(F.when(train, F.col(value)), F.lit(0.5)).alias("__m"))
+    fit = percentiles(df.where(train), [], value, (0.5,)).select(F.col("q")[0].alias("__m"))
     return df.crossJoin(F.broadcast(fit)).withColumn(value, F.coalesce(value, "__m")).drop("__m")
 
 
@@ -169,7 +169,7 @@ def choice_accuracy(df: DataFrame, group: str, option: str, score: str, right: C
 
 def constant_prediction(df: DataFrame, value: str, train: Column, name: str = "predicted") -> DataFrame:
     """The median of the training rows as the prediction of every row; the one fitted row is copied to all."""
-    fit = df.agg(F.percentile(F.when(train, F.col(value)), F.lit(0.5)).alias(name))
+    fit = percentiles(df.where(train), [], value, (0.5,)).select(F.col("q")[0].alias(name))
     return df.crossJoin(F.broadcast(fit))
 
 

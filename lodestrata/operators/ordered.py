@@ -42,3 +42,27 @@ def value_ranks(df: DataFrame, groups: Sequence[str], value: str, count: str) ->
     """groups, value and rank: of rows that stand for `count` equal ones each, the 1-based rank of each value, ties averaged."""
     own = df.groupBy(*groups, value).agg(F.sum(count).alias("__c"))
     return prefix_sums(own, groups, [value], {"__under": "__c"}).select(*groups, value, (F.col("__under") + (F.col("__c") + 1) / F.lit(2.0)).alias("rank"))
+
+
+def percentiles(df: DataFrame, groups: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """groups, n and q: the number of values that are not null and their exact percentiles, interpolated, as an array.
+
+    Equal values are counted before the shuffle and ranked by parts. Without groups there is one row, of nulls if there is no
+    value; a group without values has no row.
+    """
+    own = df.select(*groups, F.col(value).cast("double").alias("__v")).where("__v is not null").groupBy(*groups, "__v").agg(F.count("*").alias("__c"))
+    rows = prefix_sums(own, groups, ["__v"], {"__under": "__c"})
+    size = rows.groupBy(*[F.col(g).alias(f"__group_{g}") for g in groups]).agg(F.max(F.col("__under") + F.col("__c")).alias("__n"))
+    same = F.lit(True)
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"__group_{g}"))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("__under") <= place) & (place < F.col("__under") + F.col("__c")), F.col("__v")))
+
+    places = [(F.col("__n") - 1) * F.lit(float(x)) for x in shares]
+    ends = [c.alias(f"__{side}{i}") for i, x in enumerate(places) for side, c in (("low", at(F.floor(x))), ("high", at(F.ceil(x))))]
+    found = rows.join(size, same).groupBy(*groups).agg(F.max("__n").alias("n"), *ends)
+    n = F.col("n") - 1
+    part = [n * F.lit(float(x)) - F.floor(n * F.lit(float(x))) for x in shares]
+    return found.select(*groups, "n", F.array(*[F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * w for i, w in enumerate(part)]).alias("q"))

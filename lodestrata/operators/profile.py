@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import prefix_sums
+from .ordered import percentiles, prefix_sums
 
 DIGITS = 6
 
@@ -21,8 +21,11 @@ def finite(value: Column) -> Column:
 def summary(df: DataFrame, value: str, groups: Sequence[str] = (), digits: int = DIGITS) -> DataFrame:
     """n, min, q05, q25, median, q75, q95, max, mean, sd (population) of the finite values; n 0 and nulls if there are none."""
     v = finite(F.col(value))
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    rows = df.groupBy(*groups).agg(F.count(v).alias("n"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"))
+    q = percentiles(df.withColumn("__value", v), groups, "__value", (0.05, 0.25, 0.5, 0.75, 0.95)).select(*[F.col(g).alias(f"__of_{g}") for g in groups], "q")
+    same = F.lit(True)
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    rows = df.groupBy(*groups).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd")).join(q, same, "left")
     r = lambda c, name: F.round(c, digits).alias(name)
     names = ("q05", "q25", "median", "q75", "q95")
     return rows.select(*groups, "n", r(F.col("min"), "min"), *[r(F.col("q")[i], x) for i, x in enumerate(names)], r(F.col("max"), "max"), r(F.col("mean"), "mean"), r(F.col("sd"), "sd"))

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from ..sources.shared import scratch_path
+from .ordered import prefix_sums
 
 
 def hash_order(seed: int, key: Column) -> Column:
@@ -38,31 +43,67 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.conv(F.substring(F.md5(F.col(group).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
 
 
+#: So many groups are placed one after the other by one task; more are first placed by runs.
+FOLD_GROUPS = 1 << 16
+
+
+def _filled(rows: DataFrame, room: float) -> DataFrame:
+    """rows (first, then: their order; n) with `taken`: in order, each that still fits in the room is taken.
+
+    A run of rows is taken at once, up to the first that does not fit after it, by running totals; what is then too big for
+    the room left is refused at once. When few rows are left one task places them.
+    """
+    used, rest, out = 0, rows, []
+    while True:
+        fits = F.col("n") + F.lit(used) <= F.lit(room)
+        out.append(rest.where(~fits).withColumn("taken", F.lit(False)))
+        rest = rest.where(fits)
+        if rest.count() <= FOLD_GROUPS:
+            break
+        path = scratch_path(rows.sparkSession, "fill")
+        prefix_sums(rest, [], ["first", "then"], {"before": "n"}).write.parquet(path)
+        run = rows.sparkSession.read.parquet(path)
+        stop = run.where(F.col("before") + F.col("n") + F.lit(used) > F.lit(room)).agg(F.min(F.struct("first", "then", "before")).alias("s")).select("s.*").first()
+        if stop.before is None:
+            out.append(run.drop("before").withColumn("taken", F.lit(True)))
+            rest = rest.limit(0)
+            break
+        earlier = (F.col("first") < stop.first) | ((F.col("first") == stop.first) & (F.col("then") < stop.then))
+        out.append(run.where(earlier).drop("before").withColumn("taken", F.lit(True)))
+        rest, used = run.where(~earlier).drop("before"), used + stop.before
+
+    def place(batches):
+        import pyarrow as pa
+
+        total = used
+        for batch in batches:
+            taken = []
+            for n in batch.column("n").to_pylist():
+                taken.append(total + n <= room)
+                total += n * taken[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], names=[*batch.schema.names, "taken"])
+
+    schema = StructType([*rows.schema.fields, StructField("taken", BooleanType())])
+    out.append(rest.repartition(1).sortWithinPartitions("first", "then").mapInArrow(place, schema))
+    return reduce(DataFrame.unionByName, out)
+
+
 def greedy_split(df: DataFrame, group: str, shares: tuple[float, float] = (0.8, 0.1), seed: int | None = None, big_first: bool = True) -> DataFrame:
     """group, n, part: groups fill train, then valid, where they still fit, else test.
 
     Order: big_first puts groups over half of the valid or test room first, then the rest, each in seeded order; without it
-    groups go by falling size. One fold over the list of groups: its length is the number of groups, not of rows.
+    groups go by falling size. Null is a group too.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    half = F.least(F.lit(shares[1]), F.lit(1 - shares[0] - shares[1])) * F.col("total") / 2
-    order = F.struct((F.col("n") <= half).cast("int").alias("o1"), hash_order(seed or 0, F.col(group)).alias("o2")) if big_first else F.struct((-F.col("n")).alias("o1"), hash_order(seed or 0, F.col(group)).alias("o2"))
-    listed = sizes.crossJoin(sizes.agg(F.sum("n").alias("total"))).select("total", F.struct(order.alias("o"), F.col(group).alias("g"), F.col("n").alias("n")).alias("s")).groupBy("total").agg(F.sort_array(F.collect_list("s")).alias("all"))
-    part = lambda acc, s: F.when(acc.train + s.n <= F.lit(shares[0]) * acc.total, "train").when(acc.valid + s.n <= F.lit(shares[1]) * acc.total, "valid").otherwise("test")
-    empty = F.expr(f"cast(array() as array<struct<g:{dict(df.dtypes)[group]},n:bigint,part:string>>)")
-    start = F.struct(F.lit(0).cast("long").alias("train"), F.lit(0).cast("long").alias("valid"), F.col("total"), empty.alias("out"))
-
-    def step(acc, s):
-        p = part(acc, s)
-        return F.struct(
-            (acc.train + F.when(p == "train", s.n).otherwise(0)).alias("train"),
-            (acc.valid + F.when(p == "valid", s.n).otherwise(0)).alias("valid"),
-            acc.total.alias("total"),
-            F.array_append(acc.out, F.struct(s.g.alias("g"), s.n.alias("n"), p.alias("part"))).alias("out"),
-        )
-
-    done = listed.select(F.inline(F.aggregate("all", start, step, lambda acc: acc.out)))
-    return done.select(F.col("g").alias(group), "n", "part")
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "groups")
+    df.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("n")).withColumn("then", F.coalesce(hash_order(seed or 0, F.col("group")), F.lit(""))).write.parquet(path)
+    sizes = spark.read.parquet(path)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    half = min(shares[1], 1 - shares[0] - shares[1]) * total / 2
+    rows = sizes.withColumn("first", (F.col("n") <= F.lit(half)).cast("long") if big_first else -F.col("n"))
+    train = _filled(rows, shares[0] * total)
+    valid = _filled(train.where("not taken").drop("taken"), shares[1] * total)
+    parts = train.where("taken").withColumn("part", F.lit("train")).drop("taken").unionByName(valid.withColumn("part", F.when(F.col("taken"), "valid").otherwise("test")).drop("taken"))
+    return parts.select(F.col("group").alias(group), "n", "part")
 
 
 def straddling(df: DataFrame, part: str, keys: Sequence[str]) -> DataFrame:

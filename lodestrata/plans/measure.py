@@ -10,6 +10,7 @@ from ..operators import inference as I
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import profile as P
+from ..operators.ordered import percentiles
 from ..sources.sinks import with_position
 from ..sources.tables import table
 
@@ -55,7 +56,7 @@ def select_by_validation(spark, d):
 @query("smallest_quartile", "WITH r AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, CASE WHEN r <= floor(n / 4) THEN 'small' ELSE 'rest' END AS subset, count(*) AS n, median(n_chars) AS median FROM r GROUP BY ALL")
 def smallest_quartile(spark, d):
     own = P.smallest_quarter(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "n_chars", "doc_id")
-    return own.groupBy("source", "subset").agg(F.count("*").alias("n"), F.percentile("n_chars", F.lit(0.5)).alias("median"))
+    return percentiles(own, ["source", "subset"], "n_chars", (0.5,)).select("source", "subset", "n", F.col("q")[0].alias("median"))
 
 
 @query("size_audit", "SELECT coalesce(source, '*') AS source, count(*) AS n_rows, count(*) FILTER (s > 0) AS n_valid, count(*) FILTER (NOT s > 0) AS n_invalid, count(*) FILTER (s BETWEEN 1 AND 2000) AS n_within, count(*) FILTER (s > 2000) AS n_over, max(s) FILTER (s > 0) AS max_size FROM (SELECT source, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS s FROM documents) GROUP BY ROLLUP (source)")

@@ -1,5 +1,7 @@
 """Small frames with known answers."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -14,7 +16,7 @@ from lodestrata.operators import labels as L
 from lodestrata.operators import metrics as M
 from lodestrata.operators import profile as P
 from lodestrata.operators import splits as S
-from lodestrata.operators.ordered import prefix_sums
+from lodestrata.operators.ordered import percentiles, prefix_sums
 from lodestrata.sources import sinks
 from lodestrata.sources import tables as T
 
@@ -86,6 +88,38 @@ def test_greedy_split_lets_a_later_small_group_in(spark):
     assert got == {"a": "train", "b": "test", "c": "train"}
 
 
+@pytest.mark.parametrize("big_first", [True, False])
+def test_greedy_split_by_runs_equals_one_after_the_other(spark, monkeypatch, big_first):
+    rng = np.random.default_rng(3)
+    sizes = {f"g{i}": int(n) for i, n in enumerate([*rng.geometric(0.2, 120), 90, 60])}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)] + [(None,)] * 3, "g string")
+    whole = {r.g: (r.n, r.part) for r in S.greedy_split(df, "g", seed=5, big_first=big_first).collect()}
+    total, used, want = sum(sizes.values()) + 3, {"train": 0, "valid": 0}, {}
+    half = min(0.1, 1 - 0.8 - 0.1) * total / 2
+    order = lambda g: ((whole[g][0] <= half) if big_first else -whole[g][0], "" if g is None else hashlib.md5(f"5|{g}".encode()).hexdigest())
+    for g in sorted(whole, key=order):
+        n = whole[g][0]
+        part = "train" if used["train"] + n <= 0.8 * total else "valid" if used["valid"] + n <= 0.1 * total else "test"
+        used[part] = used.get(part, 0) + n
+        want[g] = (n, part)
+    assert whole == want and {g: n for g, (n, _) in whole.items()} == sizes | {None: 3}
+    monkeypatch.setattr(S, "FOLD_GROUPS", 3)
+    assert {r.g: (r.n, r.part) for r in S.greedy_split(df, "g", seed=5, big_first=big_first).collect()} == want
+
+
+def test_percentiles_by_parts(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v)) for g, n in (("a", 501), ("b", 2), ("c", 1), (None, 40)) for v in rng.integers(0, 60, n)] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {r.g: (r.n, r.q) for r in percentiles(df, ["g"], "v", (0.05, 0.5, 0.95)).collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for g, (n, q) in got.items():
+        v = [x for k, x in rows if k == g and x is not None]
+        assert n == len(v) and q == pytest.approx(np.quantile(v, [0.05, 0.5, 0.95]))
+    none = percentiles(df.where("g = 'd'"), [], "v", (0.5,)).first()
+    assert none.n is None and none.q == [None]
+
+
 def test_hold_out_takes_at_least_one_group(spark):
     df = spark.createDataFrame([("a",)] * 9 + [("b",)], "g string")
     got = S.hold_out_groups(df, "g", 1, 0.15).collect()
