@@ -325,6 +325,15 @@ def test_toxicity_held_out_and_odd_rows(spark):
 # 6
 
 
+def test_toxicity_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    got = toxicity.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out and toxic in (0, 1)").toPandas()
+    rank, toxic = got.score.rank(), got.toxic == 1
+    n, m = toxic.sum(), (~toxic).sum()
+    assert (rank[toxic].sum() - n * (n + 1) / 2) / (n * m) > 0.75
+    assert got.predicted[~toxic].mean() < 0.02 and ((got.score >= 0) & (got.score <= 1)).all()
+
+
 def test_decontamination_against_all_pairs(spark, monkeypatch):
     rng = random.Random(4)
     vocabulary = [f"t{i}" for i in range(300)]
