@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, html_text, license_scan, ngram_join, toxicity, url_filter
+from . import decontaminate, embedding_dedup, html_text, license_scan, ngram_join, quality_rules, toxicity, url_filter
 from .bpe_codec import op8_bpe_codec
 from .token_counts import op2_token_counts
 from .token_store import op7_token_store
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_quality_rules": quality_rules.op11_quality_rules,
 }
 
 #: DuckDB SQL where SQL can express the query; the others have brute-force tests in tests/llm.
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_decontaminate": decontaminate.SQL,
     "op9_embedding_dedup": embedding_dedup.SQL,
     "op10_license_scan": license_scan.SQL,
+    "op11_quality_rules": quality_rules.SQL,
 }
