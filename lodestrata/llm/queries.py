@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, html_text, license_scan, ngram_join, quality_rules, toxicity, url_filter
+from . import decontaminate, embedding_dedup, hard_negatives, html_text, license_scan, ngram_join, quality_rules, toxicity, url_filter
 from .bpe_codec import op8_bpe_codec
 from .token_counts import op2_token_counts
 from .token_store import op7_token_store
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_quality_rules": quality_rules.op11_quality_rules,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
 #: DuckDB SQL where SQL can express the query; the others have brute-force tests in tests/llm.
@@ -29,4 +30,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_embedding_dedup": embedding_dedup.SQL,
     "op10_license_scan": license_scan.SQL,
     "op11_quality_rules": quality_rules.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
