@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, hard_negatives, html_text, license_scan, ngram_join, quality_rules, toxicity, url_filter
+from . import collocations, decontaminate, embedding_dedup, hard_negatives, html_text, license_scan, ngram_join, quality_rules, toxicity, url_filter
 from .bpe_codec import op8_bpe_codec
 from .token_counts import op2_token_counts
 from .token_store import op7_token_store
@@ -20,6 +20,7 @@ QUERIES = {
     "op10_license_scan": license_scan.op10_license_scan,
     "op11_quality_rules": quality_rules.op11_quality_rules,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 #: DuckDB SQL where SQL can express the query; the others have brute-force tests in tests/llm.
@@ -31,4 +32,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_license_scan": license_scan.SQL,
     "op11_quality_rules": quality_rules.SQL,
     "op12_hard_negatives": hard_negatives.SQL,
+    "op13_collocations": collocations.SQL,
 }
