@@ -215,7 +215,7 @@ def negative_answers(row: dict) -> list[np.ndarray]:
     ids, label = longs(row["b_vec_id"]), longs(row["b_label"])
     s = products(longs(row["a_q"]).reshape(len(a_id), -1), longs(row["b_q"]).reshape(len(ids), -1))
     high = np.stack([longs(row[f"a_p{k}"]) for k in range(POSITIVES)], 1)  # -1: none
-    low = -(-LOWEST * high // HIGHEST)
+    low = LOWEST * (high // HIGHEST) + -(-LOWEST * (high % HIGHEST) // HIGHEST)  # rounded up, without passing a long
     some = np.where(high >= 0, low, np.iinfo(np.int64).max).min(1)
     i, j = np.nonzero((s >= some[:, None]) & (s <= high.max(1)[:, None]) & (a_label[:, None] != label) & (a_id[:, None] != ids))
     score, out = s[i, j], []
@@ -338,6 +338,6 @@ p AS (SELECT r, anchor_id, id AS positive_id, other, score AS positive_score FRO
 n AS (
   SELECT p.anchor_id, p.positive_id, s.id AS negative_id, p.positive_score, s.score AS negative_score,
     row_number() OVER (PARTITION BY p.r, p.other ORDER BY s.score DESC, s.id) AS rank
-  FROM p JOIN s ON s.r = p.r AND NOT s.same AND {LOWEST} * p.positive_score <= 100 * s.score AND 100 * s.score <= {HIGHEST} * p.positive_score)
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND {LOWEST}::HUGEINT * p.positive_score <= 100::HUGEINT * s.score AND 100::HUGEINT * s.score <= {HIGHEST}::HUGEINT * p.positive_score)
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {NEGATIVES}
 """
