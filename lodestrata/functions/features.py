@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch_path
 from .text import softmax, uniform, words
 
 
@@ -45,16 +46,43 @@ def shifted_distances(df: DataFrame, groups: Sequence[str] = (), far: float = 1e
     return df.where(F.col("d") < far).select(*groups, (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), (F.col("d") + 1).alias("d"))
 
 
-def hop_distances(edges: DataFrame, groups: Sequence[str], most: int) -> DataFrame:
-    """groups, i, j, d: the number of steps from i to j along the edges (groups, i, j), up to `most`; d of i to itself is 0."""
+def hop_distances(edges: DataFrame, groups: Sequence[str], most: int | None = None) -> DataFrame:
+    """groups, i, j, d: the number of steps from i to j along the edges (groups, i, j), whatever it is, or up to `most`; d of i
+    to itself is 0.
+
+    The known distances double in each round: a pair k + 1 to 2k steps apart has a midpoint k steps from its first end. So there
+    are as many rounds as the logarithm of the largest distance, each written to the shared folder; null ends are no edges.
+    """
+    keys = [*groups, "i", "j"]
+    spark = edges.sparkSession
+
+    def fixed(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "hops")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     step = edges.select(*groups, "i", "j").unionAll(edges.select(*groups, F.col("j").alias("i"), F.col("i").alias("j"))).where("i <> j").distinct()
-    seen = step.select(*groups, "i").distinct().select(*groups, "i", F.col("i").alias("j"), F.lit(0).alias("d"))
-    front = seen
-    for d in range(1, most + 1):
-        onward = step.select(*groups, F.col("i").alias("j"), F.col("j").alias("k"))
-        front = front.join(onward, [*groups, "j"]).select(*groups, "i", F.col("k").alias("j")).distinct().join(seen, [*groups, "i", "j"], "left_anti").withColumn("d", F.lit(d))
-        seen = seen.unionByName(front)
-    return seen
+    known = fixed(step.select(*groups, "i").distinct().select(*groups, "i", F.col("i").alias("j"), F.lit(0).alias("d")).unionAll(step.select(*keys, F.lit(1).alias("d"))))
+    reach = 1
+    while most is None or reach < most:
+        far = known.where(F.col("d") == reach).select(*groups, "i", F.col("j").alias("via"))
+        if far.isEmpty():
+            break
+        on = far.join(known.where("d > 0").select(*groups, F.col("i").alias("via"), "j", (F.col("d") + reach).alias("d")), [*groups, "via"]).drop("via")
+        known = fixed(known.unionByName(on.select(*known.columns)).groupBy(*keys).agg(F.min("d").alias("d")))
+        reach *= 2
+    return known if most is None else known.where(F.col("d") <= most)
+
+
+def padded_batches(df: DataFrame, values: str, batch: Column, fill) -> DataFrame:
+    """df with the arrays of each batch filled up to its longest one, and `mask`: 1 at own values, 0 at fillers. Nothing is cut;
+    a null array is empty. The longest of a batch is a maximum, combined before the shuffle."""
+    own = df.withColumn("__b", batch).withColumn(values, F.coalesce(F.col(values), F.slice(F.array(F.lit(fill)), 1, 0)))
+    longest = own.groupBy(F.col("__b").alias("__of")).agg(F.max(F.size(values)).alias("__n"))
+    joined = own.join(longest, F.col("__b").eqNullSafe(F.col("__of")))
+    gap = F.col("__n") - F.size(values)
+    mask = F.concat(F.transform(values, lambda _: F.lit(1)), F.array_repeat(F.lit(0), gap))
+    return joined.withColumn("mask", mask).withColumn(values, F.concat(values, F.array_repeat(F.lit(fill), gap))).drop("__b", "__of", "__n")
 
 
 def attention_span(labels: Column, present: Column, span: int) -> Column:

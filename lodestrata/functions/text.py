@@ -89,6 +89,35 @@ def windows(tokens: Column, size: int, stride: int) -> Column:
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(tokens, s + 1, size).alias("tokens")))
 
 
+def covering_windows(n: Column, size: int, overlap: int) -> Column:
+    """(start, end) of the windows over n tokens: one if they fit, else one every `size - overlap` tokens while any is left to
+    start at; ends may lie beyond the last token only by being cut to it."""
+    n = n.cast("int")
+    starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap)))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + F.lit(size), n).alias("end")))
+
+
+def runs(flags: Column) -> Column:
+    """(start, end) of the maximal runs of true flags, end exclusive; null is false."""
+    flag = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
+    at = F.when(F.size(flags) > 0, F.sequence(F.lit(0), F.size(flags) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    first, last = F.filter(at, lambda i: flag(i) & ~flag(i - 1)), F.filter(at, lambda i: flag(i) & ~flag(i + 1))
+    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
+
+
+def token_ends(tokens: Column) -> Column:
+    """The running total of token lengths: where each token ends in the text that they make up."""
+    total = F.aggregate(tokens, F.expr("cast(array() as array<int>)"), lambda acc, t: F.array_append(acc, F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, -1).otherwise(1)), F.lit(0)) + F.length(t)))
+    return total
+
+
+def token_span(ends: Column, start: Column, end: Column) -> Column:
+    """(start, end) of the tokens that hold the characters from start to end (exclusive; an empty span counts as one
+    character), given where each token ends."""
+    last = F.greatest(end, start + 1)
+    return F.struct(F.size(F.filter(ends, lambda e: e <= start)).alias("start"), (F.size(F.filter(ends, lambda e: e < last)) + 1).alias("end"))
+
+
 def packed(sizes: Column, limit: int) -> Column:
     """Greedy packing: the pack number of each item, a new pack where the next item would overflow."""
     first = F.struct(F.lit(0).cast("long").alias("pack"), F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<bigint>)").alias("out"))
@@ -127,21 +156,32 @@ def padded(values: Column, size: int, fill) -> Column:
     return F.slice(F.concat(values, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.lit(size) - F.size(values)))), 1, size)
 
 
-def truncate_pair(a: Column, b: Column, limit: int) -> Column:
-    """Both arrays cut from their ends, the longer one first, until they have `limit` together."""
+def truncate_pair(a: Column, b: Column, limit: int, key: Column | None = None, seed: int = 0) -> Column:
+    """Both arrays cut, the longer one first (on ties the first), until they have `limit` together.
+
+    They are cut at their ends; with a key, each cut falls to the front or the end by a seeded draw."""
     n, m = F.size(a), F.size(b)
     over = F.greatest(n + m - limit, F.lit(0))
     first = F.least(over, F.abs(n - m))  # until both are equally long, only the longer one gives
     most, least = first + F.ceil((over - first) / F.lit(2.0)).cast("int"), F.floor((over - first) / F.lit(2.0)).cast("int")
     from_a, from_b = F.when(n >= m, most).otherwise(least), F.when(n >= m, least).otherwise(most)
-    return F.struct(F.slice(a, F.lit(1), F.greatest(n - from_a, F.lit(0))).alias("a"), F.slice(b, F.lit(1), F.greatest(m - from_b, F.lit(0))).alias("b"))
+
+    def front(side: str, cuts: Column) -> Column:
+        if key is None:
+            return F.lit(0)
+        draws = F.when(cuts > 0, F.sequence(F.lit(1), cuts)).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.size(F.filter(draws, lambda k: uniform(seed, key, F.lit(side), k) < 0.5))
+
+    left = lambda x, size, cuts, side: F.slice(x, front(side, cuts) + 1, F.greatest(size - cuts, F.lit(0)))
+    return F.struct(left(a, n, from_a, "a").alias("a"), left(b, m, from_b, "b").alias("b"))
 
 
 def log_bucket(relative: Column, buckets: int, farthest: int) -> Column:
-    """Sign-aware relative position: itself up to half the buckets, then by logarithm up to `farthest`."""
+    """Sign-aware relative position: itself up to half the buckets, then by logarithm; from `farthest` on all are alike."""
     import math
 
     mid = buckets // 2
+    relative = F.greatest(F.least(relative, F.lit(farthest - 1)), F.lit(1 - farthest))
     far = F.ceil(F.ln(F.abs(relative) / F.lit(float(mid))) / F.lit(math.log((farthest - 1) / mid)) * (mid - 1)) + mid
     return F.when(F.abs(relative) <= mid, relative.cast("double")).otherwise(far.cast("double") * F.signum(relative)).cast("int")
 
@@ -160,24 +200,28 @@ def mean_vector(df: DataFrame, groups: list[str], vector: str, mask: Column | No
     return parts.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda s: s["__m"]).alias(vector))
 
 
-def learning_rate(step: Column, warmup: int, total: int, kind: str, base: float = 1.0) -> Column:
+def learning_rate(step: Column, warmup: int | Column, total: int | Column, kind: str, base: float = 1.0) -> Column:
     """Warm-up, then constant, linear or cosine decay, or (cyclic) four cosine waves down a falling line."""
     import math
 
-    up = F.least(F.lit(1.0), (step + 1) / F.lit(float(max(1, warmup))))
-    done = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (step - warmup) / F.lit(float(max(1, total - warmup)))))
+    warmup, total = (x if isinstance(x, Column) else F.lit(x) for x in (warmup, total))
+    some = lambda x: F.greatest(F.lit(1), x).cast("double")
+    up = F.least(F.lit(1.0), (step + 1) / some(warmup))
+    done = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (step - warmup) / some(total - warmup)))
     if kind == "cyclic":
-        waves, length = 4, max(1, (total - warmup) // 4)
+        waves, length = 4, some(F.floor((total - warmup) / F.lit(4)))
         at = step - warmup
-        k = F.floor(at / F.lit(length))
-        wave = F.when(F.pmod(k, F.lit(2)) == 0, 1.0).otherwise(-1.0) * F.cos(F.lit(math.pi) * at / F.lit(float(length)))
+        k = F.floor(at / length)
+        wave = F.when(F.pmod(k, F.lit(2)) == 0, 1.0).otherwise(-1.0) * F.cos(F.lit(math.pi) * at / length)
         down = F.greatest(F.lit(0.0), 1 - k / F.lit(float(waves)) + (wave - 1) / F.lit(2.0 * waves))
-        return F.lit(base) * F.when(step < warmup, step / F.lit(float(max(1, warmup)))).otherwise(down)
+        return F.lit(base) * F.when(step < warmup, step / some(warmup)).otherwise(down)
     decay = {"constant": F.lit(1.0), "linear": 1 - done, "cosine": 0.5 * (1 + F.cos(F.lit(math.pi) * done))}[kind]
     return F.lit(base) * F.when(step < warmup, up).otherwise(decay)
 
 
-def exposure_plan(rows: Column, batch: Column, passes: Column) -> dict[str, Column]:
-    """Steps and presentations for a number of passes over rows in batches."""
-    steps = F.ceil(rows * passes / batch)
-    return {"steps": steps, "presentations": steps * batch, "extra": F.greatest(F.lit(0).cast("long"), (steps * batch - F.ceil(rows * passes)).cast("long"))}
+def exposure_plan(rows: Column, prior: Column, batch: Column, passes: Column) -> dict[str, Column]:
+    """How training goes on until all rows have been presented `passes` times, `prior` presentations having been made."""
+    target = F.ceil(rows * passes)
+    steps = F.ceil(F.greatest(F.lit(0).cast("long"), target - prior) / batch)
+    final = prior + steps * batch
+    return {"target_examples": target, "additional_steps": steps, "additional_examples": steps * batch, "final_examples": final, "prior_passes": prior / rows, "final_passes": final / rows}

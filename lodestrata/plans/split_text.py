@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import features as X2
 from ..functions import text as X
 from ..functions import udfs as U
 from ..operators import digests as D
 from ..operators import metrics as M
 from ..operators import splits as S
+from ..sources import tables as T
 from ..sources.shared import scratch_path
 from ..sources.tables import table
 
@@ -179,10 +181,12 @@ def mask_positions_hash(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.array_join(at.cast("array<string>"), ",").alias("masked"))
 
 
-@query("pad_arrays", "WITH w AS (SELECT item_id, [length(x) FOR x IN string_split(text, ' ')] AS a FROM benchmark) SELECT item_id, array_to_string(list_resize(a, 24, 0)[1:24], ',') AS ids FROM w")
+@query("pad_arrays", "WITH w AS (SELECT item_id, [length(x) FOR x IN string_split(text, ' ')] AS a FROM benchmark), m AS (SELECT *, max(len(a)) OVER (PARTITION BY item_id // 16) AS n FROM w) SELECT item_id, array_to_string(list_resize(a, n, 0), ',') AS ids, array_to_string([CASE WHEN i < len(a) THEN 1 ELSE 0 END FOR i IN range(n)], ',') AS mask FROM m")
 def pad_arrays(spark, d):
-    a = F.transform(F.split("text", " "), lambda x: F.length(x))
-    return table(spark, d, "benchmark").select("item_id", F.array_join(X.padded(a, 24, 0).cast("array<string>"), ",").alias("ids"))
+    """Batches of 16 items, each filled up to its longest, with the mask."""
+    own = table(spark, d, "benchmark").select("item_id", F.transform(F.split("text", " "), lambda x: F.length(x)).alias("ids"))
+    out = X2.padded_batches(own, "ids", F.floor(F.col("item_id") / 16), 0)
+    return out.select("item_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("ids", "mask")])
 
 
 @query("mean_pooling", "SELECT label, i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY ALL")
@@ -191,9 +195,20 @@ def mean_pooling(spark, d):
     return X.mean_vector(v, ["label"], "v").select("label", F.posexplode("v").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-@query("learning_rates", "SELECT i AS step, round(CASE WHEN i < 10 THEN least(1.0, (i + 1) / 10.0) ELSE 0.5 * (1 + cos(pi() * least(1.0, greatest(0.0, (i - 10) / 90.0)))) END, 9)::DOUBLE AS rate FROM range(100) t(i)")
+_STEPS = "WITH n AS (SELECT count(*) AS n FROM documents), p AS (SELECT CAST(ceil(n / 16.0) AS BIGINT) AS total, CAST(floor(ceil(n / 16.0) / 10) AS BIGINT) AS warm FROM n), s AS (SELECT total, warm, unnest(range(total)) AS i FROM p)"
+
+
+def training_steps(spark, d):
+    """A row for each step of one pass over the documents in batches of 16: step, total and warm-up steps."""
+    plan = X.exposure_plan(F.col("n_rows"), F.lit(0), F.lit(16), F.lit(1.0))
+    total = T.shard_counts(table(spark, d, "documents")).select(plan["additional_steps"].alias("total"))
+    return total.where("total > 0").select("total", F.floor(F.col("total") / 10).alias("warm"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("step"))
+
+
+@query("learning_rates", f"{_STEPS} SELECT i AS step, round(CASE WHEN i < warm THEN least(1.0, (i + 1) / greatest(1, warm)) ELSE 0.5 * (1 + cos(pi() * least(1.0, greatest(0.0, (i - warm) / greatest(1, total - warm))))) END, 9)::DOUBLE AS rate FROM s")
 def learning_rates(spark, d):
-    return spark.range(100).select(F.col("id").alias("step"), F.round(X.learning_rate(F.col("id"), 10, 100, "cosine"), 9).alias("rate"))
+    rate = X.learning_rate(F.col("step"), F.col("warm"), F.col("total"), "cosine")
+    return training_steps(spark, d).select("step", F.round(rate, 9).alias("rate"))
 
 
 @query("udf_embed_stub")

@@ -19,6 +19,7 @@ from ..sources.shared import scratch_path
 from ..sources.tables import table
 from ..streaming import streams
 from .measure import _SCORED, differences, scored
+from .split_text import _STEPS, training_steps
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -356,20 +357,20 @@ def score_transforms(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(X.sigmoid(e[0]), 9).alias("sigmoid"), F.round(X.sigmoid(e[0] + 1e6), 9).alias("clipped"), F.round(X.softmax(e)[0], 9).alias("softmax"), F.round(X.log_add_exp(e[0], e[1]), 9).alias("log_add"))
 
 
-@query("hop_distances", """WITH RECURSIVE e AS (SELECT DISTINCT a.conv_id, a.turn AS i, b.turn AS j FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), s AS (SELECT * FROM e UNION SELECT conv_id, j, i FROM e), r(conv_id, i, j, d) AS (SELECT DISTINCT conv_id, i, i, 0 FROM s UNION SELECT r.conv_id, r.i, s.j, r.d + 1 FROM r JOIN s ON s.conv_id = r.conv_id AND s.i = r.j WHERE r.d < 3)
-SELECT conv_id, i + 1 AS i, j + 1 AS j, min(d) + 1 AS d FROM r GROUP BY ALL""")
+@query("hop_distances", """WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn IS NOT NULL), g AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t), n AS (SELECT *, count(*) OVER (PARTITION BY conv_id, run) AS n FROM g)
+SELECT a.conv_id, a.turn + 1 AS i, b.turn + 1 AS j, CAST(abs(a.turn - b.turn) + 1 AS INTEGER) AS d FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.run = b.run AND a.n > 1""")
 def hop_distances(spark, d):
     """Steps between turns of a conversation, as the sparse matrix with a start token."""
     t = table(spark, d, "conversations").select("conv_id", "turn")
     edges = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"]).select("conv_id", F.col("turn").alias("i"), (F.col("turn") + 1).alias("j")).distinct()
-    return X2.shifted_distances(X2.hop_distances(edges, ["conv_id"], 3), ["conv_id"])
+    return X2.shifted_distances(X2.hop_distances(edges, ["conv_id"]), ["conv_id"])
 
 
-@query("attention_span", """WITH a AS (SELECT item_id, [length(x) % 3 FOR x IN string_split(text, ' ')][1:16] AS y FROM benchmark), u AS (SELECT item_id, y, unnest(range(len(y))) AS i FROM a), w AS (SELECT item_id, y, i, unnest(range(len(y))) AS j FROM u)
-SELECT item_id, count(*) AS n, count(*) FILTER ((abs(i - j) <= 1 OR abs(i - j) > 3 OR y[i + 1] = 0) AND i < 12 AND j < 12) AS n_open FROM w GROUP BY 1""")
+@query("attention_span", """WITH a AS (SELECT item_id, [length(x) % 3 FOR x IN string_split(text, ' ')] AS y FROM benchmark), u AS (SELECT item_id, y, unnest(range(len(y))) AS i FROM a), w AS (SELECT item_id, y, i, unnest(range(len(y))) AS j FROM u)
+SELECT item_id, count(*) AS n, count(*) FILTER ((abs(i - j) <= 1 OR abs(i - j) > 3 OR y[i + 1] = 0) AND 4 * i < 3 * len(y) AND 4 * j < 3 * len(y)) AS n_open FROM w GROUP BY 1""")
 def attention_span(spark, d):
-    y = F.slice(F.transform(F.split("text", " "), lambda x: F.length(x) % 3), 1, 16)
-    own = table(spark, d, "benchmark").select("item_id", y.alias("y")).withColumn("here", F.transform("y", lambda _, i: (i < 12).cast("int")))
+    """Whole texts; the last quarter of the tokens of each counts as absent."""
+    own = table(spark, d, "benchmark").select("item_id", F.transform(F.split("text", " "), lambda x: F.length(x) % 3).alias("y")).withColumn("here", F.transform("y", lambda _, i: (4 * i < 3 * F.size("y")).cast("int")))
     m = F.flatten(X2.attention_span(F.col("y"), F.col("here"), 3))
     return own.select("item_id", F.size(m).cast("long").alias("n"), F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_open"))
 
@@ -397,14 +398,17 @@ def truncated_pairs(spark, d):
     return own.select("item_id", F.size("t.a").alias("n_a"), F.size("t.b").alias("n_b"))
 
 
-@query("log_buckets", "SELECT CAST(i AS BIGINT) AS relative, CAST(CASE WHEN abs(i) <= 4 THEN i ELSE (ceil(ln(abs(i) / 4.0::DOUBLE) / ln(99 / 4.0::DOUBLE) * 3) + 4) * sign(i) END AS INTEGER) AS bucket FROM range(-95, 96) t(i)")
+@query("log_buckets", "WITH r AS (SELECT doc_id, doc_id - n_chars AS relative FROM documents), c AS (SELECT *, least(greatest(relative, -99), 99) AS c FROM r) SELECT doc_id, relative, CAST(CASE WHEN abs(c) <= 4 THEN c ELSE (ceil(ln(abs(c) / 4.0::DOUBLE) / ln(99 / 4.0::DOUBLE) * 3) + 4) * sign(c) END AS INTEGER) AS bucket FROM c")
 def log_buckets(spark, d):
-    return spark.range(-95, 96).select(F.col("id").alias("relative"), X.log_bucket(F.col("id"), 8, 100).alias("bucket"))
+    """Offsets far beyond the farthest bucket too."""
+    own = table(spark, d, "documents").select("doc_id", (F.col("doc_id") - F.col("n_chars")).alias("relative"))
+    return own.withColumn("bucket", X.log_bucket(F.col("relative"), 8, 100))
 
 
-@query("learning_rates_cyclic", "SELECT i AS step, round(CASE WHEN i < 8 THEN i / 8.0 ELSE greatest(0.0, 1 - floor((i - 8) / 23) / 4.0 + ((CASE WHEN floor((i - 8) / 23) % 2 = 0 THEN 1 ELSE -1 END) * cos(pi() * (i - 8) / 23.0) - 1) / 8.0) END, 9)::DOUBLE AS rate FROM range(100) t(i)")
+@query("learning_rates_cyclic", _STEPS + " SELECT i AS step, round(CASE WHEN i < warm THEN i / greatest(1, warm) ELSE greatest(0.0, 1 - floor((i - warm) / len) / 4.0 + ((CASE WHEN floor((i - warm) / len) % 2 = 0 THEN 1 ELSE -1 END) * cos(pi() * (i - warm) / len) - 1) / 8.0) END, 9)::DOUBLE AS rate FROM (SELECT *, greatest(1, floor((total - warm) / 4))::DOUBLE AS len FROM s)")
 def learning_rates_cyclic(spark, d):
-    return spark.range(100).select(F.col("id").alias("step"), F.round(X.learning_rate(F.col("id"), 8, 100, "cyclic"), 9).alias("rate"))
+    rate = X.learning_rate(F.col("step"), F.col("warm"), F.col("total"), "cyclic")
+    return training_steps(spark, d).select("step", F.round(rate, 9).alias("rate"))
 
 
 @query("strict_timestamps", "SELECT event_id, event_id % 3 <> 0 AS is_strict, CASE WHEN event_id % 3 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS moment FROM events")
