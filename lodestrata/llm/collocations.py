@@ -3,10 +3,11 @@
 1. A scan of all texts counts words by language, and in saturating counters of fixed size how often pairs of neighbours fall
    into each of 2^24 hash buckets. A pair whose bucket stays under the bar is in no frequent phrase; no frequent one is lost.
 2. A second scan gives each shard's count trie of at most `depth` words: from every word on, the run of words whose pairs all
-   reach the bar. A trie is kept as its sorted paths with counts, cut by ranges of the hash of the first three words, and
-   serialised a range at a time (words that a path shares with the one before it are not repeated).
-3. The tries of a range are merged, shard by shard, into one sorted trie; the sums at its nodes are the counts of phrases of
-   three words or more, and parts of the counts of pairs, which other ranges hold too and Spark adds up.
+   reach the bar. A trie is kept as its sorted paths with counts, cut in two: its pairs, by ranges of the hash of both words,
+   and its longer paths, by ranges of the hash of the first three, so that what follows one very common pair is spread. Each
+   range is serialised on its own (words that a path shares with the one before it are not repeated).
+3. The tries of a range are merged, shard by shard, into one sorted trie; the sums at its nodes are the counts of phrases, and
+   only frequent ones leave the task.
 4. For each cut of a frequent phrase the left part is an ancestor of its node, the right part the node that suffix links lead
    to; both are found by joins on the words of the node.
 
@@ -173,7 +174,7 @@ class Trie:
     """Sorted paths of words (0 beyond the end of a path) and how often each was seen."""
 
     def __init__(self, paths: np.ndarray, n: np.ndarray):
-        """Sorts by the hash of the first three words, then by words, and adds equal paths up."""
+        """Sorts by the hash of the first words (three, or two in a trie of pairs), then by words, and adds equal paths up."""
         key = self.key(paths)
         order = np.lexsort([*paths.T[::-1], key])
         p, k = paths[order], key[order]
@@ -200,9 +201,6 @@ class Trie:
         """Words and counts of all nodes at this depth."""
         own = self.paths[:, depth - 1] > 0
         p, n = self.paths[own][:, :depth], self.n[own]
-        if depth < 3 and len(p):
-            order = np.lexsort(p.T[::-1])
-            p, n = p[order], n[order]
         at = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]).any(1)])) if len(p) else np.zeros(0, np.int64)
         return p[at], np.add.reduceat(n, at) if len(at) else n[:0]
 
@@ -247,15 +245,19 @@ def unpack_trie(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shard_tries(texts: DataFrame, bits: np.ndarray, depth: int, ranges: int) -> DataFrame:
-    """lang, part (range of keys), trie."""
+    """lang, first (words that the key hashes: 2 for pairs, 3 for longer paths), part (range of keys), trie."""
+    names, types = ["lang", "first", "part", "trie"], [pa.string(), pa.int32(), pa.int64(), pa.binary()]
 
     def run(batches):
         held: dict[str, list] = {}
 
         def out():
             for lang, parts in held.items():
-                for k, paths, n in Trie(*(np.concatenate(c) for c in zip(*parts))).ranges(ranges):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([k], pa.int64()), pa.array([pack_trie(paths, n)], pa.binary())], names=["lang", "part", "trie"])
+                whole = Trie(*(np.concatenate(c) for c in zip(*parts)))
+                longer = whole.paths[:, 2] > 0 if depth > 2 else np.zeros(len(whole.n), bool)
+                for first, trie in ((2, Trie(whole.paths[:, :2], whole.n)), (3, Trie(whole.paths[longer], whole.n[longer]))):
+                    for k, paths, n in trie.ranges(ranges):
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([lang, first, k, pack_trie(paths, n)], types)], names=names)
             held.clear()
 
         for lang, column in by_lang(batches):
@@ -282,11 +284,11 @@ def shard_tries(texts: DataFrame, bits: np.ndarray, depth: int, ranges: int) ->
                     yield from out()
         yield from out()
 
-    return texts.mapInArrow(lean(run), "lang string, part long, trie binary")
+    return texts.mapInArrow(lean(run), "lang string, first int, part long, trie binary")
 
 
 def merged_nodes(tries: DataFrame, depth: int, least: int) -> DataFrame:
-    """lang, w (array of word hashes), n: nodes of two words (parts of their counts) and longer frequent ones."""
+    """lang, w (array of word hashes), n: the nodes of two words or more that reach the bar."""
 
     def run(batches):
         now, held, size = None, [], 0
@@ -297,10 +299,9 @@ def merged_nodes(tries: DataFrame, depth: int, least: int) -> DataFrame:
 
         def out():
             t, _, _ = merge()
-            for d in range(2, depth + 1):
+            for d in [2] if now[1] == 2 else range(3, depth + 1):
                 paths, n = t.nodes(d)
-                if d > 2:
-                    paths, n = paths[n >= least], n[n >= least]
+                paths, n = paths[n >= least], n[n >= least]
                 if len(n):
                     flat = pa.array(np.ascontiguousarray(paths).view(np.int64).ravel())
                     w = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, d, dtype=np.int32)), flat)
@@ -308,18 +309,18 @@ def merged_nodes(tries: DataFrame, depth: int, least: int) -> DataFrame:
 
         for batch in batches:
             for key in zip(*(c.to_pylist() for c in batch.columns)):
-                if key[:2] != now:
+                if key[:3] != now:
                     if held:
                         yield from out()
-                    now, held, size = key[:2], [], 0
-                held.append(unpack_trie(key[2]))
+                    now, held, size = key[:3], [], 0
+                held.append(unpack_trie(key[3]))
                 size += len(held[-1][1])
                 if size > 4 * HELD_PATHS:
                     _, held, size = merge()
         if held:
             yield from out()
 
-    dealt = tries.repartition("lang", "part").sortWithinPartitions("lang", "part")
+    dealt = tries.repartition("lang", "first", "part").sortWithinPartitions("lang", "first", "part")
     return dealt.mapInArrow(lean(run), "lang string, w array<bigint>, n long")
 
 
@@ -341,19 +342,18 @@ def phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: int =
     seen = words.agg(F.sum("n")).first()[0] or 0
     bits = frequent_buckets(partial, least)
     tries = shard_tries(texts, bits, depth, 1 + seen // RANGE_WORDS)
-    longer = merged_nodes(tries, depth, least).groupBy("lang", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    longer = merged_nodes(tries, depth, least)
     single = common.groupBy("lang", "h").agg(F.sum("n").alias("n")).select("lang", F.array("h").alias("w"), "n")
     nodes = written(single.unionByName(longer), "phrase-nodes")
 
     candidates = nodes.where(F.size("w") >= 2).withColumnRenamed("n", "a")
-    part = lambda a, n: F.slice("w", a, n)
     inside = candidates.where(F.size("w") > 2).select("lang", "a", "w", F.explode(F.sequence(F.lit(2), F.size("w") - 1)).alias("k"))
     inside = inside.select("lang", "a", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.slice(F.col("w"), i, F.col("k")))).alias("w"))
     covered = inside.groupBy("lang", "w").agg(F.max("a").alias("longest"))
     kept = candidates.join(covered, ["lang", "w"], "left").where(F.col("longest").isNull() | (F.col("longest") < F.col("a"))).drop("longest")
 
     cuts = kept.select("lang", "w", "a", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("cut"))
-    cuts = cuts.select("*", part(F.lit(1), F.col("cut")).alias("lw"), part(F.col("cut") + 1, F.size("w") - F.col("cut")).alias("rw"))
+    cuts = cuts.select("*", F.slice("w", F.lit(1), F.col("cut")).alias("lw"), F.slice("w", F.col("cut") + 1, F.size("w") - F.col("cut")).alias("rw"))
     side = lambda name: nodes.select("lang", F.col("w").alias(f"{name}w"), F.col("n").alias(name))
     cuts = cuts.join(side("l"), ["lang", "lw"]).join(side("r"), ["lang", "rw"]).join(totals, "lang")
     score = F.expr("(cast(1000 as decimal(4,0)) * cast(a as decimal(16,0)) * cast(total as decimal(16,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))")
@@ -362,8 +362,11 @@ def phrases(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, top: int =
     spelt = common.groupBy("lang", "h").agg(F.min("word").alias("word"))
     spoken = kept.select("lang", "w", F.posexplode("w").alias("at", "h")).join(spelt, ["lang", "h"]).groupBy("lang", "w").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("said"))
     rows = best.join(spoken, ["lang", "w"]).select("lang", F.array_join(F.col("said.word"), " ").alias("phrase"), "x.a", "x.l", "x.r", F.col("x.total").alias("n"), F.col("x.score").cast("long").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    # cut in parts of each language first, so that no task sorts all of its phrases
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(64))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= top)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op13_collocations(spark, sf_dir: str) -> DataFrame:
