@@ -98,17 +98,24 @@ def covering_windows(n: Column, size: int, overlap: int) -> Column:
 
 
 def runs(flags: Column) -> Column:
-    """(start, end) of the maximal runs of true flags, end exclusive; null is false."""
-    flag = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
-    at = F.when(F.size(flags) > 0, F.sequence(F.lit(0), F.size(flags) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    first, last = F.filter(at, lambda i: flag(i) & ~flag(i - 1)), F.filter(at, lambda i: flag(i) & ~flag(i + 1))
-    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end")))
+    """(start, end) of the maximal runs of true flags, end exclusive; null is false. In one pass: no look-ups by position."""
+    n, none = F.size(flags), F.array(F.lit(False))
+    ahead = F.zip_with(F.concat(F.slice(flags, 2, n), none), F.slice(F.concat(none, flags), 1, n), lambda a, b: F.struct(a.alias("after"), b.alias("before")))
+    beside = F.zip_with(flags, F.slice(ahead, 1, n), lambda x, y: F.struct(x.alias("own"), y["before"].alias("before"), y["after"].alias("after")))
+    on = lambda x: F.coalesce(x, F.lit(False))
+    marks = F.transform(beside, lambda x, i: F.struct(i.alias("i"), (on(x["own"]) & ~on(x["before"])).alias("first"), (on(x["own"]) & ~on(x["after"])).alias("last")))
+    return F.zip_with(F.filter(marks, lambda m: m["first"]), F.filter(marks, lambda m: m["last"]), lambda a, b: F.struct(a["i"].alias("start"), (b["i"] + 1).alias("end")))
 
 
 def token_ends(tokens: Column) -> Column:
     """The running total of token lengths: where each token ends in the text that they make up."""
-    total = F.aggregate(tokens, F.expr("cast(array() as array<int>)"), lambda acc, t: F.array_append(acc, F.coalesce(F.element_at(acc, F.when(F.size(acc) > 0, -1).otherwise(1)), F.lit(0)) + F.length(t)))
-    return total
+    start = F.struct(F.lit(0).alias("total"), F.expr("cast(array() as array<int>)").alias("out"))
+
+    def step(acc, t):
+        total = acc["total"] + F.length(t)
+        return F.struct(total.alias("total"), F.array_append(acc["out"], total).alias("out"))
+
+    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
 
 
 def token_span(ends: Column, start: Column, end: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import build, measure, split_text, surfaces
+from . import build, measure, sequences, split_text, surfaces
 
-QUERIES: dict = {**build.QUERIES, **measure.QUERIES, **split_text.QUERIES, **surfaces.QUERIES}
-SQL: dict[str, str] = {**build.SQL, **measure.SQL, **split_text.SQL, **surfaces.SQL}
+_PLANS = (build, measure, split_text, surfaces, sequences)
+
+QUERIES: dict = {name: q for m in _PLANS for name, q in m.QUERIES.items()}
+SQL: dict[str, str] = {name: s for m in _PLANS for name, s in m.SQL.items()}
