@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +71,44 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+)"), 1)
 
 
+def byte_table() -> tuple[str, str]:
+    """The bytes (as characters 0 to 255) that the byte-level alphabet renames, and their letters: printable ones stand for
+    themselves, the others for the characters from 256 on, in order."""
+    shown = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return "".join(map(chr, hidden)), "".join(chr(256 + k) for k in range(len(hidden)))
+
+
+def byte_letters(text: Column) -> Column:
+    """One letter for each UTF-8 byte of the text."""
+    hidden, letters = byte_table()
+    return F.translate(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), hidden, letters)
+
+
+def letters_text(letters: Column) -> Column:
+    """The text whose bytes the letters are; bytes that are no UTF-8 become U+FFFD."""
+    hidden, shown = byte_table()
+    return F.decode(F.encode(F.translate(letters, shown, hidden), "ISO-8859-1"), "UTF-8")
+
+
+#: Marks around a token and between pieces; no letters of the byte alphabet.
+_OPEN, _CLOSE, _NEXT = "\u25C0", "\u25B6", "\u25A0"
+
+
+def byte_pieces(text: Column, merges: Sequence[tuple[str, str]]) -> Column:
+    """The byte-level tokens of a text by a short list of merges, in order of rank.
+
+    Each merge joins its pair wherever it stands, from the left, within the pieces of the pre-tokeniser. Applied in order of
+    rank this equals the loop that always joins the lowest pair there is, as long as the parts of a pair come before it in the
+    list. For lists of up to some hundred merges: each is one pass over the text. A null text is null.
+    """
+    marked = F.transform(pretokens(text), lambda p: F.regexp_replace(byte_letters(p), "(?s)(.)", f"{_OPEN}$1{_CLOSE}"))
+    out = F.array_join(marked, _NEXT)
+    for a, b in merges:
+        out = F.replace(out, F.lit(f"{_OPEN}{a}{_CLOSE}{_OPEN}{b}{_CLOSE}"), F.lit(f"{_OPEN}{a}{b}{_CLOSE}"))
+    return F.regexp_extract_all(out, F.lit(f"{_OPEN}([^{_CLOSE}]*){_CLOSE}"), 1)
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), 1)
 
@@ -158,6 +198,40 @@ def masked_positions(key: Column, n: Column, rate: float, seed: int) -> Column:
     return F.filter(at, lambda i: uniform(seed, key, i) < rate)
 
 
+def span_masks(n: Column, key: Column, rate: float, longest: int, seed: int) -> Column:
+    """(start, end) of the spans to mask among n tokens: one in each context, which is as many times 1 / rate tokens as the span
+    has. Lengths 1 to `longest` are drawn with odds 1 / length, places evenly; a fold over the contexts of the row."""
+    window = int(1 / rate)
+    n = n.cast("int")
+    odds = [1 / k for k in range(1, longest + 1)]
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("out"))
+
+    def step(acc, _):
+        at = acc["at"]
+        u = uniform(seed, key, F.lit("n"), at)
+        length = F.lit(longest)
+        for k in range(longest - 1, 0, -1):
+            length = F.when(u < sum(odds[:k]) / sum(odds), k).otherwise(length)
+        context = F.least(length * window, n - at)
+        first = at + F.floor(uniform(seed, key, F.lit("m"), at) * context).cast("int")
+        last = F.least(first + length, n)
+        new = F.struct(F.greatest(at + context, last).alias("at"), F.array_append(acc["out"], F.struct(first.alias("start"), last.alias("end"))).alias("out"))
+        return F.when(at < n, new).otherwise(acc)
+
+    rounds = F.when(n > 0, F.sequence(F.lit(1), F.ceil(n / F.lit(float(window))).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.aggregate(rounds, start, step, lambda acc: acc["out"])
+
+
+def masked_tokens(n: Column, key: Column, rate: float, longest: int, seed: int, mask: float = 0.8, keep: float = 0.1) -> Column:
+    """(position, kind) of the masked tokens, in order, until round(n * rate) (one at least): kind is mask, keep or random."""
+    spans = span_masks(n, key, rate, longest, seed)
+    places = F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"] - 1)))
+    u = lambda i: uniform(seed, key, F.lit("k"), i)
+    kind = lambda i: F.when(u(i) < mask, "mask").when(u(i) < mask + keep, "keep").otherwise("random")
+    most = F.greatest(F.lit(1), F.bround(n * F.lit(rate), 0).cast("int"))
+    return F.transform(F.slice(places, F.lit(1), most), lambda i: F.struct(i.alias("position"), kind(i).alias("kind")))
+
+
 def padded(values: Column, size: int, fill) -> Column:
     """Cut or filled up to `size`."""
     return F.slice(F.concat(values, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.lit(size) - F.size(values)))), 1, size)

@@ -89,3 +89,51 @@ def truncated_pairs_random(spark, d):
     key = F.concat_ws(":", "conv_id", "turn")
     cut = own.select("conv_id", "turn", X.truncate_pair(words("text"), words("after"), 24, key, 41).alias("t"))
     return cut.select("conv_id", "turn", F.array_join("t.a", " ").alias("a"), F.array_join("t.b", " ").alias("b"))
+
+
+_U = "CAST('0x' || substr(md5('53|' || doc_id || '|{kind}|' || {at}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+@query("span_masked_tokens", rf"""WITH RECURSIVE t AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS n FROM documents),
+r AS (
+  SELECT doc_id, n, 0::BIGINT AS o, 0::BIGINT AS s, 0::BIGINT AS e FROM t
+  UNION ALL
+  SELECT doc_id, n, greatest(o + ctx, least(o + m + g, n)), o + m, least(o + m + g, n) FROM (
+    SELECT *, CAST(floor({_U.format(kind="m", at="o")} * ctx) AS BIGINT) AS m FROM (
+      SELECT *, least(g * 6, n - o) AS ctx FROM (
+        SELECT *, CASE WHEN u < 1 / (1 + 1 / 2.0::DOUBLE + 1 / 3.0::DOUBLE) THEN 1 WHEN u < (1 + 1 / 2.0::DOUBLE) / (1 + 1 / 2.0::DOUBLE + 1 / 3.0::DOUBLE) THEN 2 ELSE 3 END AS g FROM (
+          SELECT doc_id, n, o, {_U.format(kind="n", at="o")} AS u FROM r WHERE o < n))))),
+p AS (SELECT doc_id, n, unnest(range(s, e)) AS position FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS nth FROM p)
+SELECT doc_id, CAST(position AS INTEGER) AS position, CASE WHEN {_U.format(kind="k", at="position")} < 0.8::DOUBLE THEN 'mask' WHEN {_U.format(kind="k", at="position")} < 0.9::DOUBLE THEN 'keep' ELSE 'random' END AS kind
+FROM k WHERE nth <= greatest(1, round_even(n * 0.15::DOUBLE, 0))""")
+def span_masked_tokens(spark, d):
+    """Masked positions of whole texts, by spans of one to three words in contexts of six words each."""
+    n = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), 1))
+    own = table(spark, d, "documents").select("doc_id", n.alias("n"))
+    return own.select("doc_id", F.inline(X.masked_tokens(F.col("n"), F.col("doc_id"), 0.15, 3, 53)))
+
+
+#: The first 35 merges of a published byte-level vocabulary, in order of rank.
+MERGES = [
+    ("Ġ", "t"), ("Ġ", "a"), ("h", "e"), ("i", "n"), ("r", "e"), ("o", "n"), ("Ġt", "he"), ("e", "r"), ("Ġ", "s"), ("a", "t"), ("Ġ", "w"), ("Ġ", "o"),
+    ("e", "n"), ("Ġ", "c"), ("i", "t"), ("i", "s"), ("a", "n"), ("o", "r"), ("e", "s"), ("Ġ", "b"), ("e", "d"), ("Ġ", "f"), ("in", "g"), ("Ġ", "p"),
+    ("o", "u"), ("Ġa", "n"), ("a", "l"), ("a", "r"), ("Ġt", "o"), ("Ġ", "m"), ("Ġo", "f"), ("Ġ", "in"), ("Ġ", "d"), ("Ġ", "h"), ("Ġan", "d"),
+]
+
+_HIDDEN = "range(0, 33) || range(127, 161) || [173]"
+_LETTER = f"(CASE WHEN list_contains({_HIDDEN}, b) THEN chr(CAST(255 + list_position({_HIDDEN}, b) AS INTEGER)) ELSE chr(CAST(b AS INTEGER)) END)"
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+".replace("'", "''")
+
+
+@query("byte_pieces", f"""WITH RECURSIVE m(rank, a, b) AS (VALUES {", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(MERGES))}),
+p AS (SELECT item_id, unnest(regexp_extract_all(text, '{_PIECES}')) AS piece, unnest(range(len(regexp_extract_all(text, '{_PIECES}')))) AS i FROM benchmark),
+d AS (SELECT DISTINCT piece FROM p),
+x AS (SELECT piece, k, CAST('0x' || substr(h, k, 2) AS BIGINT) AS b FROM (SELECT piece, h, unnest(range(1, length(h), 2)) AS k FROM (SELECT piece, hex(encode(piece)) AS h FROM d))),
+l AS (SELECT piece, string_agg('◀' || {_LETTER} || '▶', '' ORDER BY k) AS s FROM x GROUP BY piece),
+r AS (SELECT piece, s FROM l UNION ALL SELECT piece, replace(s, '◀' || a || '▶◀' || b || '▶', '◀' || a || b || '▶') FROM (SELECT piece, s, (SELECT min(rank) FROM m WHERE contains(s, '◀' || a || '▶◀' || b || '▶')) AS first FROM r) JOIN m ON rank = first),
+e AS (SELECT piece, s FROM r WHERE NOT EXISTS (SELECT 1 FROM m WHERE contains(s, '◀' || a || '▶◀' || b || '▶')))
+SELECT item_id, string_agg(replace(replace(replace(s, '▶◀', ' '), '◀', ''), '▶', ''), ' ' ORDER BY i) AS pieces FROM p JOIN e USING (piece) GROUP BY item_id""")
+def byte_pieces(spark, d):
+    """Byte-level tokens of whole texts by the merges above."""
+    return table(spark, d, "benchmark").select("item_id", F.array_join(X.byte_pieces(F.col("text"), MERGES), " ").alias("pieces"))

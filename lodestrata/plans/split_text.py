@@ -216,10 +216,16 @@ def udf_embed_stub(spark, d):
     return table(spark, d, "documents").select("doc_id", U.ngram_encoder()(F.col("text")).alias("embedding"))
 
 
-@query("ngram_bpe")
+WORD_MERGES = [("t", "h"), ("th", "e"), ("e", "r"), ("i", "n"), ("in", "g"), ("o", "n")]
+_MERGED = "array_to_string([regexp_replace(w, '(.)', '◀\\1▶', 'g') FOR w IN string_split_regex(trim(lower(text)), '\\s+')], '')"
+for _a, _b in WORD_MERGES:
+    _MERGED = f"replace({_MERGED}, '◀{_a}▶◀{_b}▶', '◀{_a}{_b}▶')"
+_MERGED = _MERGED.replace("\\s+')], '')", "\\s+')], '■')")
+
+
+@query("ngram_bpe", f"SELECT item_id, array_to_string(regexp_extract_all({_MERGED}, '◀([^▶]*)▶', 1), ' ') AS pieces FROM benchmark")
 def ngram_bpe(spark, d):
-    merges = [("t", "h"), ("th", "e"), ("e", "r"), ("i", "n"), ("in", "g"), ("o", "n")]
-    return table(spark, d, "benchmark").select("item_id", F.array_join(U.word_pieces(merges)(F.lower("text")), " ").alias("pieces"))
+    return table(spark, d, "benchmark").select("item_id", F.array_join(U.word_pieces(WORD_MERGES)(F.lower("text")), " ").alias("pieces"))
 
 
 @query("span_mask")
