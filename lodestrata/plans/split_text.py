@@ -241,5 +241,6 @@ def stream_file_dedup(spark, d):
     where = scratch_path(spark, "stream")
     own = streams.file_stream(spark, f"{d}/events.parquet")
     once = streams.first_seen(own.select("event_type", "event_id"), ["event_type", "event_id"])
-    streams.drain(once, f"{where}/out", f"{where}/state")
+    with streams.disk_state(spark):
+        streams.drain(once, f"{where}/out", f"{where}/state")
     return spark.read.parquet(f"{where}/out").groupBy("event_type").agg(F.count("event_id").alias("n"))

@@ -46,21 +46,53 @@ def write_csv(df: DataFrame, path: str, gzip: bool = False) -> None:
     df.write.mode("errorifexists").options(header=True, compression="gzip" if gzip else "none").csv(path)
 
 
-def write_once(df: DataFrame, path: str, key: str) -> str:
-    """Write df unless path holds other content: the digests of the sorted keys must agree. Returns the digest."""
+def write_conll(df: DataFrame, path: str, doc: str, sentence: str, place: str, fields: list[str]) -> None:
+    """Blocks of lines: `-DOCSTART-` before each document, a line of fields with spaces between for each token, a blank line after
+    each sentence. Documents are dealt over files, a whole one to each; within them tokens are in order of sentence and place.
+    Fails if path exists."""
+    cols = [F.col(doc).alias("doc"), F.col(sentence).cast("long").alias("sentence"), F.col(place).cast("long").alias("place")]
+    tokens = df.select(*cols, F.concat_ws(" ", *[F.col(f).cast("string") for f in fields]).alias("value"))
+    last = F.lit((1 << 63) - 1).alias("place")
+    ends = tokens.select("doc", "sentence", last, F.lit("").alias("value")).distinct()
+    starts = tokens.select("doc", F.lit(-(1 << 63)).alias("sentence"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("place"), F.lit("-DOCSTART- -X- O").alias("value")), F.struct(F.lit(1).cast("long").alias("place"), F.lit("").alias("value")))).alias("x")).select("doc", "sentence", "x.*").distinct()
+    lines = tokens.unionByName(ends).unionByName(starts).repartition("doc").sortWithinPartitions("doc", "sentence", "place")
+    lines.select("value").write.mode("errorifexists").option("lineSep", "\n").text(path)
+
+
+def write_once(df: DataFrame, path: str, key: str | None = None, by: list[str] | None = None) -> str:
+    """Write df (in folders by the columns `by`) unless path holds other content: the digests of the rows, or only of one key
+    column, must agree. Returns the digest."""
     from ..operators.digests import table_digest
 
-    spark = df.sparkSession
-    own = table_digest(df.select(key)).first()[0]
+    spark, columns = df.sparkSession, [key] if key else sorted(df.columns)
+    own = table_digest(df.select(*columns)).first()[0]
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        if table_digest(spark.read.parquet(path).select(key)).first()[0] != own:
+        if table_digest(spark.read.schema(df.schema).parquet(path).select(*columns)).first()[0] != own:
             raise RuntimeError(f"{path} holds other rows; it is not overwritten")
     else:
-        df.write.parquet(path)
+        df.write.partitionBy(*(by or [])).parquet(path)
     return own
 
 
+def store_splits(df: DataFrame, path: str, key: str, split: str) -> DataFrame:
+    """Keep a split for good: `rows` by split and, beside them, the manifest (split, n_rows, digest), which is returned.
+
+    A key in two splits fails before anything is written; a second call with the same rows changes nothing; other rows are
+    refused. Digests do not depend on the order of rows and are summed before the shuffle.
+    """
+    from ..operators.digests import group_digests
+
+    spark = df.sparkSession
+    twice = df.select(key, split).distinct().groupBy(key).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{key} {twice[0][0]!r} is in more than one split")
+    write_once(df, f"{path}/rows", by=[split])
+    manifest = group_digests(df, [split])
+    write_once(manifest, f"{path}/manifest")
+    return spark.read.schema(manifest.schema).parquet(f"{path}/manifest")
+
+
 def markdown(df: DataFrame, limit: int = 100) -> str:
     """A small result as a table: null as NA, integers with thousands separators, floats to six figures."""
 

@@ -72,15 +72,38 @@ def checked_ids(lines: DataFrame) -> DataFrame:
     return both.groupBy("problem").agg(F.count("*").alias("n")).join(first.groupBy("problem").agg(F.array_sort(F.collect_list("line")).alias("first_lines")), "problem")
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, line, value: the lines of text files with what orders them. Files may be cut into splits: `block` is where a
+    line's split begins in its file, and `line` rises within a split."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("line"), "value")
+
+
 def conll(lines: DataFrame) -> DataFrame:
-    """From a text scan (value, line): doc, sentence, token, tag. `-DOCSTART-` opens a document, a blank line ends a sentence.
-
-    The running sums over all lines are taken per file (column file, if there is one), so files are independent."""
-    part = Window.partitionBy("file").orderBy("line") if "file" in lines.columns else Window.partitionBy(F.lit(0)).orderBy("line")
-    fields = F.split(F.btrim("value"), r"\s+")
-    own = lines.withColumn("start", F.col("value").startswith("-DOCSTART-").cast("int")).withColumn("blank", ((F.btrim("value") == "") | (F.col("start") == 1)).cast("int"))
-    own = own.withColumn("doc", F.sum("start").over(part)).withColumn("sentence", F.sum("blank").over(part))
-    return own.where("blank = 0").select("doc", "sentence", "line", fields[0].alias("token"), F.element_at(fields, -1).alias("tag"))
+    """[file,] doc, sentence, place, token, tag, fields of every token line, from a scan (value, line [, file, block]).
+
+    `-DOCSTART-` opens a document, a blank line ends a sentence; documents (in a file), sentences (in a document) and tokens (in a
+    sentence) are numbered from 0, and those that hold no token do not count. Fields are cut at spaces: the first is the token, the
+    last the tag. The scan is segmented: breaks are counted by running sums over parts of each file, so no task gets a whole file.
+    """
+    from ..operators.ordered import prefix_sums
+
+    groups = ["file"] if "file" in lines.columns else []
+    order = ["block", "line"] if "block" in lines.columns else ["line"]
+    value = F.coalesce(F.rtrim("value"), F.lit(""))
+    own = lines.withColumn("__start", value.startswith("-DOCSTART-").cast("long")).withColumn("__break", ((value == "") | (F.col("__start") == 1)).cast("long")).withColumn("__one", 1 - F.col("__break"))
+    tokens = prefix_sums(own, groups, order, {"__d": "__start", "__s": "__break", "__t": "__one"}).where("__one = 1")
+    heads = tokens.groupBy(*groups, "__d", "__s").agg(F.min("__t").alias("__first")).withColumn("__n", F.lit(1).cast("long"))
+    sentences = prefix_sums(heads, [*groups, "__d"], ["__s"], {"sentence": "__n"}).drop("__n")
+    docs = prefix_sums(heads.groupBy(*groups, "__d").agg(F.lit(1).cast("long").alias("__n")), groups, ["__d"], {"doc": "__n"}).drop("__n")
+    fields = F.split(F.rtrim("value"), " ")
+    rows = tokens.join(sentences, [*groups, "__d", "__s"]).join(docs, [*groups, "__d"])
+    return rows.select(*groups, "doc", "sentence", (F.col("__t") - F.col("__first")).alias("place"), fields[0].alias("token"), F.element_at(fields, -1).alias("tag"), fields.alias("fields"))
+
+
+def read_conll(spark: SparkSession, path: str) -> DataFrame:
+    """`conll` over the files under path."""
+    return conll(file_lines(spark, path))
 
 
 def scrape(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,27 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int = 16, fmt:
     return stream.load(path)
 
 
+@contextmanager
+def disk_state(spark: SparkSession, memory_mb: int = 256) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB: on disk, with changes logged in the checkpoint folder, and at most
+    `memory_mb` of memory in an executor for all its streams, however many keys there are."""
+    prefix = "spark.sql.streaming.stateStore."
+    wanted = {
+        f"{prefix}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        f"{prefix}rocksdb.changelogCheckpointing.enabled": "true",
+        f"{prefix}rocksdb.boundedMemoryUsage": "true",
+        f"{prefix}rocksdb.maxMemoryUsageMB": str(memory_mb),
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def encode_or_reason(df: DataFrame, text: str, encode: Callable[[Column], Column], most: int) -> tuple[DataFrame, DataFrame]:
     """Rows with tokens, and rows left out with the reason (unparseable or too long): nothing is lost without a trace."""
     own = df.withColumn("tokens", encode(F.col(text)))
@@ -27,7 +49,8 @@ def encode_or_reason(df: DataFrame, text: str, encode: Callable[[Column], Column
 
 def first_seen(stream: DataFrame, keys: list[str], time: str | None = None, delay: str | None = None) -> DataFrame:
     """Each key once. With a time and a delay, keys are forgotten when the watermark has passed them, so state stays bounded,
-    but rows later than that are lost; without, whatever the order of the rows, all keys are kept in the state."""
+    but rows later than that are lost; without, whatever the order of the rows, all keys are kept in the state: start such a
+    stream within `disk_state`, so that it grows on disk and not in memory."""
     if time is None:
         return stream.dropDuplicates(keys)
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)

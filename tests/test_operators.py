@@ -259,7 +259,7 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_conll_and_ids(spark):
     lines = ["-DOCSTART- O", "", "EU B-ORG", "rejects O", "", "Peter B-PER"]
-    got = T.conll(spark.createDataFrame(list(enumerate(lines)), "line long, value string")).orderBy("line").collect()
+    got = T.conll(spark.createDataFrame(list(enumerate(lines)), "line long, value string")).orderBy("doc", "sentence", "place").collect()
     assert [(r.token, r.tag) for r in got] == [("EU", "B-ORG"), ("rejects", "O"), ("Peter", "B-PER")]
     assert got[0].sentence == got[1].sentence != got[2].sentence
     ids = spark.createDataFrame([(1, "a"), (2, " "), (3, "a")], "line long, value string")
