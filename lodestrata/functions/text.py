@@ -88,7 +88,9 @@ def byte_letters(text: Column) -> Column:
 def letters_text(letters: Column) -> Column:
     """The text whose bytes the letters are; bytes that are no UTF-8 become U+FFFD."""
     hidden, shown = byte_table()
-    return F.decode(F.encode(F.translate(letters, shown, hidden), "ISO-8859-1"), "UTF-8")
+    out = F.translate(letters, shown[1:], hidden[1:])
+    # translate takes the character 0 for "drop"
+    return F.decode(F.encode(F.replace(out, F.lit(shown[0]), F.lit(hidden[0])), "ISO-8859-1"), "UTF-8")
 
 
 #: Marks around a token and between pieces; no letters of the byte alphabet.
