@@ -2,7 +2,8 @@
 
 The channel writes letters as look-alikes (leetspeak), puts separators between letters and repeats letters. A disguised
 span becomes a lattice of letters, which the Viterbi algorithm decodes under a trigram model of letters counted over all
-documents. Spans without such signs have one path only, so they need no decoding.
+documents; repeated letters are read both once and twice, and signs of two
+letters as either. Spans without such signs have one path only and need no decoding.
 
 The score is that of a short list of words and word beginnings, learned from labelled rows: at each turn the feature that
 explains most toxic rows not yet explained is taken, while its precision is surely over one half. A text's score joins the
@@ -11,6 +12,7 @@ precisions of the features it holds; without any it is the rate among texts with
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -43,8 +45,12 @@ _APART = re.compile(rf"(?<![^\W_]){_UNIT}(?:[ ._\-*][^\W\d_]|[ ._\-][{_SIGNS}]){
 _PIECE = re.compile(rf"(?:[^\W_]|[{_SIGNS}])+")
 #: A look-alike beside a letter, or a letter twice.
 _ODD = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1")
+#: A sign, or a letter three times: more than a word with double letters.
+_DISGUISED = re.compile(rf"[{_SIGNS}]|([^\W\d_])\1\1|[ ._\-*]")
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = 28
+#: Ways to read a disguised span that are all tried.
+MOST = 8
 
 #: By the first byte of a code point: what may be one of the letters set apart (all beyond ASCII may), and what may part them.
 _MAYBE = np.zeros(256, bool)
@@ -92,42 +98,67 @@ class Decoder:
         self.log = np.log((c + 2.0 * back[None]) / (c.sum(2, keepdims=True) + 2.0)).tolist()
         self.known, self.seen = Remembered(MAX_BYTES), Remembered(MAX_BYTES)
 
-    def lattice(self, span: str) -> list[list[tuple[str, float]]]:
-        """The choices for each place: letters and the channel's log probability."""
-        apart = re.fullmatch(r".(?:[ ._\-*].)+", span) is not None
-        if apart:
+    def lattice(self, span: str) -> list[list[list[tuple[str, float]]]]:
+        """The ways to read each place, each some letters with the channel's log probability: a repeated letter once or twice, a
+        sign that may be two letters as either of them.
+
+        A place is a run of one sign, or of signs that can only be the same letter (`$s5`)."""
+        if re.fullmatch(r".(?:[ ._\-*].)+", span) is not None:
             span = span[::2]
+        runs: list[list] = []  # reading (the letter, or the sign if it may be several), signs
+        for c in span:
+            reading = LOOK_ALIKE[c] if len(LOOK_ALIKE.get(c, "")) == 1 else c
+            if runs and runs[-1][0] == reading:
+                runs[-1][1] += c
+            else:
+                runs.append([reading, c])
         out = []
-        for m in re.finditer(r"(.)\1*", span, re.S):
-            c, n = m[1], len(m[0])
-            letters = LOOK_ALIKE.get(c) or (c if c.isalpha() else "")
-            base = CHANNEL["look-alike"] if c in LOOK_ALIKE else 0.0
+        for reading, signs in runs:
+            letters = LOOK_ALIKE.get(reading) or (reading if reading.isalpha() else "")
+            base = CHANNEL["look-alike"] if any(c in LOOK_ALIKE for c in signs) else 0.0
             if not letters:
-                out.append([(c, 0.0)])
-            elif n == 1:
-                out.append([(x, base) for x in letters])
+                out.append([[(reading, 0.0)]])
             else:
-                out.append([(x, base + CHANNEL["single"]) for x in letters] + [(x + x, base + CHANNEL["double"]) for x in letters])
+                each = [[x] for x in letters] if len(letters) == 2 else [list(letters)]
+                times = [(1, base)] if len(signs) == 1 else [(1, base + CHANNEL["single"]), (2, base + CHANNEL["double"])]
+                out.append([[(x * n, p) for x in some] for n, p in times for some in each])
         return out
 
-    def decode(self, span: str) -> str:
-        """The likeliest letters behind a span (lower case)."""
+    def likeliest(self, places: list[list[tuple[str, float]]]) -> str:
+        """Viterbi over pairs of letters."""
+        best = {(0, 0): (0.0, "")}
+        for choices in [*places, [("", 0.0)]]:
+            after: dict = {}
+            for (a, b), (score, text) in best.items():
+                for letters, channel in choices:
+                    x, y, s = a, b, score + channel
+                    for c in map(code, letters or " "):
+                        s += self.log[x][y][c]
+                        x, y = y, c
+                    if (x, y) not in after or s > after[x, y][0]:
+                        after[x, y] = (s, text + letters)
+            best = after
+        return max(best.values())[1]
+
+    def decode(self, span: str) -> tuple[str, ...]:
+        """The likeliest letters behind a span (lower case), and, where signs or long runs show that it is disguised, the likeliest
+        with its open places read in other ways: letter statistics do not tell a real double from a drawn-out letter. Up to MOST
+        ways are all tried, of more each way of a place with the other places left open."""
         got = self.known.get(span)
         if got is None:
-            best = {(0, 0): (0.0, "")}
-            for choices in [*self.lattice(span), [("", 0.0)]]:
-                after: dict = {}
-                for (a, b), (score, text) in best.items():
-                    for letters, channel in choices:
-                        x, y, s = a, b, score + channel
-                        for c in map(code, letters or " "):
-                            s += self.log[x][y][c]
-                            x, y = y, c
-                        if (x, y) not in after or s > after[x, y][0]:
-                            after[x, y] = (s, text + letters)
-                best = after
-            got = max(best.values())[1]
-            self.known.keep(span, got, len(span) + len(got))
+            lattice = self.lattice(span)
+            free = [[x for way in ways for x in way] for ways in lattice]
+            found = {self.likeliest(free)}
+            unsure = [i for i, ways in enumerate(lattice) if len(ways) > 1]
+            if unsure and _DISGUISED.search(span):
+                if math.prod(len(lattice[i]) for i in unsure) <= MOST:
+                    picks = (dict(zip(unsure, pick)) for pick in itertools.product(*(range(len(lattice[i])) for i in unsure)))
+                else:
+                    picks = ({i: k} for i in unsure for k in range(len(lattice[i])))
+                for pick in picks:
+                    found.add(self.likeliest([lattice[i][pick[i]] if i in pick else free[i] for i in range(len(free))]))
+            got = tuple(sorted(found))
+            self.known.keep(span, got, len(span) + sum(map(len, got)) + 60 * len(got))
         return got
 
     def forms(self, token: str) -> tuple[str, ...]:
@@ -140,7 +171,7 @@ class Decoder:
                 if _ODD.search(m[0]):
                     heads = {m[0], m[0].lstrip("!|+*"), m[0].lstrip(_ENDS)}
                     parts |= {x for h in heads for x in (h, h.rstrip("!|+*"), h.rstrip(_ENDS)) if _ODD.search(x)}
-            got = tuple({self.decode(x) for x in parts} - parts)
+            got = tuple({y for x in parts for y in self.decode(x)} - parts)
             self.seen.keep(token, got, len(token) + sum(map(len, got)))
         return got
 
@@ -148,7 +179,7 @@ class Decoder:
         """What letters set apart may say; up to two at each end may be words of their own ("a", "I") or numbers."""
         n = (len(span) + 1) // 2
         parts = {span[2 * i : 2 * (n - j) - 1] for i in range(3) for j in range(3) if n - i - j >= 4 or not i + j}
-        return {self.decode(x) for x in parts if any(c.isalpha() for c in x)}
+        return {y for x in parts if any(c.isalpha() for c in x) for y in self.decode(x)}
 
     def restored_many(self, column: pa.Array) -> list[str]:
         """Each text in lower case, and after it the decoded forms of its disguised spans."""

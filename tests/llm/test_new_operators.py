@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lodestrata.llm import collocations, hard_negatives, quality_rules
+from lodestrata.llm import collocations, hard_negatives, quality_rules, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "  \n\n", "a", "A a A a A a", "x  y\n\n z", "é ü 字 😀", "word " * 5000, "z" * 30000, "a b c a b c a b", "| | |", "#*$%&|<>", "\n".join(["one line here."] * 9), "!!! ???", "ab ab ab ab"]
@@ -229,3 +229,19 @@ def test_new_operators_take_empty_tables(spark):
     assert quality_rules.judged(docs).count() == quality_rules.clean(docs).count() == collocations.phrases(docs).count() == 0
     assert hard_negatives.mine(frame(spark, [], VECTORS)).count() == 0
     assert hard_negatives.mine(frame(spark, [(7, [1.0], 1, "x", 1), (101, [1.0], 1, "x", 1)], VECTORS)).count() == 0  # no anchor
+
+
+# 5: doubles in disguise
+
+
+def test_decoder_keeps_real_doubles(spark, small):
+    """With the letter counts of the documents, in which doubles are rare."""
+    d = toxicity.Decoder(toxicity.letter_counts(spark.read.parquet(f"{small}/documents.parquet")))
+    cases = {
+        "w0rthless": "worthless", "w0rthl3ss": "worthless", "worthle$$": "worthless", "w.o.r.t.h.l.e.s.s": "worthless", "w0rthle$s": "worthless", "worthlesssss": "worthless", "a55hole": "asshole",
+        "killl": "kill", "loo0oser": "loser", "st00pid": "stoopid", "b00000k": "book", "l1ke": "like", "s-t-u-p-i-d": "stupid",
+    }
+    for x, word in cases.items():
+        line = d.restored_many(__import__("pyarrow").array([x]))[0].split("\n")[1:]
+        assert word in line, (x, line)
+    assert len(d.decode("a00b11c33d44e55f77")) <= 15
