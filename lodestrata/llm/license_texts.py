@@ -77,6 +77,17 @@ KNOWN: list[tuple[str, str]] = [
     ("LGPL-3.0-or-later", _gnu("Lesser General Public License", "library", "3")),
 ]
 
+#: Other headings under which the texts above stand.
+_HEADINGS = {
+    "MIT License": ["The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC License": ["The ISC License", "ISC License (ISC)"],
+    "BSD 2-Clause License": ["The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "The BSD 2-Clause License"],
+    "BSD 3-Clause License": ["The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "The BSD 3-Clause License"],
+    "zlib License": ["The zlib License", "The zlib/libpng License"],
+    "Boost Software License - Version 1.0 - August 17th, 2003": ["Boost Software License"],
+}
+KNOWN[:0] = [(name, other + text[len(head) :]) for name, text in KNOWN for head, others in _HEADINGS.items() if text.startswith(f"{head}\n") for other in others]
+
 #: Spellings that licence matching treats as one.
 SPELLINGS: list[tuple[str, str]] = [
     ("acknowledgement", "acknowledgment"),

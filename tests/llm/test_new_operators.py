@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lodestrata.llm import collocations, hard_negatives, quality_rules, toxicity
+from lodestrata.llm import collocations, hard_negatives, license_scan, quality_rules, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "  \n\n", "a", "A a A a A a", "x  y\n\n z", "é ü 字 😀", "word " * 5000, "z" * 30000, "a b c a b c a b", "| | |", "#*$%&|<>", "\n".join(["one line here."] * 9), "!!! ???", "ab ab ab ab"]
@@ -245,3 +245,37 @@ def test_decoder_keeps_real_doubles(spark, small):
         line = d.restored_many(__import__("pyarrow").array([x]))[0].split("\n")[1:]
         assert word in line, (x, line)
     assert len(d.decode("a00b11c33d44e55f77")) <= 15
+
+
+# 10: statements by their form
+
+
+STATEMENTS = [
+    "Copyright (c) 2024 Brian May", "Copyright (c) 2019-2024 Will Must and contributors", "Copyright (c) 2020 Use Design Ltd", "Copyright (c) 2024 Jane Use <jane@use.org>", "(c) 2024, John R. Smith, Inc. All rights reserved.",
+    "Copyright 2024 Acme Inc.", "Copyright © 2010–present St. Louis Group GmbH & Co. KG", " * Copyright (C) 2001, 2002, 2005 The Example Project Authors (https://example.org)", "Copyright (c) 2024\n  Jane Doe", "Copyright (c) 2024,\n *  Jane Doe",
+    "copyright (c) 2015 john smith", "COPYRIGHT (C) 2015 JOHN SMITH", "Copyright Jane Doe", "© Jane Doe 2021", "Copyright (c) 2024 O'Neil van der Berg", "Copyright (c) 2024 字节",
+]
+CLAUSES = [
+    "Copyright 2024 Acme. Redistribution costs five dollars.", "(c) 2024 Acme, commercial redistribution forbids resale", "Copyright 2024 Acme: only noncommercial redistribution is licensed; pay us first",
+    "Copyright 2024 Acme. Pay us.", "Copyright (c) 2024 Acme (you may not sell this)", "COPYRIGHT 2024 ACME. YOU MAY NOT SELL IT", "copyright 2024 acme, you must not sell it", "Copyright (c) 2024 Acme\nYou owe us money.", "(c) The licensee pays a fee.",
+]
+
+
+def test_statements_by_their_form(spark, tmp_path):
+    """Statements are no part of a licence, whatever the holder's name; what says more is. Both engines agree."""
+    mit = dict(license_scan.KNOWN)["MIT"]
+    bare = mit.split("\n\n", 1)[1] if mit.startswith("MIT") or mit.startswith("The MIT") or "License" in mit.split("\n")[0] else mit
+    heads = ["The MIT License\n\n", "The MIT License (MIT)\n\n", "MIT License\n\n", ""]
+    texts = [heads[k % 4] + x + "\n\n" + bare for k, x in enumerate(STATEMENTS)] + ["MIT License\n\n" + x + "\n\n" + bare for x in CLAUSES] + [bare + "\n" + x for x in STATEMENTS + CLAUSES]
+    docs = docs_frame(spark, texts)
+    got = {r.doc_id: (r.canonical_sha256, r.license) for r in license_scan.scan(docs, license_scan.known_digests(spark)).collect()}
+    a, b = len(STATEMENTS), len(CLAUSES)
+    want = ["MIT"] * a + [None] * b + ["MIT"] * a + [None] * b
+    assert [(texts[i][:90], texts[i][-60:]) for i in range(len(texts)) if got[i][1] != want[i]] == []
+    docs.write.parquet(str(tmp_path / "d"))
+    columns, rows = sql_rows(tmp_path / "d", "documents", license_scan.SQL)
+    assert rows == sorted(((i, *got[i]) for i in got), key=repr) and columns == ["doc_id", "canonical_sha256", "license"]
+
+
+def test_known_headings_are_distinct():
+    assert len({(n, t) for n, t in license_scan.KNOWN}) == len(license_scan.KNOWN) > 30
