@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,9 +125,27 @@ def utc_timestamp(text: Column) -> Column:
     return F.when(strict, F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
 
 
-def key_set(text: Column, canonical: Column) -> Column:
-    """The keys of a structured text: its canonical form, the part before the first hyphen, the text without digits, the same
-    with all letters alike, and a status."""
-    frame = F.regexp_replace(canonical, "[0-9]+", "")
-    status = F.when(text.isNull(), "missing").when(F.coalesce(canonical, F.lit("")) == "", "empty").otherwise("ok")
-    return F.struct(canonical.alias("standard"), F.substring_index(canonical, "-", 1).alias("connectivity"), frame.alias("scaffold"), F.regexp_replace(frame, "[a-z]", "x").alias("generic"), status.alias("status"))
+def key_set(text: Column, canonical: Column, keys: Mapping[str, Callable[[Column], Column]] | None = None) -> Column:
+    """The keys of a structured text and a status: ok, empty (nothing canonical) or missing.
+
+    keys: name to a function from the canonical form to a key, any column function or Arrow UDF; a failing one gives null and the
+    status `failed`. By default the canonical form, the part before its first hyphen, the form without digits, and the same with
+    all letters alike.
+    """
+    made = {n: f(canonical) for n, f in (keys or DEFAULT_KEYS).items()}
+    known = F.coalesce(canonical, F.lit(""))
+    failed = reduce(lambda a, b: a | b, (k.isNull() for k in made.values()), F.lit(False))
+    status = F.when(text.isNull(), "missing").when(known == "", "empty").when(failed, "failed").otherwise("ok")
+    return F.struct(*[k.alias(n) for n, k in made.items()], status.alias("status"))
+
+
+def _frame(canonical: Column) -> Column:
+    return F.regexp_replace(canonical, "[0-9]+", "")
+
+
+DEFAULT_KEYS: dict[str, Callable[[Column], Column]] = {
+    "standard": lambda c: c,
+    "connectivity": lambda c: F.substring_index(c, "-", 1),
+    "scaffold": _frame,
+    "generic": lambda c: F.regexp_replace(_frame(c), "[a-z]", "x"),
+}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import average_rank
+from .ordered import prefix_sums, value_ranks
 
 DIGITS = 9
 
@@ -101,9 +102,14 @@ def bootstrap_mean(units: DataFrame, value: str, replicates: int, seed: int) ->
 
 
 def bootstrap_spearman(units: DataFrame, a: str, b: str, replicates: int, seed: int, least_finite: float = 0.999) -> DataFrame:
-    """Percentile interval of Spearman's rho, ranked anew in every replicate; fails if too few have a finite one."""
+    """Percentile interval of Spearman's rho, ranked anew in every replicate; fails if too few have a finite one. Values may not be
+    null."""
     drawn = resampled(units, replicates, seed)
-    ranks = drawn.select("replicate", average_rank(["replicate"], F.col(a)).alias("ra"), average_rank(["replicate"], F.col(b)).alias("rb"))
+    # equal pairs of values are drawn often: they are counted, and both sides ranked by parts of a replicate
+    pairs = drawn.groupBy("replicate", F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count("*").alias("__n"))
+    side = lambda v, name: value_ranks(pairs, ["replicate"], v, "__n").withColumnRenamed("rank", name)
+    ranks = pairs.join(side("__a", "ra"), ["replicate", "__a"]).join(side("__b", "rb"), ["replicate", "__b"])
+    ranks = ranks.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int"))))
     rho = ranks.groupBy("replicate").agg(F.corr("ra", "rb").alias("rho")).where("rho is not null")
     q = rho.agg(F.count("*").alias("n_finite"), F.percentile("rho", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     enough = F.assert_true(F.col("n_finite") >= least_finite * replicates, F.lit("too few replicates have a correlation"))
@@ -122,14 +128,17 @@ def sign_flip_p(units: DataFrame, value: str, replicates: int, seed: int) -> Dat
 def permutation_spearman(units: DataFrame, a: str, b: str, replicates: int, seed: int, slack: float = 1e-15) -> DataFrame:
     """rho, and the permutation p of |rho|: (1 + permutations at least as extreme) / (1 + permutations); units: i from 0, a, b.
 
-    Ranks do not change under a permutation, so they are made once. A replicate deals the ranks of b anew by a seeded order;
-    replicates are groups of their own, as large as the units.
+    Ranks do not change under a permutation, so they are made once. A replicate deals the ranks of b anew by a seeded order. Ranks
+    and places in a replicate come from running totals by parts, so no task gets all units; values may not be null.
     """
-    ranks = units.select("i", average_rank([], F.col(a)).alias("ra"), average_rank([], F.col(b)).alias("rb"))
+    one = units.select("i", F.col(a).alias("__a"), F.col(b).alias("__b"), F.lit(1).cast("long").alias("__n"))
+    side = lambda v, name: value_ranks(one, [], v, "__n").withColumnRenamed("rank", name)
+    ranks = one.join(side("__a", "ra"), "__a").join(side("__b", "rb"), "__b").select("i", "ra", "rb")
     seen = ranks.agg(F.corr("ra", "rb").alias("rho"))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("i").cast("string")))
     slots = units.sparkSession.range(replicates).select(F.col("id").alias("replicate")).join(ranks, how="cross")
-    dealt = slots.select("replicate", "rb", (F.row_number().over(Window.partitionBy("replicate").orderBy(order, "i")) - 1).cast("long").alias("i"))
+    places = prefix_sums(slots.select("replicate", "rb", "i", order.alias("__o"), F.lit(1).cast("long").alias("__n")), ["replicate"], ["__o", "i"], {"__place": "__n"})
+    dealt = places.select("replicate", "rb", F.col("__place").alias("i"))
     rho = dealt.join(ranks.select("i", "ra"), "i").groupBy("replicate").agg(F.abs(F.corr("ra", "rb")).alias("r"))
     counts = rho.crossJoin(F.broadcast(seen)).agg(F.max("rho").alias("rho"), F.count_if(F.col("r") >= F.abs("rho") - slack).alias("extreme"), F.count("*").alias("n"))
     return counts.select(F.round("rho", 6).alias("rho"), F.col("n").alias("n_permutations"), F.round((F.col("extreme") + 1) / (F.col("n") + 1), DIGITS).alias("p"))

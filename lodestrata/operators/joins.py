@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch_path
+
 
 def _unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """df, whose plan fails on the first repeated key; the count rides on the shuffle the join needs anyhow."""
@@ -46,21 +49,35 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
 def containing_pairs(texts: DataFrame, parts: DataFrame) -> DataFrame:
     """(text_id, part_id) wherever a part is a substring of a text. texts: text_id, text; parts: part_id, part.
 
-    A part's longest inner word (white space on both sides) is a word of every text that holds it, so it is the key of an
-    equi-join, and `contains` decides. Only parts without an inner word meet all texts. Null and empty parts match nothing.
+    The words of a part that have white space on both sides are words of every text that holds it. Its longest pair of such words
+    that follow each other is the key of an equi-join, by hash, or the longest word where there is but one; pairs keep frequent
+    words from being keys. `contains` decides. Only parts without an inner word meet all texts, as a stated query set. Null and
+    empty parts match nothing.
     """
     words = F.split("part", r"\s+")
     inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
-    anchor = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))).getField("w")
-    known = parts.where("part <> ''").withColumn("anchor", anchor)
-    anchored = known.where("anchor is not null")
-    own = texts.where("text is not null").select("text_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("anchor"))
+    known = parts.where("part <> ''").withColumn("__inner", inner)
+    keyed = F.array_max(F.transform(_neighbours(F.col("__inner")), lambda k: F.struct((F.length(k.a) + F.length(k.b)).alias("n"), k.alias("k")))).getField("k")
+    anchored = known.where(F.size("__inner") > 0).withColumn("anchor", F.xxhash64(keyed.a, keyed.b))
+    single = anchored.where(F.size("__inner") == 1).isEmpty()
+    own = texts.where("text is not null").withColumn("__w", F.split("text", r"\s+"))
+    pairs = _neighbours(F.col("__w"))
+    # single words are sent only if a part has no pair
+    sent = pairs if single else F.concat(pairs, F.transform("__w", lambda w: F.struct(w.alias("a"), F.lit("").alias("b"))))
+    own = own.select("text_id", F.explode(F.array_distinct(F.transform(sent, lambda k: F.xxhash64(k.a, k.b)))).alias("anchor"))
     near = own.join(anchored.select("part_id", "anchor"), "anchor").select("text_id", "part_id")
     near = near.join(texts, "text_id").join(anchored.select("part_id", "part"), "part_id").where("contains(text, part)").select("text_id", "part_id")
-    rest = texts.join(known.where("anchor is null").select("part_id", "part"), F.expr("contains(text, part)")).select("text_id", "part_id")
+    rest = texts.join(known.where(F.size("__inner") == 0).select("part_id", "part"), F.expr("contains(text, part)")).select("text_id", "part_id")
     return near.unionAll(rest)
 
 
+def _neighbours(words: Column) -> Column:
+    """(a, b) of the words that follow each other; of a single word that and ''."""
+    n = F.size(words)
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.when(n == 1, F.transform(words, lambda w: F.struct(w.alias("a"), F.lit("").alias("b")))).otherwise(pairs)
+
+
 def grid_gaps(observed: DataFrame, dims: Sequence[DataFrame]) -> DataFrame:
     """The keys of the full grid of the (small) dimensions, with `state`: present, missing or extra."""
     grid = dims[0].distinct()
@@ -131,18 +148,56 @@ def nearest_by_cosine(queries: DataFrame, corpus: DataFrame, equal: Sequence[str
     return out.groupBy("query_id").agg(F.max_by(F.struct("corpus_id", "similarity"), F.struct(F.col("similarity"), -F.col("corpus_id"))).alias("b")).select("query_id", "b.corpus_id", "b.similarity")
 
 
-def nearest_by_tokens(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def nearest_by_tokens(queries: DataFrame, corpus: DataFrame, first: float = 0.5, fall: float = 4.0) -> DataFrame:
     """For each query (query_id, token) the corpus set (corpus_id, token) of the largest Jaccard similarity, ties to the lowest id.
 
-    Inverted index: only sets that share a token meet; a query that shares none has corpus_id null and similarity 0.
-    A set does not meet itself (same id). Rows must be distinct.
+    Sets are kept rare tokens first. Two sets of similarity t or more share a token among the first n - ceil(t n) + 1 of each, and
+    their sizes differ by at most the factor t; so a round looks up only the rare ends of the queries, under a threshold, and what
+    the ends share bounds what the sets can share. A query
+    that has found a similarity of its threshold or more is done; one that has found less asks once more, under that; one that has
+    found none goes on under a threshold that falls by the factor `fall`, until a single shared token would do. So common tokens
+    are looked up only for queries that nothing better answers. Rounds are few, each writes what it has found.
+
+    A query that shares no token has corpus_id null and similarity 0. A set does not meet itself (same id). Rows must be distinct.
     """
-    nq = queries.groupBy("query_id").agg(F.count("*").alias("nq"))
-    nc = corpus.groupBy("corpus_id").agg(F.count("*").alias("nc"))
-    shared = queries.join(corpus, "token").where("query_id <> corpus_id").groupBy("query_id", "corpus_id").agg(F.count("*").alias("shared"))
-    scored = shared.join(nq, "query_id").join(nc, "corpus_id").withColumn("similarity", F.col("shared") / (F.col("nq") + F.col("nc") - F.col("shared")))
-    best = scored.groupBy("query_id").agg(F.max_by(F.struct("corpus_id", "similarity"), F.struct(F.col("similarity"), -F.col("corpus_id"))).alias("b"))
-    return nq.join(best, "query_id", "left").select("query_id", "b.corpus_id", F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"))
+    spark = queries.sparkSession
+
+    def fixed(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    freq = corpus.groupBy("token").agg(F.count("*").alias("df"))
+
+    def sets(df: DataFrame, i: str, n: str) -> DataFrame:
+        """i, n and the tokens' hashes, rare ones first; tokens of no corpus set come before all."""
+        known = df.join(freq, "token", "left").select(i, F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.xxhash64("token").alias("h")).alias("t"))
+        return known.groupBy(i).agg(F.array_sort(F.collect_list("t")).alias("t")).select(i, F.size("t").alias(n), F.transform("t", lambda x: x["h"]).alias(f"{n}_t"))
+
+    q, c = fixed(sets(queries, "query_id", "nq"), "query-sets"), fixed(sets(corpus, "corpus_id", "nc"), "corpus-sets")
+    least = 1.0 / ((q.agg(F.max("nq")).first()[0] or 1) + (c.agg(F.max("nc")).first()[0] or 1))
+    prefix = lambda n, t: F.col(n) - F.ceil(F.col(n) * t - 1e-9).cast("int") + 1
+    index = c.select("corpus_id", "nc", F.posexplode("nc_t").alias("pc", "token"))
+    # what two sets may still share behind the last token that their rare ends share
+    behind = F.least(F.min(F.col("nq") - 1 - F.col("pq")), F.min(F.col("nc") - 1 - F.col("pc")))
+    left = fixed(q.select("query_id", F.lit(first).alias("t"), F.lit(0.0).alias("similarity"), F.lit(None).cast("long").alias("corpus_id")), "left")
+    done = []
+    while True:
+        asked = left.join(q, "query_id").select("query_id", "t", "nq", F.posexplode(F.slice("nq_t", F.lit(1), F.greatest(F.lit(0), F.least(F.col("nq"), prefix("nq", F.col("t")))))).alias("pq", "token"))
+        fits = (F.col("nc") >= F.col("nq") * F.col("t") - 1e-9) & (F.col("nc") * F.col("t") <= F.col("nq") + 1e-9) & (F.col("pc") < prefix("nc", F.col("t"))) & (F.col("query_id") != F.col("corpus_id"))
+        met = asked.join(index, "token").where(fits).groupBy("query_id", "corpus_id", "t", "nq", "nc").agg((F.count("*") + behind).alias("most"))
+        met = met.where(F.col("most") >= (F.col("nq") + F.col("nc")) * F.col("t") / (1 + F.col("t")) - 1e-9).select("query_id", "corpus_id")
+        both = met.join(q, "query_id").join(c, "corpus_id").withColumn("k", F.size(F.array_intersect("nq_t", "nc_t")))
+        scored = both.select("query_id", "corpus_id", (F.col("k") / (F.col("nq") + F.col("nc") - F.col("k"))).alias("similarity"))
+        best = scored.groupBy("query_id").agg(F.max_by(F.struct("corpus_id", "similarity"), F.struct(F.col("similarity"), -F.col("corpus_id"))).alias("b"))
+        now = left.select("query_id", "t").join(best, "query_id", "left").select("query_id", "t", F.coalesce("b.similarity", F.lit(0.0)).alias("similarity"), F.col("b.corpus_id").alias("corpus_id"))
+        now = fixed(now, "found")
+        over = (F.col("similarity") >= F.col("t") - 1e-12) | (F.col("t") <= least)
+        done.append(now.where(over))
+        falling = F.when(F.col("similarity") > 0, F.col("similarity")).otherwise(F.greatest(F.col("t") / fall, F.lit(least)))
+        left = now.where(~over).withColumn("t", falling)
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, done).select("query_id", "corpus_id", "similarity")
 
 
 def threshold_flags(similarity: Column, cuts: Sequence[float], slack: float = 1e-7) -> dict[str, Column]:

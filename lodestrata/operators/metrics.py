@@ -175,10 +175,17 @@ def constant_prediction(df: DataFrame, value: str, train: Column, name: str = "p
 
 def pair_accuracy(df: DataFrame, groups: Sequence[str], label: str, score: str, band: float = 1e-5) -> DataFrame:
     """Of all pairs of a positive and a negative of a group: how many there are, and the share won by the positive; scores
-    within the band share the point. Pairs are counted by ranges of scores and never made."""
-    one = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).withColumn("__neg", (F.col(label) == 0).cast("int"))
-    upto_ = lambda end: F.coalesce(F.expr(f"sum(__neg) over (partition by {', '.join(groups)} order by cast({score} as double) range between unbounded preceding and {end})"), F.lit(0))
-    below, upto = upto_(f"{band * (1 + 1e-9)!r}D preceding"), upto_(f"{band!r}D following")
-    rows = one.withColumn("__won", below + (upto - below) / 2)
-    sums = rows.groupBy(*groups).agg(F.count_if(F.col(label) == 1).alias("p"), F.sum("__neg").alias("q"), F.sum(F.when(F.col(label) == 1, F.col("__won"))).alias("w"))
+    within the band share the point. Pairs are counted from running totals over distinct scores, by parts of a group, and never
+    made."""
+    one = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    at = one.groupBy(*groups, F.col(score).cast("double").alias("__x")).agg(F.count_if(F.col(label) == 0).alias("__neg"), F.count_if(F.col(label) == 1).alias("__pos"))
+    # a positive asks, just below and just above its band, how many negatives lie up to there: its points are half of each sum
+    points = F.array(*[F.struct(x.alias("__x"), F.lit(o).alias("__o"), n.alias("__neg"), p.alias("__ask")) for x, o, n, p in (
+        (F.col("__x"), 0, F.col("__neg"), F.lit(0).cast("long")),
+        (F.col("__x") - F.lit(band * (1 + 1e-9)), 1, F.lit(0).cast("long"), F.col("__pos")),
+        (F.col("__x") + F.lit(band), 1, F.lit(0).cast("long"), F.col("__pos")),
+    )])
+    asked = at.select(*groups, F.explode(points).alias("__p")).select(*groups, "__p.*").where("__neg > 0 or __ask > 0")
+    upto = prefix_sums(asked, groups, ["__x", "__o"], {"__upto": "__neg"})
+    sums = upto.groupBy(*groups).agg((F.sum("__ask") / 2).cast("long").alias("p"), F.sum("__neg").alias("q"), (F.sum(F.col("__ask") * F.col("__upto")) / F.lit(2.0)).alias("w"))
     return sums.select(*groups, (F.col("p") * F.col("q")).alias("n_pairs"), _r(F.try_divide(F.col("w"), F.col("p") * F.col("q")), "pair_accuracy"))

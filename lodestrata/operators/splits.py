@@ -50,27 +50,33 @@ FOLD_GROUPS = 1 << 16
 def _filled(rows: DataFrame, room: float) -> DataFrame:
     """rows (first, then: their order; n) with `taken`: in order, each that still fits in the room is taken.
 
-    A run of rows is taken at once, up to the first that does not fit after it, by running totals; what is then too big for
-    the room left is refused at once. When few rows are left one task places them.
+    Rows of more than half of the room left are large: at most one of them is taken. Up to the first large row that fits behind
+    the small ones before it, or the small one that fills half of the room, the small rows are taken and the large ones refused;
+    that row is taken too. So each round at least halves the room, and there are no more rounds than its logarithm; running totals
+    are made by parts. When few rows are left one task places them.
     """
-    used, rest, out = 0, rows, []
+    spark, used, rest, out = rows.sparkSession, 0, rows, []
     while True:
-        fits = F.col("n") + F.lit(used) <= F.lit(room)
-        out.append(rest.where(~fits).withColumn("taken", F.lit(False)))
-        rest = rest.where(fits)
+        left = room - used
+        out.append(rest.where(F.col("n") > left).withColumn("taken", F.lit(False)))
+        rest = rest.where(F.col("n") <= left)
         if rest.count() <= FOLD_GROUPS:
             break
-        path = scratch_path(rows.sparkSession, "fill")
-        prefix_sums(rest, [], ["first", "then"], {"before": "n"}).write.parquet(path)
-        run = rows.sparkSession.read.parquet(path)
-        stop = run.where(F.col("before") + F.col("n") + F.lit(used) > F.lit(room)).agg(F.min(F.struct("first", "then", "before")).alias("s")).select("s.*").first()
+        path = scratch_path(spark, "fill")
+        marked = rest.withColumn("__small", F.when(F.col("n") * 2 <= left, F.col("n")).otherwise(0))
+        prefix_sums(marked, [], ["first", "then"], {"before": "__small"}).write.parquet(path)
+        run = spark.read.parquet(path)
+        small = F.col("__small") > 0
+        ends = F.when(small, (F.col("before") + F.col("n")) * 2 > left).otherwise(F.col("before") + F.col("n") <= left)
+        stop = run.where(ends).agg(F.min(F.struct("first", "then", "before", "n")).alias("s")).select("s.*").first()
         if stop.before is None:
-            out.append(run.drop("before").withColumn("taken", F.lit(True)))
+            out.append(run.withColumn("taken", small).drop("before", "__small"))
             rest = rest.limit(0)
             break
-        earlier = (F.col("first") < stop.first) | ((F.col("first") == stop.first) & (F.col("then") < stop.then))
-        out.append(run.where(earlier).drop("before").withColumn("taken", F.lit(True)))
-        rest, used = run.where(~earlier).drop("before"), used + stop.before
+        earlier = (F.col("first") < stop.first) | ((F.col("first") == stop.first) & (F.col("then") <= stop.then))
+        last = (F.col("first") == stop.first) & (F.col("then") == stop.then)
+        out.append(run.where(earlier).withColumn("taken", small | last).drop("before", "__small"))
+        rest, used = run.where(~earlier).drop("before", "__small"), used + stop.before + stop.n
 
     def place(batches):
         import pyarrow as pa

@@ -18,7 +18,8 @@ from ..sources import tables as T
 from ..sources.shared import scratch_path
 from ..sources.tables import table
 from ..streaming import streams
-from .measure import _SCORED, differences, scored
+from .measure import _DIFF, _SCORED, differences, scored
+from .measure import SQL as _MEASURED
 from .split_text import _STEPS, training_steps
 
 QUERIES: dict = {}
@@ -258,7 +259,25 @@ def endpoint_record(spark, d):
     return I.endpoint_record(units, "z", 200, 23).drop("p")
 
 
-@query("paired_bundle")
+WILCOXON = _MEASURED["wilcoxon_exact"]
+
+
+def _bundle_sql() -> str:
+    """Each contrast's exact signed-rank test by its number of sign patterns, Holm over the contrasts, Friedman over the blocks."""
+    pairs = [(x, y) for i, x in enumerate("ANR") for y in "ANR"[i + 1 :]]
+    long = " UNION ALL ".join(f"SELECT '{x}-{y}' AS g, k, s, round({x} - {y}, 9) AS diff FROM v WHERE {x} IS NOT NULL AND {y} IS NOT NULL AND {'ANR'.replace(x, '').replace(y, '')} IS NOT NULL" for x, y in pairs)
+    ranks = ", ".join(f"({' + '.join(f'({o} < {c})::INT' for o in 'ANR')}) + (({' + '.join(f'({o} = {c})::INT' for o in 'ANR')}) + 1) / 2.0 AS r{c}" for c in "ANR")
+    tests = WILCOXON.split("SELECT a.g, n,", 1)
+    head = tests[0].split("r AS (", 1)[1]
+    return f"""WITH RECURSIVE {_DIFF.replace("d AS", "d0 AS", 1)}, v AS (SELECT k, s, max(diff) FILTER (g = 'A') AS A, max(diff) FILTER (g = 'N') AS N, max(diff) FILTER (g = 'R') AS R FROM d0 GROUP BY ALL), d AS ({long}),
+r AS ({head}, x AS (SELECT a.g AS contrast, n,{tests[1]}),
+h AS (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, contrast) + 1) * p) AS h FROM x),
+b AS (SELECT * FROM v WHERE A IS NOT NULL AND N IS NOT NULL AND R IS NOT NULL), f AS (SELECT {ranks} FROM b),
+f2 AS (SELECT count(*) AS m, sum(rA) AS sx, sum(rN) AS sy, sum(rR) AS sz, sum(rA * rA + rN * rN + rR * rR) AS q FROM f), f3 AS (SELECT (2 * ((sx * sx + sy * sy + sz * sz) / m::DOUBLE - 12.0 * m) / (q - 12.0 * m))::DOUBLE AS t FROM f2)
+SELECT contrast, n, w_plus, p, rank_biserial, median, round(max(h) OVER (ORDER BY p, contrast ROWS UNBOUNDED PRECEDING), 9) AS p_holm, round(t, 9) AS friedman, round(exp(-t / 2), 9) AS friedman_p FROM h, f3"""
+
+
+@query("paired_bundle", _bundle_sql())
 def paired_bundle(spark, d):
     own = differences(spark, d).groupBy("k", "s").pivot("g", ["A", "N", "R"]).agg(F.max("diff"))
     return I.paired_bundle(own, ["A", "N", "R"])
