@@ -68,6 +68,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch on its way to a Python worker; a single longer row makes a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session batches for Python workers are from now on bounded by bytes: texts may be very long, and both sides
+    hold whole batches. A smaller bound that is set already stays."""
+    key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    now = "".join(c for c in spark.conf.get(key, "") if c.isdigit())
+    if not now or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def release() -> None:
     """Give the memory that numpy and Arrow keep for later back to the machine: workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from . import _pretokens
 from ._bpe import Vocabulary, vocabulary
-from ._common import Remembered, lean, slices, string_buffer, table, worker_table
+from ._common import Remembered, bounded_batches, lean, slices, string_buffer, table, worker_table
 
 RANKS = "byte_bpe_50k.tiktoken"
 MAX_STATES = 400_000
@@ -241,7 +241,7 @@ def encoded(docs: DataFrame, path: str | None = None, max_states: int = 100_000,
                 texts = pa.array([b.decode() for b in c.decoded_many(ids)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), tokens, texts], names=["doc_id", "token_ids", "text"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run, "codec"), "doc_id long, token_ids array<int>, text string")
+    return bounded_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(lean(run, "codec"), "doc_id long, token_ids array<int>, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

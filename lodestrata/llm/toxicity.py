@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Remembered, drop_tables, lean, release, slices, string_buffer, table, written
+from ._common import Remembered, bounded_batches, drop_tables, lean, release, slices, string_buffer, table, written
 
 #: At most about so many labelled rows are used for training, taken by hash (documented bound).
 MAX_TRAIN = 20_000
@@ -310,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Decoder, Scorer]:
 
 def scores(docs: DataFrame, decoder: Decoder, scorer: Scorer):
     """A column function from text to its score."""
-    shared = docs.sparkSession.sparkContext.broadcast((decoder, scorer))
+    shared = bounded_batches(docs).sparkSession.sparkContext.broadcast((decoder, scorer))
 
     @F.arrow_udf("double")
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
