@@ -76,7 +76,7 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     """df, in whose session batches for Python workers are from now on bounded by bytes: texts may be very long, and both sides
     hold whole batches. A smaller bound that is set already stays."""
     key, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
-    now = "".join(c for c in spark.conf.get(key, "") if c.isdigit())
+    now = "".join(c for c in spark.conf.get(key, None) or "" if c.isdigit())
     if not now or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
     return df
