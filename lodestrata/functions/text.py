@@ -20,6 +20,16 @@ def canonical_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def canonical_url(url: Column) -> Column:
+    """The canonical key of an address: scheme and host in lower case, without user, default port, fragment or a slash at the end;
+    null where it has no scheme or no host."""
+    part = lambda k: F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(:[0-9]*)?([^#]*)", k)
+    scheme, port = F.lower(part(1)), part(3)
+    default = (port == ":") | (scheme == "http") & (port == ":80") | (scheme == "https") & (port == ":443")
+    rest = F.regexp_replace(F.regexp_replace(part(4), r"\s+$", ""), "/$", "")
+    return F.when(part(2) != "", F.concat(scheme, F.lit("://"), F.lower(part(2)), F.when(default, "").otherwise(port), rest))
+
+
 def connectivity(key: Column) -> Column:
     """The part of a structured key before its first hyphen."""
     return F.substring_index(key, "-", 1)

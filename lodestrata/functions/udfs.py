@@ -89,15 +89,48 @@ def length_pair(texts: list[str]) -> np.ndarray:
     return np.array([[len(t), len(t.encode())] for t in texts], np.float32).reshape(-1, 2)
 
 
-def scorer(path: str, binary: bool):
-    """string -> double by the kind of model file: `.model` names a registered scorer; other kinds need a loader of their own,
-    registered under their suffix."""
+def _linear_model(path: str) -> Callable[[list[str]], np.ndarray]:
+    """A checkpoint of its own kind, JSON: `features` (named feature functions), `weights` and `bias`."""
+    import json
+    import posixpath
+
+    from ..sources.matrix import store_of
+
+    store, own = store_of(path)
+    with store.open_input_stream(posixpath.normpath(own)) as f:
+        model = json.loads(f.read())
+    weights = np.array(model["weights"], float)
+    return lambda texts: np.stack([np.array([FEATURES[n](t) for t in texts], float) for n in model["features"]], 1).reshape(-1, len(weights)) @ weights + model["bias"]
+
+
+def _onnx_model(path: str) -> Callable[[list[str]], np.ndarray]:
+    """An ONNX graph from strings to numbers, where onnxruntime is installed."""
+    import onnxruntime
+
+    from ..sources.matrix import store_of
+
+    store, own = store_of(path)
+    with store.open_input_stream(own) as f:
+        session = onnxruntime.InferenceSession(f.read())
+    return lambda texts: np.asarray(session.run(None, {session.get_inputs()[0].name: np.array(texts, object)})[0], float).reshape(len(texts), -1)[:, 0]
+
+
+#: Features that a linear checkpoint may name.
+FEATURES: dict[str, Callable[[str], float]] = {"length": len, "words": lambda t: len(t.split()), "digits": lambda t: sum(c.isdigit() for c in t)}
+#: Loaders by suffix; `register(".suffix")` adds others.
+LOADERS: dict[str, Callable[[str], Callable]] = {".json": _linear_model, ".onnx": _onnx_model}
+
+
+def scorer(path: str, binary: bool, mean: float = 0.0, sd: float = 1.0):
+    """string -> double by the kind of model file: `.model` names a registered scorer, `.json` is a linear checkpoint, `.onnx` a
+    graph; other kinds need a loader of their own, registered under their suffix. The file is loaded once for each worker."""
     name, _, suffix = path.rpartition("/")[2].rpartition(".")
     if suffix == "model":
-        return predictor(lambda: REGISTRY[name], binary)
-    if f".{suffix}" in REGISTRY:
-        return predictor(lambda: REGISTRY[f".{suffix}"](path), binary)
-    raise ValueError(f"no scorer for .{suffix} files")
+        return predictor(lambda: REGISTRY[name], binary, mean, sd)
+    load = LOADERS.get(f".{suffix}") or REGISTRY.get(f".{suffix}")
+    if load is None:
+        raise ValueError(f"no scorer for .{suffix} files")
+    return predictor(lambda: load(path), binary, mean, sd)
 
 
 def ngram_encoder():

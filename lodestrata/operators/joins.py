@@ -99,53 +99,86 @@ def field_mismatches(left: DataFrame, right: DataFrame, key: str, fields: Sequen
     return a.join(b, key, "full").select(key, F.when(F.col("__a").isNull() | F.col("__b").isNull(), F.array(F.lit("missing"))).otherwise(differs).alias("mismatches"))
 
 
-def nearest_by_cosine(queries: DataFrame, corpus: DataFrame, equal: Sequence[str] = (), block: int = 2048) -> DataFrame:
+def nearest_by_cosine(queries: DataFrame, corpus: DataFrame, equal: Sequence[str] = (), block: int = 1024, copies: int = 16) -> DataFrame:
     """For each query (query_id, vector) the corpus row (corpus_id, vector) of the largest cosine, ties to the lowest id.
 
-    Exact. A stated query set meets all rows: the queries are cut into blocks of bounded size, blocks are copied to all
-    corpus partitions, each partition answers with its best, and the best of these wins (combined before the shuffle).
-    Queries equal to the row itself (same id) do not count. `equal`: columns that must agree as well.
+    Exact. A stated query set meets all rows, in blocks: both sides are packed into blocks of at most `block` vectors, query blocks
+    are copied `copies` times, and a join on the columns in `equal`, the length of the vectors and the number of the copy pairs
+    each corpus block with every query block of its key once. A pair is a matrix product; each task keeps its best for each query,
+    and the best of these wins. Nothing passes through the driver, the corpus is read once, and rows of other keys do not meet.
+    Rows of the query's own id do not count; null or empty vectors and rows with a null key meet nothing; queries without a
+    partner have no row.
     """
     import numpy as np
-    import pandas as pd
-
-    spark = queries.sparkSession
-    rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), *equal)
-    total = rows.count()
-    n_blocks = max(1, -(-total // block))
-    out = None
-    schema = "query_id long, corpus_id long, similarity double"
-    for k in range(n_blocks):
-        part = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == k).toPandas()
-        if part.empty:
-            continue
-        q = np.stack(part["vector"].to_list()).astype(float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), q, [part[c].to_numpy() for c in equal]))
-
-        def run(batches, shared=shared):
-            ids, q, marks = shared.value
-            best, best_id = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max)
-            for pdf in batches:
-                v = np.stack(pdf["vector"].to_list()).astype(float)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                s = q @ v.T
-                s[ids[:, None] == pdf["corpus_id"].to_numpy()[None, :]] = -np.inf
-                for m, c in zip(marks, equal):
-                    s[m[:, None] != pdf[c].to_numpy()[None, :]] = -np.inf
-                order = np.argsort(pdf["corpus_id"].to_numpy(), kind="stable")
-                at = order[s[:, order].argmax(1)]
-                got, got_id = s[np.arange(len(ids)), at], pdf["corpus_id"].to_numpy()[at]
-                better = (got > best) | (got == best) & (got_id < best_id)
-                best, best_id = np.where(better, got, best), np.where(better, got_id, best_id)
-            has = np.isfinite(best)
-            yield pd.DataFrame({"query_id": ids[has], "corpus_id": best_id[has], "similarity": best[has]})
-
-        found = corpus.select("corpus_id", F.col("vector").cast("array<double>").alias("vector"), *equal).mapInPandas(run, schema)
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    return out.groupBy("query_id").agg(F.max_by(F.struct("corpus_id", "similarity"), F.struct(F.col("similarity"), -F.col("corpus_id"))).alias("b")).select("query_id", "b.corpus_id", "b.similarity")
+    import pyarrow as pa
+
+    def packed(df: DataFrame, i: str) -> DataFrame:
+        names = ["key", "dim", f"{i}s", f"{i}_v"]
+
+        def run(batches):
+            held: dict = {}
+
+            def out(key):
+                ids, v = (np.concatenate(x) for x in zip(*held.pop(key)))
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([*key, ids.tobytes(), v.tobytes()], [pa.string(), pa.int32(), pa.binary(), pa.binary()])], names=names)
+
+            for batch in batches:
+                keys = batch.column(0).dictionary_encode()
+                code, dim, ids = np.asarray(keys.indices), np.asarray(batch.column(1)), np.asarray(batch.column(2))
+                for c, n in {*zip(code.tolist(), dim.tolist())}:
+                    here = np.flatnonzero((code == c) & (dim == n))
+                    v = np.asarray(batch.column(3).take(pa.array(here)).flatten(), float).reshape(-1, n)
+                    key = (keys.dictionary[c].as_py(), n)
+                    for a in range(0, len(here), block):
+                        if key in held and sum(len(x) for x, _ in held[key]) + len(here[a : a + block]) > block:
+                            yield out(key)
+                        held.setdefault(key, []).append((ids[here[a : a + block]], v[a : a + block]))
+                if sum(len(x) for parts in held.values() for x, _ in parts) > 32 * block:
+                    for key in list(held):
+                        yield out(key)
+            for key in list(held):
+                yield out(key)
+
+        known = F.col("vector").isNotNull() & (F.size("vector") > 0) & F.col(i).isNotNull()
+        for c in equal:
+            known &= F.col(c).isNotNull()
+        key = F.to_json(F.struct(*equal)) if equal else F.lit("")
+        rows = df.where(known).select(key.alias("key"), F.size("vector").alias("dim"), F.col(i).cast("long").alias(i), F.col("vector").cast("array<double>").alias("vector"))
+        return rows.mapInArrow(run, f"key string, dim int, {i}s binary, {i}_v binary")
+
+    def best(batches):
+        found: dict[bytes, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                q = np.frombuffer(r["query_ids"], np.int64)
+                ids = np.frombuffer(r["corpus_ids"], np.int64)
+                order = np.argsort(ids, kind="stable")
+                s = np.frombuffer(r["query_id_v"], float).reshape(len(q), -1) @ np.frombuffer(r["corpus_id_v"], float).reshape(len(ids), -1)[order].T
+                s[q[:, None] == ids[order][None, :]] = -np.inf
+                at = s.argmax(1)
+                got, got_id = s[np.arange(len(q)), at], ids[order][at]
+                if r["query_ids"] not in found:
+                    found[r["query_ids"]] = [got, got_id]
+                else:
+                    top, top_id = found[r["query_ids"]]
+                    better = (got > top) | (got == top) & (got_id < top_id)
+                    found[r["query_ids"]] = [np.where(better, got, top), np.where(better, got_id, top_id)]
+                if len(found) > 256:
+                    yield from answers(found)
+                    found.clear()
+        yield from answers(found)
+
+    def answers(found):
+        for raw, (got, got_id) in found.items():
+            has = np.isfinite(got)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64)[has]), pa.array(got_id[has]), pa.array(got[has])], names=["query_id", "corpus_id", "similarity"])
+
+    asked = packed(queries, "query_id").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    held = packed(corpus, "corpus_id").withColumn("__copy", F.pmod(F.xxhash64("corpus_ids"), F.lit(copies)).cast("int"))
+    pairs = held.join(asked, ["key", "dim", "__copy"]).select("query_ids", "query_id_v", "corpus_ids", "corpus_id_v")
+    rows = pairs.mapInArrow(best, "query_id long, corpus_id long, similarity double")
+    return rows.groupBy("query_id").agg(F.max_by(F.struct("corpus_id", "similarity"), F.struct(F.col("similarity"), -F.col("corpus_id"))).alias("b")).select("query_id", "b.corpus_id", "b.similarity")
 
 
 def nearest_by_tokens(queries: DataFrame, corpus: DataFrame, first: float = 0.5, fall: float = 4.0) -> DataFrame:

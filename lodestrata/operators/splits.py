@@ -43,6 +43,19 @@ def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.conv(F.substring(F.md5(F.col(group).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int"))
 
 
+def fold_parts(df: DataFrame, fold: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """The training rows (all folds but k) and the validation rows (fold k), both without the fold column; rows without a fold are
+    in neither."""
+    return df.where(F.col(fold) != k).drop(fold), df.where(F.col(fold) == k).drop(fold)
+
+
+def split_partition(split: Column, valid: Column, name: str = "partition") -> Column:
+    """train, valid or test from a split column that knows train and test and a flag for the rows of train that validate; the plan
+    fails at any other split."""
+    known = F.assert_true(F.coalesce(split.isin("train", "test"), F.lit(False)), F.concat(F.lit("unknown split: "), F.coalesce(split, F.lit("null"))))
+    return F.when(known.isNull(), F.when(split == "test", "test").when(F.coalesce(valid, F.lit(False)), "valid").otherwise("train")).alias(name)
+
+
 #: So many groups are placed one after the other by one task; more are first placed by runs.
 FOLD_GROUPS = 1 << 16
 

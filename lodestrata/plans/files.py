@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import generators
+from ..functions import generators, udfs
 from ..functions import text as X
 from ..operators import digests as D
+from ..operators import splits as S
 from ..operators import states
 from ..operators.ordered import prefix_sums
-from ..sources import matrix, results, sinks
+from ..operators.tasks import TaskRegistry
+from ..sources import exports, matrix, results, sinks
 from ..sources import tables as T
 from ..sources.shared import scratch_path
 from ..sources.tables import table
@@ -111,6 +113,82 @@ def exposure_plan(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("prior_passes", "final_passes")})
 
 
+@query("chunk_stream", "WITH r AS (SELECT doc_id, length(text) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) SELECT i // 64 AS chunk, count(*) AS n_rows, min(doc_id) AS first_id, max(doc_id) AS last_id, CAST(sum(n) AS BIGINT) AS n_chars FROM r GROUP BY 1")
+def chunk_stream(spark, d):
+    """Shards in chunks of 64 rows, in the order of the file."""
+    rows = T.read_chunks(spark, f"{d}/documents.parquet", 64)
+    own = rows.groupBy("file", "chunk").agg(F.count("*").alias("n_rows"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum(F.length("text")).alias("n_chars"))
+    return own.drop("file")
+
+
+@query("scorer_by_suffix", "WITH s AS (SELECT d.doc_id, length(text) AS x, quality AS y FROM documents d JOIN labels l USING (doc_id) WHERE text IS NOT NULL), f AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM s) SELECT doc_id, round(a * length(text) + b, 6) AS score FROM documents, f WHERE text IS NOT NULL")
+def scorer_by_suffix(spark, d):
+    """A linear checkpoint fitted on labelled texts, stored as JSON and read by the scorer of its suffix."""
+    docs = table(spark, d, "documents").where("text is not null")
+    fit = docs.join(table(spark, d, "labels"), "doc_id").agg(F.regr_slope("quality", F.length("text")).alias("a"), F.regr_intercept("quality", F.length("text")).alias("b"))
+    where = scratch_path(spark, "linear") + ".json"
+    model = fit.select(F.to_json(F.struct(F.array(F.lit("length")).alias("features"), F.array("a").alias("weights"), F.col("b").alias("bias"))).alias("value"))
+    exports.single_file(model, where, "text")
+    return docs.select("doc_id", F.round(udfs.scorer(where, binary=False)("text"), 6).alias("score"))
+
+
+# folds, splits, keys, tasks
+
+
+@query("fold_filter", "WITH f AS (SELECT doc_id, source, CAST(CAST('0x' || substr(md5(source), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold FROM documents), k AS (SELECT unnest(range(5)) AS k) SELECT CAST(k AS INTEGER) AS k, CASE WHEN fold = k THEN 'valid' ELSE 'train' END AS part, count(*) AS n, count(DISTINCT source) AS n_sources FROM f, k GROUP BY ALL")
+def fold_filter(spark, d):
+    """Train and validation rows of each of five folds by source."""
+    own, out = S.group_folds(table(spark, d, "documents").select("doc_id", "source"), "source", 5), None
+    for k in range(5):
+        for part, rows in zip(("train", "valid"), S.fold_parts(own, "fold", k)):
+            row = rows.select(F.lit(k).alias("k"), F.lit(part).alias("part"), "source")
+            out = row if out is None else out.unionAll(row)
+    return out.groupBy("k", "part").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"))
+
+
+@query("split_membership", "WITH s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS s1, CASE WHEN doc_id % 7 = 1 THEN 'test' ELSE 'train' END AS s2, doc_id % 9 = 2 AS v FROM documents), p AS (SELECT 'split1' AS split, CASE WHEN s1 = 'test' THEN 'test' WHEN v THEN 'valid' ELSE 'train' END AS partition FROM s UNION ALL SELECT 'split2', CASE WHEN s2 = 'test' THEN 'test' WHEN v THEN 'valid' ELSE 'train' END FROM s) SELECT split, partition, count(*) AS n FROM p GROUP BY ALL")
+def split_membership(spark, d):
+    """The partition of each row under two splits."""
+    i = F.col("doc_id")
+    own = table(spark, d, "documents").select("doc_id", F.when(i % 5 == 0, "test").otherwise("train").alias("split1"), F.when(i % 7 == 1, "test").otherwise("train").alias("split2"))
+    long = own.unpivot(["doc_id"], ["split1", "split2"], "split", "value")
+    return long.select("split", S.split_partition(F.col("value"), i % 9 == 2)).groupBy("split", "partition").agg(F.count("*").alias("n"))
+
+
+_URL = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(:[0-9]*)?([^#]*)"
+
+
+@query("canonical_urls", rf"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '{_URL}', 1)) AS scheme, lower(regexp_extract(url, '{_URL}', 2)) AS host, regexp_extract(url, '{_URL}', 3) AS port, regexp_extract(url, '{_URL}', 4) AS rest FROM pages)
+SELECT page_id, CASE WHEN host <> '' THEN scheme || '://' || host || CASE WHEN port = ':' OR scheme = 'http' AND port = ':80' OR scheme = 'https' AND port = ':443' THEN '' ELSE port END || regexp_replace(regexp_replace(rest, '\s+$', ''), '/$', '') END AS key FROM p""")
+def canonical_urls(spark, d):
+    """The canonical key of each address, null where it has none."""
+    return table(spark, d, "pages").select("page_id", X.canonical_url(F.col("url")).alias("key"))
+
+
+TASKS = TaskRegistry()
+
+
+@TASKS.register("Rows", "documents of each language")
+def _rows(df):
+    return df.groupBy("lang").agg(F.count("*").cast("double").alias("value"))
+
+
+@TASKS.register("Mean-Length", "mean length of the texts of each language")
+def _mean_length(df):
+    return df.groupBy("lang").agg(F.round(F.avg(F.length("text")), 6).alias("value"))
+
+
+@TASKS.register("Sources", "sources of each language")
+def _sources(df):
+    return df.groupBy("lang").agg(F.count_distinct("source").cast("double").alias("value"))
+
+
+@query("task_registry", "SELECT 'rows' AS task, lang, count(*)::DOUBLE AS value FROM documents GROUP BY 2 UNION ALL SELECT 'mean-length', lang, round(avg(length(text)), 6) FROM documents GROUP BY 2 UNION ALL SELECT 'sources', lang, count(DISTINCT source)::DOUBLE FROM documents GROUP BY 2")
+def task_registry(spark, d):
+    """All registered tasks over the documents."""
+    return TASKS.run_all(table(spark, d, "documents"))
+
+
 # generators
 
 

@@ -51,6 +51,14 @@ def read_shards(spark: SparkSession, path: str, column: str, exclude: str | None
     return df.select(F.col(found).alias(column))
 
 
+def read_chunks(spark: SparkSession, path: str, rows: int) -> DataFrame:
+    """The rows of Parquet shards with `file`, `row_in_file` and `chunk`: the number of their chunk of so many rows of the file.
+    Row groups are read one after the other, so a task holds a batch and never a file; chunks of a file follow in order."""
+    df = spark.read.parquet(path)
+    at = F.col("_metadata.row_index")
+    return df.select("*", F.col("_metadata.file_path").alias("file"), at.alias("row_in_file"), F.floor(at / rows).cast("long").alias("chunk"))
+
+
 def shard_counts(df: DataFrame) -> DataFrame:
     """Rows and files of a Parquet scan; the count needs no column."""
     return df.select(F.col("_metadata.file_path").alias("file")).groupBy("file").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_shards"))

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.functions import features
-from lodestrata.operators import inference, joins, metrics, splits
+from lodestrata.functions import features, text, udfs
+from lodestrata.operators import inference, joins, metrics, splits, tasks
+from lodestrata.sources import tables
 
 
 @pytest.mark.parametrize(("first", "fall"), [(0.5, 4.0), (0.9, 1.5), (0.05, 10.0)])
@@ -82,3 +83,79 @@ def test_keys_of_ones_own(spark):
     keys = {"whole": lambda c: c, "first": lambda c: F.when(c != "bad", F.substring(c, 1, 1))}
     got = [r.k.asDict() for r in df.select(features.key_set(F.col("t"), F.col("t"), keys).alias("k")).collect()]
     assert got == [{"whole": "a1-b2", "first": "a", "status": "ok"}, {"whole": "", "first": "", "status": "empty"}, {"whole": None, "first": None, "status": "missing"}, {"whole": "bad", "first": None, "status": "failed"}]
+
+
+def test_nearest_by_cosine_equals_brute_force(spark):
+    rng = np.random.Generator(np.random.PCG64(15))
+    vectors = rng.normal(size=(400, 6))
+    vectors[50:60] = vectors[40:50] * 3  # ties: same direction
+    kinds = [None if i % 97 == 0 else "ab"[i % 2] for i in range(400)]
+    rows = [(i, None if i % 89 == 5 else v.tolist() if i % 61 else v[:3].tolist(), k) for i, (v, k) in enumerate(zip(vectors, kinds))] + [(500, [], "a"), (None, [1.0] * 6, "a")]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, kind string").repartition(7)
+    q, c = df.where("id % 5 = 0").withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "corpus_id")
+    for equal in ([], ["kind"]):
+        got = {r.query_id: (r.corpus_id, r.similarity) for r in joins.nearest_by_cosine(q, c, equal, block=16, copies=3).collect()}
+        known = [(i, np.array(v), k) for i, v, k in rows if i is not None and v and (k is not None or not equal)]
+        want = {}
+        for i, v, k in known:
+            if i % 5 == 0:
+                met = [(round(float(v @ w / np.linalg.norm(v) / np.linalg.norm(w)), 12), -j) for j, w, h in known if j != i and len(w) == len(v) and (not equal or h == k)]
+                if met:
+                    want[i] = max(met)
+        assert set(got) == set(want)
+        for i, (s, j) in want.items():
+            assert math.isclose(got[i][1], s, abs_tol=1e-9)
+
+
+def test_folds_and_splits(spark):
+    df = spark.createDataFrame([(i, i % 3 if i < 9 else None) for i in range(10)], "i int, fold int")
+    train, valid = splits.fold_parts(df, "fold", 1)
+    assert train.columns == valid.columns == ["i"] and {r.i for r in valid.collect()} == {1, 4, 7} and train.count() == 6
+    own = spark.createDataFrame([("train", True), ("train", None), ("test", True)], "s string, v boolean")
+    assert [r.partition for r in own.select(splits.split_partition(F.col("s"), F.col("v"))).collect()] == ["valid", "train", "test"]
+    with pytest.raises(Exception, match="unknown split: other"):
+        spark.createDataFrame([("other", True)], "s string, v boolean").select(splits.split_partition(F.col("s"), F.col("v"))).collect()
+
+
+def test_task_registry(spark, tmp_path, monkeypatch, caplog):
+    r = tasks.TaskRegistry()
+    r.register("Count")(lambda df: df.agg(F.count("*").alias("value")))
+    r.register("most", "the largest")(lambda df: df.agg(F.max("id").alias("value")))
+    with pytest.raises(ValueError, match="registered already"):
+        r.register("COUNT")(lambda df: df)
+    assert {(x.task, x.value) for x in r.run_all(spark.range(7)).collect()} == {("count", 7), ("most", 6)}
+    r.register("count", replace=True)(lambda df: df.agg((F.count("*") + 1).alias("value")))
+    assert "registered again" in caplog.text and r.run("Count", spark.range(7)).first().value == 8
+    with pytest.raises(KeyError, match="no task none"):
+        r.run("none", spark.range(1))
+    (tmp_path / "plugs_for_test").mkdir()
+    (tmp_path / "plugs_for_test" / "__init__.py").write_text("found = []\n")
+    (tmp_path / "plugs_for_test" / "a.py").write_text("from plugs_for_test import found\nfound.append('a')\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert r.load("plugs_for_test") == ["a"] and __import__("plugs_for_test").found == ["a"]
+
+
+def test_scorers_by_suffix(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"features": ["length", "words"], "weights": [2.0, -1.0], "bias": 0.5}')
+    df = spark.createDataFrame([("ab cd",), ("",)], "t string")
+    assert [r.x for r in df.select(udfs.scorer(str(tmp_path / "m.json"), False)("t").alias("x")).collect()] == [8.5, 0.5]
+    assert [r.x for r in df.select(udfs.scorer(f"file:{tmp_path}/m.json", False, 1.0, 2.0)("t").alias("x")).collect()] == [18.0, 2.0]
+    with pytest.raises(ValueError, match="no scorer for .pt"):
+        udfs.scorer("m.pt", False)
+
+
+@pytest.mark.parametrize(
+    ("url", "key"),
+    [
+        ("HTTP://Example.ORG:80/A/b/?q=1#top", "http://example.org/A/b/?q=1"), ("https://u:p@Host:443/x/", "https://host/x"), ("https://host:8443", "https://host:8443"), ("ftp://h:80/", "ftp://h:80"),
+        ("example.org/x", None), ("http:///x", None), ("", None), (None, None), ("  http://h/ ", "http://h"),
+    ],
+)
+def test_canonical_urls(spark, url, key):
+    assert spark.createDataFrame([(url,)], "u string").select(text.canonical_url(F.col("u")).alias("k")).first().k == key
+
+
+def test_chunks_of_files(spark, tmp_path):
+    spark.range(100).repartition(3).write.parquet(str(tmp_path / "p"))
+    got = tables.read_chunks(spark, str(tmp_path / "p"), 10).groupBy("file", "chunk").agg(F.count("*").alias("n"), F.min("row_in_file").alias("a"), F.max("row_in_file").alias("b")).collect()
+    assert sum(r.n for r in got) == 100 and all(r.a == 10 * r.chunk and r.b == r.a + r.n - 1 and r.n <= 10 for r in got)
