@@ -1,12 +1,15 @@
-"""Token-id output: one wavelet matrix a shard.
+"""Token-id output: one Huffman-shaped wavelet matrix a shard.
 
-A shard is one file. Its ids are held as bit-planes from the highest bit down; after each plane the ids are dealt stably,
-those with a 0 first. With a directory of ones before each block, any plane answers rank and select, and from these the
-file gives any token, the count of a token before a position, and the place of its k-th occurrence, without unpacking.
+A shard is one file. Each distinct id has a code of as many bits as its frequency deserves, and the ids are held as bit-planes:
+plane k has the k-th code bits of the ids whose codes are longer than k; after each plane the ids are dealt stably, those with
+a 0 first, and codes are dealt out so that ids whose code ends there come last and leave. So a file takes about the order-0
+entropy of its ids, and with a directory of ones before each block any plane answers rank and select; from these the file
+gives any token, the count of a token before a position, and the place of its k-th occurrence, without unpacking.
 
-Layout, little-endian: magic, then ten unsigned 64-bit fields (documents, tokens, planes, partition, shard, tokens of the
+Layout, little-endian: magic, then ten unsigned 64-bit fields (documents, tokens, symbols, partition, shard, tokens of the
 partition before this shard, 4 reserved); document ids (int64) and a byte each that is 1 where the id is null; the end of
-each document in tokens (uint64); zeros of each plane (uint64); for each plane its packed bits, then its directory (uint32).
+each document in tokens (uint64); the symbols by falling code length, ties by id (uint32), and the number of symbols of each
+length from 1 to 64 (uint32); for each plane its packed bits, then its directory (uint32). All else follows from these.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from ._common import Remembered, lean, scratch_path, slices, string_buffer, tabl
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-MAGIC = b"LWMX0001"
+MAGIC = b"LWMX0002"
+#: Lengths of codes that a file can tell; 2^44 tokens have none longer.
+MAX_LENGTH = 64
 BLOCK = 512
 #: A shard is closed at this many tokens; a longer document makes a longer shard.
 SHARD_TOKENS = 1 << 21
@@ -39,27 +44,98 @@ MAX_BYTES = 160 << 20
 SPECIAL = b"<|endoftext|>"
 
 
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Length of each symbol's Huffman code; a lone symbol has one bit. Ties go to the earlier symbol, so equal counts give equal
+    lengths whatever the machine."""
+    n = len(counts)
+    if n < 2:
+        return np.ones(n, np.int64)
+    order = np.argsort(counts, kind="stable")
+    leaf, weight, parent = counts[order].tolist(), [], [0] * (2 * n - 1)
+    # two queues, both ascending: leaves, and the nodes that are made of them
+    a = b = 0
+    for k in range(n - 1):
+        total = 0
+        for _ in range(2):
+            if a < n and (b >= len(weight) or leaf[a] <= weight[b]):
+                total, parent[a], a = total + leaf[a], n + k, a + 1
+            else:
+                total, parent[n + b], b = total + weight[b], n + k, b + 1
+        weight.append(total)
+    depth = [0] * (2 * n - 1)
+    for k in range(2 * n - 3, -1, -1):
+        depth[k] = depth[parent[k]] + 1
+    out = np.empty(n, np.int64)
+    out[order] = depth[:n]
+    return out
+
+
+class Codes:
+    """Codes of given lengths for which the ids that end at a plane come last there. symbols: by falling length, ties by id."""
+
+    def __init__(self, symbols: np.ndarray, of_length: np.ndarray):
+        self.symbols, self.of_length = symbols, of_length
+        self.depth = int(np.flatnonzero(of_length)[-1]) + 1 if of_length.any() else 0
+        self.length = np.repeat(np.arange(len(of_length), 0, -1), of_length[::-1])  # of each symbol
+        self.code = np.zeros(len(symbols), np.uint64)  # first bit highest of `length`
+        nodes = np.zeros(1, np.uint64)  # the prefixes that go on, in the order of the matrix
+        end = len(symbols)
+        self.leaves: list[np.ndarray] = []  # places in symbols of the codes that end after each plane, in order
+        for k in range(self.depth):
+            nodes = np.concatenate([nodes << np.uint64(1), nodes << np.uint64(1) | np.uint64(1)])
+            n = int(of_length[k])
+            at = np.arange(end - n, end)
+            self.code[at] = nodes[len(nodes) - n :] if n else 0
+            nodes, end = nodes[: len(nodes) - n], end - n
+            self.leaves.append(at)
+        order = np.argsort(symbols, kind="stable")
+        self.sorted, self.order = symbols[order], order
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, counts: np.ndarray) -> Codes:
+        length = code_lengths(counts)
+        order = np.lexsort((symbols, -length))
+        return cls(symbols[order], np.bincount(length, minlength=MAX_LENGTH + 1)[1:])
+
+    def find(self, token: int) -> int | None:
+        """The place of a token among the symbols."""
+        k = int(np.searchsorted(self.sorted, token))
+        return int(self.order[k]) if k < len(self.sorted) and self.sorted[k] == token else None
+
+
 class WaveletMatrix:
-    def __init__(self, n: int, zeros: np.ndarray, planes: list[np.ndarray], ones: list[np.ndarray]):
-        """planes: packed bits, highest first; ones[p][b]: ones of plane p before block b."""
-        self.n, self.zeros, self.planes, self.ones = n, zeros, planes, ones
+    def __init__(self, n: int, codes: Codes, planes: list[np.ndarray], ones: list[np.ndarray], sizes: list[int]):
+        """planes: packed bits; ones[p][b]: ones of plane p before block b; sizes[p]: bits of plane p."""
+        self.n, self.codes, self.planes, self.ones, self.sizes = n, codes, planes, ones, [*sizes, 0]
+        self.zeros = [size - int(o[-1]) for size, o in zip(sizes, ones)]
 
     @classmethod
-    def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
-        bits = bits or max(1, int(ids.max(initial=0)).bit_length())
-        n, zeros, planes, ones = len(ids), [], [], []
-        a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-        for shift in range(bits - 1, -1, -1):
-            bit = (a & a.dtype.type(1 << shift)).astype(bool)
-            low = np.compress(~bit, a)
-            a = np.concatenate([low, np.compress(bit, a)])
+    def build(cls, ids: np.ndarray, bits: int = 32) -> WaveletMatrix:
+        """bits: what every id must fit."""
+        if len(ids) and int(ids.max()) >> bits:
+            raise ValueError(f"an id takes more than {bits} bits")
+        symbols, which, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        codes = Codes.of(symbols.astype(np.uint32), counts)
+        # by place among the symbols: the code with its first bit highest of 64, and its length
+        place = np.empty(len(symbols), np.int64)
+        place[np.searchsorted(symbols, codes.symbols)] = np.arange(len(symbols))
+        own = codes.code << (np.uint64(64) - codes.length.astype(np.uint64)) if len(symbols) else codes.code
+        kind = np.uint32 if codes.depth <= 32 else np.uint64
+        a = (own >> np.uint64(64 - np.dtype(kind).itemsize * 8)).astype(kind)[place][which.ravel()] if len(symbols) else np.zeros(0, kind)
+        top, left = kind(1 << (np.dtype(kind).itemsize * 8 - 1)), np.bincount(codes.length, minlength=codes.depth + 1)
+        stay = np.concatenate([[0], np.cumsum(counts[np.argsort(place)])]) if len(symbols) else np.zeros(1, np.int64)
+        planes, ones, sizes, end = [], [], [], len(symbols)
+        for k in range(codes.depth):
+            bit = (a & top).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
-            zeros.append(len(low))
             planes.append(packed)
+            sizes.append(len(a))
             each = np.bitwise_count(packed.view("<u8")).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
             ones.append(np.concatenate([[0], np.cumsum(each)]).astype("<u4"))
-        return cls(n, np.array(zeros, "<u8"), planes, ones)
+            end -= int(left[k + 1])
+            a = np.concatenate([np.compress(~bit, a), np.compress(bit, a)])[: int(stay[end])] << kind(1)
+        return cls(len(ids), codes, planes, ones, sizes)
 
     def bit(self, p: int, i: np.ndarray) -> np.ndarray:
         return self.planes[p][i >> 3] >> (i & 7).astype(np.uint8) & 1 == 1
@@ -80,34 +156,40 @@ class WaveletMatrix:
     def access(self, i: np.ndarray) -> np.ndarray:
         """The tokens at positions i."""
         i = np.array(i, np.int64)
-        out = np.zeros(len(i), np.uint32)
+        out, code, going = np.zeros(len(i), np.uint32), np.zeros(len(i), np.uint64), np.arange(len(i))
         for p in range(len(self.planes)):
             b, r = self.bit(p, i), self.rank1(p, i)
-            out = out << np.uint32(1) | b.astype(np.uint32)
-            i = np.where(b, int(self.zeros[p]) + r, i - r)
+            i = np.where(b, self.zeros[p] + r, i - r)
+            code = code << np.uint64(1) | b.astype(np.uint64)
+            ends = i >= self.sizes[p + 1]
+            if ends.any():
+                at = self.codes.leaves[p]
+                order = np.argsort(self.codes.code[at])
+                out[going[ends]] = self.codes.symbols[at[order][np.searchsorted(self.codes.code[at][order], code[ends])]]
+                i, code, going = i[~ends], code[~ends], going[~ends]
         return out
 
-    def _down(self, token: int, i: int) -> tuple[int, list[tuple[int, bool]]]:
-        way = []
-        for p in range(len(self.planes)):
-            b = bool(token >> (len(self.planes) - 1 - p) & 1)
+    def _down(self, at: int, i: int) -> tuple[int, list[tuple[int, bool]]]:
+        """Where position i falls among the ids of the code at this place of the symbols, and the bits on the way."""
+        way, code, length = [], int(self.codes.code[at]), int(self.codes.length[at])
+        for p in range(length):
+            b = bool(code >> (length - 1 - p) & 1)
             r = int(self.rank1(p, np.array([i]))[0])
-            i = int(self.zeros[p]) + r if b else i - r
+            i = self.zeros[p] + r if b else i - r
             way.append((p, b))
         return i, way
 
     def rank(self, token: int, i: int) -> int:
         """How often token occurs before position i."""
-        if token >> len(self.planes):
-            return 0
-        return self._down(token, i)[0] - self._down(token, 0)[0]
+        at = self.codes.find(token)
+        return 0 if at is None else self._down(at, i)[0] - self._down(at, 0)[0]
 
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
     def _select(self, p: int, one: bool, k: int) -> int:
         """The position of the k-th (from 0) one or zero of plane p."""
-        low, high = 0, self.n
+        low, high = 0, self.sizes[p]
         while low < high:
             mid = (low + high) // 2
             r = int(self.rank1(p, np.array([mid + 1]))[0])
@@ -121,21 +203,34 @@ class WaveletMatrix:
         """The position of the k-th (from 0) occurrence of token."""
         if not 0 <= k < self.count(token):
             raise IndexError(k)
-        at, way = self._down(token, 0)
+        at, way = self._down(self.codes.find(token), 0)
         at += k
         for p, b in reversed(way):
-            at = self._select(p, b, at - int(self.zeros[p]) if b else at)
+            at = self._select(p, b, at - self.zeros[p] if b else at)
         return at
 
+    def leaf_counts(self) -> list[np.ndarray]:
+        """How often each code that ends after a plane occurs, from the ones between the borders of the planes' nodes."""
+        borders, out = np.array([0, self.n], np.int64), []
+        for p in range(len(self.planes)):
+            r = self.rank1(p, borders)
+            both = np.concatenate([borders - r, self.zeros[p] + r[1:]])
+            go_on = len(both) - 1 - len(self.codes.leaves[p])
+            out.append(np.diff(both[go_on:]))
+            borders = both[: go_on + 1]
+        return out
+
     def values(self) -> np.ndarray:
-        """All tokens in order, undoing the planes from the lowest up."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
-        out = np.zeros(self.n, kind)
-        for level, p in enumerate(range(len(self.planes) - 1, -1, -1)):
-            bit = np.unpackbits(self.planes[p], count=self.n, bitorder="little").astype(bool)
-            z, up = int(self.zeros[p]), np.empty(self.n, kind)
+        """All tokens in order, undoing the planes from the last up."""
+        kind = np.uint16 if len(self.codes.symbols) == 0 or int(self.codes.symbols.max()) < 1 << 16 else np.uint32
+        symbols, out = self.codes.symbols.astype(kind), np.zeros(0, kind)
+        counts = self.leaf_counts()
+        for p in range(len(self.planes) - 1, -1, -1):
+            out = np.concatenate([out, np.repeat(symbols[self.codes.leaves[p]], counts[p])])
+            bit = np.unpackbits(self.planes[p], count=self.sizes[p], bitorder="little").astype(bool)
+            z, up = self.zeros[p], np.empty(self.sizes[p], kind)
             up[np.flatnonzero(~bit)] = out[:z]
-            up[np.flatnonzero(bit)] = out[z:] | kind(1 << level)
+            up[np.flatnonzero(bit)] = out[z:]
             out = up
         return out
 
@@ -146,9 +241,10 @@ class Shard:
         self.partition, self.number, self.before = partition, number, before
 
     def to_bytes(self) -> bytes:
-        m = self.matrix
-        head = np.array([len(self.doc_ids), m.n, len(m.planes), self.partition, self.number, self.before, 0, 0, 0, 0], "<u8")
-        parts = [head, np.array([d or 0 for d in self.doc_ids], "<i8"), np.array([d is None for d in self.doc_ids], np.uint8), self.ends.astype("<u8"), m.zeros]
+        m, c = self.matrix, self.matrix.codes
+        head = np.array([len(self.doc_ids), m.n, len(c.symbols), self.partition, self.number, self.before, 0, 0, 0, 0], "<u8")
+        parts = [head, np.array([d or 0 for d in self.doc_ids], "<i8"), np.array([d is None for d in self.doc_ids], np.uint8), self.ends.astype("<u8")]
+        parts += [c.symbols.astype("<u4"), c.of_length.astype("<u4")]
         for plane, ones in zip(m.planes, m.ones):
             parts += [plane, ones]
         return MAGIC + b"".join(x.tobytes() for x in parts)
@@ -165,14 +261,23 @@ class Shard:
             at += out.nbytes
             return out
 
-        docs, n, bits, partition, number, before = map(int, take("<u8", 10)[:6])
-        ids, null, ends, zeros = take("<i8", docs), take("u1", docs), take("<u8", docs), take("<u8", bits)
-        blocks = -(-(-(-n // 8)) // (BLOCK // 8))
-        planes, ones = [], []
-        for _ in range(bits):
+        docs, n, symbols, partition, number, before = map(int, take("<u8", 10)[:6])
+        ids, null, ends = take("<i8", docs), take("u1", docs), take("<u8", docs)
+        codes = Codes(take("<u4", symbols), take("<u4", MAX_LENGTH).astype(np.int64))
+        planes, ones, sizes, size, nodes = [], [], [], n, np.array([0, n], np.int64)
+        matrix = WaveletMatrix(n, codes, [], [], [])
+        for p in range(codes.depth):
+            blocks = -(-(-(-size // 8)) // (BLOCK // 8))
             planes.append(take("u1", blocks * (BLOCK // 8)))
             ones.append(take("<u4", blocks + 1))
-        return cls([None if x else int(d) for d, x in zip(ids, null)], ends.astype(np.int64), WaveletMatrix(n, zeros, planes, ones), partition, number, before)
+            sizes.append(size)
+            # the next plane has the ids whose nodes go on: those before the border of the first code that ends here
+            matrix = WaveletMatrix(n, codes, planes, ones, sizes)
+            r = matrix.rank1(p, nodes)
+            both = np.concatenate([nodes - r, matrix.zeros[p] + r[1:]])
+            nodes = both[: len(both) - len(codes.leaves[p])]
+            size = int(nodes[-1])
+        return cls([None if x else int(d) for d, x in zip(ids, null)], ends.astype(np.int64), matrix, partition, number, before)
 
 
 def full_path(spark, path: str) -> str:

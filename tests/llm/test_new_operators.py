@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lodestrata.llm import collocations, hard_negatives, license_scan, quality_rules, toxicity
+from lodestrata.llm import collocations, hard_negatives, license_scan, quality_rules, token_store, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "  \n\n", "a", "A a A a A a", "x  y\n\n z", "é ü 字 😀", "word " * 5000, "z" * 30000, "a b c a b c a b", "| | |", "#*$%&|<>", "\n".join(["one line here."] * 9), "!!! ???", "ab ab ab ab"]
@@ -279,3 +279,49 @@ def test_statements_by_their_form(spark, tmp_path):
 
 def test_known_headings_are_distinct():
     assert len({(n, t) for n, t in license_scan.KNOWN}) == len(license_scan.KNOWN) > 30
+
+
+# 7: compressed shards
+
+
+def test_code_lengths_are_huffman():
+    import heapq
+
+    rng = np.random.Generator(np.random.PCG64(2))
+    for counts in ([5], [1, 1], [1] * 7, [100, 1, 1, 1], rng.integers(1, 1000, 300).tolist(), [2**k for k in range(30)]):
+        lengths = token_store.code_lengths(np.array(counts))
+        heap, cost = list(counts), 0
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            x = heapq.heappop(heap) + heapq.heappop(heap)
+            cost += x
+            heapq.heappush(heap, x)
+        assert int((lengths * counts).sum()) == (cost or counts[0]) and (len(counts) == 1 or sum(2.0**-x for x in lengths.tolist()) == 1)
+
+
+def test_shaped_matrix_on_skewed_ids():
+    rng = np.random.Generator(np.random.PCG64(3))
+    for a in (rng.zipf(1.3, 20000) % 50257, np.full(700, 9), np.array([4]), np.repeat(np.arange(24), 2 ** np.minimum(np.arange(24), 11)), rng.integers(0, 2, 3000) * 70000):
+        a = rng.permutation(a).astype(np.uint32)
+        raw = token_store.Shard([1], np.array([len(a)]), token_store.WaveletMatrix.build(a)).to_bytes()
+        m = token_store.Shard.from_bytes(raw).matrix
+        assert (m.values() == a).all() and (m.access(np.arange(len(a))) == a).all()
+        for t in np.unique(a)[[0, -1, len(np.unique(a)) // 2]].tolist():
+            places = np.flatnonzero(a == t)
+            assert m.count(t) == len(places) and m.rank(t, len(a) // 3) == (places < len(a) // 3).sum()
+            assert [m.select(t, k) for k in (0, len(places) // 2, len(places) - 1)] == places[[0, len(places) // 2, -1]].tolist()
+        assert m.count(123456) == 0
+        with pytest.raises(IndexError):
+            m.select(123456, 0)
+    with pytest.raises(ValueError, match="16 bits"):
+        token_store.WaveletMatrix.build(np.array([70000], np.uint32), 16)
+
+
+def test_shards_are_compressed(spark, small, tmp_path):
+    """Fewer bytes than a token's ids need in 16 bits each, by far, on whole documents."""
+    import glob
+
+    docs = spark.read.parquet(small.replace("sf0.001", "sf0.1") + "/documents.parquet").where("doc_id < 2000")
+    manifest = token_store.write_shards(docs, f"file://{tmp_path}/t").collect()
+    size = sum(len(open(f, "rb").read()) for f in glob.glob(f"{tmp_path}/t/*.lwm"))
+    assert size / sum(r.n_tokens for r in manifest) < 1.4
