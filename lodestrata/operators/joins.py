@@ -41,6 +41,13 @@ def pairs_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.where(F.col(key) != "").join(right.where(F.col(key) != ""), key)
 
 
+def pair_groups(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """`pairs_by_key` without making the pairs: for each key that both sides have, the number of rows of each and of their pairs.
+    With the rows themselves this says all that the pairs do, in the size of the input; null and empty keys match nothing."""
+    count = lambda df, name: df.where(F.col(key) != "").groupBy(key).agg(F.count("*").alias(name))
+    return count(left, "n_left").join(count(right, "n_right"), key).withColumn("n_pairs", F.col("n_left") * F.col("n_right"))
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
     """The first n rows of each key. Spark cuts each task's groups to n before the shuffle."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
@@ -79,17 +86,33 @@ def _neighbours(words: Column) -> Column:
 
 
 def grid_gaps(observed: DataFrame, dims: Sequence[DataFrame]) -> DataFrame:
-    """The keys of the full grid of the (small) dimensions, with `state`: present, missing or extra."""
-    grid = dims[0].distinct()
+    """The keys of the full grid of the dimensions, and of what was observed outside, with `state`: present, missing or extra.
+
+    Only values of the first dimension that miss something are crossed with the others: those whose observed keys in the grid are
+    as many as the other dimensions allow are complete. So the work follows what was observed and what is missing. Null is a value.
+    """
+    dims = [d.distinct() for d in dims]
+    keys = [c for d in dims for c in d.columns]
+    lead = dims[0].columns
+
+    def same(a: str, b: str, names: Sequence[str]) -> list[Column]:
+        return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names]
+
+    seen = observed.select(*keys).distinct()
+    for n, d in enumerate(dims):
+        seen = seen.alias("o").join(d.withColumn(f"__in{n}", F.lit(True)).alias("d"), same("o", "d", d.columns), "left").select(*[f"o.{k}" for k in keys], *[F.col(f"__in{m}") for m in range(n + 1)])
+    inside = reduce(lambda a, b: a & b, (F.coalesce(F.col(f"__in{n}"), F.lit(False)) for n in range(len(dims))))
+    seen = seen.select(*keys, inside.alias("__inside"))
+    present = seen.where("__inside").select(*keys)
+    room = dims[0].sparkSession.range(1).select(F.lit(1).cast("decimal(38,0)").alias("__room"))
+    for d in dims[1:]:
+        room = room.crossJoin(d.agg(F.count("*").alias("__size"))).select((F.col("__room") * F.col("__size")).alias("__room"))  # one row
+    full = present.groupBy(*lead).agg(F.count("*").alias("__n")).crossJoin(room).where("__n = __room")
+    grid = dims[0].alias("d").join(full.alias("f"), same("d", "f", lead), "left_anti")
     for d in dims[1:]:
-        grid = grid.crossJoin(d.distinct())
-    keys = grid.columns
-    a = grid.withColumn("__e", F.lit(True))
-    b = observed.select(*keys).distinct().withColumn("__o", F.lit(True))
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    joined = a.alias("a").join(b.alias("b"), on, "full")
-    state = F.when(F.col("__o").isNull(), "missing").when(F.col("__e").isNull(), "extra").otherwise("present")
-    return joined.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], state.alias("state"))
+        grid = grid.crossJoin(d)
+    missing = grid.alias("g").join(present.alias("p"), same("g", "p", keys), "left_anti").select(*keys, F.lit("missing").alias("state"))
+    return seen.select(*keys, F.when(F.col("__inside"), "present").otherwise("extra").alias("state")).unionByName(missing)
 
 
 def field_mismatches(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

@@ -49,6 +49,18 @@ def binary_metric(truth: str, predicted: str) -> Metric:
     })
 
 
+def moments_metric(value: str) -> Metric:
+    """mean and population standard deviation of a whole number; its sums are exact."""
+    v = F.col(value).cast("decimal(19,0)")
+    zero = F.lit(0).cast("decimal(38,0)")
+    c = F.col
+    mean = lambda: _ratio(c("s").cast("double"), c("n"))
+    return Metric({"n": F.count(value), "s": F.coalesce(F.sum(v).cast("decimal(38,0)"), zero), "q": F.coalesce(F.sum((v * v).cast("decimal(38,0)")).cast("decimal(38,0)"), zero)}, {
+        "mean": mean,
+        "sd": lambda: F.sqrt(F.greatest(_ratio(c("q").cast("double"), c("n")) - mean() * mean(), F.lit(0.0))),
+    })
+
+
 def update(rows: DataFrame, groups: Sequence[str], metric: Metric) -> DataFrame:
     """The state of these rows, one row a group; partial sums combine before the shuffle."""
     return rows.groupBy(*groups).agg(*[s.alias(n) for n, s in metric.sums.items()])
@@ -56,7 +68,8 @@ def update(rows: DataFrame, groups: Sequence[str], metric: Metric) -> DataFrame:
 
 def merge(states: DataFrame, groups: Sequence[str], metric: Metric) -> DataFrame:
     """The state of all rows together, from states of their parts."""
-    return states.groupBy(*groups).agg(*[F.sum(n).alias(n) for n in metric.sums])
+    kinds = dict(states.dtypes)
+    return states.groupBy(*groups).agg(*[F.sum(n).cast(kinds[n]).alias(n) for n in metric.sums])
 
 
 def compute(state: DataFrame, groups: Sequence[str], metric: Metric) -> DataFrame:

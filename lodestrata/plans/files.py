@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import generators, udfs
 from ..functions import text as X
 from ..operators import digests as D
+from ..operators import joins as J
 from ..operators import splits as S
 from ..operators import states
 from ..operators.ordered import prefix_sums
@@ -155,6 +156,13 @@ def split_membership(spark, d):
     return long.select("split", S.split_partition(F.col("value"), i % 9 == 2)).groupBy("split", "partition").agg(F.count("*").alias("n"))
 
 
+@query("pair_groups", "WITH k AS (SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS key FROM documents), a AS (SELECT key, count(*) AS n_left FROM k WHERE doc_id % 2 = 1 GROUP BY 1), b AS (SELECT key, count(*) AS n_right FROM k WHERE doc_id % 2 = 0 GROUP BY 1) SELECT key, n_left, n_right, n_left * n_right AS n_pairs FROM a JOIN b USING (key)")
+def pair_groups(spark, d):
+    """Odd documents against even ones of the same canonical text, without making the pairs."""
+    k = table(spark, d, "documents").select("doc_id", F.md5(X.canonical_text(F.col("text"))).alias("key"))
+    return J.pair_groups(k.where("doc_id % 2 = 1"), k.where("doc_id % 2 = 0"), "key")
+
+
 _URL = r"^\s*([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(:[0-9]*)?([^#]*)"
 
 

@@ -13,6 +13,7 @@ from ..operators import joins as J
 from ..operators import labels as L
 from ..operators import metrics as M
 from ..operators import splits as S
+from ..operators import states
 from ..sources import exports, sinks
 from ..sources import tables as T
 from ..sources.shared import scratch_path
@@ -224,11 +225,11 @@ def choice_accuracy(spark, d):
 
 @query("mergeable_states", "SELECT source, count(*) AS n, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 4) AS sd FROM documents GROUP BY 1")
 def mergeable_states(spark, d):
-    """Metric states (n, sum, sum of squares) made by part, merged, and read off at the end."""
-    parts = table(spark, d, "documents").groupBy("source", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("part")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("s"), F.sum(F.col("n_chars").cast("decimal(38,0)") * F.col("n_chars")).alias("q"))
-    whole = parts.groupBy("source").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").cast("double").alias("q"))
-    mean = F.col("s") / F.col("n")
-    return whole.select("source", "n", F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))), 4).alias("sd"))
+    """Metric states made by part, merged, and read off at the end."""
+    own = table(spark, d, "documents").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(16)))
+    metric = states.moments_metric("n_chars")
+    whole = states.compute(states.merge(states.update(own, ["source", "part"], metric), ["source"], metric), ["source"], metric)
+    return whole.select("source", "n", F.round("mean", 6).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
 _UNITS = "u AS (SELECT user_id, avg(value) AS v, count(*)::DOUBLE AS c, row_number() OVER (ORDER BY user_id) - 1 AS i FROM events GROUP BY user_id)"

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -30,8 +32,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch() -> None:
-    while _scratch:
+def _drop_down_to(kept: int) -> None:
+    while len(_scratch) > kept:
         spark, path = _scratch.pop()
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -40,4 +42,19 @@ def drop_scratch() -> None:
             return
 
 
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """The tables that operators write within are deleted at its end, so results must be stored or collected before. Scopes nest."""
+    kept = len(_scratch)
+    try:
+        yield
+    finally:
+        _drop_down_to(kept)
+
+
+def drop_scratch() -> None:
+    """Delete the tables of all operators of this process; also called at its end."""
+    _drop_down_to(0)
+
+
 atexit.register(drop_scratch)

@@ -159,3 +159,30 @@ def test_chunks_of_files(spark, tmp_path):
     spark.range(100).repartition(3).write.parquet(str(tmp_path / "p"))
     got = tables.read_chunks(spark, str(tmp_path / "p"), 10).groupBy("file", "chunk").agg(F.count("*").alias("n"), F.min("row_in_file").alias("a"), F.max("row_in_file").alias("b")).collect()
     assert sum(r.n for r in got) == 100 and all(r.a == 10 * r.chunk and r.b == r.a + r.n - 1 and r.n <= 10 for r in got)
+
+
+def test_grids_of_many_values(spark):
+    rng = random.Random(16)
+    a, b, c = [None, *range(6)], ["x", "y", None], [1, 2]
+    observed = [(i, j, k) for i in a for j in b for k in c if i in (0, 3) or rng.random() < 0.6] + [(9, "x", 1), (1, "z", 1), (1, "x", 7)] * 2
+    frame = lambda values, name: spark.createDataFrame([(v,) for v in values] * 2, name)
+    got = joins.grid_gaps(spark.createDataFrame(observed, "i int, j string, k int"), [frame(a, "i int"), frame(b, "j string"), frame(c, "k int")]).collect()
+    grid = {(i, j, k) for i in a for j in b for k in c}
+    want = {x: "present" if x in grid else "extra" for x in observed} | {x: "missing" for x in grid - set(observed)}
+    assert len(got) == len(want) and {(r.i, r.j, r.k): r.state for r in got} == want
+
+
+def test_scratch_goes_with_its_scope(spark, tmp_path):
+    from lodestrata.sources import shared, sinks
+
+    df = spark.range(20).repartition(3)
+    before = list(shared._scratch)
+    with shared.scratch_scope():
+        sinks.with_position(df, "id").write.parquet(str(tmp_path / "kept"))
+        made = [p for _, p in shared._scratch if p not in {q for _, q in before}]
+        with shared.scratch_scope():
+            sinks.with_position(df, "id").count()
+            assert len(shared._scratch) > len(before) + len(made)
+        assert len(shared._scratch) == len(before) + len(made) and made
+    exists = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))
+    assert shared._scratch == before and not any(exists(p) for p in made) and spark.read.parquet(str(tmp_path / "kept")).count() == 20
