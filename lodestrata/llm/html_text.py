@@ -34,9 +34,9 @@ BLOCK = {"address", "article", "blockquote", "body", "caption", "center", "dd",
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}  # their ids name a place to go to
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Words of a class, id or role that mark a part as no article.
-MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "replies", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
+MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "discussion", "discussions", "disqus", "footer", "gdpr", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "reactions", "related", "replies", "respond", "responses", "search", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 #: Words that may stand beside these in a class or id; any other word makes it another thing (`related-work`).
-LAYOUT = {"area", "article", "bar", "block", "body", "bottom", "box", "button", "buttons", "center", "column", "container", "content", "first", "form", "global", "group", "head", "header", "holder", "icon", "icons", "inner", "item", "items", "last", "left", "link", "links", "list", "main", "message", "module", "outer", "page", "panel", "post", "posts", "primary", "right", "secondary", "section", "site", "slot", "thread", "top", "unit", "user", "wrap", "wrapper"}
+LAYOUT = {"area", "article", "bar", "block", "body", "bottom", "box", "button", "buttons", "center", "column", "container", "content", "first", "form", "global", "group", "head", "header", "holder", "icon", "icons", "inner", "item", "items", "last", "left", "link", "links", "list", "main", "message", "module", "outer", "page", "panel", "post", "posts", "primary", "reader", "readers", "right", "secondary", "section", "site", "slot", "thread", "top", "unit", "user", "users", "visitor", "visitors", "wrap", "wrapper"}
 #: First words of marks that tell a state, as in `has-sidebar`, and not what a part is.
 STATES = {"has", "is", "no", "not", "with", "without"}
 _PARTS = MARKS | LAYOUT

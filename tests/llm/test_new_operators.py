@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lodestrata.llm import collocations, hard_negatives, license_scan, quality_rules, token_store, toxicity
+from lodestrata.llm import collocations, hard_negatives, html_text, license_scan, quality_rules, token_store, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "  \n\n", "a", "A a A a A a", "x  y\n\n z", "é ü 字 😀", "word " * 5000, "z" * 30000, "a b c a b c a b", "| | |", "#*$%&|<>", "\n".join(["one line here."] * 9), "!!! ???", "ab ab ab ab"]
@@ -325,3 +325,22 @@ def test_shards_are_compressed(spark, small, tmp_path):
     manifest = token_store.write_shards(docs, f"file://{tmp_path}/t").collect()
     size = sum(len(open(f, "rb").read()) for f in glob.glob(f"{tmp_path}/t/*.lwm"))
     assert size / sum(r.n_tokens for r in manifest) < 1.4
+
+
+# 1: parts by other names, very long pages
+
+
+@pytest.mark.parametrize("mark", ["reader-comments", "discussion", "user-discussions", "comment-respond", "readers", "discussion-paper"])
+def test_comments_by_their_names(mark):
+    story = "<p>" + "The council voted on Tuesday to keep the old bridge open for another year. " * 4 + "</p>"
+    page = f"<html><body><div class='story'>{story * 3}<div class='{mark}'><p>{'I was there and saw it all happen, believe me, it was a shame. ' * 3}</p></div></div></body></html>"
+    assert ("I was there" in html_text.main_text(page)) == (mark in ("readers", "discussion-paper"))
+
+
+def test_very_long_page(spark):
+    story = "".join(f"<p>Paragraph {i} of a very long report, with enough words to count as text of its own.</p>" for i in range(20_000))
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{story}<footer>Imprint</footer></body></html>"
+    rows = html_text.extract(spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, None)], "page_id long, url string, html string")).collect()
+    assert sorted(r.n_chars for r in rows) == [0, *[len(html_text.main_text(page))] * 2]
+    got = rows[0].text if rows[0].text else rows[1].text
+    assert got.count("\n\n") == 19_999 and "Imprint" not in got and "Home" not in got
