@@ -9,6 +9,10 @@ from functools import lru_cache
 from ._common import worker_table
 
 
+#: Pairs of tokens that a vocabulary remembers; more of them are found anew.
+MAX_PAIRS = 100_000
+
+
 @lru_cache(1)
 def byte_letters() -> dict[str, int]:
     """The letter by which vocabulary files write each byte: itself if printable, else the next free code point from 256."""
@@ -75,7 +79,7 @@ class Vocabulary:
         key = a << 32 | b
         got = self._pairs.get(key)
         if got is None:
-            if len(self._pairs) > 400_000:
+            if len(self._pairs) > MAX_PAIRS:
                 self._pairs.clear()
             left, right = self.spines(a)[1], self.spines(b)[0]
             i = j = 0

@@ -221,7 +221,7 @@ def codec(path: str, max_states: int = MAX_STATES, max_bytes: int = MAX_BYTES) -
     return Codec(path, max_states, max_bytes)
 
 
-def encoded(docs: DataFrame, path: str | None = None, max_states: int = 100_000, max_bytes: int = 48 << 20) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, max_states: int = 70_000, max_bytes: int = 48 << 20) -> DataFrame:
     """doc_id, token_ids (array<int>), text (decoded back) of every document.
 
     max_states (of bounded size) and max_bytes bound what a worker remembers, and so its memory; they change no result.
