@@ -114,19 +114,20 @@ class WaveletMatrix:
         """bits: what every id must fit."""
         if len(ids) and int(ids.max()) >> bits:
             raise ValueError(f"an id takes more than {bits} bits")
-        symbols, which, counts = np.unique(ids, return_inverse=True, return_counts=True)
-        codes = Codes.of(symbols.astype(np.uint32), counts)
-        # by place among the symbols: the code with its first bit highest of 64, and its length
-        place = np.empty(len(symbols), np.int64)
-        place[np.searchsorted(symbols, codes.symbols)] = np.arange(len(symbols))
-        own = codes.code << (np.uint64(64) - codes.length.astype(np.uint64)) if len(symbols) else codes.code
+        counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+        symbols = np.flatnonzero(counts)
+        codes = Codes.of(symbols.astype(np.uint32), counts[symbols])
+        # each id's code with its first bit highest, and how many ids have codes as long as those of the first symbols
         kind = np.uint32 if codes.depth <= 32 else np.uint64
-        a = (own >> np.uint64(64 - np.dtype(kind).itemsize * 8)).astype(kind)[place][which.ravel()] if len(symbols) else np.zeros(0, kind)
-        top, left = kind(1 << (np.dtype(kind).itemsize * 8 - 1)), np.bincount(codes.length, minlength=codes.depth + 1)
-        stay = np.concatenate([[0], np.cumsum(counts[np.argsort(place)])]) if len(symbols) else np.zeros(1, np.int64)
+        width = np.dtype(kind).itemsize * 8
+        own = np.zeros(len(counts), kind)
+        own[codes.symbols] = (codes.code << (np.uint64(width) - codes.length.astype(np.uint64))).astype(kind)
+        a, top = own[ids], kind(1 << (width - 1))
+        left = np.bincount(codes.length, minlength=codes.depth + 1)
+        stay = np.concatenate([[0], np.cumsum(counts[codes.symbols])]).astype(np.int64)
         planes, ones, sizes, end = [], [], [], len(symbols)
         for k in range(codes.depth):
-            bit = (a & top).astype(bool)
+            bit = a >= top
             packed = np.packbits(bit, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)])
             planes.append(packed)
@@ -134,7 +135,9 @@ class WaveletMatrix:
             each = np.bitwise_count(packed.view("<u8")).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
             ones.append(np.concatenate([[0], np.cumsum(each)]).astype("<u4"))
             end -= int(left[k + 1])
-            a = np.concatenate([np.compress(~bit, a), np.compress(bit, a)])[: int(stay[end])] << kind(1)
+            np.add(a, a, out=a)  # the next bit goes up
+            low, more = np.compress(~bit, a), int(stay[end])
+            a = np.concatenate([low, np.compress(bit, a)[: more - len(low)]]) if more > len(low) else low[:more].copy()
         return cls(len(ids), codes, planes, ones, sizes)
 
     def bit(self, p: int, i: np.ndarray) -> np.ndarray:
