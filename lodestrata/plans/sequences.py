@@ -36,8 +36,10 @@ win AS (SELECT doc_id, o AS ws, least(o + {SIZE}, n) AS we FROM (SELECT doc_id,
 def entity_parts(spark, d):
     """Spans (runs of capitalised words) and windows of all whole texts."""
     own = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), 1).alias("w"))
-    spans = own.select("doc_id", F.inline(X.runs(F.transform("w", lambda x: x.rlike("^[A-Z]")))))
-    windows = own.select("doc_id", F.explode(X.covering_windows(F.size("w"), SIZE, OVERLAP)).alias("x")).select("doc_id", F.col("x.start").alias("w_start"), F.col("x.end").alias("w_end"))
+    # the flags stand in a column of their own, since `runs` looks at them more than once
+    own = own.select("doc_id", F.size("w").alias("n"), F.transform("w", lambda x: x.rlike("^[A-Z]")).alias("capital"))
+    spans = own.select("doc_id", F.inline(X.runs(F.col("capital"))))
+    windows = own.select("doc_id", F.explode(X.covering_windows(F.col("n"), SIZE, OVERLAP)).alias("x")).select("doc_id", F.col("x.start").alias("w_start"), F.col("x.end").alias("w_end"))
     return spans, windows, P.contained(spans, windows, ["doc_id"], SIZE)
 
 
