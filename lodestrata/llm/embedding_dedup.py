@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import table, written
@@ -45,6 +45,11 @@ def valid_rows(vectors: DataFrame) -> DataFrame:
     return own.where("vec_id is not null and label is not null and embedding is not null").where(finite & some).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
 
 
+def node_key() -> Column:
+    """What names a node where its id may not: other labels or vectors may have the same."""
+    return F.xxhash64("label", "embedding").alias("key")
+
+
 def pivots(nodes: DataFrame) -> DataFrame:
     """label, dim, pivots (array of (number, vector)): at most MAX_PIVOTS a group, those of the smallest hashes."""
     sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("m"))
@@ -62,7 +67,7 @@ def placed(nodes: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             cols = {n: [] for n in ("row", "cell", "home", "unit")}
-            vectors, marks = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            vectors, marks = batch.column(5).to_pylist(), batch.column(6).to_pylist()
             for row, (v, p) in enumerate(zip(vectors, marks)):
                 x = unit(np.array([v]))
                 if p is None or len(p) < 2:
@@ -78,11 +83,11 @@ def placed(nodes: DataFrame, threshold: float) -> DataFrame:
                     cols["cell"].append(c)
                     cols["home"].append(c == home)
                     cols["unit"].append(x.tobytes())
-            rows = batch.select([0, 1, 2, 3]).take(pa.array(cols["row"], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cols["cell"], pa.int32()), pa.array(cols["home"], pa.bool_()), pa.array(cols["unit"], pa.binary())], names=["label", "dim", "node", "m", "cell", "home", "unit"])
+            rows = batch.select([0, 1, 2, 3, 4]).take(pa.array(cols["row"], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cols["cell"], pa.int32()), pa.array(cols["home"], pa.bool_()), pa.array(cols["unit"], pa.binary())], names=["label", "dim", "node", "m", "key", "cell", "home", "unit"])
 
-    marked = nodes.join(pivots(nodes), ["label", "dim"], "left").select("label", "dim", "node", "m", "embedding", "pivots")
-    return marked.mapInArrow(run, "label string, dim int, node long, m long, cell int, home boolean, unit binary")
+    marked = nodes.join(pivots(nodes), ["label", "dim"], "left").select("label", "dim", "node", "m", node_key(), "embedding", "pivots")
+    return marked.mapInArrow(run, "label string, dim int, node long, m long, key long, cell int, home boolean, unit binary")
 
 
 class Chunk:
@@ -90,12 +95,13 @@ class Chunk:
 
     def __init__(self, threshold: float):
         self.bar = threshold
-        self.ids, self.units = [], []
+        self.ids, self.units, self.keys = [], [], []
         self.a, self.b = [], []
 
-    def add(self, ids: np.ndarray, units: list[bytes]) -> None:
+    def add(self, ids: np.ndarray, units: list[bytes], keys: np.ndarray) -> None:
         self.ids += ids.tolist()
         self.units += units
+        self.keys += keys.tolist()
 
     def close(self) -> None:
         self.ids = np.array(self.ids)
@@ -119,17 +125,18 @@ class Chunk:
 
     def rows(self) -> pa.RecordBatch:
         k, e = len(self.ids), len(self.a)
-        return pa.RecordBatch.from_arrays([pa.array([*self.ids.tolist(), *self.a], pa.int64()), pa.array([*[None] * k, *self.b], pa.int64()), pa.array([*(self.count - 1).tolist(), *[None] * e], pa.int64())], names=["a", "b", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([*self.ids.tolist(), *self.a], pa.int64()), pa.array([*[None] * k, *self.b], pa.int64()), pa.array([*(self.count - 1).tolist(), *[None] * e], pa.int64()), pa.array([*self.keys, *[None] * e], pa.int64())], names=["a", "b", "n", "key"])
 
 
 def cell_links(rows: DataFrame, threshold: float) -> DataFrame:
-    """From placed rows: (a, null, n) the number of vectors that node a links to, and (a, b, null) links that join all that are linked."""
+    """From placed rows: (a, null, n, key) the number of vectors that node a links to, by its key, since nodes of other labels or
+    vectors may have the same id; and (a, b, null, null) links that join all that are linked."""
 
     def run(batches):
         last, chunk = None, None
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(5))))
-            node, m, units = np.asarray(batch.column(5)), np.asarray(batch.column(6)), batch.column(7).to_pylist()
+            node, m, units, own = np.asarray(batch.column(5)), np.asarray(batch.column(6)), batch.column(7).to_pylist(), np.asarray(batch.column(8))
             cut = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
             for s, e in zip(cut, cut[1:]):
                 if e > s and keys[s][:4] != last:
@@ -137,7 +144,7 @@ def cell_links(rows: DataFrame, threshold: float) -> DataFrame:
                         yield chunk.rows()
                     last, chunk = keys[s][:4], Chunk(threshold)
                 if e > s and keys[s][4] == 0:
-                    chunk.add(node[s:e], units[s:e])
+                    chunk.add(node[s:e], units[s:e], own[s:e])
                 for k in range(s, e if e > s and keys[s][4] else s, BLOCK_ROWS):
                     chunk.meet(node[k : min(e, k + BLOCK_ROWS)], m[k : min(e, k + BLOCK_ROWS)], units[k : min(e, k + BLOCK_ROWS)])
         if chunk is not None:
@@ -145,10 +152,10 @@ def cell_links(rows: DataFrame, threshold: float) -> DataFrame:
 
     sizes = rows.where("home").groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
     spread = rows.join(sizes, ["label", "dim", "cell"])
-    homes = spread.where("home").select("label", "dim", "cell", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("side"), "node", "m", "unit")
-    others = spread.select("label", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("side"), "node", "m", "unit")
+    homes = spread.where("home").select("label", "dim", "cell", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(0).alias("side"), "node", "m", "unit", "key")
+    others = spread.select("label", "dim", "cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("side"), "node", "m", "unit", "key")
     key = ["label", "dim", "cell", "chunk"]
-    return homes.unionAll(others).repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, "a long, b long, n long")
+    return homes.unionAll(others).repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(run, "a long, b long, n long, key long")
 
 
 def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -166,8 +173,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = written(cell_links(written(placed(nodes, threshold), "cells"), threshold), "links")
     joined = components(found.where("b is not null").select("a", "b"))
     # a node's vectors and, of the same id, any other vector: one name
-    counts = found.where("b is null").groupBy("a").agg(F.max("n").alias("n"))
-    info = nodes.select("label", "embedding", "node").join(counts, F.col("node") == F.col("a")).drop("a").join(joined, "node", "left").select("label", "embedding", "n", F.coalesce("component", "node").alias("component_id"))
+    counts = found.where("b is null").groupBy("key").agg(F.max("n").alias("n"))
+    info = nodes.select("label", "embedding", "node", node_key()).join(counts, "key").join(joined, "node", "left").select("label", "embedding", "n", F.coalesce("component", "node").alias("component_id"))
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("embedding"))
     out = own.join(info, ["label", "embedding"], "left").withColumn("n", F.when(F.col("vec_id").isNull(), None).otherwise(F.col("n")))
     out = out.withColumn("component_id", F.when(F.col("vec_id").isNull(), None).otherwise(F.coalesce("component_id", "vec_id")))

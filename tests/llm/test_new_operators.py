@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lodestrata.llm import collocations, hard_negatives, html_text, license_scan, quality_rules, token_store, toxicity
+from lodestrata.llm import collocations, embedding_dedup, hard_negatives, html_text, license_scan, quality_rules, token_store, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " ", "  \n\n", "a", "A a A a A a", "x  y\n\n z", "é ü 字 😀", "word " * 5000, "z" * 30000, "a b c a b c a b", "| | |", "#*$%&|<>", "\n".join(["one line here."] * 9), "!!! ???", "ab ab ab ab"]
@@ -344,3 +344,31 @@ def test_very_long_page(spark):
     assert sorted(r.n_chars for r in rows) == [0, *[len(html_text.main_text(page))] * 2]
     got = rows[0].text if rows[0].text else rows[1].text
     assert got.count("\n\n") == 19_999 and "Imprint" not in got and "Home" not in got
+
+
+# 4, 5, 9: very long values and repeated rows
+
+
+def test_very_long_urls_and_repeated_rows(spark):
+    deep = "http://" + ".".join(["a"] * 60) + ".example.net/en/" + "x/" * 3000 + "?q=" + "y" * 5000
+    rows = [(1, deep), (1, deep), (2, "http://example.net/de/"), (2, "http://example.net/de/"), (None, deep), (3, "http://" + "z" * 20_000 + ".com/de/")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), url_filter.rule_frame(spark)).collect()
+    assert len(got) == 6 and [r.verdict for r in got if r.url_rule == "example.net/en/"] == ["allow"] * 3 if "url_rule" in got[0] else sorted(r.rule or "" for r in got) == ["", "example.net/en/", "example.net/en/", "example.net/en/", "net/", "net/"]
+
+
+def test_very_long_text_is_judged_whole(spark):
+    rng = random.Random(17)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}o" for i in range(20) for j in range(20)]
+    text = lambda n, bad: " ".join(rng.choices(words, k=n) + (["scumbag"] if bad else []))
+    texts = [text(20, i % 4 == 0) for i in range(300)] + [text(60_000, True), text(60_000, False)]
+    docs = docs_frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.judge(docs, labels).collect()}
+    assert (got[300], got[301]) == (1, 0)
+
+
+def test_rows_of_one_id_under_other_labels(spark):
+    v, w = [1.0, 0.0], [0.99, 0.05]
+    rows = [(1, v, 0), (1, v, 1), (2, w, 0), (3, w, 1), (4, v, 2), (1, v, 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
