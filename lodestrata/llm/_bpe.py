@@ -10,7 +10,7 @@ from ._common import worker_table
 
 
 #: Pairs of tokens that a vocabulary remembers; more of them are found anew.
-MAX_PAIRS = 100_000
+MAX_PAIRS = 400_000
 
 
 @lru_cache(1)
@@ -32,6 +32,7 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self._spines: dict[int, tuple[list[int], list[int]]] = {}
         self._pairs: dict[int, bool] = {}
+        self.max_pairs = MAX_PAIRS
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -79,7 +80,7 @@ class Vocabulary:
         key = a << 32 | b
         got = self._pairs.get(key)
         if got is None:
-            if len(self._pairs) > MAX_PAIRS:
+            if len(self._pairs) > self.max_pairs:
                 self._pairs.clear()
             left, right = self.spines(a)[1], self.spines(b)[0]
             i = j = 0

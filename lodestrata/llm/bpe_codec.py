@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _pretokens
-from ._bpe import Vocabulary, vocabulary
+from ._bpe import MAX_PAIRS, Vocabulary, vocabulary
 from ._common import Remembered, bounded_batches, lean, slices, string_buffer, table, worker_table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -179,6 +179,7 @@ class Codec:
 
     def __init__(self, path: str, max_states: int = MAX_STATES, max_bytes: int = MAX_BYTES):
         self.vocab = vocabulary(path)
+        self.vocab.max_pairs = min(MAX_PAIRS, 3 * max_states // 2)
         self.transducer = Transducer(self.vocab, max_states)
         self.pieces = Pieces(self.transducer, max_bytes)
 
