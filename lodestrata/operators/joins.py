@@ -241,8 +241,12 @@ def nearest_by_tokens(queries: DataFrame, corpus: DataFrame, first: float = 0.5,
     while True:
         asked = left.join(q, "query_id").select("query_id", "t", "nq", F.posexplode(F.slice("nq_t", F.lit(1), F.greatest(F.lit(0), F.least(F.col("nq"), prefix("nq", F.col("t")))))).alias("pq", "token"))
         fits = (F.col("nc") >= F.col("nq") * F.col("t") - 1e-9) & (F.col("nc") * F.col("t") <= F.col("nq") + 1e-9) & (F.col("pc") < prefix("nc", F.col("t"))) & (F.col("query_id") != F.col("corpus_id"))
-        met = asked.join(index, "token").where(fits).groupBy("query_id", "corpus_id", "t", "nq", "nc").agg((F.count("*") + behind).alias("most"))
-        met = met.where(F.col("most") >= (F.col("nq") + F.col("nc")) * F.col("t") / (1 + F.col("t")) - 1e-9).select("query_id", "corpus_id")
+        met = asked.join(index, "token").where(fits).groupBy("query_id", "corpus_id", "t", "nq", "nc").agg((F.count("*") + behind).alias("most"), F.count("*").alias("least"))
+        met = met.where(F.col("most") >= (F.col("nq") + F.col("nc")) * F.col("t") / (1 + F.col("t")) - 1e-9)
+        met = met.withColumn("high", F.col("most") / (F.col("nq") + F.col("nc") - F.col("most")))
+        # what a set surely reaches is a bar for all others of its query
+        bar = met.groupBy("query_id").agg(F.max(F.col("least") / (F.col("nq") + F.col("nc") - F.col("least"))).alias("bar"))
+        met = met.join(bar, "query_id").where(F.col("high") >= F.col("bar") - 1e-12).select("query_id", "corpus_id")
         both = met.join(q, "query_id").join(c, "corpus_id").withColumn("k", F.size(F.array_intersect("nq_t", "nc_t")))
         scored = both.select("query_id", "corpus_id", (F.col("k") / (F.col("nq") + F.col("nc") - F.col("k"))).alias("similarity"))
         best = scored.groupBy("query_id").agg(F.max_by(F.struct("corpus_id", "similarity"), F.struct(F.col("similarity"), -F.col("corpus_id"))).alias("b"))
