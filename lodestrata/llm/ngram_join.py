@@ -8,12 +8,14 @@
 4. Blocks of the same nodes count as one. Each node first tries one partner, the smallest node of a block, of these the one
    it meets in most blocks; so a block of m near copies costs m pairs, not m*m. The links found give first components.
 5. Every block that still holds several components builds an R-tree over its points and joins it with itself: boxes whose
-   bound is too low are cut off, as are boxes within one component. Of the pairs found, each two components of a block try
-   the one of the highest bound; then the trees are joined again, and those still apart try ever more pairs, until no
-   tree has one that was not tried.
-
-A pair that is tried passes the bound of finer points (about four shingles a group, so it stays sharp for long texts), then
-the exact sets of 64-bit hashes decide. Two different shingles of a pair of n each have one hash with odds of n * n / 2^64
+   bound is too low are cut off, as are boxes within one component. Of the pairs found, those of a spanning forest of highest
+   bounds over the components of a block are tried, so k components try fewer than k pairs and not k*k. Trees that kept pairs
+   back, and no others, are joined again, now under the bound of the sharp points; each component tries ever more of its best
+   pairs there, until no tree keeps one back.
+
+The sharp point of a set of up to PRINTS shingles is the last 16 bits of each, which bound an overlap to nearly its value; that
+of a larger set counts about four shingles a group. A pair that is tried passes this bound, then the exact sets of 64-bit
+hashes decide. Two different shingles of a pair of n each have one hash with odds of n * n / 2^64
 (2 in 10^11 for texts of 20,000 words), and the pair must lie within one shingle of the threshold for it to matter.
 
 Very frequent shingles are known from counts over all documents; their blocks are salted, and large blocks of step 5 are cut
@@ -48,10 +50,12 @@ LEAF = 32
 OPEN_PAIRS = 256
 #: Pairs of a node beyond which its row is sent once for every so many of them.
 PAIRS_A_SALT = 64
-#: Two components of a block try one pair at first; each round after tries so many times more.
+#: Beyond a spanning forest, a component tries so many times more of its best pairs in each round from the third on.
 MORE_PAIRS = 16
-#: Partner ids of one node that are held before they are merged.
-MERGE_IDS = 1 << 20
+#: The largest set whose sharp point has 16 bits of each shingle.
+PRINTS = 2048
+#: Distinct prints of a block that are laid out as bits at once.
+PRINT_COLUMNS = 4096
 #: Nodes whose sets are fetched by a broadcast of ids (16 bytes each); more are fetched by a shuffled join.
 BROADCAST_NODES = 1 << 18
 
@@ -85,6 +89,48 @@ def fine_groups(n: int) -> int:
     return max(GROUPS, 1 << max(0, (n // 4 - 1)).bit_length())
 
 
+def sharp_point(hashes: np.ndarray) -> bytes:
+    n = len(hashes)
+    return np.sort(hashes.astype("<u2")).tobytes() if n <= PRINTS else point(hashes, fine_groups(n))
+
+
+def prints_of(raw) -> np.ndarray:
+    """The 16 bits of each shingle, each with the number of equal ones before it, so that shared ones count as often as in both."""
+    x = np.frombuffer(raw, "<u2").astype(np.uint32)
+    at = np.arange(len(x), dtype=np.uint32)
+    first = np.maximum.accumulate(np.where(np.append(True, x[1:] != x[:-1])[: len(x)], at, 0))
+    return x | (at - first) << np.uint32(16)
+
+
+def sharp_bound(n: int, x: bytes, m: int, y: bytes) -> int:
+    """What two sets of n and m shingles with these sharp points can share at most."""
+    if max(n, m) <= PRINTS:
+        return len(np.intersect1d(prints_of(x), prints_of(y), assume_unique=True))
+    x, y = (np.bincount(np.frombuffer(v, "<u2") & (GROUPS - 1), minlength=GROUPS) if k <= PRINTS else counts_of(v, fine_groups(k)) for k, v in ((n, x), (m, y)))
+    return overlap_bound(x, y)
+
+
+def shared_prints(sharp: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """sharp_bound of the sets at places a and b, all of at most PRINTS shingles."""
+    each = [prints_of(x) for x in sharp]
+    row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+    column, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)[1:]
+    often = times > 1
+    keep, out = often[column], np.zeros(len(a), np.int64)
+    row, column = row[keep], (np.cumsum(often) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(often.sum()), PRINT_COLUMNS):
+        s, e = np.searchsorted(column, [low, low + PRINT_COLUMNS])
+        there = np.zeros((len(each), PRINT_COLUMNS), bool)
+        there[row[s:e], column[s:e] - low] = True
+        bits = np.packbits(there, axis=1).view("<u8")
+        for k in range(0, len(a), 1 << 12):
+            part = slice(k, k + (1 << 12))
+            out[part] += np.bitwise_count(bits[a[part]] & bits[b[part]]).sum(1, dtype=np.int64)
+    return out
+
+
 def overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
     """The sum of coordinate minima, after folding the finer point to the groups of the other."""
     x, y = (x, y) if len(x) <= len(y) else (y, x)
@@ -106,9 +152,9 @@ def text_keys(text: Column) -> list[Column]:
 
 
 def profiles(docs: DataFrame, seed: int) -> DataFrame:
-    """A row for each document (doc_id, text hashes, n, node, check, coarse and fine point), and rows (key, times) of shingles
+    """A row for each document (doc_id, text hashes, n, node, check, coarse and sharp point), and rows (key, times) of shingles
     met often in one task."""
-    schema = "doc_id long, k1 long, k2 long, n long, node long, check long, point binary, fine binary, key long, times long"
+    schema = "doc_id long, k1 long, k2 long, n long, node long, check long, point binary, sharp binary, key long, times long"
     names = [x.split()[0] for x in schema.split(", ")]
     types = [pa.binary() if x.endswith("binary") else pa.int64() for x in schema.split(", ")]
 
@@ -127,7 +173,7 @@ def profiles(docs: DataFrame, seed: int) -> DataFrame:
                 nodes = [node_of(s, seed) if len(s) else (None, None) for s in sets]
                 m = len(sets)
                 cols = [part.column(0), part.column(2), part.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in nodes], pa.int64()), pa.array([b for _, b in nodes], pa.int64())]
-                cols += [pa.array([point(s, GROUPS) if len(s) else None for s in sets], pa.binary()), pa.array([point(s, fine_groups(len(s))) if len(s) else None for s in sets], pa.binary())]
+                cols += [pa.array([point(s, GROUPS) if len(s) else None for s in sets], pa.binary()), pa.array([sharp_point(s) if len(s) else None for s in sets], pa.binary())]
                 cols += [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 held += sets
@@ -225,18 +271,18 @@ def with_side(pairs: DataFrame, side: str, values: DataFrame, how: str = "inner"
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose fine points allow enough overlap."""
+    """The pairs (a, b) whose sharp points allow enough overlap."""
 
     def run(batches):
         for batch in batches:
             size = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
             sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())
-            low = [overlap_bound(counts_of(x, fine_groups(n)), counts_of(y, fine_groups(m))) for n, m, x, y in sizes]
+            low = [sharp_bound(n, x, m, y) for n, m, x, y in sizes]
             yield batch.select([0, 1]).filter(pa.array(np.array(low, np.int64) >= least_overlap(size, percent)))
 
-    values = nodes.select("node", "n", "fine")
+    values = nodes.select("node", "n", "sharp")
     both = with_side(with_side(pairs.select("a", "b"), "b", values), "a", values)
-    return both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(lean(run), "a long, b long")
+    return both.select("a", "b", "n_a", "n_b", "sharp_a", "sharp_b").mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, seed: int) -> DataFrame:
@@ -327,14 +373,46 @@ def first_of_each(score: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) ->
     return order[np.arange(len(order)) - begin[np.cumsum(new) - 1] < most]
 
 
-def tree_pairs(members: DataFrame, points: DataFrame, percent: int, most: int) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, within the blocks: of each two components the `most` pairs of highest bound; in
-    cut, whether there are more. members: key, node, group, m (rows of the block)."""
+def tried_first(score: np.ndarray, x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Places of the pairs of groups (x, y) to try first: a spanning forest of the highest scores and, if `most` is more than 1,
+    the `most` highest of each group. So k groups get at most k - 1 + k * most places."""
+    best = first_of_each(score, np.minimum(x, y), np.maximum(x, y), 1)
+    best = best[np.argsort(-score[best], kind="stable")]
+    root, forest, left = {}, [], len(np.unique(np.concatenate([x, y]))) - 1
+    for k, a, b in zip(best.tolist(), x[best].tolist(), y[best].tolist()):
+        while (up := root.get(a, a)) != a:
+            root[a] = a = root.get(up, up)
+        while (up := root.get(b, b)) != b:
+            root[b] = b = root.get(up, up)
+        if a != b:
+            root[a] = b
+            forest.append(k)
+            left -= 1
+            if not left:
+                break
+    if most == 1:
+        return np.array(forest, np.int64)
+    ends = np.concatenate([x, y])
+    return np.union1d(forest, first_of_each(np.tile(score, 2), ends, np.zeros_like(ends), most) % len(x)).astype(np.int64)
+
+
+def chunk_pairs(members: DataFrame) -> DataFrame:
+    """key, i, j, node and group: the members of each block, those of large blocks by chunks that meet pairwise. members: key,
+    node, group, m (rows of the block)."""
     chunks = F.ceil(F.col("m") / CHUNK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), chunks).cast("int")
     other = F.explode(F.when(chunks <= 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), chunks - 1)))
-    spread = members.withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "group")
-    rows = spread.join(points, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    spread = members.withColumn("own", own).withColumn("other", other)
+    return spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "group")
+
+
+def tree_pairs(members: DataFrame, points: DataFrame, percent: int, most: int) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of different groups within the rows of each (key, i, j), and a row (key, i, j) for each of
+    these that has more candidates. members: of chunk_pairs. points: node, n, point, and sharp if the sharp bound counts too."""
+    columns = ["key", "i", "j", "node", "group", *[c for c in points.columns if c != "node"]]
+    rows = members.join(points, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+    names, kinds = ["a", "b", "key", "i", "j"], [pa.int64(), pa.int32(), pa.int32()]
 
     def joined(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows)
@@ -346,14 +424,23 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int, most: int) -
         x, y, score = RTree(points_, n.astype(np.int64), ranked).pairs(percent)
         if not len(x):
             return
-        best = first_of_each(score, np.minimum(ranked[x], ranked[y]), np.maximum(ranked[x], ranked[y]), most)
-        cut, x, y = len(best) < len(x), x[best], y[best]
-        a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)).astype(np.int32)), pa.array(b))
-        yield pa.RecordBatch.from_arrays([pa.array(a[first]), lists, pa.array([cut] * len(first))], names=["a", "partners", "cut"])
+        if "sharp" in columns:
+            small = np.flatnonzero(n <= PRINTS)
+            place, both = np.cumsum(n <= PRINTS) - 1, (n[x] <= PRINTS) & (n[y] <= PRINTS)
+            size, keep = n[x] + n[y], np.ones(len(x), bool)
+            if both.any():
+                shared = shared_prints([t.column("sharp")[k].as_py() for k in small.tolist()], place[x[both]], place[y[both]])
+                score[both], keep[both] = shared / size[both], shared >= least_overlap(size[both], percent)
+            x, y, score = x[keep], y[keep], score[keep]
+            if not len(x):
+                return
+        x, y = np.minimum(x, y), np.maximum(x, y)  # rows are ordered by node
+        order = np.lexsort((y, x))  # of equal scores the same pair first in all blocks
+        x, y, score = x[order], y[order], score[order]
+        best = tried_first(score, ranked[x], ranked[y], most)
+        yield pa.RecordBatch.from_arrays([pa.array(node[x[best]]), pa.array(node[y[best]])] + [pa.nulls(len(best), k) for k in kinds], names=names)
+        if len(best) < len(x):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2 + [pa.array([t.column(c)[0].as_py()], k) for c, k in zip(names[2:], kinds)], names=names)
 
     def run(batches):
         held, last = [], None
@@ -370,29 +457,7 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int, most: int) -
         if held:
             yield from joined(held)
 
-    def merged(batches):
-        """The partners of each node, which many blocks may have proposed, once each."""
-        last, held, cut = None, [], False
-
-        def pairs():
-            b = np.unique(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), last)), pa.array(b), pa.array([cut] * len(b))], names=["a", "b", "cut"])
-
-        for batch in batches:
-            for a, partners, more in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                if a != last:
-                    if held:
-                        yield pairs()
-                    last, held, cut = a, [], False
-                held.append(partners.values.to_numpy())
-                cut = cut or more
-                if sum(map(len, held)) > MERGE_IDS:
-                    held = [np.unique(np.concatenate(held))]
-        if held:
-            yield pairs()
-
-    found = rows.select("key", "i", "j", "node", "group", "n", "point").mapInArrow(lean(run), "a long, partners array<long>, cut boolean")
-    return found.repartition("a").sortWithinPartitions("a").mapInArrow(lean(merged), "a long, b long, cut boolean")
+    return rows.select(columns).mapInArrow(lean(run), "a long, b long, key long, i int, j int")
 
 
 def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -401,7 +466,7 @@ def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     while True:
         both = written(profiles(docs, seed), "profiles")
         rows = both.where("n is not null").drop("key", "times")
-        groups = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("fine").alias("fine"), F.min("check").alias("low"), F.max("check").alias("high"))
+        groups = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("sharp").alias("sharp"), F.min("check").alias("low"), F.max("check").alias("high"))
         nodes = written(groups, "nodes")
         if nodes.where("low <> high").isEmpty():
             break
@@ -424,17 +489,21 @@ def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     tried = written(tried.select("a", "b"), "tried")
     links = written(check(tried), "links")
     found = components(links)
-    points, most, cut = nodes.select("node", "n", "point"), 1, True
-    while cut:
+    points, most, again = nodes.select("node", "n", "point"), 1, None
+    while again is None or not again.isEmpty():
         grouped = written(members.join(found, "node", "left").select("key", "m", "node", F.coalesce("component", "node").alias("group")), "grouped")
         open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-        more = written(tree_pairs(grouped.join(open_keys, "key"), points, percent, most), "tree")
-        untried = written(more.select("a", "b").join(tried, ["a", "b"], "left_anti"), "tried")
+        cells = chunk_pairs(grouped.join(open_keys, "key"))
+        cells = cells if again is None else cells.join(again, ["key", "i", "j"], "left_semi")
+        tree = written(tree_pairs(cells, points, percent, most), "tree")
+        untried = written(tree.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         new = written(check(untried), "links")
         if not new.isEmpty():
             links = links.unionAll(new)
             found = components(links)
-        tried, cut, most = tried.unionAll(untried), not more.where("cut").isEmpty(), most * MORE_PAIRS
+        # the first sharp round tries a forest too; what it leaves apart is no link, but for the few whose prints agree by chance
+        tried, most = tried.unionAll(untried), most if again is None else most * MORE_PAIRS
+        points, again = nodes.select("node", "n", "point", "sharp"), tree.where("a is null").select("key", "i", "j")
     return rows.select("doc_id", "k1", "k2", "n", "node"), written(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "named")
 
 

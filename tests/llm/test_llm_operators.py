@@ -200,6 +200,44 @@ def test_ngram_join_against_all_pairs(spark, monkeypatch, frequent, chunk):
     assert {k: r.n_shingles for k, r in got.items()} == {i: len(s) for i, s in enumerate(sets)}
 
 
+def test_ngram_join_pairs_grow_with_the_group_and_not_its_square(spark, monkeypatch):
+    """Near copies that all meet texts they do not link with: what is tried is a few pairs for each text."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(200)]
+    near = [" ".join([*base[:k], word(), *base[k + 1 :]]) for k in (rng.randrange(5, 195) for _ in range(200))]
+    far = [" ".join(base[k : k + 120] + [word() for _ in range(80)]) for k in (rng.randrange(80) for _ in range(600))]
+    seen, own = [], ngram_join.bounded
+    monkeypatch.setattr(ngram_join, "FREQUENT_MIN", 1 << 40)  # no rare shingles first, so that all meet
+    monkeypatch.setattr(ngram_join, "bounded", lambda pairs, *rest: seen.append(pairs.count()) or own(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in ngram_join.link(docs_frame(spark, near + far)).collect()}
+    assert got == {i: 0 if i < len(near) else i for i in range(len(near) + len(far))}
+    assert sum(seen) <= 4 * len(got), seen  # 19,900 in one round when each two components tried a pair
+
+
+def test_ngram_join_sharp_points_and_first_tries():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 7, 300, 900, ngram_join.PRINTS, 4 * ngram_join.PRINTS)]
+    sets += [np.unique(np.concatenate([s[: len(s) // 2], rng.integers(0, 1 << 63, len(s) // 3 + 1, dtype=np.uint64)])) for s in sets]
+    sets.append(np.unique(np.arange(40, dtype=np.uint64) << np.uint64(16)))  # one print, many times
+    sharp = [ngram_join.sharp_point(s) for s in sets]
+    small = [k for k, s in enumerate(sets) if len(s) <= ngram_join.PRINTS]
+    bound = {(a, b): ngram_join.sharp_bound(len(sets[a]), sharp[a], len(sets[b]), sharp[b]) for a in range(len(sets)) for b in range(len(sets))}
+    for (a, b), most in bound.items():
+        assert len(np.intersect1d(sets[a], sets[b])) <= most <= min(len(sets[a]), len(sets[b])), (a, b)
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(len(small)) for j in range(len(small)) if i != j]))
+    assert ngram_join.shared_prints([sharp[k] for k in small], a, b).tolist() == [bound[small[i], small[j]] for i, j in zip(a, b)]
+    x, y = (v.astype(np.int64) for v in np.triu_indices(50, 1))
+    score = rng.integers(0, 9, len(x)) / 9
+    for most in (1, 3, 60):
+        at = ngram_join.tried_first(score, x, y, most)
+        assert len(at) == len(set(at.tolist())) <= (49 if most == 1 else min(len(x), 49 + 50 * most))
+        assert len(set(brute_components(range(50), [(int(x[k]), int(y[k])) for k in at]).values())) == 1
+        for g in range(50) if most > 1 else []:
+            mine = np.flatnonzero((x == g) | (y == g))
+            assert sorted(score[np.intersect1d(mine, at)])[-min(most, 49) :] == sorted(score[mine])[-min(most, 49) :]
+
+
 def test_ngram_join_ids_and_rows_twice(spark):
     t = "a b c d e f g h"
     rows = [(None, t), (5, t), (5, t), (3, t + " i"), (9, "other words are in this text"), (None, None), (9, "other words are in this text")]
