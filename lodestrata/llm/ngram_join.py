@@ -9,9 +9,9 @@
    it meets in most blocks; so a block of m near copies costs m pairs, not m*m. The links found give first components.
 5. Every block that still holds several components builds an R-tree over its points and joins it with itself: boxes whose
    bound is too low are cut off, as are boxes within one component. Of the pairs found, those of a spanning forest of highest
-   bounds over the components of a block are tried, so k components try fewer than k pairs and not k*k. Trees that kept pairs
+   bounds over the components of a block are tried, so k components try fewer than k pairs and not k*k. Nodes of pairs kept
    back, and no others, are joined again, now under the bound of the sharp points; each component tries ever more of its best
-   pairs there, until no tree keeps one back.
+   pairs there, until none is kept back.
 
 The sharp point of a set of up to PRINTS shingles is the last 16 bits of each, which bound an overlap to nearly its value; that
 of a larger set counts about four shingles a group. A pair that is tried passes this bound, then the exact sets of 64-bit
@@ -53,7 +53,7 @@ PAIRS_A_SALT = 64
 #: Beyond a spanning forest, a component tries so many times more of its best pairs in each round from the third on.
 MORE_PAIRS = 16
 #: The largest set whose sharp point has 16 bits of each shingle.
-PRINTS = 2048
+PRINTS = 1 << 16
 #: Distinct prints of a block that are laid out as bits at once.
 PRINT_COLUMNS = 4096
 #: Nodes whose sets are fetched by a broadcast of ids (16 bytes each); more are fetched by a shuffled join.
@@ -407,12 +407,12 @@ def chunk_pairs(members: DataFrame) -> DataFrame:
 
 
 def tree_pairs(members: DataFrame, points: DataFrame, percent: int, most: int) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of different groups within the rows of each (key, i, j), and a row (key, i, j) for each of
-    these that has more candidates. members: of chunk_pairs. points: node, n, point, and sharp if the sharp bound counts too."""
+    """Candidate pairs (a, b), a < b, of different groups within the rows of each (key, i, j), and a row (key, i, j, node) for
+    each node there of candidates kept back. members: of chunk_pairs. points: node, n, point, and sharp if the sharp bound counts too."""
     columns = ["key", "i", "j", "node", "group", *[c for c in points.columns if c != "node"]]
     rows = members.join(points, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
-    names, kinds = ["a", "b", "key", "i", "j"], [pa.int64(), pa.int32(), pa.int32()]
+    names, kinds = ["a", "b", "key", "i", "j", "node"], [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
     def joined(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows)
@@ -439,8 +439,11 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int, most: int) -
         x, y, score = x[order], y[order], score[order]
         best = tried_first(score, ranked[x], ranked[y], most)
         yield pa.RecordBatch.from_arrays([pa.array(node[x[best]]), pa.array(node[y[best]])] + [pa.nulls(len(best), k) for k in kinds], names=names)
-        if len(best) < len(x):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2 + [pa.array([t.column(c)[0].as_py()], k) for c, k in zip(names[2:], kinds)], names=names)
+        left = np.delete(np.arange(len(x)), best)
+        if len(left):
+            own = node[np.unique(np.concatenate([x[left], y[left]]))]
+            cell = [pa.array([t.column(c)[0].as_py()] * len(own), k) for c, k in zip(names[2:], kinds)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64())] * 2 + cell[:3] + [pa.array(own)], names=names)
 
     def run(batches):
         held, last = [], None
@@ -457,7 +460,13 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int, most: int) -
         if held:
             yield from joined(held)
 
-    return rows.select(columns).mapInArrow(lean(run), "a long, b long, key long, i int, j int")
+    return rows.select(columns).mapInArrow(lean(run), "a long, b long, key long, i int, j int, node long")
+
+
+def same_nodes() -> list[Column]:
+    """What tells groups of different nodes apart: their number and two sums of hashes."""
+    sums = [F.sum(F.xxhash64(*salt, "node").cast("decimal(38,0)")) for salt in ([], [F.lit(1)])]
+    return [F.count("*").alias("m"), sums[0].alias("s1"), sums[1].alias("s2")]
 
 
 def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -476,7 +485,7 @@ def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     frequent = frequent_shingles(both.where("key is not null").select("key", "times"))
     blocked = written(blocks(prefix_rows(docs, frequent, percent, seed)), "blocks")
     # blocks of the same nodes (by their number and two sums of hashes) need one search
-    kinds = blocked.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("s2"))
+    kinds = blocked.groupBy("key").agg(F.min("node").alias("first"), *same_nodes())
     kinds = written(kinds.where("m > 1").groupBy("m", "first", "s1", "s2").agg(F.min("key").alias("key"), F.count("*").alias("blocks")).select("key", "m", "first", "blocks"), "kinds")
     members = written(blocked.join(kinds, "key"), "members")
 
@@ -492,9 +501,15 @@ def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     points, most, again = nodes.select("node", "n", "point"), 1, None
     while again is None or not again.isEmpty():
         grouped = written(members.join(found, "node", "left").select("key", "m", "node", F.coalesce("component", "node").alias("group")), "grouped")
-        open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
-        cells = chunk_pairs(grouped.join(open_keys, "key"))
-        cells = cells if again is None else cells.join(again, ["key", "i", "j"], "left_semi")
+        cell, cells = ["key"], grouped
+        if again is not None:
+            cell, cells = ["key", "i", "j"], written(chunk_pairs(grouped).join(again, ["key", "i", "j", "node"], "left_semi"), "cells")
+        apart = cells.groupBy(*cell).agg(F.min("group").alias("low"), F.max("group").alias("high"), *([] if again is None else same_nodes())).where("low <> high")
+        if again is not None:  # cells of the same nodes left hold the same candidates
+            apart = apart.groupBy("m", "low", "high", "s1", "s2").agg(F.min(F.struct(*cell)).alias("cell")).select("cell.*")
+        apart = apart.select(*cell)
+        cells = cells.join(apart, cell)
+        cells = chunk_pairs(cells) if again is None else cells
         tree = written(tree_pairs(cells, points, percent, most), "tree")
         untried = written(tree.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         new = written(check(untried), "links")
@@ -503,7 +518,7 @@ def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             found = components(links)
         # the first sharp round tries a forest too; what it leaves apart is no link, but for the few whose prints agree by chance
         tried, most = tried.unionAll(untried), most if again is None else most * MORE_PAIRS
-        points, again = nodes.select("node", "n", "point", "sharp"), tree.where("a is null").select("key", "i", "j")
+        points, again = nodes.select("node", "n", "point", "sharp"), tree.where("a is null").select("key", "i", "j", "node")
     return rows.select("doc_id", "k1", "k2", "n", "node"), written(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "named")
 
 
