@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import lean, table, written
+from ._common import drop, lean, table, written
 from ._components import components
 from ._shingles import mix, sets_of
 
@@ -192,6 +192,7 @@ def frequent_shingles(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     while sums.where(F.col("times") >= bar).count() > FREQUENT_MAX:
         bar *= 2
     rows = sums.where(F.col("times") >= bar).toPandas()
+    drop(sums)
     keys = rows["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], rows["times"].to_numpy(np.int64)[order]
@@ -309,7 +310,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int,
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = with_side(with_side(pairs, "b", held), "a", held)
-    return both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(lean(run), "a long, b long")
+    links = written(both.select("a", "b", "hashes_a", "hashes_b").mapInArrow(lean(run), "a long, b long"), "links")
+    drop(wanted, held)
+    return links
 
 
 class RTree:
@@ -474,36 +477,45 @@ def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     seed = 0
     while True:
         both = written(profiles(docs, seed), "profiles")
-        rows = both.where("n is not null").drop("key", "times")
-        groups = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("sharp").alias("sharp"), F.min("check").alias("low"), F.max("check").alias("high"))
-        nodes = written(groups, "nodes")
-        if nodes.where("low <> high").isEmpty():
+        groups = both.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("sharp").alias("sharp"), F.min("check").alias("low"), F.max("check").alias("high"))
+        stored = written(groups, "nodes")
+        if stored.where("low <> high").isEmpty():
             break
+        drop(both, stored)
         seed += 1  # two sets had the same 64-bit name: name all anew
-    nodes = nodes.drop("low", "high")
+    nodes = stored.drop("low", "high")
     named = nodes.where("doc_id is not null").select("node", "doc_id")
     frequent = frequent_shingles(both.where("key is not null").select("key", "times"))
+    rows = written(both.where("n is not null").select("doc_id", "k1", "k2", "n", "node"), "rows")
+    drop(both)  # points are read from nodes only
     blocked = written(blocks(prefix_rows(docs, frequent, percent, seed)), "blocks")
     # blocks of the same nodes (by their number and two sums of hashes) need one search
     kinds = blocked.groupBy("key").agg(F.min("node").alias("first"), *same_nodes())
     kinds = written(kinds.where("m > 1").groupBy("m", "first", "s1", "s2").agg(F.min("key").alias("key"), F.count("*").alias("blocks")).select("key", "m", "first", "blocks"), "kinds")
     members = written(blocked.join(kinds, "key"), "members")
+    drop(blocked, kinds)
 
     def check(pairs: DataFrame) -> DataFrame:
         near = written(bounded(pairs, nodes, percent), "pairs")
-        return near if near.isEmpty() else verified(near, docs, named, percent, seed)
+        if near.isEmpty():
+            return near
+        links = verified(near, docs, named, percent, seed)
+        drop(near)
+        return links
 
     partners = members.where("node <> first").groupBy("node", "first").agg(F.sum("blocks").alias("blocks"))
     tried = partners.groupBy(F.col("node").alias("b")).agg(F.max_by("first", F.struct("blocks", -F.col("first"))).alias("a"))
     tried = written(tried.select("a", "b"), "tried")
-    links = written(check(tried), "links")
+    links = check(tried)
     found = components(links)
-    points, most, again = nodes.select("node", "n", "point"), 1, None
+    points, most, again, tree = nodes.select("node", "n", "point"), 1, None, None
     while again is None or not again.isEmpty():
         grouped = written(members.join(found, "node", "left").select("key", "m", "node", F.coalesce("component", "node").alias("group")), "grouped")
         cell, cells = ["key"], grouped
         if again is not None:
             cell, cells = ["key", "i", "j"], written(chunk_pairs(grouped).join(again, ["key", "i", "j", "node"], "left_semi"), "cells")
+            drop(grouped, tree)
+        used = cells
         apart = cells.groupBy(*cell).agg(F.min("group").alias("low"), F.max("group").alias("high"), *([] if again is None else same_nodes())).where("low <> high")
         if again is not None:  # cells of the same nodes left hold the same candidates
             apart = apart.groupBy("m", "low", "high", "s1", "s2").agg(F.min(F.struct(*cell)).alias("cell")).select("cell.*")
@@ -511,15 +523,20 @@ def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         cells = cells.join(apart, cell)
         cells = chunk_pairs(cells) if again is None else cells
         tree = written(tree_pairs(cells, points, percent, most), "tree")
+        drop(used)
         untried = written(tree.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
-        new = written(check(untried), "links")
+        new = check(untried)
         if not new.isEmpty():
             links = links.unionAll(new)
             found = components(links)
+        else:
+            drop(new)
         # the first sharp round tries a forest too; what it leaves apart is no link, but for the few whose prints agree by chance
         tried, most = tried.unionAll(untried), most if again is None else most * MORE_PAIRS
         points, again = nodes.select("node", "n", "point", "sharp"), tree.where("a is null").select("key", "i", "j", "node")
-    return rows.select("doc_id", "k1", "k2", "n", "node"), written(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "named")
+    named = written(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "named")
+    drop(tree, members, stored)
+    return rows, named
 
 
 def link(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -533,8 +550,9 @@ def link(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     rows, named = linked_rows(docs, percent)
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(named, "node")
     smallest = written(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")), "smallest")
-    named = written(named.join(smallest, "component").select("node", "component_id"), "named")
-    result = rows.join(named, "node", "left")  # plain sides, so that the rows of a node with very many copies may be split
+    best = written(named.join(smallest, "component").select("node", "component_id"), "named")
+    drop(named, smallest)
+    result = rows.join(best, "node", "left")  # plain sides, so that the rows of a node with very many copies may be split
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -548,11 +566,13 @@ def keep_one(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     rows, named = linked_rows(docs, percent)
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "k1", "k2")
     first = rows.where("node is not null").groupBy("node").agg(F.min(order).alias("first")).join(named, "node")
-    best = written(first.groupBy("component").agg(F.min("first").alias("best")), "best")
-    best = written(named.join(best, "component").select("node", "best"), "named")
+    smallest = written(first.groupBy("component").agg(F.min("first").alias("best")), "best")
+    best = written(named.join(smallest, "component").select("node", "best"), "named")
+    drop(named, smallest)
     same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
     judged = rows.join(best, "node").groupBy("doc_id", "k1", "k2").agg(F.bool_or(same).alias("stays"), F.count("*").alias("rows"))
     judged = written(judged.where("not stays or rows > 1"), "judged")
+    drop(rows, best)
     small = judged.count() <= BROADCAST_NODES
     names = [f"__own{i}" for i in range(len(docs.columns))]
     own = docs.toDF(*names)

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import defaultdict
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import bpe_codec, decontaminate, embedding_dedup, html_text, license_scan, ngram_join, queries, token_counts, token_store, toxicity, url_filter
 from lodestrata.llm import _components
+from lodestrata.llm._common import SHUFFLES_GO, drop, shared_dir, written
 from lodestrata.llm._components import components
 from lodestrata.llm._shingles import shingle_sets
 
@@ -238,6 +240,30 @@ def test_ngram_join_sharp_points_and_first_tries():
             assert sorted(score[np.intersect1d(mine, at)])[-min(most, 49) :] == sorted(score[mine])[-min(most, 49) :]
 
 
+def test_shuffles_go_with_their_write_and_tables_with_their_last_reader(spark):
+    def shuffled():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for d in dirs for f in glob.glob(f"{d.getPath()}/*/shuffle_*")}
+
+    def tables():
+        return set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/lodestrata/*"))
+
+    before, setting = shuffled(), spark.conf.get(SHUFFLES_GO, None)
+    t = written(spark.range(5000).repartition(3, "id"), "freed")
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(SHUFFLES_GO, None) == setting
+    assert t.count() == 5000
+    drop(t)
+    for run in (ngram_join.link, ngram_join.keep_one):
+        own = tables()
+        got = run(docs_frame(spark, jaccard_case(7)))
+        left = {os.path.basename(x).split("-")[0] for x in tables() - own}
+        assert left <= {"rows", "named", "judged", "links", "tried", "pairs"}, left  # none with points, sets or texts
+        assert got.count() > 0
+
+
 def test_ngram_join_ids_and_rows_twice(spark):
     t = "a b c d e f g h"
     rows = [(None, t), (5, t), (5, t), (3, t + " i"), (9, "other words are in this text"), (None, None), (9, "other words are in this text")]
