@@ -10,9 +10,11 @@
 5. Every block that still holds several components builds an R-tree over its points and joins it with itself: boxes whose
    bound is too low are cut off, as are boxes within one component. Of the pairs found, those of a spanning forest of highest
    bounds over the components of a block are tried, so k components try fewer than k pairs and not k*k. Nodes of pairs kept
-   back, and no others, are joined again, now under the bound of the sharp points; each component tries ever more of its best
-   pairs there, until none is kept back.
+   back, and no others, are joined again, first under the bound of the fine points, then under that of the sharp points; each
+   component tries ever more of its best pairs there, until none is kept back.
 
+The fine point counts about two shingles a group, a quarter of the bytes of the sharp one, and tells long texts apart that are
+alike in few groups.
 The sharp point of a set of up to PRINTS shingles is the last 16 bits of each, which bound an overlap to nearly its value; that
 of a larger set counts about four shingles a group. A pair that is tried passes this bound, then the exact sets of 64-bit
 hashes decide. Two different shingles of a pair of n each have one hash with odds of n * n / 2^64
@@ -50,13 +52,15 @@ LEAF = 32
 OPEN_PAIRS = 256
 #: Pairs of a node beyond which its row is sent once for every so many of them.
 PAIRS_A_SALT = 64
-#: Beyond a spanning forest, a component tries so many times more of its best pairs in each round from the third on.
+#: Beyond a spanning forest, a component tries so many times more of its best pairs in each round from the fourth on.
 MORE_PAIRS = 16
 #: The largest set whose sharp point has 16 bits of each shingle.
 PRINTS = 1 << 16
 #: Distinct prints of a block that are laid out as bits at once.
 PRINT_COLUMNS = 4096
-#: Nodes whose sets are fetched by a broadcast of ids (16 bytes each); more are fetched by a shuffled join.
+#: Group counts of pairs that are compared at once.
+COUNTS_AT_ONCE = 1 << 20
+#: Nodes whose sets and points are fetched by a broadcast of ids (16 bytes each); more are fetched by a shuffled join.
 BROADCAST_NODES = 1 << 18
 
 
@@ -94,6 +98,32 @@ def sharp_point(hashes: np.ndarray) -> bytes:
     return np.sort(hashes.astype("<u2")).tobytes() if n <= PRINTS else point(hashes, fine_groups(n))
 
 
+def fine_point(n: int, sharp: bytes) -> bytes:
+    """Group counts of a set of n, from its sharp point: about two shingles a group."""
+    return sharp if n > PRINTS else point(np.frombuffer(sharp, "<u2").astype(np.uint64), fine_groups(2 * n))
+
+
+def fine_counts(n: int, fine: bytes) -> np.ndarray:
+    return counts_of(fine, fine_groups(n if n > PRINTS else 2 * n))
+
+
+def shared_counts(counts: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """overlap_bound of the points at places a and b."""
+    width, out = np.array([len(x) for x in counts]), np.zeros(len(a), np.int64)
+    least = np.minimum(width[a], width[b])
+    for groups in np.unique(least).tolist():
+        at = np.flatnonzero(least == groups)
+        own, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        folded = np.empty((len(own), groups), np.uint16 if max(int(counts[k].sum()) for k in own) < 1 << 16 else np.uint32)
+        for row, k in zip(folded, own):
+            row[:] = counts[k].reshape(-1, groups).sum(0)
+        x, y, step = place[: len(at)], place[len(at) :], max(1, COUNTS_AT_ONCE // groups)
+        for k in range(0, len(at), step):
+            part = slice(k, k + step)
+            out[at[part]] = np.minimum(folded[x[part]], folded[y[part]]).sum(1, dtype=np.int64)
+    return out
+
+
 def prints_of(raw) -> np.ndarray:
     """The 16 bits of each shingle, each with the number of equal ones before it, so that shared ones count as often as in both."""
     x = np.frombuffer(raw, "<u2").astype(np.uint32)
@@ -271,6 +301,23 @@ def with_side(pairs: DataFrame, side: str, values: DataFrame, how: str = "inner"
     return dealt.join(copies.drop("salts"), [side, "salt"]).drop("salt")
 
 
+def wanted_nodes(nodes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of nodes, whose points are large, that ids (node) name, and the table of ids, to be dropped after their use."""
+    ids = written(ids.distinct(), "ids")
+    return nodes.join(F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids, "node", "left_semi"), ids
+
+
+def fine_points(nodes: DataFrame) -> DataFrame:
+    """node, n, point and the fine point."""
+
+    def run(batches):
+        for batch in batches:
+            fine = [fine_point(n, x) for n, x in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fine, pa.binary())], names=["node", "n", "point", "fine"])
+
+    return nodes.select("node", "n", "point", "sharp").mapInArrow(lean(run), "node long, n long, point binary, fine binary")
+
+
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sharp points allow enough overlap."""
 
@@ -281,9 +328,11 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             low = [sharp_bound(n, x, m, y) for n, m, x, y in sizes]
             yield batch.select([0, 1]).filter(pa.array(np.array(low, np.int64) >= least_overlap(size, percent)))
 
-    values = nodes.select("node", "n", "sharp")
+    values, ids = wanted_nodes(nodes.select("node", "n", "sharp"), pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")))
     both = with_side(with_side(pairs.select("a", "b"), "b", values), "a", values)
-    return both.select("a", "b", "n_a", "n_b", "sharp_a", "sharp_b").mapInArrow(lean(run), "a long, b long")
+    near = written(both.select("a", "b", "n_a", "n_b", "sharp_a", "sharp_b").mapInArrow(lean(run), "a long, b long"), "pairs")
+    drop(ids)
+    return near
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int, seed: int) -> DataFrame:
@@ -411,7 +460,7 @@ def chunk_pairs(members: DataFrame) -> DataFrame:
 
 def tree_pairs(members: DataFrame, points: DataFrame, percent: int, most: int) -> DataFrame:
     """Candidate pairs (a, b), a < b, of different groups within the rows of each (key, i, j), and a row (key, i, j, node) for
-    each node there of candidates kept back. members: of chunk_pairs. points: node, n, point, and sharp if the sharp bound counts too."""
+    each node there of candidates kept back. members: of chunk_pairs. points: node, n, point, and fine or sharp if its bound counts too."""
     columns = ["key", "i", "j", "node", "group", *[c for c in points.columns if c != "node"]]
     rows = members.join(points, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
@@ -427,6 +476,12 @@ def tree_pairs(members: DataFrame, points: DataFrame, percent: int, most: int) -
         x, y, score = RTree(points_, n.astype(np.int64), ranked).pairs(percent)
         if not len(x):
             return
+        if "fine" in columns:
+            shared = shared_counts([fine_counts(k, v) for k, v in zip(n.tolist(), t.column("fine").to_pylist())], x, y)
+            keep = shared >= least_overlap(n[x] + n[y], percent)
+            x, y, score = x[keep], y[keep], (shared / (n[x] + n[y]))[keep]
+            if not len(x):
+                return
         if "sharp" in columns:
             small = np.flatnonzero(n <= PRINTS)
             place, both = np.cumsum(n <= PRINTS) - 1, (n[x] <= PRINTS) & (n[y] <= PRINTS)
@@ -496,7 +551,7 @@ def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     drop(blocked, kinds)
 
     def check(pairs: DataFrame) -> DataFrame:
-        near = written(bounded(pairs, nodes, percent), "pairs")
+        near = bounded(pairs, nodes, percent)
         if near.isEmpty():
             return near
         links = verified(near, docs, named, percent, seed)
@@ -508,7 +563,7 @@ def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     tried = written(tried.select("a", "b"), "tried")
     links = check(tried)
     found = components(links)
-    points, most, again, tree = nodes.select("node", "n", "point"), 1, None, None
+    again, tree, turn = None, None, 0
     while again is None or not again.isEmpty():
         grouped = written(members.join(found, "node", "left").select("key", "m", "node", F.coalesce("component", "node").alias("group")), "grouped")
         cell, cells = ["key"], grouped
@@ -522,8 +577,14 @@ def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         apart = apart.select(*cell)
         cells = cells.join(apart, cell)
         cells = chunk_pairs(cells) if again is None else cells
-        tree = written(tree_pairs(cells, points, percent, most), "tree")
-        drop(used)
+        if turn:
+            own, ids = wanted_nodes(nodes, used.select("node"))
+            points = fine_points(own) if turn == 1 else own.select("node", "n", "point", "sharp")
+        else:
+            points = nodes.select("node", "n", "point")
+        # the first sharp turn tries a forest too; what it leaves apart is no link, but for the few whose prints agree by chance
+        tree = written(tree_pairs(cells, points, percent, MORE_PAIRS ** max(0, turn - 2)), "tree")
+        drop(used, *([ids] if turn else []))
         untried = written(tree.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         new = check(untried)
         if not new.isEmpty():
@@ -531,9 +592,8 @@ def linked_rows(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             found = components(links)
         else:
             drop(new)
-        # the first sharp round tries a forest too; what it leaves apart is no link, but for the few whose prints agree by chance
-        tried, most = tried.unionAll(untried), most if again is None else most * MORE_PAIRS
-        points, again = nodes.select("node", "n", "point", "sharp"), tree.where("a is null").select("key", "i", "j", "node")
+        tried, turn = tried.unionAll(untried), turn + 1
+        again = tree.where("a is null").select("key", "i", "j", "node")
     named = written(nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "named")
     drop(tree, members, stored)
     return rows, named

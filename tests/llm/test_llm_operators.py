@@ -227,6 +227,14 @@ def test_ngram_join_sharp_points_and_first_tries():
     bound = {(a, b): ngram_join.sharp_bound(len(sets[a]), sharp[a], len(sets[b]), sharp[b]) for a in range(len(sets)) for b in range(len(sets))}
     for (a, b), most in bound.items():
         assert len(np.intersect1d(sets[a], sets[b])) <= most <= min(len(sets[a]), len(sets[b])), (a, b)
+    counts = [ngram_join.fine_counts(len(x), ngram_join.fine_point(len(x), y)) for x, y in zip(sets, sharp)]
+    a, b = (np.array(x) for x in zip(*bound))
+    for (i, j), most in zip(bound, ngram_join.shared_counts(counts, a, b).tolist()):
+        assert len(np.intersect1d(sets[i], sets[j])) <= most <= min(len(sets[i]), len(sets[j])), (i, j)
+    twins = [np.unique(rng.integers(0, 1 << 63, 12000, dtype=np.uint64)) for _ in range(2)]
+    loose = ngram_join.overlap_bound(*[ngram_join.counts_of(ngram_join.point(x, ngram_join.GROUPS), ngram_join.GROUPS) for x in twins])
+    tight = ngram_join.shared_counts([ngram_join.fine_counts(len(x), ngram_join.fine_point(len(x), ngram_join.sharp_point(x))) for x in twins], np.array([0]), np.array([1]))[0]
+    assert tight < ngram_join.least_overlap(np.int64(24000), 75) <= loose  # long texts that have nothing in common
     a, b = (np.array(x) for x in zip(*[(i, j) for i in range(len(small)) for j in range(len(small)) if i != j]))
     assert ngram_join.shared_prints([sharp[k] for k in small], a, b).tolist() == [bound[small[i], small[j]] for i, j in zip(a, b)]
     x, y = (v.astype(np.int64) for v in np.triu_indices(50, 1))
