@@ -17,6 +17,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ CUT = 0.3
 MIN_TOXIC = 3
 TURNS = 3
 #: Bytes of decoded spans, and of tokens and their forms, that a worker remembers.
-MAX_BYTES = 32 << 20
+MAX_BYTES = 16 << 20
+MAX_SEEN = 48 << 20
 PREFIXES = range(4, 9)
 CHANNEL = {"look-alike": -1.0, "single": -0.4, "double": -1.1}
 
@@ -60,12 +62,67 @@ _GAP[[*map(ord, " ._-*")]] = True
 _CODE = np.zeros(256, np.int32)
 _CODE[97:123] = _CODE[65:91] = np.arange(1, 27)
 _CODE[128:] = 27
-
-
+#: By byte: what lower case makes of ASCII, what ends a token, and which may be signs or letters.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(c) for c in LOOK_ALIKE if ord(c) < 128]] = True
+_PARTED = re.compile(r".(?:[ ._\-*].)+")
+#: Signs that stand for one letter only, as that letter; and what shares one reading: a run of one character, or letters that are
+#: no run (the second group).
+_READING = str.maketrans({c: x for c, x in LOOK_ALIKE.items() if len(x) == 1})
+_RUN = re.compile(r"(.)\1+|(?:([^\W\d_])(?!\2))+|.", re.S)
+
+
+@lru_cache(1 << 16)
 def code(letter: str) -> int:
     return ord(letter) - 96 if "a" <= letter <= "z" else 27 if letter.isalpha() else 0
 
 
+def odd_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], list[int]]:
+    """Of all texts, in order, the tokens between ASCII white space that may be disguised (see _ODD), and for each text the index
+    of its first (one more at the end).
+
+    None is left out: code points beyond ASCII that stand beside another, or that may be a sign or turn into ASCII (the first
+    bytes of the euro and Kelvin signs, a capital I with a dot), always count."""
+    n = len(data)
+    if n < 2:
+        return [], [0] * len(offsets)
+    low, letter, sign = _FOLD[data], _LETTER[data], _SIGN[data]
+    odd = low[1:] == low[:-1]
+    odd &= letter[1:]
+    odd |= sign[1:] & letter[:-1]
+    odd |= letter[1:] & sign[:-1]
+    odd |= (data[1:] >= 0xC0) & (data[:-1] >= 0x80)
+    odd |= data[:-1] == 0xE2
+    odd |= (data[:-1] == 0xC4) & (data[1:] == 0xB0)
+    begins = np.zeros(n + 1, bool)
+    begins[1:] = blank = _BLANK[data]
+    begins[offsets] = True
+    begins = np.flatnonzero(begins)
+    at = np.unique(np.searchsorted(begins, np.flatnonzero(odd), "right"))
+    first, end = begins[at - 1], begins[at]
+    raw, end = data.tobytes(), end - blank[end - 1]
+    return [raw[a:b] for a, b in zip(first.tolist(), end.tolist())], np.searchsorted(first, offsets).tolist()
+
+
+@lru_cache(1 << 16)
+def ways_of(reading: str, disguised: bool, many: bool) -> list[list[tuple[str, float, tuple[int, ...]]]]:
+    """The ways to read a run of signs that have one reading, each some letters with the channel's log probability and their
+    codes. disguised: a look-alike is among them; many: there are two or more."""
+    letters = LOOK_ALIKE.get(reading) or (reading if reading.isalpha() else "")
+    base = CHANNEL["look-alike"] if disguised else 0.0
+    if not letters:
+        return [[(reading, 0.0, (code(reading),))]]
+    each = [[x] for x in letters] if len(letters) == 2 else [list(letters)]
+    times = [(1, base + CHANNEL["single"]), (2, base + CHANNEL["double"])] if many else [(1, base)]
+    return [[(x * n, p, (code(x),) * n) for x in some] for n, p in times for some in each]
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that are never learned from: crc32 of the id's digits leaves 2 on division by 4."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -96,44 +153,39 @@ class Decoder:
         c = counts.reshape(_SYMBOLS, _SYMBOLS, _SYMBOLS).astype(float)
         back = (c.sum(0) + 0.5) / (c.sum((0, 1))[None, :] * 0 + c.sum((0, 2))[:, None] + 0.5 * _SYMBOLS)
         self.log = np.log((c + 2.0 * back[None]) / (c.sum(2, keepdims=True) + 2.0)).tolist()
-        self.known, self.seen = Remembered(MAX_BYTES), Remembered(MAX_BYTES)
+        self.known, self.seen = Remembered(MAX_BYTES), Remembered(MAX_SEEN)
 
-    def lattice(self, span: str) -> list[list[list[tuple[str, float]]]]:
-        """The ways to read each place, each some letters with the channel's log probability: a repeated letter once or twice, a
-        sign that may be two letters as either of them.
+    def lattice(self, span: str) -> list[list[list[tuple[str, float, tuple[int, ...]]]]]:
+        """The ways to read each place, each some letters with the channel's log probability and their codes: a repeated letter
+        once or twice, a sign that may be two letters as either of them.
 
         A place is a run of one sign, or of signs that can only be the same letter (`$s5`)."""
-        if re.fullmatch(r".(?:[ ._\-*].)+", span) is not None:
+        if _PARTED.fullmatch(span) is not None:
             span = span[::2]
-        runs: list[list] = []  # reading (the letter, or the sign if it may be several), signs
-        for c in span:
-            reading = LOOK_ALIKE[c] if len(LOOK_ALIKE.get(c, "")) == 1 else c
-            if runs and runs[-1][0] == reading:
-                runs[-1][1] += c
+        out: list = []
+        for m in _RUN.finditer(span.translate(_READING)):
+            read, signs = m[0], span[m.start() : m.end()]
+            if m[2] is None:
+                out.append(ways_of(read[0], read[0] in LOOK_ALIKE or signs != read, len(read) > 1))
+            elif signs == read:  # letters with one way each: after two of them one path is left, so the rest make one place
+                own = 2 if out else 0
+                out += [ways_of(x, False, False) for x in read[:own]]
+                if rest := read[own:]:
+                    out.append([[(rest, 0.0, tuple(map(code, rest)))]])
             else:
-                runs.append([reading, c])
-        out = []
-        for reading, signs in runs:
-            letters = LOOK_ALIKE.get(reading) or (reading if reading.isalpha() else "")
-            base = CHANNEL["look-alike"] if any(c in LOOK_ALIKE for c in signs) else 0.0
-            if not letters:
-                out.append([[(reading, 0.0)]])
-            else:
-                each = [[x] for x in letters] if len(letters) == 2 else [list(letters)]
-                times = [(1, base)] if len(signs) == 1 else [(1, base + CHANNEL["single"]), (2, base + CHANNEL["double"])]
-                out.append([[(x * n, p) for x in some] for n, p in times for some in each])
+                out += [ways_of(x, x != sign, False) for x, sign in zip(read, signs)]
         return out
 
-    def likeliest(self, places: list[list[tuple[str, float]]]) -> str:
+    def likeliest(self, places: list[list[tuple[str, float, tuple[int, ...]]]]) -> str:
         """Viterbi over pairs of letters."""
-        best = {(0, 0): (0.0, "")}
-        for choices in [*places, [("", 0.0)]]:
+        log, best = self.log, {(0, 0): (0.0, "")}
+        for choices in [*places, [("", 0.0, (0,))]]:
             after: dict = {}
             for (a, b), (score, text) in best.items():
-                for letters, channel in choices:
+                for letters, channel, codes in choices:
                     x, y, s = a, b, score + channel
-                    for c in map(code, letters or " "):
-                        s += self.log[x][y][c]
+                    for c in codes:
+                        s += log[x][y][c]
                         x, y = y, c
                     if (x, y) not in after or s > after[x, y][0]:
                         after[x, y] = (s, text + letters)
@@ -164,16 +216,17 @@ class Decoder:
     def forms(self, token: str) -> tuple[str, ...]:
         """What a token (lower case, no white space) may say: its parts with look-alikes or repeated letters decoded, each
         also without the signs at its ends, which may be punctuation."""
-        got = self.seen.get(token)
-        if got is None:
-            parts = set()
-            for m in _PIECE.finditer(token):
-                if _ODD.search(m[0]):
-                    heads = {m[0], m[0].lstrip("!|+*"), m[0].lstrip(_ENDS)}
-                    parts |= {x for h in heads for x in (h, h.rstrip("!|+*"), h.rstrip(_ENDS)) if _ODD.search(x)}
-            got = tuple({y for x in parts for y in self.decode(x)} - parts)
-            self.seen.keep(token, got, len(token) + sum(map(len, got)))
-        return got
+        parts = set()
+        for m in _PIECE.finditer(token):
+            if _ODD.search(m[0]):
+                heads = {m[0], m[0].lstrip("!|+*"), m[0].lstrip(_ENDS)} if m[0][0] in LOOK_ALIKE else {m[0]}
+                parts |= {x for h in heads for x in (h, h.rstrip("!|+*"), h.rstrip(_ENDS)) if _ODD.search(x)} if m[0][-1] in LOOK_ALIKE else {h for h in heads if _ODD.search(h)}
+        return tuple({y for x in parts for y in self.decode(x)} - parts)
+
+    def forms_of(self, raw: bytes) -> tuple[str, ...]:
+        """What the tokens of some UTF-8 bytes may say; remembered."""
+        got = tuple({y for token in raw.decode().lower().split() for y in self.forms(token)})
+        return self.seen.keep(raw, got, len(raw) + sum(map(len, got)) + 60 * len(got))
 
     def apart(self, span: str) -> set[str]:
         """What letters set apart may say; up to two at each end may be words of their own ("a", "I") or numbers."""
@@ -191,12 +244,15 @@ class Decoder:
             pair = unit[:-1] & gap[1:]
             at = np.flatnonzero(pair[:-5] & pair[2:-3] & pair[4:-1] & unit[6:])
             spaced[np.searchsorted(offsets, np.flatnonzero(first)[at], "right") - 1] = True
-        out = []
-        for text, check in zip(column.to_pylist(), spaced.tolist()):
+        tokens, at = odd_tokens(data, offsets)
+        get, out = self.seen.get, []
+        for text, check, a, b in zip(column.to_pylist(), spaced.tolist(), at, at[1:]):
             text = (text or "").lower()
             got: set[str] = set()
-            for token in set(text.split()):
-                got.update(self.forms(token))
+            for token in set(tokens[a:b]):
+                if (more := get(token)) is None:
+                    more = self.forms_of(token)
+                got.update(more)
             if check:
                 for span in {m[0] for m in _APART.finditer(text)}:
                     got |= self.apart(span)

@@ -370,6 +370,35 @@ def test_decoder_restores_mixed_and_bordering_disguises():
     assert alone == got
 
 
+def test_toxicity_reads_only_tokens_that_may_be_disguised():
+    d = toxicity.Decoder(np.ones(28**3, np.int64))
+    got = d.restored_many(pa.array(["Plain words stand here, thhe rest too (Thhe end).", None, "", "thhe"]))
+    assert set(d.seen) == {b"thhe", b"(Thhe", b"too"}  # plain tokens take no time and no memory
+    assert got[1:3] == ["", ""] and got[3].startswith("thhe")
+    # whatever lower case and Unicode make of a token, none that has a sign beside a letter or a letter twice is left out
+    rng = random.Random(5)
+    alphabet = "aabbsoteilSTAOKI0013455678@@$$!|+€*.,- \t\n\x1c\x85\xa0\u2009éÉßẞİıK\u212aÅ\u212bΣσςǅ字😀'’µ̇ªſⅷ"
+    texts = ["".join(rng.choices(alphabet, k=rng.choice([0, 1, 2, 8, 60]))) for _ in range(2000)]
+    found, at = toxicity.odd_tokens(*toxicity.string_buffer(pa.array(texts)))
+    for text, a, b in zip(texts, at, at[1:]):
+        kept = {t for raw in found[a:b] for t in raw.decode().lower().split()}
+        assert {t for t in text.lower().split() if any(toxicity._ODD.search(m[0]) for m in toxicity._PIECE.finditer(t))} <= kept <= set(text.lower().split())
+
+
+def test_toxicity_places_of_plain_letters_decode_as_letter_by_letter():
+    text = b"the queen of the hill will read a little book about an idiot in the pool and a clown " * 9
+    c = toxicity._CODE[np.frombuffer(text, np.uint8)]
+    d = toxicity.Decoder(np.bincount((c[:-2] * 28 + c[1:-1]) * 28 + c[2:], minlength=28**3))
+    rng = random.Random(6)
+    for _ in range(500):
+        span = "".join(rng.choices("thequenidotclwé01$s*!", k=rng.randrange(1, 14)))
+        places = [[x for way in ways for x in way] for ways in d.lattice(span)]
+        flat = []
+        for p in places:
+            flat += [[(c, 0.0, (toxicity.code(c),))] for c in p[0][0]] if len(p) == 1 and len(p[0][0]) > 1 else [p]
+        assert d.likeliest(places) == d.likeliest(flat)
+
+
 def test_toxicity_held_out_and_odd_rows(spark):
     rng = random.Random(2)
     words = [f"wort{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
