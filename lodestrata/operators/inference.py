@@ -12,6 +12,9 @@ from .ordered import prefix_sums, value_ranks
 
 DIGITS = 9
 
+#: Draws of a task of `resampled`.
+TASK_DRAWS = 1 << 20
+
 
 def sign_p(k: Column, n: Column) -> Column:
     """Two-sided sign test: twice the smaller binomial tail, at most 1; 1 for no pairs. k of n are positive."""
@@ -87,11 +90,13 @@ def draw(seed: int, replicate: Column, i: Column) -> Column:
 def resampled(units: DataFrame, replicates: int, seed: int) -> DataFrame:
     """units (i from 0, other columns) drawn with replacement, n a replicate: replicate and the unit's columns.
 
-    Replicates are made in parallel from a range; the units are few (groups, not rows) and join by position.
+    The units are counted while the plan is built. A draw is a number of one range, so draws are dealt over tasks however many
+    units there are, and Spark knows their size: no side that grows with replicates * n is ever broadcast for a small one.
     """
-    n = units.agg(F.count("*").alias("n"))
-    slots = units.sparkSession.range(replicates).select(F.col("id").alias("replicate")).crossJoin(n).select("replicate", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("slot"))
-    return slots.select("replicate", F.pmod(draw(seed, F.col("replicate"), F.col("slot")), "n").alias("i")).join(units, "i")
+    spark, n = units.sparkSession, units.count()
+    parts = max(spark.sparkContext.defaultParallelism, -(-replicates * n // TASK_DRAWS))
+    slots = spark.range(0, replicates * n, 1, parts).select(F.pmod("id", F.lit(replicates)).alias("replicate"), F.expr(f"id div {replicates}").alias("slot"))
+    return slots.select("replicate", F.pmod(draw(seed, F.col("replicate"), F.col("slot")), F.lit(max(n, 1))).alias("i")).join(units, "i")
 
 
 def bootstrap_mean(units: DataFrame, value: str, replicates: int, seed: int) -> DataFrame:

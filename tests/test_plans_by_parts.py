@@ -1,5 +1,6 @@
 """Plans that work by parts or in rounds, against brute force."""
 
+import hashlib
 import math
 import random
 
@@ -66,6 +67,31 @@ def test_permutations_and_bootstraps_by_parts(spark):
     assert low_high.n_finite == 60 and low_high.low < r.rho < low_high.high
 
 
+@pytest.fixture
+def small_broadcasts(spark):
+    """Tables that Spark takes for small are broadcast, but a broadcast beyond 4 MB fails, as it would for want of driver memory."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.maxBroadcastTableSize": "4m"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k in conf:
+        spark.conf.unset(k)
+
+
+def drawn(seed, replicate, n):
+    return np.array([int(hashlib.md5(f"{seed}|{replicate}|{i}".encode()).hexdigest()[:7], 16) % n for i in range(n)])
+
+
+def test_bootstrap_mean_of_many_units(spark, small_broadcasts, tmp_path):
+    v = np.round(np.random.Generator(np.random.PCG64(17)).normal(50, 9, 20_000), 4)
+    spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, v double").write.parquet(str(tmp_path / "units"))
+    units = spark.read.parquet(str(tmp_path / "units"))
+    low, high = np.quantile([v[drawn(5, r, len(v))].mean() for r in range(30)], [0.025, 0.975])
+    got = inference.bootstrap_mean(units, "v", 30, 5).first()
+    assert got.n == len(v) and np.allclose([got.mean, got.low, got.high], [v.mean(), low, high], rtol=0, atol=2e-6)
+    assert inference.bootstrap_mean(units.where("i < 0"), "v", 30, 5).collect() == [(0, None, None, None)]
+
+
 def test_containing_pairs_by_pairs_of_words(spark):
     rng = random.Random(14)
     words = ["the", "the", "of", "a", "bc", "d"]
