@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch_path
 from .metrics import average_rank
 from .ordered import prefix_sums, value_ranks
 
@@ -109,9 +110,11 @@ def bootstrap_mean(units: DataFrame, value: str, replicates: int, seed: int) ->
 def bootstrap_spearman(units: DataFrame, a: str, b: str, replicates: int, seed: int, least_finite: float = 0.999) -> DataFrame:
     """Percentile interval of Spearman's rho, ranked anew in every replicate; fails if too few have a finite one. Values may not be
     null."""
-    drawn = resampled(units, replicates, seed)
-    # equal pairs of values are drawn often: they are counted, and both sides ranked by parts of a replicate
+    spark, drawn, path = units.sparkSession, resampled(units, replicates, seed), scratch_path(units.sparkSession, "draws")
+    # equal pairs of values are drawn often: they are counted, once, and both sides ranked by parts of a replicate
     pairs = drawn.groupBy("replicate", F.col(a).alias("__a"), F.col(b).alias("__b")).agg(F.count("*").alias("__n"))
+    pairs.write.parquet(path)
+    pairs = spark.read.schema(pairs.schema).parquet(path)
     side = lambda v, name: value_ranks(pairs, ["replicate"], v, "__n").withColumnRenamed("rank", name)
     ranks = pairs.join(side("__a", "ra"), ["replicate", "__a"]).join(side("__b", "rb"), ["replicate", "__b"])
     ranks = ranks.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int"))))

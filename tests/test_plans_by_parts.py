@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,8 +70,8 @@ def test_permutations_and_bootstraps_by_parts(spark):
 
 @pytest.fixture
 def small_broadcasts(spark):
-    """Tables that Spark takes for small are broadcast, but a broadcast beyond 4 MB fails, as it would for want of driver memory."""
-    conf = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.maxBroadcastTableSize": "4m"}
+    """Tables that Spark takes for small are broadcast, but a broadcast beyond 40 MB fails, as it would for want of driver memory."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.maxBroadcastTableSize": "40m"}
     for k, v in conf.items():
         spark.conf.set(k, v)
     yield
@@ -86,10 +87,21 @@ def test_bootstrap_mean_of_many_units(spark, small_broadcasts, tmp_path):
     v = np.round(np.random.Generator(np.random.PCG64(17)).normal(50, 9, 20_000), 4)
     spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, v double").write.parquet(str(tmp_path / "units"))
     units = spark.read.parquet(str(tmp_path / "units"))
-    low, high = np.quantile([v[drawn(5, r, len(v))].mean() for r in range(30)], [0.025, 0.975])
-    got = inference.bootstrap_mean(units, "v", 30, 5).first()
+    low, high = np.quantile([v[drawn(5, r, len(v))].mean() for r in range(100)], [0.025, 0.975])
+    got = inference.bootstrap_mean(units, "v", 100, 5).first()
     assert got.n == len(v) and np.allclose([got.mean, got.low, got.high], [v.mean(), low, high], rtol=0, atol=2e-6)
-    assert inference.bootstrap_mean(units.where("i < 0"), "v", 30, 5).collect() == [(0, None, None, None)]
+    assert inference.bootstrap_mean(units.where("i < 0"), "v", 100, 5).collect() == [(0, None, None, None)]
+
+
+def test_bootstrap_spearman_of_many_units(spark, small_broadcasts, tmp_path):
+    rng = np.random.Generator(np.random.PCG64(18))
+    a = np.round(rng.normal(size=20_000), 4)
+    b = np.floor(4 * (a + rng.normal(size=len(a))))
+    spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))], "i long, a double, b double").write.parquet(str(tmp_path / "units"))
+    rank = lambda x: pd.Series(x).rank().to_numpy()
+    low, high = np.quantile([np.corrcoef(rank(a[d]), rank(b[d]))[0, 1] for d in (drawn(5, r, len(a)) for r in range(100))], [0.025, 0.975])
+    got = inference.bootstrap_spearman(spark.read.parquet(str(tmp_path / "units")), "a", "b", 100, 5).first()
+    assert got.n_finite == 100 and np.allclose([got.low, got.high], [low, high], rtol=0, atol=2e-6)
 
 
 def test_containing_pairs_by_pairs_of_words(spark):
