@@ -104,6 +104,15 @@ def test_bootstrap_spearman_of_many_units(spark, small_broadcasts, tmp_path):
     assert got.n_finite == 100 and np.allclose([got.low, got.high], [low, high], rtol=0, atol=2e-6)
 
 
+def test_endpoint_record_of_many_units(spark, small_broadcasts, tmp_path):
+    v = np.round(np.random.Generator(np.random.PCG64(19)).normal(0.01, 1, 20_000), 2)
+    spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, z double").write.parquet(str(tmp_path / "units"))
+    low, high = np.quantile([v[drawn(7, r, len(v))].mean() for r in range(100)], [0.025, 0.975])
+    got = inference.endpoint_record(spark.read.parquet(str(tmp_path / "units")), "z", 100, 7).drop("p").first()
+    assert (got.n, got.n_pos, got.n_neg) == (len(v), (v > 0).sum(), (v < 0).sum())
+    assert np.allclose([got.mean, got.low, got.high, got.median], [v.mean(), low, high, np.median(v)], rtol=0, atol=2e-6)
+
+
 def test_containing_pairs_by_pairs_of_words(spark):
     rng = random.Random(14)
     words = ["the", "the", "of", "a", "bc", "d"]
